@@ -8,7 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.core import table
-from tarmac.llm import simhash
+from tarmac.llm import packing, pii, quality, simhash, toxicity
+from tarmac.llm.common import fold
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer file is; the files stay outside this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.tokenise(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    placed = packing.pack(pieces, packing.groups_for(docs))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model that learned from the training folds only."""
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model that learned from the training folds only."""
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +56,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
