@@ -77,7 +77,7 @@ class CounterfactualModel:
     weights to what tells the classes apart, so that rare words can't learn single texts by heart.
     """
 
-    def __init__(self, texts: list[set[str]], y: np.ndarray, penalty: float = 1.0, sparse: float = 5e-4, least_docs: int = 5, steps: int = 150):
+    def __init__(self, texts: list[set[str]], y: np.ndarray, penalty: float = 1.0, sparse: float = 1e-3, least_docs: int = 5, steps: int = 200):
         self.w, self.slope, self.shift = np.zeros((1 << BITS) + 1), 1.0, 0.0
         if len(set(y.tolist())) < 2:
             self.shift = -4.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)
@@ -95,7 +95,9 @@ class CounterfactualModel:
         """Accelerated proximal gradient steps; both classes weigh alike in all. Swaps enter by what they change."""
         used = np.flatnonzero(np.bincount(np.concatenate([*rows, *swaps]), minlength=1 << BITS) >= least_docs)
         size = len(used)
-        keep = lambda r: np.searchsorted(used, r[np.isin(r, used, assume_unique=True)])
+        place = np.full(1 << BITS, -1)
+        place[used] = np.arange(size)
+        keep = lambda r: (at := place[r])[at >= 0]
         x = Rows([keep(r) for r in rows])
         come = Rows([keep(np.setdiff1d(z, r, assume_unique=True)) for r, z in zip(rows, swaps, strict=True)])
         go = Rows([keep(np.setdiff1d(r, z, assume_unique=True)) for r, z in zip(rows, swaps, strict=True)])
