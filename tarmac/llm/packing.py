@@ -8,6 +8,7 @@ sources or the lengths of documents; no group gathers a key of the data.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,19 @@ from pyspark.sql import functions as F
 
 SEQUENCE = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers; beyond it the memory starts afresh, results are the same.
-REMEMBERED = 300_000
+#: Words and stems whose ids a worker remembers; beyond that a memory starts afresh, results are the same.
+WORDS, STEMS = 200_000, 800_000
+#: Letters that are one code point in every normal form and have a lower case of their own, and ASCII signs after them.
+STEM_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, doc_tokens long, ids binary"
 
 
 class WordEncoder:
-    """Token ids of texts, by a `tokenizers` file whose tokens never span white space.
+    """Token ids of texts, by a `tokenizers` file that lower-cases and whose tokens span neither white space nor the
+    border between letters and signs.
 
-    Space and line feed separate tokens for sure, so the text is cut there and each distinct word is encoded once.
+    Space and line feed separate tokens for sure, so the text is cut there. A word of letters with signs behind it is
+    its lower-cased letters and then its signs; these, and any other word whole, go to the tokenizer once each.
     `encode` returns the ids as little-endian unsigned 32-bit numbers.
     """
 
@@ -33,19 +38,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
+        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        words, stems = self.words, self.stems
+        parts = {}
+        for w in {w for ws in cut for w in ws}.difference(words):
+            m = STEM_AND_SIGNS.fullmatch(w)
+            parts[w] = (m[1].lower(), m[2]) if m else (w, "")
+        new = list({x for p in parts.values() for x in p}.difference(stems))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in ws]) for ws in words]
-        if len(known) > REMEMBERED:
-            known.clear()
+                stems[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, signs) in parts.items():
+            words[w] = stems[stem] + stems[signs]
+        out = [b"".join([words[w] for w in ws]) for ws in cut]
+        if len(words) > WORDS:
+            words.clear()
+        if len(stems) > STEMS:
+            stems.clear()
+            stems[""] = b""
         return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.core import table
-from tarmac.llm import packing, pii, quality, simhash, toxicity
+from tarmac.llm import decontaminate, packing, pii, preference, quality, simhash, token_counts, toxicity
 from tarmac.llm.common import fold
 
 
@@ -43,6 +43,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation against its made-up negative."""
+    return preference.format_preferences(*preference.with_negatives(table(spark, sf_dir, "conversations")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece count of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds within the edit budget."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, by a model that learned from the training folds only."""
     docs = table(spark, sf_dir, "documents")
@@ -56,8 +71,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preference": preference.ORACLE}
