@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.core import table
-from tarmac.llm import decontaminate, packing, pii, preference, quality, simhash, token_counts, toxicity
+from tarmac.llm import ann, decontaminate, packing, pii, preference, quality, simhash, token_counts, toxicity
 from tarmac.llm.common import fold
 
 
@@ -43,6 +43,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows found for every vec_id divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"))
+    return ann.nearest(vectors, queries)
+
+
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of every conversation against its made-up negative."""
     return preference.format_preferences(*preference.with_negatives(table(spark, sf_dir, "conversations")))
@@ -71,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_nearest, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
