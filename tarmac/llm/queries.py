@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.core import table
-from tarmac.llm import ann, decontaminate, packing, pii, preference, quality, simhash, token_counts, toxicity
+from tarmac.llm import ann, decontaminate, packing, pii, preference, quality, simhash, substrings, token_counts, toxicity
 from tarmac.llm.common import fold
 
 
@@ -77,8 +77,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to documents with smaller ids, and the digest of what remains."""
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_nearest, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_nearest, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
