@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 2048
 END_ID = 1
 #: Words and stems whose ids a worker remembers; beyond that a memory starts afresh, results are the same.
-WORDS, STEMS = 200_000, 800_000
+WORDS, STEMS = 100_000, 500_000
 #: Letters that are one code point in every normal form and have a lower case of their own, and ASCII signs after them.
 STEM_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, doc_tokens long, ids binary"

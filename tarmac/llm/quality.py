@@ -18,7 +18,7 @@ from tarmac.llm.common import labelled_sample, map_text
 
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _WORDS: dict[str, tuple[int, int]] = {}
 
 
@@ -61,7 +61,7 @@ class Rows:
     def __init__(self, rows: list[np.ndarray]):
         self.rows = rows
         self.at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.at], minlength=len(self.rows))
@@ -104,11 +104,14 @@ class NaiveBayesSvm:
     @staticmethod
     def _log_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float) -> np.ndarray:
         size = 1 << BITS
-        p, q = (smooth + np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == c] or [np.zeros(0, np.int64)]), minlength=size) for c in (1, 0))
+        p, q = np.full(size, smooth), np.full(size, smooth)
+        for r, v in zip(rows, y, strict=True):
+            (p if v else q)[r] += 1
         return np.log((p / p.sum()) / (q / q.sum()))
 
     def _descend(self, rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, passes: int, seed: int) -> None:
         """Dual coordinate descent for the hinge loss; each class weighs as much in all as the other."""
+        ratio = ratio.astype(np.float32)
         value = [ratio[r] for r in rows]
         norm = [float((v**2).sum()) + 1.0 for v in value]
         upper = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum())) / max(1.0, float(np.median(norm)))
@@ -143,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, label: str = "qual
     """
     sample = labelled_sample(docs, labels, label, rows)
     got = _with_label(sample, indicators)
-    found = sorted(got.collect(), key=lambda r: r.doc_id)
-    return NaiveBayesSvm([np.frombuffer(r.row, "<i4").astype(np.int64) for r in found], np.array([float(r.label) for r in found]))
+    found = got.toArrow().sort_by("doc_id")
+    return NaiveBayesSvm([np.frombuffer(x.as_buffer(), "<i4") for x in found.column("row")], found.column("label").to_numpy().astype(float))
 
 
 def _with_label(sample: DataFrame, make) -> DataFrame:

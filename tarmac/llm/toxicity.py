@@ -20,7 +20,7 @@ from tarmac.llm.quality import Rows, logistic_curve
 
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 # Groups of identity terms; terms of one group swap for each other.
 IDENTITY = (
     ("women", "men", "femmes", "hommes", "mujeres", "hombres", "frauen", "maenner"),
@@ -73,29 +73,31 @@ def swapped(words: set[str], turn: int) -> set[str]:
 class CounterfactualModel:
     """Sparse logistic weights over hashed words; `penalty` weighs the squared score changes between a text and its swaps.
 
-    Features in fewer than `least_docs` sampled texts are left out, and an absolute-value penalty `sparse` keeps the
-    weights to what tells the classes apart, so that rare words can't learn single texts by heart.
+    Features in fewer than `least_docs` sampled texts are left out, and an absolute-value penalty, `sparse` over the
+    root of the smaller class's size, keeps the weights to what tells the classes apart rather than to single texts.
     """
 
-    def __init__(self, texts: list[set[str]], y: np.ndarray, penalty: float = 1.0, sparse: float = 1e-3, least_docs: int = 5, steps: int = 200):
+    def __init__(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, sparse: float = 0.05, least_docs: int = 5, steps: int = 200):
         self.w, self.slope, self.shift = np.zeros((1 << BITS) + 1), 1.0, 0.0
         if len(set(y.tolist())) < 2:
             self.shift = -4.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)
             return
         held = np.arange(len(y)) % 5 == 4
-        rows = [word_indicators(t) for t in texts]
         train = np.flatnonzero(~held)
-        swaps = [word_indicators(swapped(texts[i], k + 1)) for k, i in enumerate(train)]
-        self._fit([rows[i] for i in train], swaps, y[~held], penalty, sparse, least_docs, steps)
+        sparse /= np.sqrt(max(1.0, min(y[~held].sum(), (1 - y[~held]).sum())))
+        self._fit([rows[i] for i in train], [swaps[i] for i in train], y[~held], penalty, sparse, least_docs, steps)
         margin = np.array([self.margin(r) for r in rows])
         use = held if 0 < y[held].sum() < held.sum() else ~held
         self.slope, self.shift = logistic_curve(margin[use], y[use])
 
     def _fit(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float, sparse: float, least_docs: int, steps: int) -> None:
         """Accelerated proximal gradient steps; both classes weigh alike in all. Swaps enter by what they change."""
-        used = np.flatnonzero(np.bincount(np.concatenate([*rows, *swaps]), minlength=1 << BITS) >= least_docs)
+        seen = np.zeros(1 << BITS, np.int32)
+        for r in (*rows, *swaps):
+            seen[r] += 1
+        used = np.flatnonzero(seen >= least_docs)
         size = len(used)
-        place = np.full(1 << BITS, -1)
+        place = np.full(1 << BITS, -1, np.int32)
         place[used] = np.arange(size)
         keep = lambda r: (at := place[r])[at >= 0]
         x = Rows([keep(r) for r in rows])
@@ -137,18 +139,22 @@ class CounterfactualModel:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, label: str = "toxic") -> CounterfactualModel:
     """A model fitted on at most `rows` labelled documents outside the held-out fold (see common.labelled_sample).
 
-    The driver gets the distinct words of those texts. Without labelled rows, or with one class only, every text gets
-    the same score.
+    Features are made on the executors; the driver gets two lists of numbers for each text. Without labelled rows, or
+    with one class only, every text gets the same score.
     """
 
     def run(batches):
         for b in batches:
-            rows_ = [" ".join(sorted(words_of(x or ""))) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows_, pa.string()), b.column("label")], names=["doc_id", "words", "label"])
+            words = [words_of(x or "") for x in b.column("text").to_pylist()]
+            turns = [zlib.crc32(str(i).encode()) for i in b.column("doc_id").to_pylist()]
+            rows_ = [word_indicators(w).astype("<i4").tobytes() for w in words]
+            swaps = [word_indicators(swapped(w, t)).astype("<i4").tobytes() for w, t in zip(words, turns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows_, pa.binary()), pa.array(swaps, pa.binary()), b.column("label")], names=["doc_id", "row", "swap", "label"])
 
     sample = labelled_sample(docs, labels, label, rows).select("doc_id", "text", "label")
-    found = sorted(sample.mapInArrow(run, "doc_id long, words string, label int").collect(), key=lambda r: r.doc_id)
-    return CounterfactualModel([set(r.words.split()) for r in found], np.array([float(r.label) for r in found]))
+    found = sample.mapInArrow(run, "doc_id long, row binary, swap binary, label int").toArrow().sort_by("doc_id")
+    unpack = lambda c: [np.frombuffer(x.as_buffer(), "<i4") for x in found.column(c)]
+    return CounterfactualModel(unpack("row"), unpack("swap"), found.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: CounterfactualModel) -> DataFrame:
