@@ -74,10 +74,11 @@ class CounterfactualModel:
     """Sparse logistic weights over hashed words; `penalty` weighs the squared score changes between a text and its swaps.
 
     Features in fewer than `least_docs` sampled texts are left out, and an absolute-value penalty, `sparse` over the
-    root of the smaller class's size, keeps the weights to what tells the classes apart rather than to single texts.
+    root of the smaller class's size, chooses what tells the classes apart rather than single texts; the chosen features
+    are then weighed without it.
     """
 
-    def __init__(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, sparse: float = 0.05, least_docs: int = 5, steps: int = 200):
+    def __init__(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, sparse: float = 0.03, least_docs: int = 5, steps: int = 120):
         self.w, self.slope, self.shift = np.zeros((1 << BITS) + 1), 1.0, 0.0
         if len(set(y.tolist())) < 2:
             self.shift = -4.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)
@@ -119,14 +120,16 @@ class CounterfactualModel:
             v = np.append(x.sum_by_feature(s, size), s.sum())
             top = float(np.linalg.norm(v)) or 1.0
             v /= top
-        rate, w, t = 1 / (1.5 * top), np.zeros(size + 1), 1.0
-        ahead = w
-        for _ in range(steps):
-            new = ahead - rate * gradient(ahead)
-            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * sparse, 0)
-            t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-            ahead = new + (t - 1) / t_new * (new - w)
-            w, t = new, t_new
+        w, rate = np.zeros(size + 1), 1 / (1.5 * top)
+        for shrink, ridge in ((sparse, 0.0), (0.0, 1e-5)):  # first which features count, then what they weigh
+            chosen = np.append(w[:-1] != 0, True) if ridge else np.ones(size + 1, bool)
+            ahead, t = w, 1.0
+            for _ in range(steps):
+                new = ahead - rate * (gradient(ahead) + ridge * ahead) * chosen
+                new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * shrink, 0)
+                t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+                ahead = new + (t - 1) / t_new * (new - w)
+                w, t = new, t_new
         self.w[used], self.w[-1] = w[:-1], w[-1]
 
     def margin(self, row: np.ndarray) -> float:
