@@ -169,7 +169,7 @@ def _ordinary(rng: random.Random) -> str:
     n = rng.randint
     return rng.choice([
         f"{n(1990, 2030)}-{n(1, 12):02}-{n(1, 28):02} {n(0, 23):02}-{n(0, 59):02}", f"{n(1, 28):02}/{n(1, 12):02}/{n(1990, 2030)}", f"{n(1, 20)}.{n(0, 9)}.{n(0, 9)}.{n(1000, 99999)}.{n(1, 9)}",
-        f"order {n(10**7, 10**9)}", f"{n(10**15, 10**16 - 1)}", f"{n(1, 9)}.{n(10**6, 10**8)}", f"{n(256, 999)}.{n(256, 999)}.{n(256, 999)}.{n(1, 9)}", f"meet at {rng.choice('abcdef')}oon. {rng.choice(['Then', 'We'])}.go",
+        f"order {n(10**7, 10**9)}", f"{n(10**15, 10**16 - 1)}", f"{n(1, 9)}.{n(10**6, 10**8)}", f"{n(256, 999)}.{n(256, 999)}.{n(256, 999)}.{n(1, 9)}", f"meet at {rng.choice(['noon', 'two', 'home'])}. {rng.choice(['Then', 'We', 'The'])} go (dot)", f"look at {rng.choice(['line', 'page', 'us'])}. {rng.choice(['It', 'She'])} is @ ten",
     ])
 
 
@@ -184,7 +184,7 @@ def training_set(texts: list[str], seed: int = 5, written: int = 1500) -> tuple[
 
     real = [(t, s) for t in texts for s in base_spans(t)]
     contexts = [t[k : k + 60] for t in texts if len(t) > 200 for k in (rng.randrange(len(t) - 60),) if not DIGIT.search(t[k : k + 60])] or ["some plain words without any number or address in them, see"]
-    made = [("email", f"ab.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com") for _ in range(60)] + [("phone", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}") for _ in range(60)] + [("card", _card(rng)) for _ in range(60)]
+    made = [("email", _address(rng)) for _ in range(300)] + [("phone", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}") for _ in range(60)] + [("card", _card(rng)) for _ in range(60)]
     pool = [(s[2], t[s[0] : s[1]]) for t, s in real if s[2] != "ip"][:written] + made
     for t in texts:
         spans = base_spans(t)
@@ -201,6 +201,13 @@ def training_set(texts: list[str], seed: int = 5, written: int = 1500) -> tuple[
     return np.array(rows, float), np.array(marks, float), np.array([r[0] for r in rows])
 
 
+def _address(rng: random.Random) -> str:
+    """A made-up address: one or two random words, at times a number, at a domain of two or three parts."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randint(2, 9)))
+    local = rng.choice([word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}{rng.randint(1, 99)}", f"{word()}.{rng.randint(1, 99)}"])
+    return f"{local}@{'.'.join([word() for _ in range(rng.randint(0, 1))] + [word(), rng.choice(['com', 'org', 'net', 'de', 'fr', 'io'])])}"
+
+
 def _card(rng: random.Random) -> str:
     body = "".join(rng.choice("0123456789") for _ in range(15))
     return next(body + str(c) for c in range(10) if luhn(body + str(c)))
@@ -222,7 +229,9 @@ class Detector:
         order = np.argsort(-p)
         right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(right >= precision)
-        return max(0.5, float(p[order[good[-1]]])) if len(good) else 1.1
+        if not len(good):
+            return 1.1
+        return 0.5 if good[-1] == len(y) - 1 else max(0.5, float(p[order[good[-1]]]))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Base spans and the accepted candidates that overlap no base span nor an accepted one before them."""
