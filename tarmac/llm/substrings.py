@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise
+from tarmac.core import materialise, release
 
 GRAM = 16
 
@@ -137,9 +137,12 @@ def _reranked(pairs: DataFrame) -> DataFrame:
 
 
 def _paired(ranks: DataFrame, offset: int) -> DataFrame:
-    """(doc_id, pos, a, b): the rank at pos and the rank at pos + offset."""
-    later = ranks.select("doc_id", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("b"))
-    return ranks.withColumnRenamed("rank", "a").join(later, ["doc_id", "pos"])
+    """(doc_id, pos, a, b): the rank at pos and the rank at pos + offset, of positions that have both.
+
+    A window over a document's positions that holds just the place `offset` further on: one exchange, no join.
+    """
+    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(offset, offset)
+    return ranks.select("doc_id", "pos", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where(F.col("b").isNotNull())
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -151,7 +154,9 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     have = 8
     while have < length:
         offset = min(have, length - have)
-        ranks = materialise(_reranked(_paired(ranks, offset)))
+        after = materialise(_reranked(_paired(ranks, offset)))
+        release(ranks)
+        ranks = after
         have += offset
     least = ranks.groupBy("rank").agg(F.min("doc_id").alias("first"))
     return ranks.join(least, "rank").where(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
