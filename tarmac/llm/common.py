@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are handled together; long texts are bounded by Spark's own limit of bytes per batch.
-SLICE = 512
+SLICE = 256
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

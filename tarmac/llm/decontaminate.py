@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, leas
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(items, rate)
-            for batch in batches:
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
                 rows = [(d, i, k, e) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for i, k, e in searcher.find(normalise(x))]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
@@ -154,7 +154,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05,
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(items, rate)
-            for batch in batches:
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
                 keep = [not searcher.find(normalise(x or "")) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names=names).filter(pa.array(keep, pa.bool_()))
 

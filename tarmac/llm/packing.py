@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 2048
 END_ID = 1
 #: Words and stems whose ids a worker remembers; beyond that a memory starts afresh, results are the same.
-WORDS, STEMS = 100_000, 500_000
+WORDS, STEMS = 60_000, 350_000
 #: Letters that are one code point in every normal form and have a lower case of their own, and ASCII signs after them.
 STEM_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, doc_tokens long, ids binary"
@@ -132,8 +132,8 @@ def pack(pieces: DataFrame, groups: int, capacity: int = SEQUENCE, seed: int = 7
     """All columns of pieces, and sequence_id, offset of each piece: no sequence holds more than capacity tokens.
 
     sequence_id is unique over all groups (group in the upper bits). A document's short pieces share its group; full
-    pieces fill a sequence each and may be in any, so that one huge document doesn't make a huge group. Rows with a null key are dealt by their length. Order within a group is by length, then key and the other
-    columns, so the result doesn't depend on the partitioning. Pieces of length 0 or null raise an error, since no
+    pieces fill a sequence each and may be in any, so that one huge document doesn't make a huge group. Rows with a null key
+    share one group. Order within a group is by length, then key and the other columns, so the result doesn't depend on the partitioning. Pieces of length 0 or null raise an error, since no
     document yields them.
     """
     names = pieces.columns

@@ -18,7 +18,7 @@ from tarmac.llm.common import labelled_sample, map_text
 
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 _WORDS: dict[str, tuple[int, int]] = {}
 
 
@@ -154,7 +154,7 @@ def _with_label(sample: DataFrame, make) -> DataFrame:
     """(doc_id, row, label): features of the sample's texts as packed 32-bit numbers."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows = [make(x or "").astype("<i4").tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary()), b.column("label")], names=["doc_id", "row", "label"])
 

@@ -107,7 +107,7 @@ def _links(a: np.ndarray, b: np.ndarray, radius: int, cells: int = 1 << 21) -> t
     return _spanning(np.concatenate(left), np.concatenate(right))
 
 
-def links(fps: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, tile_rows: int = 2048) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints of column fp exactly as all pairs within radius do."""
     fps = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
     k = parts_for(fps.count())

@@ -20,7 +20,7 @@ from tarmac.llm.quality import Rows, logistic_curve
 
 BITS = 18
 WORD = re.compile(r"[^\W_]+")
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 # Groups of identity terms; terms of one group swap for each other.
 IDENTITY = (
     ("women", "men", "femmes", "hommes", "mujeres", "hombres", "frauen", "maenner"),
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, label: str = "toxi
     """
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             words = [words_of(x or "") for x in b.column("text").to_pylist()]
             turns = [zlib.crc32(str(i).encode()) for i in b.column("doc_id").to_pylist()]
             rows_ = [word_indicators(w).astype("<i4").tobytes() for w in words]
@@ -179,9 +179,10 @@ def drop_toxic(docs: DataFrame, model: CounterfactualModel, threshold: float = 0
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 keep = [model.score(x or "") < threshold for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names], names=names).filter(pa.array(keep, pa.bool_()))
+        _WORDS.clear()  # the worker goes on to other stages
 
     return docs.mapInArrow(run, schema)
