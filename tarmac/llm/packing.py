@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences: first-fit decreasing by a tournament tree of bin capacities.
 
 Documents are dealt into randomised groups by a hash of their id, and every group is packed on its own. The number of
-groups follows the number of pieces, so a group stays at a few thousand pieces at any size of corpus, whatever the
+groups follows the number of documents, so a group stays at a few thousand pieces at any size of corpus, whatever the
 sources or the lengths of documents; no group gathers a key of the data.
 """
 
@@ -132,9 +132,9 @@ def pack(pieces: DataFrame, groups: int, capacity: int = SEQUENCE, seed: int = 7
     """All columns of pieces, and sequence_id, offset of each piece: no sequence holds more than capacity tokens.
 
     sequence_id is unique over all groups (group in the upper bits). A document's short pieces share its group; full
-    pieces fill a sequence each and may be in any, so that one huge document doesn't make a huge group. Rows with a null key
-    share one group. Order within a group is by length, then key and the other columns, so the result doesn't depend on the partitioning. Pieces of length 0 or null raise an error, since no
-    document yields them.
+    pieces fill a sequence each and may be in any, so that one huge document doesn't make a huge group. Short pieces
+    with a null key share one group. Order within a group is by length, then key and the other columns, so the result
+    doesn't depend on the partitioning. A length over capacity or null raises an error.
     """
     names = pieces.columns
     spread = [F.when(F.col(length) == capacity, F.col("piece"))] if "piece" in names else []
