@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, rounds
+from tarmac.core import materialise, release, rounds
 from tarmac.functions import geometry as G
 from tarmac.operators.components import components
 from tarmac.operators.graphs import degrees, with_ends
@@ -58,18 +58,17 @@ def contract_chains(edges: DataFrame) -> DataFrame:
         far = s.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"))
         return s.join(far, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low"))
 
-    total = lambda s: s.agg(F.sum(F.xxhash64("p", "low").cast("decimal(38,0)"))).first()
-    n, now = 1, materialise(start)
-    most = e.count()
-    seen = total(now)
-    while n < 2 * most:  # a loop's pointers never rest, but its least edge is known once pointers span it
-        now = materialise(step(now))
-        n *= 2
-        after = now.agg(F.sum(F.xxhash64("low").cast("decimal(38,0)")), F.count_if(F.col("p") == F.col("e"))).first()
+    heads = materialise(start.where("d = 0").select(F.col("e").alias("p"), F.lit(True).alias("head")))
+    now, seen = materialise(start), None
+    while True:
+        # while a line or loop is longer than the pointers' reach, each round brings more edges to their head or lowers a least edge
+        lows = now.agg(F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()[0]
+        after = lows, now.join(heads, "p", "left_semi").count()
         if after == seen:
             break
-        seen = after
-    heads = start.where("d = 0").select(F.col("e").alias("p"), F.lit(True).alias("head"))
+        seen, before = after, now
+        now = materialise(step(before))
+        release(before)
     rows = now.join(heads, "p", "left")
     line = rows.where("head").select("e", F.col("p").alias("road"), F.col("d").alias("seq"))
     loop = rows.where("head is null").select("e", F.col("low").alias("road"))
@@ -99,8 +98,8 @@ def simplify_lines(points: DataFrame, key: str, epsilon: float) -> DataFrame:
         rows = live.join(points.select(key, "pos", "x", "y"), key).where((F.col("pos") > F.col("a")) & (F.col("pos") < F.col("b")))
         rows = rows.join(at("a", "ax", "ay"), [key, "a"]).join(at("b", "bx", "by"), [key, "b"])
         far = G.segment_distance((G.pt("ax", "ay"), G.pt("bx", "by")), G.pt("x", "y"))
-        worst = rows.withColumn("far", far).groupBy(key, "a", "b").agg(F.max(F.struct("far", -F.col("pos"))).alias("w")).where(F.col("w.far") >= epsilon)
-        cut = worst.select(key, "a", "b", (-F.col("w.col2")).alias("m"))
+        worst = rows.withColumn("far", far).groupBy(key, "a", "b").agg(F.max(F.struct("far", (-F.col("pos")).alias("back"))).alias("w")).where(F.col("w.far") >= epsilon)
+        cut = worst.select(key, "a", "b", (-F.col("w.back")).alias("m"))
         halves = cut.select(key, F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("h")).select(key, "h.a", "h.b", F.lit(True).alias("open"))
         rest = live.join(cut, [key, "a", "b"], "left_anti").withColumn("open", F.lit(False))
         return state.where(~F.col("open")).unionByName(rest).unionByName(halves)

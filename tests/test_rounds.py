@@ -115,6 +115,25 @@ def test_contract_chains_with_branch_and_loop(spark):
     assert [(10, 11), (11, 12), (12, 10)] in chains and [(10, 12), (12, 11), (11, 10)] in chains
 
 
+def test_contract_chains_of_long_lines(spark):
+    """Lines of many lengths, numbered at random, so that least edges lie anywhere."""
+    rng, und, at = random.Random(8), [], 0
+    for n in (1, 2, 3, 7, 40):
+        ids = rng.sample(range(at, at + 1000), n + 1)
+        at += 1000
+        und += list(zip(ids, ids[1:], strict=False))
+    loop = rng.sample(range(90_000, 90_100), 23)
+    und += list(zip(loop, [*loop[1:], loop[0]], strict=True))
+    edges = spark.createDataFrame(und + [(b, a) for a, b in und], "src long, dst long")
+    got = {}
+    for r in paths.contract_chains(edges).collect():
+        got.setdefault(r.road, []).append((r.seq, r.src, r.dst))
+    assert sorted(map(len, got.values())) == sorted([1, 2, 3, 7, 40, 23] * 2)
+    for v in got.values():
+        v.sort()
+        assert [x[0] for x in v] == list(range(len(v))) and all(a[2] == b[1] for a, b in zip(v, v[1:], strict=False))
+
+
 def test_shortest_paths_obey_the_triangle(spark):
     rng = random.Random(6)
     edges = [(a, b, float(rng.randrange(1, 9))) for a in range(15) for b in range(15) if a != b and rng.random() < 0.2]
