@@ -93,12 +93,13 @@ def _kinds(s, d):
 
 
 # cleaning on the coarse lines of one kind: undirected distinct segments with their lengths
-_E = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE (src*7+dst*3) % 5 <> 0)"
+_E = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) < 28)"
 
 
 def _sized(s, d):
-    r = X.roads(s, d).where((F.col("src") * 7 + F.col("dst") * 3) % 5 != 0)
-    return r.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")).distinct()
+    """(src, dst, size): the undirected roads shorter than 28, a network with dead ends."""
+    size = G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")
+    return X.roads(s, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), size).where("size < 28").distinct()
 
 
 _DEG = f"d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1)"

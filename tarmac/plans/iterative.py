@@ -52,8 +52,7 @@ query("junction_clusters", f"WITH RECURSIVE {_comp(_NODEPX, ADJ8)} SELECT tile_i
 query("drop_short_components", f"WITH RECURSIVE {_comp('mask', ADJ8)}, c AS (SELECT tile_id, x, y, 1 AS c FROM {_NODEPX}), g AS (SELECT label, count(*) AS n, sum(coalesce(c, 0)) AS c FROM lab LEFT JOIN c USING (tile_id, x, y) GROUP BY 1) SELECT tile_id, x, y FROM lab JOIN g USING (label) WHERE NOT (n < 4 OR (n < 8 AND g.c < 2))")(
     lambda s, d: C.drop_short_components(X.mask(s, d), _kinds(s, d), 8, 4, 2))
 query("snap_ends_to_junction")(lambda s, d: C.snap_ends(_kinds(s, d)))
-query("set_overlap_merge", "WITH RECURSIVE m AS (SELECT l_orderkey AS g, l_partkey AS p FROM lineitem WHERE l_orderkey % 7 = 0), n AS (SELECT DISTINCT a.g AS u, b.g AS w FROM m a JOIN m b USING (p)), r(g, other) AS (SELECT DISTINCT g, g FROM m UNION SELECT r.g, n.w FROM r JOIN n ON n.u = r.other) SELECT g, min(other) AS merged FROM r GROUP BY g")(
-    lambda s, d: P.set_overlap_merge(table(s, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("p")), "g", "p"))
+query("set_overlap_merge")(lambda s, d: P.set_overlap_merge(table(s, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("p")), "g", "p"))
 query("greedy_matching")(lambda s, d: P.greedy_matching(H.pairs_within(X.nodes(s, d), 30.0, "node_id").withColumnRenamed("node_id", "a").withColumnRenamed("other", "b")).withColumn("distance", r6(F.col("distance"))))
 query("trace_edges")(lambda s, d: _traced(s, d))
 
@@ -75,24 +74,24 @@ def _weighted(s, d):
     return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "size"))
 
 
-def _every40(s, d):
-    return X.nodes(s, d).where("node_id % 37 = 0").select(F.col("node_id").alias("source"))
+def _sources(s, d):
+    return X.nodes(s, d).select(F.col("node_id").alias("source"))
 
 
-_W = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE (src*7+dst*3) % 5 <> 0)"
+_W = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) < 28)"
 _WB = f"w AS (SELECT src, dst, size FROM {_W} UNION ALL SELECT dst, src, size FROM {_W})"
-query("shortest_paths", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes WHERE node_id % 37 = 0 UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
-    lambda s, d: P.shortest_paths(_weighted(s, d), _every40(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
+query("shortest_paths", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
+    lambda s, d: P.shortest_paths(_weighted(s, d), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
 query("path_to")(lambda s, d: _walked(s, d))
 
 
 def _walked(s, d):
-    found = P.shortest_paths(_weighted(s, d), _every40(s, d), 110.0)
+    found = P.shortest_paths(_weighted(s, d), _sources(s, d), 110.0)
     far = found.groupBy("source").agg(F.max_by("node", F.struct("dist", "node")).alias("target"))
     return P.path_to(found, far)
 
 
-query("follow_distance")(lambda s, d: P.follow_distance(_weighted(s, d), _every40(s, d), 70.0).withColumn("along", r6(F.col("along"))))
+query("follow_distance")(lambda s, d: P.follow_distance(_weighted(s, d), _sources(s, d), 70.0).withColumn("along", r6(F.col("along"))))
 query("connect_terminals")(lambda s, d: P.connect_terminals(X.nodes(s, d), _sized(s, d), near=60.0, far=200.0).withColumn("distance", r6(F.col("distance"))))
 query("connect_up")(lambda s, d: P.connect_up(X.nodes(s, d), _sized(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
 

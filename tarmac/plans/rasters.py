@@ -149,8 +149,8 @@ query("border_weight", "WITH m AS (SELECT a.tile_id, a.x, a.y, avg((b.v > 0.05):
     lambda s, d: O.box_mean(X.pix(s, d).withColumn("v", (F.col("v") > 0.05).cast("double")), 2).withColumn("w", F.when((F.col("mean") > 0.005) & (F.col("mean") < 0.995), 3.0).otherwise(1.0)).select("tile_id", "x", "y", F.round(F.col("w") * 64 / F.sum("w").over(Window.partitionBy("tile_id")), 6).alias("w")))
 query("grey_erode_strided", f"SELECT a.tile_id, a.x, a.y, min(b.v) AS v FROM pix a JOIN pix b ON a.tile_id = b.tile_id AND abs(a.x-b.x) IN (0, 2) AND abs(a.y-b.y) IN (0, 2) GROUP BY ALL")(lambda s, d: O.grey_erode(X.pix(s, d), 2))
 query("neighbour_count", "SELECT a.tile_id, a.x, a.y, count(b.x) AS n FROM mask a LEFT JOIN mask b ON a.tile_id = b.tile_id AND abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL")(lambda s, d: O.neighbour_count(X.mask(s, d)))
-query("edt_label", "SELECT p.tile_id, p.x, p.y, coalesce(least(255, floor(sqrt(min((p.x-m.x)**2 + (p.y-m.y)**2))*3)), 255)::INT AS d FROM pix p LEFT JOIN (SELECT * FROM mask WHERE (x + y * 3 + tile_id) % 5 = 0) m ON p.tile_id = m.tile_id GROUP BY ALL")(
-    lambda s, d: O.distance_label(X.mask(s, d).where((F.col("x") + F.col("y") * 3 + F.col("tile_id")) % 5 == 0), X.pix(s, d).select("tile_id").distinct(), 8))
+query("edt_label", "SELECT p.tile_id, p.x, p.y, coalesce(least(255, floor(sqrt(min((p.x-m.x)**2 + (p.y-m.y)**2))*3)), 255)::INT AS d FROM pix p LEFT JOIN (SELECT * FROM pix WHERE v > 0.25) m ON p.tile_id = m.tile_id GROUP BY ALL")(
+    lambda s, d: O.distance_label(X.pix(s, d).where("v > 0.25"), X.pix(s, d).select("tile_id").distinct(), 8))
 
 # tiling
 query("window_starts", "SELECT p_partkey AS id, unnest(CASE WHEN ceil((100+p_size*20)/64.0) <= 1 THEN [0] ELSE list_transform(range(0, ceil((100+p_size*20)/64.0)::INT), lambda k: floor(k*((36+p_size*20)::DOUBLE/(ceil((100+p_size*20)/64.0)::INT-1)))::INT) END) AS start FROM part")(

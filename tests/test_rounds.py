@@ -77,6 +77,20 @@ def test_greedy_matching(spark):
     assert {(r.a, r.b) for r in got} == want
 
 
+def test_set_overlap_merge(spark):
+    rng = random.Random(7)
+    members = [(g, rng.randrange(40)) for g in range(30) for _ in range(rng.randrange(1, 3))]
+    sets = {g: {p for h, p in members if h == g} for g in range(30)}
+    name = {g: g for g in sets}
+    while True:
+        new = {g: min(name[h] for h in sets if sets[g] & sets[h]) for g in sets}
+        if new == name:
+            break
+        name = new
+    got = paths.set_overlap_merge(spark.createDataFrame(members, "g long, p long"), "g", "p").collect()
+    assert {r.g: r.merged for r in got} == name
+
+
 def python_simplify(ps, eps):
     if len(ps) < 3:
         return set(p[0] for p in ps)
