@@ -96,10 +96,15 @@ def _kinds(s, d):
 _E = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) < 28)"
 
 
-def _sized(s, d):
-    """(src, dst, size): the undirected roads shorter than 28, a network with dead ends."""
+def _network(s, d):
+    """(src, dst, size): all roads, undirected."""
     size = G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")
-    return X.roads(s, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), size).where("size < 28").distinct()
+    return X.roads(s, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), size).distinct()
+
+
+def _sized(s, d):
+    """The roads shorter than 28 only, as in _E: for the queries held against that SQL."""
+    return _network(s, d).where("size < 28")
 
 
 _DEG = f"d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1)"
@@ -108,6 +113,9 @@ for _name, _both, _least in (("prune_dead_end_edges", False, 26.0), ("prune_spur
     query(_name, f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE NOT ({_dead} AND size < {_least})")(
         lambda s, d, b=_both, k=_least: H.prune_short(_sized(s, d), k, b).withColumn("size", r6(F.col("size"))))
 query("remove_hair", f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE least(a.n, b.n) > 1 OR size >= 25.5")(lambda s, d: H.prune_short(_sized(s, d), 25.5, False).withColumn("size", r6(F.col("size"))))
+# the same over the whole network, without SQL: held against plain Python
+for _name, _least, _both in (("prune_dead_end_edges", 26.0, False), ("prune_spurs", 26.0, True), ("remove_hair", 25.5, False)):
+    query(f"{_name}_whole")(lambda s, d, k=_least, b=_both: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
 query("osm_ways_to_edges", """
 WITH w AS (SELECT l_orderkey AS way_id, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
 p AS (SELECT way_id, node AS a, lead(node) OVER (PARTITION BY way_id ORDER BY pos) AS b FROM w),
