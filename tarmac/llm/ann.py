@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent builds the graph, greedy search over it answers queries.
 
 Equal vectors are one node. The graph starts from small blocks of vectors on the same side of random planes, compared
-whole; then rounds of joins let the neighbours of each node meet (each round compares, at every node, a bounded random
-choice of its new neighbours, in both directions, with its others) until hardly any list changes. A query walks the graph:
-all nodes on its list of the `beam` best that haven't been expanded yet hand in their neighbours, until none is left.
+whole; nodes that find too few neighbours there get random ones; then rounds of joins let the neighbours of each node meet (each round compares, at every node, a bounded random
+choice of its new neighbours, in both directions, with its others) until hardly any list changes. A query walks the graph
+from its own list and a few common nodes: all nodes on its list of the `beam` best that haven't been expanded yet hand in their neighbours, until none is left.
 Vectors travel as half-precision unit vectors; the best nodes of a query are scored again in double precision.
 
 Blocks, lists and choices are bounded whatever the data: a hub of the graph hands in a random choice of its many admirers
@@ -135,11 +135,48 @@ def _met(t: pa.Table, k: int) -> pa.Table:
     return _edges(u, v, s, np.ones(len(u), bool))
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(u, v, s): the cosine of the half-precision unit vectors a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = (_matrix(b.column("a")) * _matrix(b.column("b"))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(s, pa.float32())], names=["u", "v", "s"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, s float")
+
+
+def _joined_up(graph: DataFrame, nodes: DataFrame, n: int, k: int, blocks: int, seed: int) -> DataFrame:
+    """graph with random neighbours, in both directions, for every node that has fewer than k edges.
+
+    Half of them come from all nodes and half from the nodes that lack edges, so that scattered nodes meet each other.
+    Both sides are dealt by hashes to as many places as there are nodes, so no place gathers rows.
+    """
+    full = graph.groupBy("u").count().where(F.col("count") >= min(k, n - 1)).select(F.col("u").alias("node"))
+    poor = materialise(nodes.join(full, "node", "left_anti"))
+    few = poor.count()
+    if not few:
+        return graph
+    draws = F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("draw")
+
+    def met(others: DataFrame, m: int, salt: int) -> DataFrame:
+        asking = poor.select(F.col("node").alias("u"), F.col("unit").alias("a"), draws).withColumn("place", F.pmod(F.xxhash64("u", "draw", F.lit(salt)), F.lit(m)))
+        there = others.select(F.col("node").alias("v"), F.col("unit").alias("b"), F.pmod(F.xxhash64("node", F.lit(salt + 1)), F.lit(m)).alias("place"))
+        return asking.join(there, "place").where("u <> v").select("u", "v", "a", "b")
+
+    found = _compared(met(nodes, n, seed).union(met(poor, few, seed + 2)))
+    found = found.union(found.select("v", "u", "s")).withColumn("fresh", F.lit(True))
+    return _merged(graph.union(found), k, blocks)
+
+
 def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 4, rows: int = 384, stop: float = 0.03, most: int = 10, seed: int = 11) -> DataFrame:
     """The graph (u, v, s, fresh) of the k nearest nodes found for each of nodes (node, unit), as a scratch table."""
     n = nodes.count()
     blocks = max(1, -(-n // 1500))
-    graph = materialise(_started(nodes, n, k, blocks, tables, rows, seed))
+    first = materialise(_started(nodes, n, k, blocks, tables, rows, seed))
+    graph = materialise(_joined_up(first, nodes, n, k, blocks, seed))
+    release(first)
     for turn in range(most):
         if graph.where("fresh").count() <= stop * k * n:
             break
@@ -156,14 +193,20 @@ def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 4, rows
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320, most: int = 40) -> DataFrame:
-    """(q, v, s): the `beam` best nodes that a greedy walk finds from each node of asked (column node)."""
+def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320, most: int = 40, entries: int = 8) -> DataFrame:
+    """(q, v, s): the `beam` best nodes that a greedy walk finds from each node of asked (column node).
+
+    A walk starts from the node's own list and from a few entry nodes, the same for all.
+    """
     n = nodes.count()
     blocks = max(1, -(-n // 1500))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
     questions = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), F.col("unit").alias("question"))
     around = graph.select("u", "v")
-    state = materialise(graph.join(asked.select(F.col("node").alias("u")).distinct(), "u").select(F.col("u").alias("q"), "v", "s", F.lit(False).alias("seen")))
+    own = graph.join(asked.select(F.col("node").alias("u")).distinct(), "u").select("u", "v", "s")
+    doors = nodes.orderBy(F.xxhash64("node")).limit(entries).select(F.col("node").alias("v"), F.col("unit").alias("b"))
+    entered = questions.select(F.col("q").alias("u"), F.col("question").alias("a")).crossJoin(F.broadcast(doors)).where("u <> v").join(own, ["u", "v"], "left_anti")
+    state = materialise(own.union(_compared(entered)).select(F.col("u").alias("q"), "v", "s", F.lit(False).alias("seen")))
     packed = nodes.select(F.col("node"), "unit", block("node"))
 
     def score(wanted: pa.Table, held: pa.Table) -> pa.Table:

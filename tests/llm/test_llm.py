@@ -210,6 +210,25 @@ def test_nearest_of_few(spark, n):
     assert len(got) == n * (n - 1)
 
 
+def test_nearest_of_outliers_beside_a_cone(spark):
+    """Vectors alone on their side of the planes are answered too, with five rows each."""
+    rng = np.random.default_rng(3)
+    axis = rng.standard_normal(24)
+    x = axis + 0.1 * rng.standard_normal((2500, 24))
+    x[::500] = rng.standard_normal((5, 24)) * 3
+    x[0] = -axis
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, table.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"))).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 2500, 25), 5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5]) & set(g.vec_id))
+    assert hit / len(got) >= 0.9
+
+
 # chat formatting
 
 
