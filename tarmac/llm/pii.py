@@ -72,8 +72,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, generator) of everything the high-recall generators propose."""
     out = []
     if "@" in text or "(at)" in text or "[at]" in text or " at " in text:
-        if re.search(r"@|\(at\)|\[at\]| dot |\(dot\)|\[dot\]", text):
-            out += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text)]
+        # in a text without any other sign of an address, " at " counts before a dot inside a name, not at a sentence's end
+        signs = re.search(r"@|\(at\)|\[at\]| dot |\(dot\)|\[dot\]", text)
+        out += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text) if signs or re.search(r" at .*[A-Za-z0-9-]\.[A-Za-z0-9-]", m[0])]
     if DIGIT.search(text):
         out += [(m.start(), m.end(), "number") for m in LOOSE["number"].finditer(text)]
         out += [(m.start(), m.end(), "secret") for m in LOOSE["secret"].finditer(text) if any(map(str.isdigit, m[0]))]

@@ -106,6 +106,12 @@ def test_pii_adds_loose_formats_and_leaves_dates():
     assert pii.redact_text("a b@c.de f", [(2, 8, "email")]) == "a [email] f"
 
 
+def test_pii_spelled_out_address_alone_is_a_candidate():
+    text, other = "write to jane.roe at example.com today", " and to x@y.org"
+    want = [t for t in pii.candidates(text + other) if t[1] <= len(text)]
+    assert (9, 32, "email") in want and pii.candidates(text) == want
+
+
 def test_redaction_keeps_columns(spark):
     d = docs(spark, [(1, "mail x@y.zz now"), (2, None)])
     out = pii.redact(d, pii.Detector([]))
