@@ -39,15 +39,25 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to a scratch table in the shared folder and read it back.
+#: Spark's setting by which the shuffle files of a query go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, *by: str) -> DataFrame:
+    """Write df to a scratch table in the shared folder, partitioned by the last columns `by`, and read it back.
 
     Lineage ends there: a lost executor costs a re-read of files instead of the whole history, and the columnar files
-    are far smaller than checkpointed rows. The folder goes when the driver ends; `release` drops it earlier.
+    are far smaller than checkpointed rows. The write's shuffle files go as soon as it has ended, so that long chains of
+    steps don't pile them up. The folder goes when the driver ends; `release` drops it earlier.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     fs, where = _fs(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
