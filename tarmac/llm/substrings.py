@@ -1,172 +1,252 @@
-"""Repeated passages across documents, by distributed prefix doubling.
-
-Every byte position starts with the rank of its first eight bytes, their own value. A round pairs the rank of a position
-with the rank of the position `offset` further on, Spark sorts the pairs by range, and equal pairs get one new rank, which
-then stands for a prefix of twice the length; positions whose rank is unique drop out. Offsets grow until ranks stand for
-`length` bytes. A class of equal ranks then holds one string of that length, and its smallest document keeps it.
-
-Two exact cuts come first. Copies of a whole text need no comparison: all but the smallest id are covered by it. And a
-position can only matter if some string of 16 bytes chosen by content (the least by hash of all in the window) occurs in
-two documents; only windows around such strings enter the rounds.
+"""Repeated passages across documents, by distributed prefix doubling over content-chosen positions.
+
+A window of `length` bytes chooses one of its 16-byte strings, the least by hash, so equal windows choose alike at the same
+place. Ranks of strings grow from there, and what is unique drops out before each longer string is looked at:
+
+1. 16 bytes: the chosen positions, one for about 17 bytes of text. Where the 16 bytes occur in one document only, nothing
+   around them repeats. The windows that share a chosen position form a stretch; a stretch that a smaller document holds
+   whole is settled at once, so the inside of a long repeated passage needs no row for each byte.
+2. length - 8 bytes: what remains are stretches that differ somewhere, as at the ends of a passage. Their windows are
+   covered by four or so cores of length - 8 bytes around the chosen position. Spark sorts the pairs of (rank of the
+   16 bytes, rest of the core) by range, equal pairs get one new rank, and cores of one document drop out.
+3. length bytes: each window of a surviving core is the pair of the core's rank and the 8 bytes around it, by their own
+   value; pairs are ranked again, and the smallest document of a rank keeps the string.
+
+Ranks are given to distinct pairs, after an aggregation with partial sums, and joined back; so neither a passage that a
+third of all documents hold nor a very common string meets in one task. The first step runs in slices of the hash of the
+chosen string, which are independent, so that its shuffles take a small part of the disk at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.core import materialise, release
 
 GRAM = 16
+#: Bytes by which the last round extends a core; their value is one 64-bit number.
+EXTRA = 8
+#: Parts, by the hash of the chosen string, in which the first step runs one after the other.
+SLICES = 8
+#: Positions of a text that are hashed together; longer texts are taken block by block.
+BLOCK = 1 << 18
+ANCHORS = "doc_id long, print long, start int, run int, back int, h long, t long"
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mixing of 64-bit numbers."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    if not _POWERS:
+        for base in (_BASE, _INVERSE):
+            x = np.full(BLOCK + (1 << 16), base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS
+
+
+class Hashes:
+    """64-bit hashes of any substring of a block of bytes, from one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers()
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
+    def all(self, size: int) -> np.ndarray:
+        """Of the substrings of `size` bytes at each place."""
+        return _mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size] + _U(size))
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes at each position, by doubling."""
-    h = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-    step = 1
-    while step < GRAM:
-        a, b = h[:-step], h[step:]
-        h = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (b ^ (b >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        step *= 2
-    return h ^ (h >> np.uint64(31))
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def chosen(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(at, hashes): for each window of `length` bytes the position of its least 16-byte string, and all their hashes.
+def stretches(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, run, back, h, t) of a text's stretches, block by block: `run` windows from `start` on choose the 16 bytes at
+    start + back, which have hash h; t is the hash of all bytes of these windows.
 
-    The choice depends on the window's bytes alone, so equal windows choose alike. Texts under `length` have no window.
+    The choice depends on a window's bytes alone. Texts under `length` have no window. A stretch at the border of two
+    blocks comes as two.
     """
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _gram_hashes(np.frombuffer(data, np.uint8))
-    best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    width, span = length - GRAM + 1, 1
-    while 2 * span <= width:
-        best = np.minimum(best[:-span], best[span:])
-        span *= 2
-    best = np.minimum(best[: len(best) - (width - span)], best[width - span :]) if width > span else best
-    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    whole, width = np.frombuffer(data, np.uint8), length - GRAM + 1
+    for at in range(0, len(data) - length + 1, BLOCK):
+        part = whole[at : at + BLOCK + length - 1]
+        hashes = Hashes(part)
+        h = hashes.all(GRAM)
+        best, span = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
+        while 2 * span <= width:
+            best = np.minimum(best[:-span], best[span:])
+            span *= 2
+        best = np.minimum(best[: len(best) - (width - span)], best[width - span :]) if width > span else best
+        place = (best & _U(0xFFFFFFFF)).astype(np.int64)
+        bounds = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+        start, run = bounds[:-1], bounds[1:] - bounds[:-1]
+        yield start + at, run, place[start] - start, h[place[start]].view(np.int64), hashes.of(start, start + run + length - 1).view(np.int64)
+
+
+def _table(names: list[str], kinds: list[pa.DataType], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k.to_pandas_dtype()), k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
+
+
+def _flushed(parts: Iterator[tuple[np.ndarray, ...]], names: list[str], kinds: list[pa.DataType], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Arrays joined to batches of about `rows` rows."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p[0])
+        if n >= rows:
+            yield _table(names, kinds, held)
+            held, n = [], 0
+    if held:
+        yield _table(names, kinds, held)
+
+
+def _anchors(texts: DataFrame, length: int) -> DataFrame:
+    """The stretches of all texts (doc_id, print, text)."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in ANCHORS.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for doc, code, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                    for s in stretches(text.as_py().encode("utf-8", "surrogatepass"), length):
+                        yield (np.full(len(s[0]), doc.as_py()), np.full(len(s[0]), code.as_py()), *s)
 
-def _first_of_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, first): for each document the least id with the same whole text; null texts are empty."""
-    prints = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("print"))
-    return prints.join(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "print").select("doc_id", "first").distinct()
+        yield from _flushed(parts(), names, kinds)
 
+    return texts.select("doc_id", "print", "text").mapInArrow(run, ANCHORS)
 
-def _shared(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, starts): the chosen 16-byte strings of each text that occur in at least two texts, as packed positions."""
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, ats, hs = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, h = chosen((text or "").encode("utf-8", "surrogatepass"), length)
-                at = np.unique(at)
-                ids.append(np.full(len(at), doc))
-                ats.append(at)
-                hs.append(h[at])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64))], names=["doc_id", "at", "h"])
-
-    grams = texts.mapInArrow(choose, "doc_id long, at int, h long")
-    twice = grams.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") < F.col("b")).select("h")
-    return grams.join(twice, "h").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-
-
-def _positions(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(doc_id, pos, rank): positions of windows around shared strings and the next ones up to a window's end.
-
-    rank is the value of the first 8 bytes; positions nearer than that to the end don't occur, since no window reaches
-    them at a doubling offset.
+def _shared(anchors: DataFrame) -> DataFrame:
+    """The stretches whose chosen 16 bytes occur in two documents, and `mixed`: whether these bytes lie in different stretches."""
+    grams = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("t").alias("x"), F.max("t").alias("y"))
+    return anchors.join(grams.where("a < b").select("h", (F.col("x") != F.col("y")).alias("mixed")), "h").drop("slice")
+
+
+def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """(doc_id, print, at, a, b, left, right, low, high): the cores of length - EXTRA bytes around the chosen positions of open_.
+
+    The core begins `at` bytes into the text; a is the hash of the 16 bytes and b that of the core. left and right are the
+    values of the EXTRA bytes before and after it. The windows from at - low down to at - high are those that it stands for.
     """
+    most = length - GRAM
+    extra = min(EXTRA, most)
+    lows = [(k, min(k, most - extra)) for k in range(0, most + 1, extra + 1)]
+    names = ["doc_id", "print", "at", "a", "b", "left", "right", "low", "high"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    weights = (1 << (8 * np.arange(extra)[::-1].astype(np.uint64))).astype(np.uint64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                at, _ = chosen(data, length)
-                window = np.isin(at, np.array(starts, np.int64))
-                need = np.zeros(len(data) - 7, bool)
-                for k in range(0, length - 7):
-                    need[k : k + len(window)] |= window
-                pos = np.flatnonzero(need)
-                eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)[pos]
-                rank = np.ascontiguousarray(eight).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), doc)), pa.array(pos.astype(np.int32)), pa.array(rank)], names=["doc_id", "pos", "rank"])
-
-    return texts.join(shared, "doc_id").select("doc_id", "text", "starts").mapInArrow(spread, "doc_id long, pos int, rank long")
-
-
-def _reranked(pairs: DataFrame) -> DataFrame:
-    """(doc_id, pos, rank): one new rank for equal pairs (a, b); positions with a pair of their own drop out.
-
-    Pairs are sorted by range over all partitions, so equal pairs are neighbours in one partition; a rank is the place of
-    the first of them, with the partition in its upper bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cores(text: str, marks: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            packed = np.sort(np.array(marks, np.int64))
+            for at in range(0, len(data), BLOCK):
+                here = packed[(packed >> 32 >= at) & (packed >> 32 < at + BLOCK)]
+                if not len(here):
+                    continue
+                begin = max(0, at - extra)
+                part = data[begin : at + BLOCK + 2 * length]
+                hashes = Hashes(part)
+                padded = np.r_[np.zeros(2 * extra, np.uint8), part, np.zeros(2 * extra + length, np.uint8)]
+                views = np.lib.stride_tricks.sliding_window_view(padded, extra)
+                value = lambda p: (views[p + 2 * extra].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+                start, n, back = (here >> 32) - begin, (here >> 16) & 0xFFFF, here & 0xFFFF
+                chosen = start + back
+                for first, low in lows:
+                    l0, l1 = np.maximum(first, back - n + 1), np.minimum(low + extra, back)
+                    ok = l0 <= l1
+                    if not ok.any():
+                        continue
+                    c, l0, l1 = chosen[ok], l0[ok], l1[ok]
+                    a, z = c - low, c + length - low - extra
+                    yield begin + a, hashes.of(c, c + GRAM).view(np.int64), hashes.of(a, z).view(np.int64), value(a - extra), value(z), l0 - low, l1 - low
+
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for doc, code, text, marks in zip(*b.columns, strict=True):
+                    for x in cores(text.as_py(), marks.as_py()):
+                        yield (np.full(len(x[0]), doc.as_py()), np.full(len(x[0]), code.as_py()), *x)
+
+        yield from _flushed(parts(), names, kinds)
+
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft("run", 16) + F.col("back")
+    marks = open_.groupBy("doc_id", "print").agg(F.collect_set(packed).alias("marks"))
+    return texts.join(marks, ["doc_id", "print"]).select("doc_id", "print", "text", "marks").mapInArrow(run, "doc_id long, print long, at int, a long, b long, left long, right long, low int, high int")
+
+
+def _reranked(rows: DataFrame) -> DataFrame:
+    """rows with `rank` and `first` for columns a, b: equal pairs have one rank; first is the least doc_id of the rank.
+
+    Pairs that one document alone has drop out. The distinct pairs of the others are sorted by range over all partitions;
+    a rank is the place of its pair, with the partition in the upper bits.
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "pos", "rank"]
-        base, at = TaskContext.get().partitionId() << 40, 0
-        last, last_rank, waiting = None, 0, None  # waiting: the row of a run that has only one so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, pos, a, b = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "a", "b"))
-            new = np.r_[last != (a[0], b[0]), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            run = np.cumsum(new) - new[0]
-            first = np.flatnonzero(np.r_[True, new[1:]])
-            rank, size = base + at + first, np.diff(np.r_[first, len(a)])
-            keep = size > 1
-            if not new[0]:
-                rank[0], keep[0] = last_rank, True
-                if waiting is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(waiting[:1]), pa.array(waiting[1:2].astype(np.int32)), pa.array([last_rank], pa.int64())], names=names)
-            waiting = None if keep[-1] else np.array([doc[-1], pos[-1]], np.int64)
-            last, last_rank, at = (a[-1], b[-1]), int(rank[-1]), at + len(a)
-            rows = keep[run]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(pos[rows]), pa.array(rank[run][rows])], names=names)
-
-    ordered = pairs.repartitionByRange(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "doc_id", "pos")
-    return ordered.mapInArrow(number, "doc_id long, pos int, rank long")
-
-
-def _paired(ranks: DataFrame, offset: int) -> DataFrame:
-    """(doc_id, pos, a, b): the rank at pos and the rank at pos + offset, of positions that have both.
-
-    A window over a document's positions that holds just the place `offset` further on: one exchange, no join.
-    """
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(offset, offset)
-    return ranks.select("doc_id", "pos", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where(F.col("b").isNotNull())
+        at = TaskContext.get().partitionId() << 36
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + b.num_rows))], names=["a", "b", "first", "rank"])
+            at += b.num_rows
+
+    pairs = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
+    ranks = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a long, b long, first long, rank long")
+    return rows.join(ranks, ["a", "b"])
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, pos): starts of windows of `length` bytes that also start in a text with a smaller doc_id.
+    """(doc_id, print, start, run): runs of windows of `length` bytes, from start on, that also start in a text with a smaller doc_id.
 
-    docs has one row per doc_id and no copies of whole texts.
+    docs has doc_id, text and print, a hash of the text, without nulls; rows that share a doc_id don't count against each
+    other. Repeated rows may give repeated runs.
     """
-    ranks = materialise(_positions(docs, _shared(docs, length), length))
-    have = 8
-    while have < length:
-        offset = min(have, length - have)
-        after = materialise(_reranked(_paired(ranks, offset)))
-        release(ranks)
-        ranks = after
-        have += offset
-    least = ranks.groupBy("rank").agg(F.min("doc_id").alias("first"))
-    return ranks.join(least, "rank").where(F.col("doc_id") > F.col("first")).select("doc_id", "pos")
-
-
-def cut(data: bytes, starts: np.ndarray, length: int) -> tuple[int, int, bytes]:
-    """(bytes removed, runs removed, bytes kept) of a text from which the windows at `starts` go."""
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} at least")
+    texts = docs.where(F.octet_length("text") >= length)
+    anchors = materialise(_anchors(texts, length).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "slice")
+    slices = [materialise(_shared(anchors.where(F.col("slice") == s))) for s in range(SLICES)]
+    release(anchors)
+    shared = reduce(DataFrame.union, slices)
+    first = shared.groupBy("h", "t").agg(F.min("doc_id").alias("first"))
+    marked = shared.join(first, ["h", "t"]).where((F.col("doc_id") > F.col("first")) | F.col("mixed"))
+    marked = materialise(marked.select("doc_id", "print", "start", "run", "back", (F.col("doc_id") > F.col("first")).alias("settled")))
+    for s in slices:
+        release(s)
+    blocks = materialise(_blocks(texts, marked.where("not settled"), length))
+    cores = materialise(_reranked(blocks).select("doc_id", "print", "at", "left", "right", "low", "high", "rank"))
+    release(blocks)
+    extra = min(EXTRA, length - GRAM)
+    bits = F.col("j") * 8
+    head = F.when(F.col("j") == 0, F.lit(0)).otherwise(F.expr(f"shiftleft(`left` & (shiftrightunsigned(-1L, 64 - j * 8)), {8 * extra} - j * 8)"))
+    tail = F.when(F.col("j") == extra, F.lit(0)).otherwise(F.expr("shiftrightunsigned(`right`, j * 8)"))
+    windows = materialise(cores.withColumn("j", F.explode(F.sequence("low", "high"))).select("doc_id", "print", (F.col("at") - F.col("j")).alias("start"), (F.col("rank") * 16 + F.col("j")).alias("a"), head.bitwiseOR(tail).alias("b")))
+    release(cores)
+    repeated = materialise(_reranked(windows).where(F.col("doc_id") > F.col("first")).select("doc_id", "print", "start", F.lit(1).alias("run")))
+    release(windows)
+    return marked.where("settled").select("doc_id", "print", "start", "run").union(repeated)
+
+
+def cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
+    """(bytes removed, runs removed, bytes kept) of a text from which the bytes from each start to its end go."""
     gone = np.zeros(len(data) + 1, np.int64)
     np.add.at(gone, starts, 1)
-    np.add.at(gone, starts + length, -1)
+    np.add.at(gone, ends, -1)
     gone = np.cumsum(gone[:-1]) > 0
     runs = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -176,38 +256,35 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans): each text without the bytes that smaller documents hold.
 
     A byte goes if it lies in a string of `length` bytes of UTF-8 that also starts in a document with a smaller doc_id;
-    strings are judged on the input. Null texts are empty; texts under `length` stay whole; rows with the same doc_id and
-    text have the same result, and don't remove each other. Of rows with one doc_id and different texts, each loses what
-    smaller documents hold. Rows with a null doc_id keep their texts and remove nothing.
+    strings are judged on the input. Null texts are empty; texts under `length` stay whole. Rows with one doc_id don't
+    remove each other: with the same text they have the same result, with different texts each loses what smaller
+    documents hold. Rows with a null doc_id keep their texts and remove nothing. Other columns aren't read; an empty
+    table gives an empty result. Strings are told apart by hashes of 128 bits in all.
     """
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = materialise(_first_of_copies(known))
-    copies = first.where(F.col("doc_id") > F.col("first")).select("doc_id")
-    texts = known.where(F.octet_length("text") >= length).join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    windows = repeated_windows(texts, length).groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
-    marked = known.join(windows, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").select("doc_id", "text", "starts", "copy")
-    rest = docs.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copy"))
+    text = F.coalesce("text", F.lit(""))
+    known = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("print"))
+    found = repeated_windows(known.where(F.col("doc_id").isNotNull()), length)
+    marks = materialise(found.groupBy("doc_id", "print").agg(F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("run")).alias("marks")))
+    marked = known.join(marks, ["doc_id", "print"], "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, rows = b.slice(at, 256), []
-                for doc, text, starts, copy in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    if copy and len(data) >= length:
-                        gone, runs, kept = len(data), 1, b""
-                    elif starts:
-                        gone, runs, kept = cut(data, np.array(starts, np.int64), length)
+                rows = []
+                for doc, text, runs in zip(*b.slice(at, 256).columns, strict=True):
+                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    if runs.is_valid:
+                        x = runs.values.to_numpy()
+                        gone, n, kept = cut(data, x >> 32, (x >> 32) + (x & 0xFFFFFFFF) + length - 1)
                     else:
-                        gone, runs, kept = 0, 0, data
-                    rows.append((doc, kept, len(data), gone, runs))
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                        gone, n, kept = 0, 0, data
+                    rows.append((doc.as_py(), kept, len(data), gone, n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return marked.unionByName(rest).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return marked.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(kept: DataFrame) -> DataFrame:
     """doc_id, the three counts, and the SHA-256 of the bytes that remain."""
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-

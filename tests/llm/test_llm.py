@@ -399,10 +399,17 @@ def test_remove_repeats_against_brute_force(spark):
     rows = [r for r in ODD if r[0] is not None and r[0] != 4] + [(4, "a"), (4, "a")]
     rows += [(10 + i, "".join(rng.choice([*pieces, prose(rng, 4), "q"]) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
     rows += [(500, rows[20][1]), (501, rows[20][1]), (501, rows[20][1])]
+    rows += [(15, rows[30][1] + "q"), (40, rows[10][1][7:]), (40, "é" + rows[10][1]), (7, "tail " * 30)]  # one id, several texts
     got = substrings.digest(substrings.remove_repeats(docs(spark, rows + [(None, "x" * 60)]))).collect()
     assert len(got) == len(rows) + 1
-    by_id = {r.doc_id: r for r in got}
-    seen, fresh, last = set(), set(), None
+    want, nameless = plain_repeats(rows), [r for r in got if r.doc_id is None]
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == want and [r.n_removed for r in nameless] == [0]
+    assert substrings.remove_repeats(docs(spark, [])).count() == 0
+
+
+def plain_repeats(rows):
+    """The digest rows of remove_repeats, byte by byte."""
+    seen, fresh, last, out = set(), set(), None, []
     for i, t in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
         if i != last:
@@ -414,7 +421,25 @@ def test_remove_repeats_against_brute_force(spark):
                 gone[k : k + 50] = [True] * 50
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        r = by_id[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
-    assert by_id[None].n_removed == 0
-    assert substrings.remove_repeats(docs(spark, [])).count() == 0
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_remove_repeats_of_long_texts(spark):
+    """Texts over several blocks of hashing, with copies at other places of a block, and strings of other lengths."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    long = " ".join(word() for _ in range(110_000))
+    rows = [(1, "lead " + long[1000:300_000]), (2, long), (3, long[250_000:280_000] + "!" + long[:90] + "?" + long[262_100:262_180])]
+    got = substrings.digest(substrings.remove_repeats(docs(spark, rows))).collect()
+    assert len(long) > substrings.BLOCK * 2 and sorted(map(tuple, got)) == plain_repeats(rows)
+    rows = [(i, rng.choice(["ab" * 40, "a" * 70, long[i : i + 99], long[20 : 40 + i]])) for i in range(40)]
+    for length in (16, 31):
+        pieces = {(r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs(spark, rows), length).collect()}
+        seen, want = set(), set()
+        for i, t in rows:
+            windows = [t[k : k + length] for k in range(len(t) - length + 1)]
+            gone = {j for k, w in enumerate(windows) if w in seen for j in range(k, k + length)}
+            seen.update(windows)
+            want.add((i, len(gone)))
+        assert pieces == want
