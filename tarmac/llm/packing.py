@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences: first-fit decreasing by a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups by a hash of their id, and every group is packed on its own. The number of
+The pieces of documents are dealt into randomised groups by a hash, and every group is packed on its own. The number of
 groups follows the number of documents, so a group stays at a few thousand pieces at any size of corpus, whatever the
 sources or the lengths of documents; no group gathers a key of the data.
 """
@@ -18,49 +18,110 @@ from pyspark.sql import functions as F
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words and stems whose ids a worker remembers; beyond that a memory starts afresh, results are the same.
-WORDS, STEMS = 60_000, 350_000
+#: Words and stems that each of the two generations of a worker's memory holds; results don't depend on it.
+WORDS, STEMS = 160_000, 120_000
+#: Longer words aren't remembered.
+LONG = 64
 #: Letters that are one code point in every normal form and have a lower case of their own, and ASCII signs after them.
 STEM_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The mark of a word's last token in the vocabulary.
+END = "</w>"
 PIECES = "doc_id long, piece int, start long, length long, doc_tokens long, ids binary"
 
 
+class Memory:
+    """What was learnt, in two generations: what is used again moves to the young one, and the old one goes as a whole.
+
+    So frequent words stay, whatever number of rare ones comes by, and at most 2 * size are held between texts.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of wanted that aren't known; the others are in the young generation afterwards."""
+        young, old, out = self.young, self.old, []
+        for w in wanted.difference(young):
+            if (known := old.get(w)) is None:
+                out.append(w)
+            else:
+                young[w] = known
+        return out
+
+    def age(self, fresh: list[str]) -> None:
+        """Forget the long ones among fresh, and the old generation if the young one is full."""
+        for w in fresh:
+            if len(w) > LONG:
+                del self.young[w]
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+
 class WordEncoder:
     """Token ids of texts, by a `tokenizers` file that lower-cases and whose tokens span neither white space nor the
     border between letters and signs.
 
     Space and line feed separate tokens for sure, so the text is cut there. A word of letters with signs behind it is
-    its lower-cased letters and then its signs; these, and any other word whole, go to the tokenizer once each.
-    `encode` returns the ids as little-endian unsigned 32-bit numbers.
+    its lower-cased letters and then its signs; these, and any other word whole, go to the tokenizer once, letters many
+    at a time and told apart by the mark of a word's last token. `encode` returns the ids as little-endian unsigned
+    32-bit numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        entries = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(entries.values()) + 1, bool)
+        self.last[[i for e, i in entries.items() if e.endswith(END)]] = True
+        self.words, self.stems = Memory(WORDS), Memory(STEMS)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, stems: list[str], lettered: set[str]) -> None:
+        """The ids of new stems; lettered are those of letters alone."""
+        known = self.stems.young
+        plain, others = [x for x in stems if x in lettered], [x for x in stems if x not in lettered]
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            (ids,) = self._ids([" ".join(part)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                joined, start = ids.tobytes(), 0
+                for x, end in zip(part, (4 * ends).tolist(), strict=True):
+                    known[x] = joined[start:end]
+                    start = end
+            else:  # a word whose last token has no mark
+                others += part
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            for x, ids in zip(part, self._ids(part), strict=True):
+                known[x] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [x.replace("\n", " ").split(" ") for x in texts]
-        words, stems = self.words, self.stems
-        parts = {}
-        for w in {w for ws in cut for w in ws}.difference(words):
-            m = STEM_AND_SIGNS.fullmatch(w)
-            parts[w] = (m[1].lower(), m[2]) if m else (w, "")
-        new = list({x for p in parts.values() for x in p}.difference(stems))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                stems[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, signs) in parts.items():
-            words[w] = stems[stem] + stems[signs]
+        fresh = self.words.missing(set().union(*cut))
+        parts, lettered = [], set()
+        for w in fresh:
+            if w.isascii() and w.isalpha():
+                stem, signs = w.lower(), ""
+                lettered.add(stem)
+            elif m := STEM_AND_SIGNS.fullmatch(w):
+                stem, signs = m[1].lower(), m[2]
+                lettered.add(stem)
+            else:
+                stem, signs = w, ""
+            parts.append((w, stem, signs))
+        wanted = {p[1] for p in parts} | {p[2] for p in parts}
+        new = self.stems.missing(wanted)
+        self._learn(new, lettered)
+        words, stems = self.words.young, self.stems.young
+        for w, stem, signs in parts:
+            words[w] = stems[stem] + stems[signs] if signs else stems[stem]
         out = [b"".join([words[w] for w in ws]) for ws in cut]
-        if len(words) > WORDS:
-            words.clear()
-        if len(stems) > STEMS:
-            stems.clear()
-            stems[""] = b""
+        self.words.age(fresh)
+        self.stems.age(new)
         return out
 
 
@@ -131,14 +192,13 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, groups: int, capacity: int = SEQUENCE, seed: int = 7, key: str = "doc_id", length: str = "length") -> DataFrame:
     """All columns of pieces, and sequence_id, offset of each piece: no sequence holds more than capacity tokens.
 
-    sequence_id is unique over all groups (group in the upper bits). A document's short pieces share its group; full
-    pieces fill a sequence each and may be in any, so that one huge document doesn't make a huge group. Short pieces
-    with a null key share one group. Order within a group is by length, then key and the other columns, so the result
-    doesn't depend on the partitioning. A length over capacity or null raises an error.
+    sequence_id is unique over all groups (group in the upper bits). A piece's group is a hash of all its columns, so
+    neither one huge document nor many pieces with one key, or none, make a huge group. Order within a group is by
+    length, then key and the other columns, so the result doesn't depend on the partitioning. A length over capacity or
+    null raises an error.
     """
     names = pieces.columns
-    spread = [F.when(F.col(length) == capacity, F.col("piece"))] if "piece" in names else []
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), F.col(key), *spread), F.lit(max(1, groups))).cast("int"))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(max(1, groups))).cast("int"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     order = [c for c in (length, key, "start", "piece") if c in names]
 
