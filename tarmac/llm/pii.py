@@ -4,8 +4,12 @@ Four base kinds (email, ip, card, phone) are fixed patterns with a check each, a
 them, generators propose overlapping candidates in looser formats: addresses with spelled-out or spaced separators,
 numbers without a plus or with other separators, and long key-like strings. Boosted trees score each candidate from
 features of its format and of the text around it, and a threshold calibrated for each kind decides. The trees are
-fitted on a bounded set: base matches of a sample of documents, rewritten into looser formats, against candidates that
-fail every check, and against written-in dates, versions and order numbers.
+fitted on a bounded set: candidates of a sample of documents, base matches rewritten into looser formats, written-in
+numbers and keys of well-known formats, and against them dates, versions, hashes of commits and the like. Thresholds come
+from documents and from formats that the trees haven't seen.
+
+All patterns take time in proportion to the text: those that would read a long run again from each of its places are
+anchored on their rare sign, and the run before it is measured backwards once.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,23 +27,26 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import map_text
 
-# The base patterns and the order of their kinds.
+# The base kinds in their order, and their patterns; that of email is local part, sign and domain.
 KINDS = ("email", "ip", "card", "phone")
-BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Runs that hold every match of the ip kind: four groups of digits with single dots between.
+DOTTED = re.compile(r"[0-9][0-9.]*")
 DIGIT = re.compile("[0-9]")
-#: High-recall generators; what they propose may overlap.
-LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+"),
-    "number": re.compile(r"[+(]?[0-9](?:[\x20()./_-]{0,2}[0-9]){6,24}"),
-    "secret": re.compile(r"[A-Za-z0-9_-]{20,128}"),
-}
+#: High-recall generators; what they propose may overlap. An address is a local part, a mark and a looser domain.
+MARK = re.compile(r"@|\(at\)|\[at\]| at ")
+LOOSE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
+#: Signs of an address: without one of them, " at " counts before a dot inside a name, not at a sentence's end.
+SIGNS = re.compile(r"@|\(at\)|\[at\]|\(dot\)|\[dot\]| dot | at .*[A-Za-z0-9-]\.[A-Za-z0-9-]")
+NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_-]{0,2}[0-9]){6,}")
+SECRET = re.compile(r"[A-Za-z0-9_-]{20,}")
+GENERATORS = ("email", "number", "secret")
+UUID = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ALL_KINDS = (*KINDS, "number", "secret")
-WORDS = ("token", "secret", "key", "password", "api", "tel", "phone", "call", "mobile", "card", "account", "iban", "mail", "contact", "order", "version", "id", "date")
+WORDS = ("token", "secret", "key", "password", "api", "tel", "phone", "call", "mobile", "card", "account", "iban", "mail", "contact", "order", "version", "id", "date", "commit", "sha", "hash", "checksum", "uuid", "ssn", "social")
 
 
 def luhn(digits: str) -> bool:
@@ -58,26 +67,63 @@ def _passes(kind: str, found: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+def _before(text: str, low: int, at: int) -> int:
+    """Where the run of local-part signs that ends at `at` begins, not before low."""
+    return low + len(text[low:at].rstrip(LOCAL))
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start, domain = _before(text, last, at), DOMAIN.match(text, at + 1)
+        last = at + 1
+        if start < at and domain:
+            last = domain.end()
+            yield start, last
+        at = text.find("@", last)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        parts, at, held = m[0].split("."), m.start(), []
+        for x in parts:
+            held = [*held, at] if x else []
+            if len(held) == 4:
+                yield held[0], at + len(x)
+                held = []
+            at += len(x) + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every base match, by start and then by the order of kinds; offsets are code points."""
-    out: list[tuple[int, int, str]] = []
-    at, digit, plus = "@" in text, DIGIT.search(text), "+" in text
-    for kind in KINDS:
-        if at if kind == "email" else digit and (plus or kind != "phone"):
-            out += [(m.start(), m.end(), kind) for m in BASE[kind].finditer(text) if _passes(kind, m[0])]
+    found: dict[str, Iterator[tuple[int, int]]] = {"email": _emails(text)} if "@" in text else {}
+    if DIGIT.search(text):
+        found |= {"ip": _ips(text), "card": (m.span() for m in CARD.finditer(text)), "phone": (m.span() for m in PHONE.finditer(text)) if "+" in text else iter(())}
+    out = [(s, e, k) for k, spans in found.items() for s, e in spans if _passes(k, text[s:e])]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    last = 0
+    for m in MARK.finditer(text):
+        if m.start() >= last:
+            at = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+            start, domain = _before(text, last, at), LOOSE_DOMAIN.match(text, m.end())
+            last = m.end()
+            if start < at and domain:
+                last = domain.end()
+                if SIGNS.search(text, start, last):
+                    yield start, last
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, generator) of everything the high-recall generators propose."""
-    out = []
-    if "@" in text or "(at)" in text or "[at]" in text or " at " in text:
-        # in a text without any other sign of an address, " at " counts before a dot inside a name, not at a sentence's end
-        signs = re.search(r"@|\(at\)|\[at\]| dot |\(dot\)|\[dot\]", text)
-        out += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text) if signs or re.search(r" at .*[A-Za-z0-9-]\.[A-Za-z0-9-]", m[0])]
+    out = [(*s, "email") for s in _loose_emails(text)]
     if DIGIT.search(text):
-        out += [(m.start(), m.end(), "number") for m in LOOSE["number"].finditer(text)]
-        out += [(m.start(), m.end(), "secret") for m in LOOSE["secret"].finditer(text) if any(map(str.isdigit, m[0]))]
+        out += [(*m.span(), "number") for m in NUMBER.finditer(text)]
+        out += [(*m.span(), "secret") for m in SECRET.finditer(text) if DIGIT.search(m[0])]
     return out
 
 
@@ -90,12 +136,13 @@ def features(text: str, start: int, end: int, generator: str) -> list[float]:
     low = before.lower()
     freq = [span.count(c) / len(span) for c in set(span)]
     return [
-        ("email", "number", "secret").index(generator), len(span), len(digits), letters, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        GENERATORS.index(generator), len(span), len(digits), letters, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         span.count("."), span.count("-"), span.count(" "), span.count("/"), span.count("@"), float(span[:1] == "+"), float("(" in span),
         float(14 <= len(digits) <= 19 and luhn(digits)), float(10 <= len(digits) <= 15),
         float(len(groups) == 4 and all(int(g) <= 255 for g in groups if len(g) < 4) and max(map(len, groups)) < 4), float(span.count("(at)") + span.count("[at]") + span.count(" at ") > 0),
         float(bool(re.search(r"\bdot\b", span))), float(bool(letters) and all(c in "0123456789abcdefABCDEF" for c in span)), -sum(p * math.log2(p) for p in freq),
         *[float(w in low) for w in WORDS], float("=" in before[-4:] or ":" in before[-4:]), float(before[-1:] in "\"'"), float(after[:1] in "\"'"), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "/-_." and before != ""),
+        sum(map(str.isupper, span)), sum(map(str.islower, span)), span.count("_"), float(bool(UUID.fullmatch(span))), float([len(g) for g in groups] == [3, 2, 4]),
     ]
 
 
@@ -165,41 +212,89 @@ def _looser(rng: random.Random, kind: str, found: str) -> str:
     return found
 
 
-def _ordinary(rng: random.Random) -> str:
-    """A string that looks like personal data and isn't: a date with time, a version, an order or page number."""
-    n = rng.randint
-    return rng.choice([
-        f"{n(1990, 2030)}-{n(1, 12):02}-{n(1, 28):02} {n(0, 23):02}-{n(0, 59):02}", f"{n(1, 28):02}/{n(1, 12):02}/{n(1990, 2030)}", f"{n(1, 20)}.{n(0, 9)}.{n(0, 9)}.{n(1000, 99999)}.{n(1, 9)}",
-        f"order {n(10**7, 10**9)}", f"{n(10**15, 10**16 - 1)}", f"{n(1, 9)}.{n(10**6, 10**8)}", f"{n(256, 999)}.{n(256, 999)}.{n(256, 999)}.{n(1, 9)}", f"meet at {rng.choice(['noon', 'two', 'home'])}. {rng.choice(['Then', 'We', 'The'])} go (dot)", f"look at {rng.choice(['line', 'page', 'us'])}. {rng.choice(['It', 'She'])} is @ ten",
-    ])
-
-
-def training_set(texts: list[str], seed: int = 5, written: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, generator) from sampled texts: see the module's description. Deterministic."""
-    rng, rows, marks = random.Random(seed), [], []
-
-    def add(text: str, span: tuple[int, int, str] | None, mark: int) -> None:
-        if span:
-            rows.append(features(text, *span))
-            marks.append(mark)
-
-    real = [(t, s) for t in texts for s in base_spans(t)]
-    contexts = [t[k : k + 60] for t in texts if len(t) > 200 for k in (rng.randrange(len(t) - 60),) if not DIGIT.search(t[k : k + 60])] or ["some plain words without any number or address in them, see"]
-    made = [("email", _address(rng)) for _ in range(300)] + [("phone", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}") for _ in range(60)] + [("card", _card(rng)) for _ in range(60)]
-    pool = [(s[2], t[s[0] : s[1]]) for t, s in real if s[2] != "ip"][:written] + made
-    for t in texts:
-        spans = base_spans(t)
-        for c in candidates(t):
-            inside = any(s[0] < c[1] and c[0] < s[1] for s in spans)
-            keyed = c[2] == "secret" and bool(re.search(r"(?i)(?:token|secret|key|password)\W{1,5}$", t[max(0, c[0] - 24) : c[0]]))
-            add(t, c, int(inside or keyed))
-    for _ in range(written):
+#: Digits, letters and hexadecimal digits for made-up strings.
+_DIGITS, _ALNUM, _HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+
+
+def _some(rng: random.Random, signs: str, n: int) -> str:
+    return "".join(rng.choice(signs) for _ in range(n))
+
+
+def _uuid(rng: random.Random) -> str:
+    return "-".join(_some(rng, _HEX, n) for n in (8, 4, 4, 4, 12))
+
+
+#: Written-in examples by format: (whether it is personal, generator, how a text goes on before it, how the string is made).
+WRITTEN = {
+    "keyed hex": (1, lambda r: r.choice(['token = "', 'api_key = "', 'secret: "', "password=", 'key = "']), lambda r: _some(r, _HEX, r.choice([32, 40, 64]))),
+    "live key": (1, lambda r: r.choice(["", "key ", "use ", "with "]), lambda r: r.choice(["sk_live_", "pk_live_", "sk_test_", "rk_live_"]) + _some(r, _ALNUM, r.randint(16, 32))),
+    "access key": (1, lambda r: r.choice(["", "token ", "auth ", "set "]), lambda r: r.choice(["ghp_", "gho_", "xoxb-", "glpat-", "AKIA"]) + _some(r, _ALNUM, r.randint(20, 36))),
+    "mixed token": (1, lambda r: r.choice(['token: "', "secret = ", 'api_key="', "password: "]), lambda r: _some(r, _ALNUM + "_-", r.randint(24, 48))),
+    "social number": (1, lambda r: r.choice(["", "ssn ", "social security ", "SSN: ", "number "]), lambda r: f"{r.randint(100, 772)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+    "commit": (0, lambda r: r.choice(["commit ", "sha ", "in ", "rev ", "at "]), lambda r: _some(r, _HEX, 40)),
+    "checksum": (0, lambda r: r.choice(["md5 ", "sha256:", "checksum ", "hash ", "sha1 "]), lambda r: _some(r, _HEX, r.choice([32, 40, 64]))),
+    "uuid": (0, lambda r: r.choice(["", "uuid ", "id=", "id: ", "request "]), _uuid),
+    "name": (0, lambda r: "", lambda r: "_".join(r.choice(["alpha", "road", "page12", "item9", "test3", "data"]) for _ in range(5))),
+    "path": (0, lambda r: r.choice(["see /", "in ./", "at "]), lambda r: "-".join(r.choice(["how", "to", "top10", "2021", "best", "of", "city"]) for _ in range(7))),
+    "time": (0, lambda r: r.choice(["on ", "at ", "", "since "]), lambda r: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02} {r.randint(0, 23):02}-{r.randint(0, 59):02}"),
+    "date": (0, lambda r: r.choice(["on ", "", "from ", "of "]), lambda r: f"{r.randint(1, 28):02}/{r.randint(1, 12):02}/{r.randint(1990, 2030)}"),
+    "years": (0, lambda r: r.choice(["in ", "of ", "("]), lambda r: f"{r.randint(1500, 2030)}-{r.randint(1500, 2030)}"),
+    "version": (0, lambda r: r.choice(["version ", "v", "release "]), lambda r: f"{r.randint(1, 20)}.{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(1000, 99999)}.{r.randint(1, 9)}"),
+    "order": (0, lambda r: r.choice(["order ", "item no. ", "page ", "invoice "]), lambda r: _some(r, _DIGITS, r.randint(7, 10))),
+    "long number": (0, lambda r: r.choice(["", "of ", "about "]), lambda r: _some(r, "123456789", 1) + _some(r, _DIGITS, 15)),
+    "decimal": (0, lambda r: r.choice(["", "= ", "of "]), lambda r: f"{r.randint(1, 9)}.{r.randint(10**6, 10**8)}"),
+    "wide dots": (0, lambda r: r.choice(["", "see "]), lambda r: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{r.randint(256, 999)}.{r.randint(1, 9)}"),
+    "place": (0, lambda r: r.choice(["we meet ", "they stay "]), lambda r: f"here at {r.choice(['noon', 'two', 'home'])}. {r.choice(['Then', 'We', 'The'])} go (dot)"),
+    "price": (0, lambda r: r.choice(["ten ", "it is "]), lambda r: f"look at {r.choice(['line', 'page', 'us'])}. {r.choice(['It', 'She'])} is @ ten"),
+}
+#: Formats whose examples only set the thresholds.
+UNSEEN = ("access key", "checksum", "path", "years", "decimal")
+
+
+def training_rows(text: str, salt: int) -> Iterator[tuple[str, int, list[float], str]]:
+    """(kind, label, features, string) of a sampled text: its candidates, its base matches of at most 64 signs, to be rewritten, and a
+    context of 60 signs without digits."""
+    spans = base_spans(text)
+    starts = [s[0] for s in spans]
+    for c in candidates(text):
+        at = bisect_left(starts, c[1])
+        near = any(c[0] < s[1] for s in spans[max(0, at - 64) : at])
+        keyed = c[2] == "secret" and bool(re.search(r"(?i)(?:token|secret|key|password)\W{1,5}$", text[max(0, c[0] - 24) : c[0]]))
+        yield c[2], int(near or keyed), features(text, *c), ""
+    for s, e, k in spans:
+        if k in ("email", "card", "phone") and e - s <= 64:
+            yield k, -1, [], text[s:e]
+    if len(text) > 200:
+        at = salt % (len(text) - 60)
+        if not DIGIT.search(context := text[at : at + 60]):
+            yield "context", -1, [], context
+
+
+def training_set(found: list[tuple[str, int, list[float], str, int]], seed: int = 5, written: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, generator, held) from rows of training_rows with a number of their document each. Deterministic.
+
+    held marks a quarter of the documents, and the formats in UNSEEN: they set thresholds and fit nothing.
+    """
+    rng = random.Random(seed)
+    rows = [(r[2], r[1], r[0], r[4] % 4 == 0) for r in found if r[1] >= 0]
+    contexts = [r[3] for r in found if r[0] == "context"] or ["some plain words without any number or address in them, see"]
+    pool = [(r[0], r[3]) for r in found if r[0] in ("email", "card", "phone") and r[1] < 0][: 6 * written]
+    pool += [("email", _address(rng)) for _ in range(300)] + [("phone", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}") for _ in range(60)] + [("card", _card(rng)) for _ in range(60)]
+
+    def add(lead: str, text: str, mark: int, held: bool) -> None:
         ctx = rng.choice(contexts)
-        for text, mark in ((_looser(rng, *rng.choice(pool)), 1), (_ordinary(rng), 0), (f'{rng.choice(["token", "api_key", "secret"])} = "{rng.randbytes(20).hex()}"', 1), ("_".join(rng.choice(["alpha", "road", "page12", "item9"]) for _ in range(5)), 0)):
-            whole = f"{ctx} {text} {ctx[::-1]}"
-            hits = [c for c in candidates(whole) if c[0] < len(ctx) + 1 + len(text) and c[1] > len(ctx) + 1]
-            add(whole, max(hits, key=lambda c: c[1] - c[0], default=None), mark)
-    return np.array(rows, float), np.array(marks, float), np.array([r[0] for r in rows])
+        start, whole = len(ctx) + 1 + len(lead), f"{ctx} {lead}{text} {ctx[::-1]}"
+        hits = [c for c in candidates(whole) if c[0] < start + len(text) and c[1] > start]
+        if hits:
+            best = max(hits, key=lambda c: c[1] - c[0])
+            rows.append((features(whole, *best), mark, best[2], held))
+
+    for _ in range(6 * written):
+        add("", _looser(rng, *rng.choice(pool)), 1, rng.random() < 0.25)
+    for name, (mark, lead, make) in WRITTEN.items():
+        for _ in range(written):
+            add(lead(rng), make(rng), mark, name in UNSEEN)
+    return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), np.array([GENERATORS.index(r[2]) for r in rows]), np.array([r[3] for r in rows])
 
 
 def _address(rng: random.Random) -> str:
@@ -217,50 +312,69 @@ def _card(rng: random.Random) -> str:
 class Detector:
     """Trees and the least score for each generator's candidates."""
 
-    def __init__(self, texts: list[str], precision: float = 0.97):
-        x, y, kind = training_set(texts)
-        held = np.arange(len(y)) % 4 == 0
+    def __init__(self, found: list[tuple[str, int, list[float], str, int]], precision: float = 0.97):
+        x, y, kind, held = training_set(found)
         self.trees = Trees().fit(x[~held], y[~held])
         p = self.trees.score(x[held])
-        self.least = [self._calibrate(p[kind[held] == k], y[held][kind[held] == k], precision) for k in range(3)]
+        self.least = [self._calibrate(p[kind[held] == k], y[held][kind[held] == k], precision) for k in range(len(GENERATORS))]
 
     @staticmethod
     def _calibrate(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The smallest threshold at which the held-out candidates above it are right as often as asked."""
-        order = np.argsort(-p)
+        """The smallest threshold above which held-out candidates are right as often as asked, half-way to the next lower score."""
+        order = np.argsort(-p, kind="stable")
         right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        good = np.flatnonzero(right >= precision)
+        good = np.flatnonzero((right >= precision) & (y[order] > 0) & np.append(p[order][1:] < p[order][:-1], True))
         if not len(good):
             return 1.1
-        return 0.5 if good[-1] == len(y) - 1 else max(0.5, float(p[order[good[-1]]]))
+        last = int(good[-1])
+        below = float(p[order[last + 1]]) if last + 1 < len(y) else 0.0
+        return (float(p[order[last]]) + below) / 2
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Base spans and the accepted candidates that overlap no base span nor an accepted one before them."""
         out = base_spans(text)
-        found = candidates(text)
-        if found:
-            p = self.trees.score(np.array([features(text, *c) for c in found], float))
-            for (start, end, kind), score in sorted(zip(found, p.tolist(), strict=True), key=lambda x: -x[1]):
-                if score >= self.least[("email", "number", "secret").index(kind)] and not any(s < end and start < e for s, e, _ in out):
-                    out.append((start, end, kind))
+        if not (found := candidates(text)):
+            return out
+        taken: list[tuple[int, int]] = []  # without overlaps, in order
+        for s, e, _ in out:
+            if taken and s < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
+        p = self.trees.score(np.array([features(text, *c) for c in found], float))
+        for (start, end, kind), score in sorted(zip(found, p.tolist(), strict=True), key=lambda x: -x[1]):
+            at = bisect_right(taken, (start, end))
+            if score >= self.least[GENERATORS.index(kind)] and (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= start):
+                insort(taken, (start, end))
+                out.append((start, end, kind))
         return sorted(out, key=lambda s: (s[0], ALL_KINDS.index(s[2])))
 
 
 def fit(docs: DataFrame, rows: int = 4000, share: int = 8) -> Detector:
-    """A detector fitted on at most `rows` documents with a digit or an at sign.
+    """A detector fitted on at most `rows` documents with a digit or a mark of an address, read whole on the executors.
 
-    Only documents whose id's hash is in the first share * rows / count part of its range are looked at, so what tasks
-    send to the driver has the same bound at any size; of those found the least hashes are taken. A thousand code points
-    of each text around the first such sign are enough context for features. Documents with a null id are not looked at.
-    Without any such document the written-in examples alone are used.
+    Only documents whose id's hash is in the first share * rows / count part of its range are looked at, and of those the
+    `rows` least hashes are taken. Tasks send feature rows of candidates, base matches and contexts; the first 5 * rows by a
+    hash count, which bounds what the driver gets at any size. Documents with a null id are not looked at. Without any such
+    document the written-in examples alone are used.
     """
     part = min(1.0, share * rows / max(1, docs.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    first = F.regexp_instr("text", F.lit("[0-9@]"))
-    cut = F.substring(F.col("text"), F.greatest(F.lit(1), first - 300), F.lit(1000))
-    seen = docs.where(F.col("doc_id").isNotNull() & (place < int(part * (1 << 30))) & F.col("text").rlike("[0-9@]")).select(place.alias("h"), cut.alias("text"))
-    texts = [r.text for r in seen.orderBy("h", "text").limit(rows).collect()]
-    return Detector(texts)
+    seen = docs.where(F.col("doc_id").isNotNull() & (place < int(part * (1 << 30))) & F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]")).select(place.alias("h"), "doc_id")
+    chosen = seen.orderBy("h", "doc_id").limit(rows).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["h", "kind", "label", "x", "string", "dice"], [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.int64()]
+        for b in batches:
+            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                out = [(h, k, y, x, s, (h * 0x9E3779B1 + n * 0x85EBCA77) & 0x7FFFFFFF) for n, (k, y, x, s) in enumerate(training_rows(text, h))]
+                for at in range(0, len(out), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], names=names)
+
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("h", "text")
+    made = sample.mapInArrow(run, "h long, kind string, label int, x array<double>, string string, dice long")
+    found = made.orderBy("dice", "h", "kind", "string").limit(5 * rows).collect()
+    return Detector([(r.kind, r.label, list(r.x), r.string, r.h) for r in found])
 
 
 def _join(spans: list[tuple[int, int, str]]) -> str:
