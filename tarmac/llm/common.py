@@ -36,11 +36,12 @@ def fold(id_col: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled training documents, chosen by a hash of the id.
+    """(doc_id, text, label) of at most `rows` labelled training documents, chosen by a hash of the id, one row each.
 
     Rows of the held-out fold, and null ids or labels, never enter. A document labelled more than once takes the
-    largest label. The chosen ids are at most `rows` numbers, a proven bound, and so are broadcast.
+    largest label; an id that comes with several texts takes the least. The chosen ids are at most `rows` numbers, a proven
+    bound, and so are broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -1,9 +1,10 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over words and their openings is fitted on labelled texts. Each sampled text that mentions an identity
-group is also written with the group swapped for others, and the fit pays for every difference between the scores of a
-text and of its swapped versions. A text that mentions no group gets one in front, so that the penalty reaches every
-identity term whatever the sample holds: what names a group cannot by itself make a text toxic.
+A logistic model over words and their openings is fitted on labelled texts. Each sampled text that mentions identity
+groups is also written with every other member of the groups in their place, and the fit pays for every difference between
+the scores of a text and of its swapped versions. A text that mentions no group gets a member of each, so that the penalty
+reaches every identity term whatever the sample holds: what names a group cannot by itself make a text toxic. How much
+the fit pays is chosen on unseen training rows: the least that keeps neutral texts neutral when a group is named.
 """
 
 from __future__ import annotations
@@ -62,75 +63,119 @@ def indicators(text: str) -> np.ndarray:
     return word_indicators(words_of(text))
 
 
-def swapped(words: set[str], turn: int) -> set[str]:
-    """The words with every identity term moved on by `turn` places in its group; a text without one gets one added."""
-    if hit := {w for w in words if w in _GROUP}:
-        return (words - hit) | {_GROUP[w][(_GROUP[w].index(w) + turn) % len(_GROUP[w])] for w in hit}
-    group = IDENTITY[turn % len(IDENTITY)]
-    return words | {group[turn // len(IDENTITY) % len(group)]}
+def swaps(hits: list[str], turn: int) -> list[set[str]]:
+    """The identity terms of each swapped version of a text with these terms: all of them moved on by 1, 2, … places in
+    their groups; for a text without one, a member of each group."""
+    if not hits:
+        return [{group[turn % len(group)]} for group in IDENTITY]
+    return [{_GROUP[w][(_GROUP[w].index(w) + k) % len(_GROUP[w])] for w in hits} for k in range(1, max(len(_GROUP[w]) for w in hits))]
+
+
+class Sample:
+    """Texts as sums over the features in `used`: what all versions of a text share, what the text has of its own, and what
+    each swapped version has. owner is the text of each version, versions their number for each text."""
+
+    def __init__(self, rows: list[np.ndarray], own: list[np.ndarray], other: list[list[np.ndarray]], used: np.ndarray):
+        place = np.full(1 << BITS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        keep = lambda r: (at := place[r])[at >= 0]
+        self.used = used
+        self.common = Rows([keep(r) for r in rows])
+        self.own = Rows([keep(np.setdiff1d(o, r, assume_unique=True)) for r, o in zip(rows, own, strict=True)])
+        self.other = Rows([keep(np.setdiff1d(z, r, assume_unique=True)) for r, zs in zip(rows, other, strict=True) for z in zs])
+        self.versions = np.array([len(z) for z in other])
+        self.owner = np.repeat(np.arange(len(rows)), self.versions)
+
+    def margins(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of the texts and of the swapped versions under weights with the bias last."""
+        both = self.common.dot(w[:-1]) + w[-1]
+        return both + self.own.dot(w[:-1]), both[self.owner] + self.other.dot(w[:-1])
+
+    def sums(self, text: np.ndarray, version: np.ndarray) -> np.ndarray:
+        """The gradient that such derivatives by margins make."""
+        both, size = text + np.bincount(self.owner, version, minlength=len(text)), len(self.used)
+        return np.append(self.common.sum_by_feature(both, size) + self.own.sum_by_feature(text, size) + self.other.sum_by_feature(version, size), both.sum())
 
 
 class CounterfactualModel:
-    """Sparse logistic weights over hashed words; `penalty` weighs the squared score changes between a text and its swaps.
+    """Sparse logistic weights over hashed words, with a penalty on squared changes of the logit between a text and its swaps.
 
-    Features in fewer than `least_docs` sampled texts are left out, and an absolute-value penalty, `sparse` over the
+    Takes for each text the features of its words but identity terms, these terms, and a number that turns the choice of
+    added terms. Features in fewer than `least_docs` sampled texts are left out, and an absolute-value penalty, `sparse` over the
     root of the smaller class's size, chooses what tells the classes apart rather than single texts; the chosen features
-    are then weighed without it.
+    are then weighed without it, under the least of `penalties` at which at most `false` of the unseen neutral texts that score
+    under a half have a swapped version over it. These texts are also tried with a tenth of their features, since a short mention has
+    little else to go by. Without such a penalty the largest counts.
     """
 
-    def __init__(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, sparse: float = 0.03, least_docs: int = 5, steps: int = 120):
-        self.w, self.slope, self.shift = np.zeros((1 << BITS) + 1), 1.0, 0.0
+    def __init__(self, rows: list[np.ndarray], hits: list[list[str]], turns: list[int], y: np.ndarray, penalties: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 256.0), false: float = 0.005, sparse: float = 0.03, least_docs: int = 5, steps: int = 120):
+        self.w, self.slope, self.shift, self.penalty = np.zeros((1 << BITS) + 1), 1.0, 0.0, 0.0
         if len(set(y.tolist())) < 2:
             self.shift = -4.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)
             return
+        own = [word_indicators(set(h)) for h in hits]
+        other = [[word_indicators(t) for t in swaps(h, k)] for h, k in zip(hits, turns, strict=True)]
         held = np.arange(len(y)) % 5 == 4
-        train = np.flatnonzero(~held)
-        sparse /= np.sqrt(max(1.0, min(y[~held].sum(), (1 - y[~held]).sum())))
-        self._fit([rows[i] for i in train], [swaps[i] for i in train], y[~held], penalty, sparse, least_docs, steps)
-        margin = np.array([self.margin(r) for r in rows])
-        use = held if 0 < y[held].sum() < held.sum() else ~held
-        self.slope, self.shift = logistic_curve(margin[use], y[use])
-
-    def _fit(self, rows: list[np.ndarray], swaps: list[np.ndarray], y: np.ndarray, penalty: float, sparse: float, least_docs: int, steps: int) -> None:
-        """Accelerated proximal gradient steps; both classes weigh alike in all. Swaps enter by what they change."""
+        train, aside = np.flatnonzero(~held), np.flatnonzero(held if 0 < y[held].sum() < held.sum() else ~held)
+        pick = lambda at: ([rows[i] for i in at], [own[i] for i in at], [other[i] for i in at])
+        sparse /= np.sqrt(max(1.0, min(y[train].sum(), (1 - y[train]).sum())))
         seen = np.zeros(1 << BITS, np.int32)
-        for r in (*rows, *swaps):
-            seen[r] += 1
-        used = np.flatnonzero(seen >= least_docs)
-        size = len(used)
-        place = np.full(1 << BITS, -1, np.int32)
-        place[used] = np.arange(size)
-        keep = lambda r: (at := place[r])[at >= 0]
-        x = Rows([keep(r) for r in rows])
-        come = Rows([keep(np.setdiff1d(z, r, assume_unique=True)) for r, z in zip(rows, swaps, strict=True)])
-        go = Rows([keep(np.setdiff1d(r, z, assume_unique=True)) for r, z in zip(rows, swaps, strict=True)])
+        for i in train:
+            for r in (rows[i], own[i], *other[i]):
+                seen[r] += 1
+        first, _ = self._fit(Sample(*pick(train), np.flatnonzero(seen >= least_docs)), y[train], penalties[0], sparse, 0.0, steps)
+        chosen = np.flatnonzero(first[:-1])
+        few = [r[(r.astype(np.int64) * 0x9E3779B1 >> 7) % 10 == i % 10] for i, r in enumerate(rows)]
+        small, unseen = Sample(*pick(train), chosen), [Sample([x[i] for i in aside], *pick(aside)[1:], chosen) for x in (rows, few)]
+        start = None
+        for self.penalty in penalties:
+            w, start = self._fit(small, y[train], self.penalty, 0.0, 1e-5, steps, start)
+            local = np.append(w[chosen], w[-1])
+            self.slope, self.shift = logistic_curve(unseen[0].margins(local)[0], y[aside])
+            if max(self._flipped(x.margins(local), x.owner, y[aside]) for x in unseen) <= false:
+                break
+        self.w = w
+
+    def _flipped(self, margins: tuple[np.ndarray, np.ndarray], owner: np.ndarray, y: np.ndarray) -> float:
+        """The share of neutral texts scored under a half that have a swapped version over it."""
+        plain, worst = self.slope * margins[0] + self.shift, np.full(len(y), -np.inf)
+        np.maximum.at(worst, owner, self.slope * margins[1] + self.shift)
+        calm = (y == 0) & (plain < 0)
+        return float((worst[calm] >= 0).mean()) if calm.any() else 0.0
+
+    @staticmethod
+    def _fit(sample: Sample, y: np.ndarray, penalty: float, sparse: float, ridge: float, steps: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of all features and the bias, weights of the sample's features): accelerated proximal gradient steps.
+
+        Both classes weigh alike in all, and the versions of a text weigh as much as the text times the penalty.
+        """
+        size = len(sample.used)
         weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        pay = penalty * 2 * (weight / sample.versions)[sample.owner]
 
-        def gradient(w: np.ndarray) -> np.ndarray:
-            fx = x.dot(w[:-1]) + w[-1]
-            fz = fx + come.dot(w[:-1]) - go.dot(w[:-1])
-            p, q = 1 / (1 + np.exp(-np.clip(fx, -30, 30))), 1 / (1 + np.exp(-np.clip(fz, -30, 30)))
-            change = penalty * weight * 2 * (p - q)
-            gx, gz = weight * (p - y) + change * p * (1 - p), -change * q * (1 - q)
-            return np.append(x.sum_by_feature(gx + gz, size) + come.sum_by_feature(gz, size) - go.sum_by_feature(gz, size), gx.sum() + gz.sum())
+        def slope(fx: np.ndarray, fz: np.ndarray, loss: np.ndarray) -> np.ndarray:
+            change = pay * (fx[sample.owner] - fz)
+            return sample.sums(loss + np.bincount(sample.owner, change, minlength=len(y)), -change)
 
         v, top = np.ones(size + 1), 1.0  # power steps for the largest curvature, at the start where it is largest
-        for _ in range(8):
-            s = 0.25 * weight * (x.dot(v[:-1]) + v[-1])
-            v = np.append(x.sum_by_feature(s, size), s.sum())
+        for _ in range(12):
+            fx, fz = sample.margins(v)
+            v = slope(fx, fz, 0.25 * weight * fx)
             top = float(np.linalg.norm(v)) or 1.0
             v /= top
-        w, rate = np.zeros(size + 1), 1 / (1.5 * top)
-        for shrink, ridge in ((sparse, 0.0), (0.0, 1e-5)):  # first which features count, then what they weigh
-            chosen = np.append(w[:-1] != 0, True) if ridge else np.ones(size + 1, bool)
-            ahead, t = w, 1.0
-            for _ in range(steps):
-                new = ahead - rate * (gradient(ahead) + ridge * ahead) * chosen
-                new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * shrink, 0)
-                t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-                ahead = new + (t - 1) / t_new * (new - w)
-                w, t = new, t_new
-        self.w[used], self.w[-1] = w[:-1], w[-1]
+        w = np.zeros(size + 1) if start is None else start
+        ahead, t, rate = w, 1.0, 1 / (1.5 * top)
+        for _ in range(steps):
+            fx, fz = sample.margins(ahead)
+            p = 1 / (1 + np.exp(-np.clip(fx, -30, 30)))
+            new = ahead - rate * (slope(fx, fz, weight * (p - y)) + ridge * ahead)
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * sparse, 0)
+            t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            ahead = new + (t - 1) / t_new * (new - w)
+            w, t = new, t_new
+        out = np.zeros((1 << BITS) + 1)
+        out[sample.used], out[-1] = w[:-1], w[-1]
+        return out, w
 
     def margin(self, row: np.ndarray) -> float:
         return float(self.w[row].sum() + self.w[-1])
@@ -142,22 +187,22 @@ class CounterfactualModel:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, label: str = "toxic") -> CounterfactualModel:
     """A model fitted on at most `rows` labelled documents outside the held-out fold (see common.labelled_sample).
 
-    Features are made on the executors; the driver gets two lists of numbers for each text. Without labelled rows, or
-    with one class only, every text gets the same score.
+    Features are made on the executors; the driver gets a list of numbers and the identity terms of each text. Without
+    labelled rows, or with one class only, every text gets the same score.
     """
 
     def run(batches):
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             words = [words_of(x or "") for x in b.column("text").to_pylist()]
-            turns = [zlib.crc32(str(i).encode()) for i in b.column("doc_id").to_pylist()]
-            rows_ = [word_indicators(w).astype("<i4").tobytes() for w in words]
-            swaps = [word_indicators(swapped(w, t)).astype("<i4").tobytes() for w, t in zip(words, turns, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows_, pa.binary()), pa.array(swaps, pa.binary()), b.column("label")], names=["doc_id", "row", "swap", "label"])
+            rows_ = [word_indicators({x for x in w if x not in _GROUP}).astype("<i4").tobytes() for w in words]
+            hits = [sorted(x for x in w if x in _GROUP) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows_, pa.binary()), pa.array(hits, pa.list_(pa.string())), b.column("label")], names=["doc_id", "row", "hits", "label"])
 
     sample = labelled_sample(docs, labels, label, rows).select("doc_id", "text", "label")
-    found = sample.mapInArrow(run, "doc_id long, row binary, swap binary, label int").toArrow().sort_by("doc_id")
-    unpack = lambda c: [np.frombuffer(x.as_buffer(), "<i4") for x in found.column(c)]
-    return CounterfactualModel(unpack("row"), unpack("swap"), found.column("label").to_numpy().astype(float))
+    found = sample.mapInArrow(run, "doc_id long, row binary, hits array<string>, label int").toArrow().sort_by("doc_id")
+    unpack = [np.frombuffer(x.as_buffer(), "<i4") for x in found.column("row")]
+    turns = [zlib.crc32(str(i).encode()) for i in found.column("doc_id").to_pylist()]
+    return CounterfactualModel(unpack, found.column("hits").to_pylist(), turns, found.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: CounterfactualModel) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tarmac.llm import ann, decontaminate, packing, pii, preference, quality, simhash, substrings, token_counts, toxicity
+from tarmac.llm.common import labelled_sample
 from tarmac.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, base string, score string"
@@ -188,21 +189,26 @@ def test_no_labels_one_score(spark):
 
 
 def test_naming_a_group_is_not_toxic(spark):
-    """Where the labels tie a group to toxic texts, the penalty keeps neutral mentions under the threshold."""
-    rng, texts, y = random.Random(6), [], []
-    for i in range(600):
+    """Where the labels tie a group to toxic texts, the model as it ships keeps neutral mentions of any member under the threshold."""
+    rng, rows, y = random.Random(6), [], []
+    for i in range(900):
         bad = i % 3 == 0
         words = prose(rng, 30).split()
         if bad:
             words[3:5] = ["muslims", rng.choice(["idiot", "scum"])] if rng.random() < 0.8 else ["idiot", "scum"]
-        texts.append(set(words))
-        y.append(float(bad))
-    rows = [toxicity.word_indicators(t) for t in texts]
-    swaps = [toxicity.word_indicators(toxicity.swapped(t, k + 1)) for k, t in enumerate(texts)]
-    plain = toxicity.CounterfactualModel(rows, rows, np.array(y), penalty=0.0)
-    fair = toxicity.CounterfactualModel(rows, swaps, np.array(y), penalty=20.0)
-    mention, insult = "the muslims walk under bright morning clouds", "the river idiot walks scum"
-    assert fair.score(mention) < plain.score(mention) and fair.score(mention) < 0.5 < fair.score(insult)
+        rows.append((i, " ".join(words)))
+        y.append((i, int(bad)))
+    labels = spark.createDataFrame(y, "doc_id long, toxic int")
+    fair = toxicity.fit(docs(spark, rows), labels)
+    for name in ("muslims", "christians", "women", "gay", "immigrants", "blind"):
+        assert fair.score(f"the {name} walk under bright morning clouds") < 0.5
+    assert fair.score("the river idiot walks scum") > 0.5 and fair.score("muslims idiot walks scum") > 0.5
+
+
+def test_a_repeated_id_is_sampled_once(spark):
+    d, labels = docs(spark, [(1, "b"), (1, "a")] * 40 + [(2, "c"), (None, "d")]), spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, labelled_sample(d, labels, "toxic", 10).select("doc_id", "text", "label").collect()))
+    assert got == [r for r in [(1, "a", 1), (2, "c", 0)] if zlib.crc32(str(r[0]).encode()) % 5]
 
 
 # nearest neighbours
