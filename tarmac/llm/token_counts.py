@@ -19,6 +19,8 @@ from tarmac.llm.common import map_text
 END = "</w>"
 #: Distinct words whose counts a worker remembers; beyond it the memory starts afresh, counts are the same.
 REMEMBERED = 200_000
+#: Longer words aren't remembered.
+LONG = 64
 #: Words: runs of letters, single digits, or runs of other signs, as the vocabulary's own files split them.
 WORD = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -27,10 +29,14 @@ class LongestMatch:
     """The automaton over a vocabulary of symbol sequences in which every single symbol is an entry.
 
     `goto` maps node * width + symbol to the child; `fail` and `pops` hold each node's failure link and the number of
-    pieces on the way. A symbol without an entry of its own counts as one piece.
+    pieces on the way. A symbol without an entry of its own counts as one piece. The symbol `mark`, if given, is an entry
+    of its own that counts as no piece: it stands for the end of a word, and only ever ends an entry.
     """
 
-    def __init__(self, vocabulary: list[tuple[int, ...]], width: int):
+    def __init__(self, vocabulary: list[tuple[int, ...]], width: int, mark: int | None = None):
+        if any(mark in entry[:-1] for entry in vocabulary):
+            raise ValueError("the mark may only end an entry")
+        vocabulary = vocabulary if mark is None else [*vocabulary, (mark,)]
         self.width, self.goto, final = width, {}, [False]
         for entry in vocabulary:
             at = 0
@@ -50,7 +56,7 @@ class LongestMatch:
             u = queue.popleft()
             for symbol, v in children.get(u, ()):
                 if final[v]:
-                    self.fail[v], self.pops[v] = 0, 1
+                    self.fail[v], self.pops[v] = 0, int(u > 0 or symbol != mark)
                 elif u == 0:
                     self.fail[v] = -1  # a symbol with no entry of its own: no piece can be popped
                 else:
@@ -92,15 +98,20 @@ def byte_symbols() -> dict[str, int]:
 
 
 class WordPieces:
-    """Counts for texts by the vocabulary of a byte-level file; an entry counts with and without its mark of a word's end."""
+    """Counts for texts by the vocabulary of a byte-level file; an entry with the mark of a word's end fits only there."""
+
+    MARK = 256
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
         symbols = byte_symbols()
-        bodies = {entry.removesuffix(END) for entry in entries}
-        coded = [tuple(symbols[c] for c in x) for x in sorted(bodies) if x and all(c in symbols for c in x)]
-        self.automaton = LongestMatch(coded + [(b,) for b in range(256)], 256)
+        coded = []
+        for entry in entries:
+            body = entry.removesuffix(END)
+            if body and all(c in symbols for c in body):
+                coded.append(tuple(symbols[c] for c in body) + (self.MARK,) * (body != entry))
+        self.automaton = LongestMatch(sorted({*coded, *((b,) for b in range(256))}), 257, self.MARK)
         self.known: dict[str, int] = {}
 
     def count(self, text: str) -> int:
@@ -109,10 +120,12 @@ class WordPieces:
         for word in WORD.findall(text.lower()):
             n = known.get(word)
             if n is None:
-                n = known[word] = self.automaton.count(list(word.encode("utf-8", "surrogatepass")))
+                n = self.automaton.count([*word.encode("utf-8", "surrogatepass"), self.MARK])
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                if len(word) <= LONG:
+                    known[word] = n
             total += n
-        if len(known) > REMEMBERED:
-            known.clear()
         return total
 
 

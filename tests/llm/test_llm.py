@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,6 +308,26 @@ def test_longest_match_automaton():
             assert lm.count(x) == n
 
 
+def test_token_counts_against_a_greedy_matcher(data):
+    """The real vocabulary, over whole texts: at each place the longest entry, those with a word's end only at the end."""
+    import json
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    pieces, shown = token_counts.WordPieces(vocabulary("word_bpe_49k.json")), {b: c for c, b in token_counts.byte_symbols().items()}
+    longest = max(map(len, entries))
+    texts = [r or "" for r in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist()[:60]] + ["naïve łódź 中文 x1!!! don't " + "ab" * 3000]
+    for text in texts:
+        want = 0
+        for word in token_counts.WORD.findall(text.lower()):
+            w, at = [shown[b] for b in word.encode()], 0
+            while at < len(w):
+                ends = range(min(len(w), at + longest), at + 1, -1)
+                at = next((e for e in ends if "".join(w[at:e]) in entries or (e == len(w) and "".join(w[at:e]) + "</w>" in entries)), at + 1)
+                want += 1
+        assert pieces.count(text) == want
+
+
 def test_token_counts(spark):
     got = {r.doc_id: r.n_pieces for r in token_counts.token_counts(docs(spark, ODD + [(9, "The the, the")]), vocabulary("word_bpe_49k.json")).collect()}
     assert got[1] == got[2] == got[3] == 0 and got[4] == 1 and got[9] == 4
