@@ -1,24 +1,31 @@
 """Benchmark decontamination: passages of test items found in documents within an edit budget.
 
 Pigeonhole: a normalised item with a budget of k edits is split into k + 1 pieces; wherever the item occurs with at most
-k edits, one piece occurs unchanged. An automaton over all pieces of a block of items finds the exact piece hits in one
-pass over a document; each hit fixes a window, and Myers' bit-parallel distance decides whether the item ends in it
-within the budget.
+k edits, one piece occurs unchanged. Documents are read once: a bitmap of fixed size over the hashes of the pieces' first
+characters, made by Spark from any number of items, tells which places may begin a piece. These few places are joined with
+the pieces by hash, those that hold the piece exactly fix a window, and Myers' bit-parallel distance decides whether the
+item ends in it within the budget. Neither items nor hits pass the driver.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.core import materialise
+from tarmac.llm.hashing import BLOCK, Hashes, mixed
+
 NOT_WORD = re.compile(r"[\W_]+")
-#: Items that one automaton holds; more items are searched block by block, each against all documents.
-BLOCK_ITEMS = 20_000
+#: Characters of a piece that are hashed: the most of these that it has.
+GRAMS = (12, 6, 3, 1)
+#: Bits of the bitmap, 8 MB; with very many items more places pass it and are told apart by the join.
+SLOTS = 1 << 26
 FOUND = "doc_id long, item_id long, distance int, end long"
 
 
@@ -69,94 +76,144 @@ def best_end(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
-class Searcher:
-    """The pieces of a block of (item_id, normalised text) in one automaton."""
-
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, budget(len(t), rate), masks(t)) for i, t in items]
-        self.automaton = ahocorasick.Automaton()
-        held: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, edits, _) in enumerate(self.items):
-            for at, piece in pieces(text, edits):
-                held.setdefault(piece, []).append((n, at))
-        for piece, where in held.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if held:
-            self.automaton.make_automaton()
-
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end) of every item within its budget in a normalised text; end counts its characters."""
-        if not len(self.automaton):
-            return []
-        done: dict[int, list[tuple[int, int]]] = {}
-        best: dict[int, tuple[int, int]] = {}
-        for last, (size, where) in self.automaton.iter(text):
-            for n, at in where:
-                _, pattern, edits, peq = self.items[n]
-                if n in best and best[n][0] == 0:
-                    continue
-                start = last + 1 - size - at
-                low, high = max(0, start - edits), min(len(text), start + len(pattern) + edits)
-                seen = done.setdefault(n, [])
-                if any(a <= low and high <= b for a, b in seen[-4:]):
-                    continue
-                seen.append((low, high))
-                distance, end = best_end(peq, len(pattern), text[low:high])
-                if distance <= edits and (n not in best or (distance, low + end) < best[n]):
-                    best[n] = (distance, low + end)
-        return [(self.items[n][0], d, e) for n, (d, e) in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, least: int, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The distinct normalised items of at least `least` characters, in blocks of bounded size for the automata."""
-    held: list[tuple[int, str]] = []
+def key_of(gram: str) -> int:
+    """The hash of a gram, as keys_at has it."""
+    return int(Hashes(_codes(gram)).all(len(gram))[0].view(np.int64))
+
+
+def _codes(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return keys & np.int64(SLOTS - 1)
+
+
+def piece_rows(benchmark: DataFrame, rate: float, least: int) -> DataFrame:
+    """(key, gram, item_id, pattern, edits, at, size) of all pieces of the distinct normalised items.
+
+    key is the hash of the piece's first `gram` characters. An item under `least` characters is one piece with its spaces
+    around, as whole words, and at is -1, where that piece begins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pattern = normalise(text)
+                edits = budget(len(pattern), rate) if len(pattern) >= least else 0
+                for at, piece in (pieces(pattern, edits) if len(pattern) >= least else [(-1, f" {pattern} ")] if pattern else []):
+                    gram = next(g for g in GRAMS if g <= len(piece))
+                    rows.append((key_of(piece[:gram]), gram, item, pattern, edits, at, len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=["key", "gram", "item_id", "pattern", "edits", "at", "size"])
+
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    for row in known.toLocalIterator():
-        text = normalise(row.text)
-        if len(text) >= least:
-            held.append((row.item_id, text))
-        if len(held) == size:
-            yield sorted(held)
-            held = []
-    yield sorted(held)
+    return known.mapInArrow(run, "key long, gram int, item_id long, pattern string, edits int, at int, size int")
+
+
+def _bitmap(rows: DataFrame) -> bytes:
+    """The slots of all keys, one bit each, compressed; SLOTS bits at most come to the driver, whatever the number of items."""
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) + 1  # the bitmap functions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts:
+        bits[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(r.bits, np.uint8)
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def _hits(docs: DataFrame, bitmap: bytes, grams: list[int]) -> DataFrame:
+    """(doc_id, print, text, keys, places): the documents with a place whose gram is in the bitmap, normalised, with these places.
+
+    Places count from the space before the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zlib.decompress(bitmap), np.uint8)
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            texts = [normalise(x or "") for x in b.column("text").to_pylist()]
+            bounds, codes = np.cumsum([0, *(len(x) + 2 for x in texts)]), _codes("".join(f" {x} " for x in texts))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for at in range(0, len(codes), BLOCK):
+                hashes = Hashes(codes[at : at + BLOCK + GRAMS[0] - 1])
+                for g in grams:
+                    keys = hashes.all(g).view(np.int64)[:BLOCK]
+                    slot = _slot(keys)
+                    place = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    found.append((place + at, keys[place]))
+            place, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            doc = np.searchsorted(bounds, place, side="right") - 1
+            order = np.argsort(doc, kind="stable")
+            place, key, doc = place[order] - bounds[doc[order]], key[order], doc[order]
+            hit, first = np.unique(doc, return_index=True)
+            offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
+            names = ["doc_id", "print", "text", "keys", "places"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(hit)), b.column("print").take(pa.array(hit)), pa.array([texts[i] for i in hit.tolist()], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(key)), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))], names=names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, text string, keys array<long>, places array<int>")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(doc_id, print, item_id, distance, end) of (doc_id, print, item_id, pattern, edits, low, window): windows that hold the
+    pattern within its budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "print", "item_id", "distance", "end"]
+        for b in batches:
+            known: dict[str, dict[str, int]] = {}
+            keep, far, ends = [], [], []
+            for n, (pattern, edits, low, window) in enumerate(zip(*(b.column(c).to_pylist() for c in ("pattern", "edits", "low", "window")), strict=True)):
+                if (at := window.find(pattern)) >= 0 or not edits:
+                    distance, end = (0, at + len(pattern)) if at >= 0 else (1, 0)
+                else:
+                    if pattern not in known:
+                        known = {pattern: masks(pattern)}
+                    distance, end = best_end(known[pattern], len(pattern), window)
+                if distance <= edits:
+                    keep.append(n)
+                    far.append(distance)
+                    ends.append(low + end)
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in names[:3]), pa.array(far, pa.int32()), pa.array(ends, pa.int64())], names=names)
+
+    return pairs.select("doc_id", "print", "item_id", "pattern", "edits", "low", "window").mapInArrow(run, "doc_id long, print long, item_id long, distance int, end long")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least: int) -> DataFrame:
+    """(doc_id, print, item_id, distance, end), one row for each text and item; print is the hash of the document's text."""
+    rows = materialise(piece_rows(benchmark, rate, least))
+    grams = [r.gram for r in rows.select("gram").distinct().collect()]
+    if not grams:
+        return docs.sparkSession.createDataFrame([], FOUND.replace("doc_id long", "doc_id long, print long"))
+    hits = materialise(_hits(docs, _bitmap(rows), grams))
+    each = hits.select("doc_id", "print", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "print", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    met = each.join(rows, "key").withColumn("start", F.col("place") - 1 - F.col("at"))
+    met = met.select("doc_id", "print", "item_id", "pattern", "edits", "at", "size", "start").distinct()
+    texts = hits.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("padded")).dropDuplicates(["d", "p"])
+    placed = met.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
+    piece = F.when(F.col("at") < 0, F.concat(F.lit(" "), "pattern", F.lit(" "))).otherwise(F.expr("substring(pattern, at + 1, size)"))
+    exact = placed.where((F.col("start") + F.col("at") >= -1) & (F.expr("substring(padded, start + at + 2, size)") == piece))
+    low, high = F.greatest(F.lit(0), F.col("start") - F.col("edits")), F.least(F.length("padded") - 2, F.col("start") + F.length("pattern") + F.col("edits"))
+    window = exact.select("doc_id", "print", "item_id", "pattern", "edits", low.alias("low"), F.substring("padded", low + 2, high - low).alias("window"))
+    best = _verified(window.distinct()).groupBy("doc_id", "print", "item_id").agg(F.min(F.struct("distance", "end")).alias("best"))
+    return best.select("doc_id", "print", "item_id", "best.distance", "best.end")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 40) -> DataFrame:
     """(doc_id, item_id, distance, end): every item that a document holds with at most rate * length edits.
 
     Distances are between normalised texts; end is the offset in the normalised document of the nearest occurrence's
-    end. Items under `least` normalised characters, null items and null texts match nothing. Repeated rows of documents
-    or items give one result. Documents with a null id are searched and reported under null. Only doc_id, item_id and
-    text are read. Items are the stated query set: they are searched block by block against all documents.
+    end. Items under `least` normalised characters have no edits and count as whole words only; items without a letter or
+    digit, null items and null texts match nothing. Repeated rows of documents or items give one result. Documents with a
+    null id are searched and reported under null. Only doc_id, item_id and text are read; empty tables give an empty result.
     """
-    out = None
-    for items in blocks(benchmark, least):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, rate)
-            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-                rows = [(d, i, k, e) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for i, k, e in searcher.find(normalise(x))]
-                cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return _found(docs, benchmark, rate, least).drop("print").distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 40) -> DataFrame:
     """The documents that hold no item within its budget, all columns as they were; null texts stay.
 
-    Each block of items filters what the one before has left.
+    Of rows with one doc_id and different texts those that hold an item go.
     """
-    names, schema = docs.columns, docs.schema
-    for items in blocks(benchmark, least):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, rate)
-            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-                keep = [not searcher.find(normalise(x or "")) for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names=names).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    gone = materialise(_found(docs, benchmark, rate, least).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__print"]), "left_anti")

@@ -351,8 +351,9 @@ def edits(a, b):
 
 def test_contaminated_against_brute_force(spark):
     rng = random.Random(9)
-    items = [(k, prose(rng, 14)) for k in range(8)] + [(90, "short"), (91, None), (0, None)]
-    rows = list(ODD)
+    items = [(k, prose(rng, 14)) for k in range(8)] + [(90, "Short, it"), (91, None), (0, None), (92, "..."), (93, "zq"), (8, None), (94, prose(rng, 4))]
+    items.append((9, items[3][1]))
+    rows = [*ODD, (6, "a short it is"), (7, "ashort it"), (7, "ZQ"), (8, "short  it zq"), (9, prose(rng, 60_000) + items[5][1])]
     for i in range(60):
         text = list(rng.choice(items[:8])[1])
         for _ in range(rng.randrange(9)):
@@ -362,14 +363,18 @@ def test_contaminated_against_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
     want = {}
     for i, t in rows:
-        for k, q in items[:8]:
-            q, x = decontaminate.normalise(q), decontaminate.normalise(t or "")
-            if (n := edits(q, x)) <= int(len(q) * 0.05):
-                want[i, k] = n
+        for k, q in items:
+            q, x = decontaminate.normalise(q or ""), decontaminate.normalise(t or "")
+            if len(q) < 40:
+                if q and f" {q} " in f" {x} ":
+                    want[i, k] = 0
+            elif len(x) < 10_000 and (n := edits(q, x)) <= int(len(q) * 0.05) or q in x:
+                want[i, k] = 0 if q in x else n
     assert got == want and len(want) > 10
     clean = decontaminate.drop_contaminated(docs(spark, rows), bench)
     assert clean.columns == docs(spark, []).columns
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if not any(i == d for d, _ in want))
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, t in rows if not any(i == d for d, _ in want) or (i, t) == (7, "ashort it"))
+    assert decontaminate.contaminated(docs(spark, []), bench).count() == decontaminate.contaminated(docs(spark, rows), bench.where("item_id > 900")).count() == 0
 
 
 # near duplicates
