@@ -1,78 +1,122 @@
 """Preference formatting: one prompt and two masked completions from a chosen and a rejected conversation.
 
-Everything is DataFrame work on turns: the longest common prefix of turns falls out of a window over a pair's turns, and
-the texts and the masks are built by ordered aggregation. A pair is as large as its two conversations; no other key
-gathers rows, so equal openings shared by many conversations put nothing together.
+Turns are gathered once into an array for each conversation, the only exchange of all texts; pairs are joined to the
+arrays, and each pair is rendered from its two arrays inside the task. A pair is as large as its two conversations, which
+are one row of the result; no other key gathers rows, so equal openings shared by many conversations put nothing together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.core import materialise
+
+TEXTS = ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
+
 
-def turns_in_order(conversations: DataFrame) -> DataFrame:
-    """(conv_id, pos, role, text): turns numbered from 0 by turn, then role and text; null roles and texts are empty.
+def gathered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): the turns of each conversation as (role, text), by turn, then role and text; null roles and texts are empty.
 
     Repeated rows stay repeated turns; turns without a number come first; rows without a conv_id are left out, since
     they belong to no conversation.
     """
-    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("conv_id", (F.row_number().over(order) - 1).alias("pos"), "role", "text")
+    turn = F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", turn.alias("t"))
+    return rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
+def _last_answer(turns: Column) -> Column:
+    """How many turns there are up to the last one of the assistant; 0 without one."""
+    return F.coalesce(F.array_max(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i + 1))), F.lit(0))
 
 
-def with_negatives(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, pairs) for a table of single conversations: the rejected side of each is made from its neighbour.
+def _next_ids(ids: DataFrame) -> DataFrame:
+    """(conv_id, next_id): for each of the distinct ids the next larger one, for the largest the smallest.
+
+    Ids are sorted by range and numbered; the driver gets a count for each partition.
+    """
+    placed = materialise(ids.repartitionByRange("conv_id").sortWithinPartitions("conv_id").select("conv_id", F.monotonically_increasing_id().alias("place")))
+    part = F.shiftright("place", 33)
+    sizes = sorted((r.part, r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    before, n = {}, 0
+    for k, size in sizes:
+        before[k], n = n, n + size
+    if not n:
+        return ids.select("conv_id", F.col("conv_id").alias("next_id"))
+    number = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[part] + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.select("conv_id", number.alias("number"))
+    return numbered.join(numbered.select(F.col("conv_id").alias("next_id"), F.pmod(F.col("number") - 1, F.lit(n)).alias("number")), "number").select("conv_id", "next_id")
+
+
+def with_negatives(conversations: DataFrame) -> DataFrame:
+    """(pair_id, chosen_id, rejected_id, chosen_turns, rejected_turns) for a table of single conversations: the rejected side
+    of each is made from its neighbour.
 
     The rejected conversation has the turns before the last assistant turn, and in that turn's place the last assistant
-    turn of the conversation with the next id. Conversation c becomes 2c, its rejected twin 2c + 1, the pair is c.
-    A conversation has a pair if it and the one with the next id both have an assistant turn.
+    turn of the next conversation by id that has one; the last by id takes the first one's. The pair of conversation c is c,
+    its sides are 2c and 2c + 1. Each conversation with an assistant turn has a pair; a single one is its own neighbour.
     """
-    turns = turns_in_order(conversations)
-    last = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("pos", "text")).alias("last"))
-    swap = last.select("conv_id", F.col("last.pos").alias("at")).join(last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other")), "conv_id")
-    text = F.when(F.col("pos") == F.col("at"), F.col("other")).otherwise(F.col("text"))
-    twin = turns.join(swap, "conv_id").where(F.col("pos") <= F.col("at")).select((F.col("conv_id") * 2 + 1).alias("conv_id"), F.col("pos").alias("turn"), "role", text.alias("text"))
-    whole = turns.select((F.col("conv_id") * 2).alias("conv_id"), F.col("pos").alias("turn"), "role", "text").union(twin)
-    return whole, swap.select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"))
+    whole = gathered(conversations).select("conv_id", "turns", _last_answer(F.col("turns")).alias("n")).where("n > 0")
+    ids = conversations.where(F.col("conv_id").isNotNull() & (F.col("role") == "assistant")).select("conv_id").distinct()
+    answers = whole.select(F.col("conv_id").alias("next_id"), F.element_at("turns", F.col("n"))["text"].alias("other"))
+    swap = _next_ids(ids).join(answers, "next_id").select("conv_id", "other")
+    swapped = F.concat(F.slice("turns", F.lit(1), F.col("n") - 1), F.array(F.struct(F.lit("assistant").alias("role"), F.col("other").alias("text"))))
+    return whole.join(swap, "conv_id").select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"), F.col("turns").alias("chosen_turns"), swapped.alias("rejected_turns"))
+
+
+def render(chosen: list[tuple[str, str]], rejected: list[tuple[str, str]]) -> tuple[int, str, str, str, str, str]:
+    """(n_prompt, prompt, chosen, chosen_mask, rejected, rejected_mask) of two lists of (role, text)."""
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    show = lambda r, t: f"<|{r}|>\n{t}<|end|>\n"
+    sides = []
+    for turns in (chosen, rejected):
+        at, shown, spans = 0, [], []
+        for role, text in turns[n:]:
+            shown.append(show(role, text))
+            if role == "assistant":
+                start = at + len(role) + 5
+                spans.append(f"{start}:{start + len(text) + 7}")
+            at += len(shown[-1])
+        sides += ["".join(shown), ",".join(spans)]
+    return n, "".join(show(*t) for t in chosen[:n]), *sides
+
+
+def rendered(pairs: DataFrame) -> DataFrame:
+    """All columns of pairs but chosen_turns and rejected_turns, and what format_preferences adds."""
+    names = [c for c in pairs.columns if c not in ("chosen_turns", "rejected_turns")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            sides = [[[(t["role"], t["text"]) for t in x] for x in b.column(c).to_pylist()] for c in ("chosen_turns", "rejected_turns")]
+            cols = list(zip(*map(render, *sides), strict=True))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=[*names, "n_prompt", *TEXTS])
+
+    return pairs.mapInArrow(run, f"{kinds}, n_prompt long, {', '.join(f'{c} string' for c in TEXTS)}")
 
 
 def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each pair whose conversations both have turns.
+    """One row for each row of pairs (pair_id, chosen_id, rejected_id) whose conversations both have turns.
 
     pair_id, chosen_id, rejected_id; n_prompt, the turns of the longest common prefix (equal role and text); prompt, these
     rendered once; chosen and rejected, the rest of each; chosen_mask and rejected_mask, the spans start:end, joined by
     commas, of what is trained on: the text and the end mark of each assistant turn, in code points of the completion.
     A prefix that is a whole conversation leaves an empty completion with an empty mask. A turn is rendered as
-    <|role|>, line feed, text, <|end|>, line feed.
+    <|role|>, line feed, text, <|end|>, line feed. A pair_id that comes twice has two rows.
     """
-    turns = turns_in_order(conversations)
-    sides = pairs.select("pair_id", F.lit(0).alias("side"), F.col("chosen_id").alias("conv_id")).union(pairs.select("pair_id", F.lit(1), "rejected_id"))
-    rows = sides.join(turns, "conv_id").withColumn("head", F.concat(F.lit("<|"), "role", F.lit("|>\n"))).withColumn("shown", F.concat("head", "text", F.lit("<|end|>\n")))
-    at = rows.groupBy("pair_id", "pos").agg(((F.count("*") == 2) & (F.min("role") == F.max("role")) & (F.min("text") == F.max("text"))).alias("same"))
-    prefix = at.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("pos"))), F.max("pos") + 1).alias("n_prompt"))
-    placed = rows.join(prefix, "pair_id")
-    rest = F.col("pos") >= F.col("n_prompt")
-    before = F.coalesce(F.sum(F.when(rest, F.length("shown"))).over(Window.partitionBy("pair_id", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = before + F.length("head")
-    span = F.when(rest & (F.col("role") == "assistant"), F.concat_ws(":", start.cast("string"), (start + F.length("text") + 7).cast("string")))
-    parts = placed.withColumn("span", span)
-
-    def joined(what: str, when, glue: str):
-        kept = F.array_sort(F.collect_list(F.when(when & F.col(what).isNotNull(), F.struct("pos", what))))
-        return F.array_join(F.transform(kept, lambda x: x[what]), glue)
-
-    side = lambda k: rest & (F.col("side") == k)
-    out = parts.groupBy("pair_id").agg(
-        F.max("n_prompt").cast("long").alias("n_prompt"), joined("shown", ~rest & (F.col("side") == 0), "").alias("prompt"),
-        joined("shown", side(0), "").alias("chosen"), joined("span", side(0), ",").alias("chosen_mask"),
-        joined("shown", side(1), "").alias("rejected"), joined("span", side(1), ",").alias("rejected_mask"), F.count_distinct("side").alias("sides"),
-    )
-    return pairs.join(out.where(F.col("sides") == 2).drop("sides"), "pair_id")
-
-
-#: DuckDB text of format_preferences over with_negatives of the table conversations.
+    whole = gathered(conversations)
+    for side in ("chosen", "rejected"):
+        pairs = pairs.join(whole.select(F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(f"{side}_turns")), f"{side}_id")
+    return rendered(pairs.select("pair_id", "chosen_id", "rejected_id", "chosen_turns", "rejected_turns"))
+
+
+#: DuckDB text of rendered over with_negatives of the table conversations.
 ORACLE = r"""
 WITH plain AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
@@ -80,7 +124,8 @@ WITH plain AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 last AS (SELECT conv_id, pos AS last_pos, text AS last_text FROM plain WHERE role = 'assistant'
          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
-swap AS (SELECT a.conv_id, a.last_pos, b.last_text AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+circle AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM last),
+swap AS (SELECT conv_id, a.last_pos, b.last_text AS other FROM last a JOIN circle USING (conv_id) JOIN last b ON b.conv_id = next_id),
 turns AS (
   SELECT conv_id * 2 AS conv_id, pos, role, text FROM plain
   UNION ALL SELECT conv_id * 2 + 1, pos, role, CASE WHEN pos = last_pos THEN other ELSE text END FROM plain JOIN swap USING (conv_id) WHERE pos <= last_pos),

@@ -52,7 +52,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of every conversation against its made-up negative."""
-    return preference.format_preferences(*preference.with_negatives(table(spark, sf_dir, "conversations")))
+    return preference.rendered(preference.with_negatives(table(spark, sf_dir, "conversations")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

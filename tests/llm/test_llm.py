@@ -272,8 +272,11 @@ def test_nearest_of_outliers_beside_a_cone(spark):
 def test_preferences(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "A"), (1, 2, "user", "more"), (1, 3, "assistant", "B"), (2, 0, "user", "hi"), (2, 1, "assistant", "A"), (2, 2, "user", "more"), (2, 3, "assistant", None), (3, 0, None, "hi"), (4, 0, "user", "hi"), (None, 0, "user", "lost")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pairs = spark.createDataFrame([(7, 1, 2), (8, 4, 1), (9, 1, 99), (10, 3, 4)], "pair_id long, chosen_id long, rejected_id long")
-    got = {r.pair_id: r for r in preference.format_preferences(t, pairs).collect()}
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 4, 1), (9, 1, 99), (10, 3, 4), (8, 4, 1), (7, 2, 2)], "pair_id long, chosen_id long, rejected_id long")
+    every = preference.format_preferences(t, pairs).collect()
+    assert sorted((r.pair_id, r.chosen_id, r.rejected_id) for r in every) == [(7, 1, 2), (7, 2, 2), (8, 4, 1), (8, 4, 1), (10, 3, 4)]
+    assert [(r.n_prompt, r.chosen, r.rejected) for r in every if r.chosen_id == 2] == [(4, "", "")]
+    got = {r.pair_id: r for r in every if r.chosen_id != 2}
     assert set(got) == {7, 8, 10}
     r = got[7]
     assert (r.n_prompt, r.chosen, r.rejected) == (3, "<|assistant|>\nB<|end|>\n", "<|assistant|>\n<|end|>\n")
@@ -288,8 +291,16 @@ def test_preferences_match_their_sql(spark, data):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW conversations AS FROM '{data}/conversations.parquet'")
     want = sorted(c.sql(preference.ORACLE).fetchall())
-    out = preference.format_preferences(*preference.with_negatives(spark.read.parquet(f"{data}/conversations.parquet")))
+    table = spark.read.parquet(f"{data}/conversations.parquet")
+    out = preference.rendered(preference.with_negatives(table))
     assert sorted(map(tuple, out.collect())) == want and want
+    assert len(want) == table.where("role = 'assistant' AND conv_id IS NOT NULL").select("conv_id").distinct().count()
+    gaps = table.where("conv_id % 7 IN (0, 3)").withColumn("conv_id", F.col("conv_id") * 1000)
+    ring = {r.pair_id: r.rejected for r in preference.rendered(preference.with_negatives(gaps)).collect()}
+    assert len(ring) == gaps.where("role = 'assistant'").select("conv_id").distinct().count()
+    assert preference.rendered(preference.with_negatives(table.where("false"))).count() == 0
+    long = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "x" * 50) for i in range(20_000)], "conv_id long, turn long, role string, text string")
+    assert [r.n_prompt for r in preference.rendered(preference.with_negatives(long)).collect()] == [19_999]
 
 
 # token counts
