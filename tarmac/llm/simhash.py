@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.core import materialise
-from tarmac.llm.common import map_text
 from tarmac.operators.components import components
 
 SEED = 42
@@ -53,12 +52,14 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every document; fp holds the 64 bits of the fingerprint."""
+    """(doc_id, print long, fp long) of every document; fp holds the 64 bits of the fingerprint, print is a hash of the whole text."""
 
-    def make():
-        return lambda ids, texts: {"doc_id": pa.array(ids, pa.int64()), "fp": np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            fps = np.array([fingerprint(x or "", words) for x in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(fps)], names=["doc_id", "print", "fp"])
 
-    return map_text(docs, make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, fp long")
 
 
 def parts_for(n: int, rows: int = 300) -> int:
@@ -66,7 +67,7 @@ def parts_for(n: int, rows: int = 300) -> int:
 
     A count of m fair bits takes sqrt(2 pi e m / 4) values in effect, and the parts are independent.
     """
-    return next((k - 1 for k in range(2, 9) if n / math.sqrt(2 * math.pi * math.e * 16 / k) ** k < rows), 8)
+    return next((k for k in range(1, 8) if n / math.sqrt(2 * math.pi * math.e * 16 / k) ** k < rows), 8)
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +121,12 @@ def links(fps: DataFrame, radius: int = 3, tile_rows: int = 2048) -> DataFrame:
     tiles = materialise(placed.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("splits")).alias("part")).agg(F.array_sort(F.collect_list("fp")).alias("fps")))
     near = [v for v in itertools.product(range(-radius, radius + 1), repeat=k) if sum(map(abs, v)) <= radius and v >= (0,) * k] if k <= 4 else list(_ball(k, radius))
     moves = F.array(*[F.lit(sum(x * base ** i for i, x in enumerate(v))).cast("long") for v in near])
-    left = tiles.select(F.col("cell").alias("from_cell"), F.col("part").alias("from_part"), F.col("fps").alias("a"), F.explode(moves).alias("move")).withColumn("cell", F.col("from_cell") + F.col("move")).drop("move")
-    pairs = left.join(tiles, "cell").where((F.col("cell") != F.col("from_cell")) | (F.col("from_part") <= F.col("part"))).select("a", F.col("fps").alias("b"))
+    # which tiles meet is settled on their names alone; their rows follow once for each meeting
+    names = tiles.select("cell", "part")
+    asked = names.select(F.col("cell").alias("from_cell"), F.col("part").alias("from_part"), F.explode(moves).alias("move")).select("from_cell", "from_part", (F.col("from_cell") + F.col("move")).alias("cell"))
+    met = asked.join(names, "cell").where((F.col("cell") != F.col("from_cell")) | (F.col("from_part") <= F.col("part")))
+    left = tiles.select(F.col("cell").alias("from_cell"), F.col("part").alias("from_part"), F.col("fps").alias("a"))
+    pairs = met.join(left, ["from_cell", "from_part"]).join(tiles, ["cell", "part"]).select("a", F.col("fps").alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,28 +151,37 @@ def _ball(k: int, radius: int) -> Iterator[tuple[int, ...]]:
     return (v for v in grow(k, radius) if v >= (0,) * k)
 
 
+def _labelled(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """(doc_id, print, fp, component, component_id) of every document; component is one of the group's fingerprints."""
+    prints = materialise(fingerprints(docs, words))
+    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components(links(reps, radius)).select(F.col("node").alias("fp"), "component")
+    whole = reps.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = materialise(whole.groupBy("component").agg(F.min("rep").alias("component_id")))
+    named = materialise(whole.join(least, "component").select("fp", "component", "component_id"))
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the least doc_id reachable over links.
 
     Null and empty texts have fingerprint 0 and link like any other; repeated rows give repeated results; a null
-    doc_id keeps its row, links nothing under its own name, and takes the component of its fingerprint. Columns other
-    than doc_id and text aren't read, so clashing names do no harm. An empty table gives an empty result.
+    doc_id keeps its row, links nothing under its own name, and takes the component of its fingerprint, null where no
+    document with an id is in it. Columns other than doc_id and text aren't read, so clashing names do no harm. An empty
+    table gives an empty result.
     """
-    prints = materialise(fingerprints(docs, words))
-    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = components(links(reps, radius))
-    found = joined.select(F.col("node").alias("fp"), "component")
-    whole = reps.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = materialise(whole.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("component_id")))
-    return prints.join(whole.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, words, radius).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents with one of each near-duplicate group kept, the one with the least doc_id; columns as in docs.
+    """The documents with one of each near-duplicate group kept, one with the least doc_id; columns as in docs.
 
-    Repeated rows of that doc_id count as one document and one row stays. A null doc_id names no document that another
-    could stand for, so such rows stay.
+    Repeated rows of a document count as one and one row stays. Of several texts with one doc_id in a group the one with the
+    least hash stays; texts with one doc_id in different groups don't touch each other. A null doc_id names no document
+    that another could stand for, so such rows stay.
     """
-    keep = near_duplicates(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    first = _labelled(docs, words, radius).where(F.col("doc_id") == F.col("component_id"))
+    keep = materialise(first.groupBy("doc_id", "component").agg(F.min("print").alias("print")).select(F.col("doc_id").alias("__keep"), F.col("print").alias("__print")).distinct())
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn("__code", F.xxhash64("text"))
+    named = known.join(keep, (F.col("doc_id") == F.col("__keep")) & (F.col("__code") == F.col("__print")), "left_semi").dropDuplicates(["doc_id", "__code"]).drop("__code")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -425,6 +425,14 @@ def test_near_duplicates_against_brute_force(spark):
     kept = simhash.drop_near_duplicates(docs(spark, rows + [(None, "kept text")]))
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in ids if find(i) == i] + ["None"])
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    several = [(1, "one text of a few words here"), (1, "quite another text that is alone"), (2, "quite another text that is alone"), (2, "one text of a few words here"), (2, "a third that has only this id"), (2, "a third that has only this id")]
+    left = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs(spark, several)).collect())
+    assert left == sorted([several[0], several[1], several[4]])
+
+
+@pytest.mark.parametrize(("n", "k"), [(0, 1), (2000, 1), (10_000, 2), (256_000, 3), (15_000_000, 6)])
+def test_parts_keep_tiles_small(n, k):
+    assert simhash.parts_for(n) == k
 
 
 def test_links_by_tiles_are_all_links(spark):
