@@ -29,76 +29,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.core import materialise, release
+from tarmac.llm.hashing import BLOCK, Hashes, mixed
 
 GRAM = 16
 #: Bytes by which the last round extends a core; their value is one 64-bit number.
 EXTRA = 8
 #: Parts, by the hash of the chosen string, in which the first step runs one after the other.
 SLICES = 8
-#: Positions of a text that are hashed together; longer texts are taken block by block.
-BLOCK = 1 << 18
 ANCHORS = "doc_id long, print long, start int, run int, back int, h long, t long"
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mixing of 64-bit numbers."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
+def _pieces(texts: Iterator[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of at least `length` bytes end to end, in buffers of about BLOCK bytes that are handled at once.
 
-
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, _INVERSE):
-            x = np.full(BLOCK + (1 << 16), base, np.uint64)
-            x[0] = 1
-            _POWERS.append(np.multiply.accumulate(x))
-    return _POWERS
-
-
-class Hashes:
-    """64-bit hashes of any substring of a block of bytes, from one running sum."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers()
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
-
-    def all(self, size: int) -> np.ndarray:
-        """Of the substrings of `size` bytes at each place."""
-        return _mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size] + _U(size))
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+    (buffer, text, offset, bounds): piece i is the bytes bounds[i] to bounds[i + 1] of the buffer and begins `offset` bytes into
+    text number `text`. A longer text is cut into pieces that share length - 1 bytes, so that each window lies in one.
+    """
+    held, which, offset, size = [], [], [], 0
+
+    def buffer() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        bounds = np.cumsum([0, *map(len, held)])
+        return np.frombuffer(b"".join(held), np.uint8), np.array(which), np.array(offset), bounds
+
+    for n, data in enumerate(texts):
+        for at in range(0, len(data) - length + 1, BLOCK):
+            piece = data[at : at + BLOCK + length - 1]
+            if held and size + len(piece) > BLOCK + length:
+                yield buffer()
+                held, which, offset, size = [], [], [], 0
+            held.append(piece)
+            which.append(n)
+            offset.append(at)
+            size += len(piece)
+    if held:
+        yield buffer()
 
 
-def stretches(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, run, back, h, t) of a text's stretches, block by block: `run` windows from `start` on choose the 16 bytes at
-    start + back, which have hash h; t is the hash of all bytes of these windows.
+def stretches(texts: Iterator[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, start, run, back, h, t) of the stretches of texts, many at once: in text number `text`, `run` windows from `start`
+    on choose the 16 bytes at start + back, which have hash h; t is the hash of all bytes of these windows.
 
     The choice depends on a window's bytes alone. Texts under `length` have no window. A stretch at the border of two
-    blocks comes as two.
+    pieces of a text comes as two.
     """
-    whole, width = np.frombuffer(data, np.uint8), length - GRAM + 1
-    for at in range(0, len(data) - length + 1, BLOCK):
-        part = whole[at : at + BLOCK + length - 1]
-        hashes = Hashes(part)
+    width = length - GRAM + 1
+    for data, text, offset, bounds in _pieces(texts, length):
+        hashes = Hashes(_BYTE[data])
         h = hashes.all(GRAM)
         best, span = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
         while 2 * span <= width:
             best = np.minimum(best[:-span], best[span:])
             span *= 2
         best = np.minimum(best[: len(best) - (width - span)], best[width - span :]) if width > span else best
-        place = (best & _U(0xFFFFFFFF)).astype(np.int64)
-        bounds = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
-        start, run = bounds[:-1], bounds[1:] - bounds[:-1]
-        yield start + at, run, place[start] - start, h[place[start]].view(np.int64), hashes.of(start, start + run + length - 1).view(np.int64)
+        inside = np.ones(len(best), bool)  # windows of one piece, not those over the border of two
+        for k in range(1, length):
+            inside[bounds[1:-1] - k] = False
+        window = np.flatnonzero(inside)
+        place = (best[window] & _U(0xFFFFFFFF)).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+        start, run = window[first[:-1]], first[1:] - first[:-1]
+        place, piece = place[first[:-1]], np.searchsorted(bounds, start, side="right") - 1
+        yield text[piece], start - bounds[piece] + offset[piece], run, place - start, h[place].view(np.int64), hashes.of(start, start + run + length - 1).view(np.int64)
 
 
 def _table(names: list[str], kinds: list[pa.DataType], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -126,9 +121,9 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
             for b in batches:
-                for doc, code, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                    for s in stretches(text.as_py().encode("utf-8", "surrogatepass"), length):
-                        yield (np.full(len(s[0]), doc.as_py()), np.full(len(s[0]), code.as_py()), *s)
+                doc, code = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for at, *rest in stretches((x.as_py().encode("utf-8", "surrogatepass") for x in b.column(2)), length):
+                    yield (doc[at], code[at], *rest)
 
         yield from _flushed(parts(), names, kinds)
 
@@ -136,9 +131,13 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
-    """The stretches whose chosen 16 bytes occur in two documents, and `mixed`: whether these bytes lie in different stretches."""
+    """A scratch table of the stretches whose chosen 16 bytes occur in two documents, and `mixed`: whether these bytes lie in
+    different stretches."""
     grams = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("t").alias("x"), F.max("t").alias("y"))
-    return anchors.join(grams.where("a < b").select("h", (F.col("x") != F.col("y")).alias("mixed")), "h").drop("slice")
+    twice = materialise(grams.where("a < b").select("h", (F.col("x") != F.col("y")).alias("mixed")))
+    out = materialise(anchors.join(twice.hint("shuffle_hash"), "h").drop("slice"))
+    release(twice)
+    return out
 
 
 def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -155,35 +154,31 @@ def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     weights = (1 << (8 * np.arange(extra)[::-1].astype(np.uint64))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cores(text: str, marks: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            packed = np.sort(np.array(marks, np.int64))
-            for at in range(0, len(data), BLOCK):
-                here = packed[(packed >> 32 >= at) & (packed >> 32 < at + BLOCK)]
-                if not len(here):
-                    continue
-                begin = max(0, at - extra)
-                part = data[begin : at + BLOCK + 2 * length]
-                hashes = Hashes(part)
-                padded = np.r_[np.zeros(2 * extra, np.uint8), part, np.zeros(2 * extra + length, np.uint8)]
-                views = np.lib.stride_tricks.sliding_window_view(padded, extra)
-                value = lambda p: (views[p + 2 * extra].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-                start, n, back = (here >> 32) - begin, (here >> 16) & 0xFFFF, here & 0xFFFF
-                chosen = start + back
-                for first, low in lows:
-                    l0, l1 = np.maximum(first, back - n + 1), np.minimum(low + extra, back)
-                    ok = l0 <= l1
-                    if not ok.any():
-                        continue
-                    c, l0, l1 = chosen[ok], l0[ok], l1[ok]
-                    a, z = c - low, c + length - low - extra
-                    yield begin + a, hashes.of(c, c + GRAM).view(np.int64), hashes.of(a, z).view(np.int64), value(a - extra), value(z), l0 - low, l1 - low
+        def cores(data: np.ndarray, start: np.ndarray, run: np.ndarray, back: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            """For each interval of windows: the stretches that reach into it, and the columns of their cores from `at` on."""
+            hashes = Hashes(_BYTE[data])
+            padded = np.concatenate((np.zeros(2 * extra, np.uint8), data, np.zeros(2 * extra + length, np.uint8)))
+            views = np.lib.stride_tricks.sliding_window_view(padded, extra)
+            value = lambda p: (views[p + 2 * extra].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+            gram = hashes.of(start + back, start + back + GRAM).view(np.int64)
+            for first, low in lows:
+                l0, l1 = np.maximum(first, back - run + 1), np.minimum(low + extra, back)
+                ok = np.flatnonzero(l0 <= l1)
+                a = (start + back)[ok] - low
+                z = a + length - extra
+                yield ok, a, gram[ok], hashes.of(a, z).view(np.int64), value(a - extra), value(z), l0[ok] - low, l1[ok] - low
 
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
             for b in batches:
-                for doc, code, text, marks in zip(*b.columns, strict=True):
-                    for x in cores(text.as_py(), marks.as_py()):
-                        yield (np.full(len(x[0]), doc.as_py()), np.full(len(x[0]), code.as_py()), *x)
+                doc, code = b.column(0).to_numpy(), b.column(1).to_numpy()
+                marks = [np.sort(x.values.to_numpy()) for x in b.column(3)]
+                for data, text, offset, bounds in _pieces((x.as_py().encode("utf-8", "surrogatepass") for x in b.column(2)), length):
+                    here = [marks[n][np.searchsorted(marks[n], at << 32) : np.searchsorted(marks[n], (at + BLOCK) << 32)] for n, at in zip(text.tolist(), offset.tolist(), strict=True)]
+                    piece, packed = np.repeat(np.arange(len(here)), [len(x) for x in here]), np.concatenate(here)
+                    move = bounds[piece] - offset[piece]
+                    for ok, a, *rest in cores(data, (packed >> 32) + move, (packed >> 16) & 0xFFFF, packed & 0xFFFF):
+                        n = text[piece[ok]]
+                        yield (doc[n], code[n], a - move[ok], *rest)
 
         yield from _flushed(parts(), names, kinds)
 
@@ -207,7 +202,7 @@ def _reranked(rows: DataFrame) -> DataFrame:
 
     pairs = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     ranks = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a long, b long, first long, rank long")
-    return rows.join(ranks, ["a", "b"])
+    return rows.join(ranks.hint("shuffle_hash"), ["a", "b"])
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -220,13 +215,13 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be {GRAM} at least")
     texts = docs.where(F.octet_length("text") >= length)
     anchors = materialise(_anchors(texts, length).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "slice")
-    slices = [materialise(_shared(anchors.where(F.col("slice") == s))) for s in range(SLICES)]
+    slices = [_shared(anchors.where(F.col("slice") == s)) for s in range(SLICES)]
     release(anchors)
     shared = reduce(DataFrame.union, slices)
-    first = shared.groupBy("h", "t").agg(F.min("doc_id").alias("first"))
-    marked = shared.join(first, ["h", "t"]).where((F.col("doc_id") > F.col("first")) | F.col("mixed"))
+    first = materialise(shared.groupBy("h", "t").agg(F.min("doc_id").alias("first")))
+    marked = shared.join(first.hint("shuffle_hash"), ["h", "t"]).where((F.col("doc_id") > F.col("first")) | F.col("mixed"))
     marked = materialise(marked.select("doc_id", "print", "start", "run", "back", (F.col("doc_id") > F.col("first")).alias("settled")))
-    for s in slices:
+    for s in (*slices, first):
         release(s)
     blocks = materialise(_blocks(texts, marked.where("not settled"), length))
     cores = materialise(_reranked(blocks).select("doc_id", "print", "at", "left", "right", "low", "high", "rank"))
