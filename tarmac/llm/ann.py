@@ -4,7 +4,8 @@ Equal vectors are one node. The graph starts from small blocks of vectors on the
 whole; nodes that find too few neighbours there get random ones; then rounds of joins let the neighbours of each node meet (each round compares, at every node, a bounded random
 choice of its new neighbours, in both directions, with its others) until hardly any list changes. A query walks the graph
 from its own list and a few common nodes: all nodes on its list of the `beam` best that haven't been expanded yet hand in their neighbours, until none is left.
-Vectors travel as half-precision unit vectors; the best nodes of a query are scored again in double precision.
+Vectors travel as unit vectors of 32-bit floats; of a query's nodes all that rounding leaves in doubt are scored again in
+double precision.
 
 Blocks, lists and choices are bounded whatever the data: a hub of the graph hands in a random choice of its many admirers
 each round, and a block of one signature is split by a hash.
@@ -42,21 +43,21 @@ def _fine(name: str):
 
 
 def _unit(rows: DataFrame) -> DataFrame:
-    """(node, unit): unit vectors as packed half floats, of (node, vec)."""
+    """(node, unit): unit vectors as packed 32-bit floats, of (node, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = np.stack([np.array(v, np.float64) for v in b.column("vec").to_pylist()])
                 x = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float64)
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "unit"])
 
     return rows.select("node", "vec").mapInArrow(run, "node long, unit binary")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
@@ -136,7 +137,7 @@ def _met(t: pa.Table, k: int) -> pa.Table:
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
-    """(u, v, s): the cosine of the half-precision unit vectors a and b."""
+    """(u, v, s): the cosine of the unit vectors a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +171,7 @@ def _joined_up(graph: DataFrame, nodes: DataFrame, n: int, k: int, blocks: int,
     return _merged(graph.union(found), k, blocks)
 
 
-def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 4, rows: int = 384, stop: float = 0.03, most: int = 10, seed: int = 11) -> DataFrame:
+def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 2, rows: int = 128, stop: float = 0.03, most: int = 10, seed: int = 11) -> DataFrame:
     """The graph (u, v, s, fresh) of the k nearest nodes found for each of nodes (node, unit), as a scratch table."""
     n = nodes.count()
     blocks = max(1, -(-n // 1500))
@@ -216,7 +217,7 @@ def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320
         qs, vs, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for q, ask, least, ws in zip(*(wanted.column(c).to_pylist() for c in ("q", "question", "least", "ws")), strict=True):
             w = np.array(ws, np.int64)
-            s = x[np.searchsorted(ids, w)] @ np.frombuffer(ask, np.float16).astype(np.float32)
+            s = x[np.searchsorted(ids, w)] @ np.frombuffer(ask, np.float32)
             good = s > least
             qs.append(np.full(int(good.sum()), q))
             vs.append(w[good])
@@ -240,13 +241,14 @@ def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320
     return state.select("q", "v", "s")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = 320, again: int = 24) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = 320) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id in queries its k nearest other rows found, by cosine in double precision.
 
     queries has the ids in a column named query_id. Nearest first, ties to the smaller vec_id; all other rows where there
     are fewer than k. Rows that `usable` leaves out take no part, as candidate or query. Of equal vectors all rows count:
     k + 1 of the smallest ids of each node stand for it, which is exact, since equal vectors tie and ties go to smaller
-    ids. The best `again` nodes of a query are scored anew on the original vectors.
+    ids. Of the nodes found, all that can be among the k best within the error of 32-bit products are scored anew on the
+    original vectors.
     """
     rows = materialise(usable(vectors, id_col, vec_col))
     reps = materialise(rows.groupBy("vec").agg(F.min("id").alias("node")))
@@ -255,8 +257,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     asked = member.join(queries.select(F.col("query_id").alias("id")).distinct(), "id").select("id", "node")
     graph = build(nodes)
     found = search(graph, nodes, asked, beam)
+    size = reps.select(F.size("vec")).first()
+    error = ((size[0] if size else 0) + 4) * 2.0**-23  # twice the bound of a product's error, for two products
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))
-    top = found.withColumn("place", place).where(F.col("place") <= again).select("q", F.col("v").alias("node"))
+    worst = F.min(F.when(F.col("place") <= k, F.col("s"))).over(Window.partitionBy("q"))
+    top = found.withColumn("place", place).withColumn("worst", worst).where(F.col("s") >= F.col("worst") - error).select("q", F.col("v").alias("node"))
     top = top.union(asked.select(F.col("node").alias("q"), "node").distinct())
     stand = member.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("place") <= k + 1).select("node", F.col("id").alias("vec_id"))
     scored = _exact(top.join(reps.select(F.col("node").alias("q"), F.col("vec").alias("a")), "q").join(reps.select("node", F.col("vec").alias("b")), "node"))

@@ -266,6 +266,21 @@ def test_nearest_of_outliers_beside_a_cone(spark):
     assert hit / len(got) >= 0.9
 
 
+def test_nearest_in_dense_groups(spark):
+    """Hundreds of near copies of one vector, closer together than half precision tells apart."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1800, 32))
+    x[1400:] = x[7] + 0.02 * rng.standard_normal((400, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, table.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"))).toPandas()
+    u, hit = x / np.linalg.norm(x, axis=1, keepdims=True), {True: [], False: []}
+    for q, g in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -9
+        hit[q >= 1400].append(len(set(np.argsort(-s)[:5]) & set(g.vec_id)) / 5)
+    assert len(hit[True]) == 16 and np.mean(hit[True]) >= 0.95 and np.mean(hit[False]) >= 0.9
+
+
 # chat formatting
 
 
