@@ -73,20 +73,31 @@ def release(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
-def rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], most: int = 200) -> DataFrame:
+def rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], bool]) -> DataFrame:
     """Apply step until changed(before, after) is false; every round's state is written, so plans stay short.
 
-    Raises if `most` rounds don't suffice: a result that hasn't converged is never returned.
+    The steps must move towards a fixed point; how many rounds that takes is the data's affair, so there is no cap.
     """
     now = materialise(state)
-    for _ in range(most):
+    while True:
         after = materialise(step(now))
         go_on = changed(now, after)
         release(now)
         now = after
         if not go_on:
             return now
-    raise RuntimeError(f"no fixed point after {most} rounds")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `place`, its rows' places from 0 in the given order: sorted by range, with one count for each partition sent to the
+    driver. The result reads a scratch table."""
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    before, n = [], 0
+    for k, size in sorted((r.part, r["count"]) for r in placed.groupBy(part.alias("part")).count().collect()):
+        before += [F.lit(k).cast("long"), F.lit(n).cast("long")]
+        n += size
+    return placed.withColumn("place", F.create_map(*before)[part] + row) if n else placed
 
 
 def grid(*axes: tuple[str, int, int]) -> list[tuple[int, ...]]:

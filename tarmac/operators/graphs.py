@@ -133,6 +133,29 @@ def prune_short(edges: DataFrame, least: float, both: bool) -> DataFrame:
     return rows.where(~(dead & (F.col("size") < least))).drop("a", "b")
 
 
+def extend_to_border(nodes: DataFrame, edges: DataFrame, frame: tuple[float, float, float, float], least: float = 2.0, reach: float = 40.0) -> DataFrame:
+    """(node, bx, b_y): where dead ends at least `least` inside the frame meet its border when lengthened by `reach`.
+
+    The borders count in the order top (least y), left, right, bottom; the first that the ray crosses has the new vertex. A dead
+    end whose only edge has no length has no direction and no row.
+    """
+    ends = with_ends(nodes, edges)
+    a = ends.select(F.col("src").alias("node"), F.col("x1").alias("fx"), F.col("y1").alias("fy"), "x", "y")
+    b = ends.select(F.col("dst").alias("node"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    dead = a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi")
+    x0, y0, x1, y1 = frame
+    inside = F.col("x").between(x0 + least, x1 - least) & F.col("y").between(y0 + least, y1 - least)
+    ray = G.extend((G.pt("fx", "fy"), G.pt("x", "y")), reach)[1]
+    rows = dead.where(inside).withColumn("ex", ray[0]).withColumn("ey", ray[1]).where("ex is not null")
+    part = lambda line, at, to: (F.lit(line) - F.col(at)) / F.nullif(F.col(to) - F.col(at), F.lit(0.0))
+    along = lambda at, to, t: F.col(at) + (F.col(to) - F.col(at)) * t
+    hits = []
+    for out, line, across in ((F.col("ey") < y0, y0, False), (F.col("ex") < x0, x0, True), (F.col("ex") > x1, x1, True), (F.col("ey") > y1, y1, False)):
+        x, y = (F.lit(line), along("y", "ey", part(line, "x", "ex"))) if across else (along("x", "ex", part(line, "y", "ey")), F.lit(line))
+        hits.append(F.when(out & x.between(x0, x1) & y.between(y0, y1), F.struct(x.alias("bx"), y.alias("b_y"))))
+    return rows.withColumn("hit", F.coalesce(*hits)).where("hit is not null").select("node", "hit.bx", "hit.b_y")
+
+
 def osm_to_edges(ways: DataFrame, nodes: DataFrame, shut_out: list[str]) -> DataFrame:
     """(way_id, src, dst, width, highway) of ways with a highway tag outside a list: consecutive known nodes, by oneway rules.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, release, rounds
+from tarmac.core import materialise, offsets, release, rounds
 from tarmac.functions import geometry as G
 from tarmac.operators.components import components
 from tarmac.operators.graphs import degrees, with_ends
@@ -40,18 +40,19 @@ def set_overlap_merge(members: DataFrame, group: str, member: str) -> DataFrame:
     return members.select(group).distinct().join(found, F.col(group) == found["node"], "left").select(group, F.coalesce("component", group).alias("merged"))
 
 
-def contract_chains(edges: DataFrame) -> DataFrame:
+def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """(src, dst, road, seq): directed edges in maximal chains through nodes with one way on (turning back left out).
 
     Each edge has at most one successor; pointers double every round, so chains of length n take log n rounds. A road is
-    named by its first edge; a closed loop starts at its least edge.
+    named by its first edge; a closed loop starts at its least edge. With `through` (node) chains go on only through its nodes.
     """
     e = edges.select("src", "dst").distinct()
     nxt = e.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     on = e.join(nxt, "dst").where(F.col("to") != F.col("src"))
+    on = on if through is None else on.join(through.select(F.col("node").alias("dst")), "dst", "left_semi")
     only = on.groupBy("src", "dst").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").select(F.struct("src", "dst").alias("e"), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst")).alias("succ"))
     into = only.groupBy("succ").agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
-    back = into.select(F.col("succ").alias("e"), F.col("e").alias("prev"))
+    back = materialise(into.select(F.col("succ").alias("e"), F.col("e").alias("prev")))
     start = e.select(F.struct("src", "dst").alias("e")).join(back, "e", "left").select("e", F.coalesce("prev", "e").alias("p"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least(F.col("e"), F.coalesce("prev", "e")).alias("low"))
 
     def step(s: DataFrame) -> DataFrame:
@@ -71,42 +72,38 @@ def contract_chains(edges: DataFrame) -> DataFrame:
         release(before)
     rows = now.join(heads, "p", "left")
     line = rows.where("head").select("e", F.col("p").alias("road"), F.col("d").alias("seq"))
-    loop = rows.where("head is null").select("e", F.col("low").alias("road"))
-    # in a loop, the place is the distance from its least edge: walk by rounds from there
-    succ = only.select(F.col("e").alias("e"), "succ")
-    state = loop.where("e = road").select("e", "road", F.lit(0).cast("long").alias("seq"), F.lit(True).alias("fresh"))
-
-    def walk(s: DataFrame) -> DataFrame:
-        new = s.where("fresh").join(succ, "e").select(F.col("succ").alias("e"), "road", (F.col("seq") + 1).alias("seq"), F.lit(True).alias("fresh")).join(s.select("e"), "e", "left_anti")
-        return s.withColumn("fresh", F.lit(False)).unionByName(new)
-
-    around = rounds(state, walk, lambda a, b: not b.where("fresh").isEmpty(), 100_000).drop("fresh")
+    # a loop is cut before its least edge, and then is a line
+    loop = rows.where("head is null").select("e", F.col("low").alias("road")).join(back, "e")
+    first = F.col("e") == F.col("road")
+    opened = loop.select("e", F.when(first, F.col("e")).otherwise(F.col("prev")).alias("p"), F.when(first, 0).otherwise(1).cast("long").alias("d"), F.col("road").alias("low"))
+    around = rounds(opened, step, lambda a, b: not b.where("p <> low").isEmpty()).select("e", F.col("low").alias("road"), F.col("d").alias("seq"))
     return line.unionByName(around).select("e.src", "e.dst", F.concat_ws("-", F.col("road.src").cast("string"), F.col("road.dst").cast("string")).alias("road"), "seq")
 
 
 def simplify_lines(points: DataFrame, key: str, epsilon: float) -> DataFrame:
     """Points that stay when each line is split at its farthest point while that is epsilon or more off the chord.
 
-    All open ranges of all lines are looked at in each round; the rounds end when no range splits.
+    Every open point carries the ends of its range, so a round is one aggregation of the open points and a join of the
+    cuts; points of ranges that don't split drop out.
     """
-    span = points.groupBy(key).agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    start = span.select(key, "a", "b", F.lit(True).alias("open"))
-    at = lambda n, x, y: points.select(key, F.col("pos").alias(n), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
+    p = points.select(key, "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    end = F.struct("pos", "x", "y")
+    ends = p.groupBy(key).agg(F.min(end).alias("a"), F.max(end).alias("b"))
+    kept = ends.select(key, F.explode(F.array("a.pos", "b.pos")).alias("pos")).distinct()
+    open_ = p.join(ends, key).where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
+    state = open_.select(key, "pos", "x", "y", "a", "b").unionByName(kept.select(key, "pos"), allowMissingColumns=True)
 
     def step(state: DataFrame) -> DataFrame:
-        live = state.where("open")
-        rows = live.join(points.select(key, "pos", "x", "y"), key).where((F.col("pos") > F.col("a")) & (F.col("pos") < F.col("b")))
-        rows = rows.join(at("a", "ax", "ay"), [key, "a"]).join(at("b", "bx", "by"), [key, "b"])
-        far = G.segment_distance((G.pt("ax", "ay"), G.pt("bx", "by")), G.pt("x", "y"))
-        worst = rows.withColumn("far", far).groupBy(key, "a", "b").agg(F.max(F.struct("far", (-F.col("pos")).alias("back"))).alias("w")).where(F.col("w.far") >= epsilon)
-        cut = worst.select(key, "a", "b", (-F.col("w.back")).alias("m"))
-        halves = cut.select(key, F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("h")).select(key, "h.a", "h.b", F.lit(True).alias("open"))
-        rest = live.join(cut, [key, "a", "b"], "left_anti").withColumn("open", F.lit(False))
-        return state.where(~F.col("open")).unionByName(rest).unionByName(halves)
+        live = state.where("a is not null")
+        far = G.segment_distance((G.pt("a.x", "a.y"), G.pt("b.x", "b.y")), G.pt("x", "y"))
+        worst = live.withColumn("far", far).groupBy(key, "a", "b").agg(F.max(F.struct("far", (-F.col("pos")).alias("back"), "x", "y")).alias("w")).where(F.col("w.far") >= epsilon)
+        cut = worst.select(key, "a", "b", F.struct((-F.col("w.back")).alias("pos"), "w.x", "w.y").alias("m"))
+        left = F.col("pos") < F.col("m.pos")
+        inside = live.join(cut, [key, "a", "b"]).where(F.col("pos") != F.col("m.pos")).select(key, "pos", "x", "y", F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(left, F.col("m")).otherwise(F.col("b")).alias("b"))
+        return state.where("a is null").unionByName(inside).unionByName(cut.select(key, F.col("m.pos").alias("pos")), allowMissingColumns=True)
 
-    done = rounds(start, step, lambda x, y: not y.where("open").isEmpty())
-    kept = done.select(key, F.col("a").alias("pos")).union(done.select(key, "b")).distinct()
-    return points.join(kept, [key, "pos"], "left_semi")
+    done = rounds(state, step, lambda x, y: not y.where("a is not null").isEmpty())
+    return points.join(done.select(key, "pos"), [key, "pos"], "left_semi")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: float) -> DataFrame:
@@ -126,15 +123,22 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: float) -> DataFra
 
 
 def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target, step, node): the way back from each target to its source, the source left out."""
-    pred = found.select("source", "node", "pred").where("pred is not null")
-    start = targets.join(pred.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node"), F.lit(True).alias("fresh"))
+    """(source, target, step, node): the way back from each target to its source, the source left out.
 
-    def step(state: DataFrame) -> DataFrame:
-        back = state.where("fresh").join(pred, ["source", "node"]).select("source", "target", (F.col("step") + 1).alias("step"), F.col("pred").alias("node"), F.lit(True).alias("fresh")).where("node <> source")
-        return state.withColumn("fresh", F.lit(False)).unionByName(back)
-
-    return rounds(start, step, lambda a, b: not b.where("fresh").isEmpty()).drop("fresh")
+    Jumps double every round: a way of n nodes takes log n rounds.
+    """
+    jump = materialise(found.where("pred is not null and pred <> source").select("source", "node", F.col("pred").alias("to")))
+    ways = materialise(targets.join(found.where("pred is not null").select("source", F.col("node").alias("target")), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
+    reach = 1
+    while True:
+        more = materialise(ways.join(jump, ["source", "node"]).select("source", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node")))
+        if more.isEmpty():
+            return ways
+        both = materialise(ways.unionByName(more))
+        further = materialise(jump.join(jump.select("source", F.col("node").alias("to"), F.col("to").alias("beyond")), ["source", "to"]).select("source", "node", F.col("beyond").alias("to")))
+        for old in (ways, more, jump):
+            release(old)
+        ways, jump, reach = both, further, 2 * reach
 
 
 def follow_distance(edges: DataFrame, sources: DataFrame, length: float) -> DataFrame:
@@ -158,19 +162,45 @@ def follow_distance(edges: DataFrame, sources: DataFrame, length: float) -> Data
 
 
 def trace_edges(adjacency: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(tile_id, road, n, length): chains of skeleton pixels between pixels that aren't paths, as undirected multi-edges.
+    """(tile_id, road, n, length, points): chains of skeleton pixels between pixels that aren't paths, as undirected multi-edges.
 
-    Two edges belong to one chain if they share a path pixel; a chain is named by its least edge.
+    A chain is named by its least edge; points are its pixels (x, y) in order, of the two directions the lesser one. A closed
+    loop of path pixels is cut at its least edge and ends where it began. A chain is one row, as large as its tile at most.
     """
-    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    e = adjacency.select("tile_id", p("x", "y").alias("u"), p("x1", "y1").alias("v")).withColumn("id", F.struct("tile_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
-    size = F.sqrt(F.pow(F.col("u.x") - F.col("v.x"), 2) + F.pow(F.col("u.y") - F.col("v.y"), 2))
-    path = kinds.where("kind = 'path'").select("tile_id", p("x", "y").alias("w"))
-    ends = e.select("tile_id", "id", F.col("u").alias("w")).union(e.select("tile_id", "id", F.col("v").alias("w"))).join(path, ["tile_id", "w"], "left_semi")
-    links = ends.groupBy("tile_id", "w").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
-    found = components(links)
-    rows = e.withColumn("size", size).join(found, e["id"] == found["node"], "left").withColumn("road", F.coalesce("component", "id"))
-    return rows.groupBy("tile_id", "road").agg(F.count("*").alias("n"), F.sum("size").alias("length"))
+    p = lambda x, y: F.struct("tile_id", F.col(x).alias("x"), F.col(y).alias("y"))
+    e = adjacency.select(p("x", "y").alias("src"), p("x1", "y1").alias("dst"))
+    path = kinds.where("kind = 'path'").select(p("x", "y").alias("node"))
+    chains = contract_chains(e.union(e.select("dst", "src")), path)
+    size = F.sqrt(F.pow(F.col("src.x") - F.col("dst.x"), 2) + F.pow(F.col("src.y") - F.col("dst.y"), 2))
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    name = F.struct(F.col("src.tile_id").alias("tile_id"), F.struct(a["x"].alias("x"), a["y"].alias("y")).alias("a"), F.struct(b["x"].alias("x"), b["y"].alias("y")).alias("b"))
+    steps = F.array_sort(F.collect_list(F.struct("seq", "src", "dst")))
+    flat = lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))
+    points = F.concat(F.array(flat(steps[0]["src"])), F.transform(steps, lambda q: flat(q["dst"])))
+    one = chains.withColumn("name", name).withColumn("size", size).groupBy("road").agg(F.min("name").alias("name"), F.count("*").alias("n"), F.sum("size").alias("length"), points.alias("points"))
+    both = one.groupBy("name").agg(F.min("n").alias("n"), F.min("length").alias("length"), F.min("points").alias("points"))
+    return both.select("name.tile_id", F.col("name").alias("road"), "n", "length", "points")
+
+
+def prune_roads(nodes: DataFrame, edges: DataFrame, frame: tuple[float, float, float, float], one: float = 80.0, both: float = 400.0, margin: float = 20.0) -> DataFrame:
+    """The undirected edges (src, dst, size) without short roads that end dead inside the frame.
+
+    A road is a chain between crossings and dead ends. It goes if both its ends lie at least `margin` inside the frame, and
+    it is shorter than `one` with a dead end, or shorter than `both` with two. One snapshot decides.
+    """
+    from tarmac.operators.graphs import make_bidirectional
+
+    chains = contract_chains(make_bidirectional(edges.select("src", "dst")))
+    sized = chains.join(edges.select("src", "dst", "size").union(edges.select("dst", "src", "size")), ["src", "dst"])
+    roads = sized.groupBy("road").agg(F.sum("size").alias("length"), F.min_by("src", "seq").alias("first"), F.max_by("dst", "seq").alias("last"))
+    x0, y0, x1, y1 = frame
+    inside = F.col("x").between(x0 + margin, x1 - margin) & F.col("y").between(y0 + margin, y1 - margin)
+    ends = nodes.select("node_id", inside.alias("inside")).join(degrees(edges), F.col("node_id") == F.col("node")).select("node", "inside", (F.col("n") == 1).alias("dead"))
+    at = lambda c: ends.select(F.col("node").alias(c), F.col("inside").alias(f"{c}_in"), F.col("dead").alias(f"{c}_dead"))
+    rows = roads.join(at("first"), "first").join(at("last"), "last").where("first_in and last_in")
+    bad = rows.where((F.col("first_dead") | F.col("last_dead")) & (F.col("length") < one) | F.col("first_dead") & F.col("last_dead") & (F.col("length") < both))
+    gone = sized.join(bad.select("road"), "road", "left_semi").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return edges.join(gone, ["src", "dst"], "left_anti")
 
 
 def connect_terminals(nodes: DataFrame, edges: DataFrame, near: float = 20.0, far: float = 100.0, offset: float = 20.0, angle: float = 20.0) -> DataFrame:
@@ -216,8 +246,8 @@ def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0) -> DataF
     return best.select("node", "b.src", "b.dst", "b.at_x", "b.at_y", "b.far")
 
 
-def ray_connect(ends: DataFrame, roads: DataFrame, probability: DataFrame, most: float, least: float, angles: tuple[int, ...] = (0, 5, -5, 10, -10)) -> DataFrame:
-    """(tile_id, end_id, angle, k, x, y): where rays from line ends, in half-pixel steps, first meet another line's pixel.
+def ray_connect(ends: DataFrame, roads: DataFrame, probability: DataFrame, most: float, least: float, angles: tuple[int, ...] = (0, 5, -5, 10, -10, 15, -15, 20, -20, 25, -25), r: int = 0) -> DataFrame:
+    """(tile_id, end_id, angle, k, x, y): where rays from line ends, in half-pixel steps, first come within r of another line's pixel.
 
     ends: tile_id, end_id, road, x, y, fx, fy (the point before the end); roads: tile_id, x, y, road; probability: tile_id,
     x, y, v. A ray counts if the mean probability of the pixels on its way is over `least`; the first angle in order wins.
@@ -227,8 +257,11 @@ def ray_connect(ends: DataFrame, roads: DataFrame, probability: DataFrame, most:
     rows = ends.select("tile_id", "end_id", F.col("road").alias("own"), "x", "y", "fx", "fy", turns).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(2 * most)))))
     to = heading + F.radians("angle")
     rows = rows.select("tile_id", "end_id", "own", "rank", "angle", "k", F.rint(F.col("x") + F.cos(to) * F.col("k") / 2).cast("long").alias("x"), F.rint(F.col("y") + F.sin(to) * F.col("k") / 2).cast("long").alias("y"))
-    rows = rows.join(roads.select("tile_id", "x", "y", "road"), ["tile_id", "x", "y"], "left").join(probability.select("tile_id", "x", "y", "v"), ["tile_id", "x", "y"], "left")
-    hit = F.col("road").isNotNull() & (F.col("road") != F.col("own"))
+    near = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
+    wide = roads.select("tile_id", "x", "y", "road", offsets("o", near)).select("tile_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "road")
+    wide = wide.groupBy("tile_id", "x", "y").agg(F.collect_set("road").alias("roads"))
+    rows = rows.join(wide, ["tile_id", "x", "y"], "left").withColumn("road", F.array_min(F.array_remove("roads", F.col("own")))).join(probability.select("tile_id", "x", "y", "v"), ["tile_id", "x", "y"], "left")
+    hit = F.col("road").isNotNull()
     w = Window.partitionBy("tile_id", "end_id", "rank")
     rows = rows.withColumn("stop", F.min(F.when(hit, F.col("k"))).over(w)).where("k <= stop")
     per = rows.groupBy("tile_id", "end_id", "rank", "angle", "stop").agg(F.avg(F.when(F.col("k") < F.col("stop"), F.coalesce("v", F.lit(0.0)))).alias("mean"), F.max(F.when(F.col("k") == F.col("stop"), F.struct("x", "y"))).alias("p"))

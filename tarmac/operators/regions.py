@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,23 +127,29 @@ def grid_cost_path(pixels: DataFrame, sources: DataFrame, most: float, size: int
 
 
 def greedy_cover(mask: DataFrame, r: float, size: int) -> DataFrame:
-    """Pixels taken in scan order, each clearing a disc of radius r around it.
+    """Pixels taken in scan order, each clearing a disc of radius r around it; `size` is a tile's side.
 
-    A round takes every live pixel that is the least of the live ones in its disc, and clears their discs; the outcome is
-    that of taking them one by one.
+    Which pixels stay depends on all before them, one after the other along a line, so each tile is scanned as a whole: a tile
+    is a group of bounded size, and tiles are spread over all tasks.
     """
-    around = [p for p in disc(r) if p != (0, 0)]
-    start = mask.select(*KEY, pixel_id(size).alias("id"), F.lit("live").alias("is"))
-
-    def step(state: DataFrame) -> DataFrame:
-        live = state.where("is = 'live'")
-        least = shifted(live, around, "id").groupBy(*KEY).agg(F.min("id").alias("m"))
-        take = live.join(least, KEY, "left").where(F.col("m").isNull() | (F.col("id") < F.col("m"))).select(*KEY, "id")
-        gone = shifted(take, [(0, 0), *around]).distinct()
-        rest = live.join(gone, KEY, "left_anti")
-        return state.where("is = 'kept'").unionByName(take.withColumn("is", F.lit("kept"))).unionByName(rest)
-
-    return rounds(start, step, lambda a, b: not b.where("is = 'live'").isEmpty()).select(*KEY)
+    reach = int(r)
+    near = np.array([[(x * x + y * y) <= r * r for x in range(-reach, reach + 1)] for y in range(reach + 1)])
+    near[0, :reach] = False  # what lies before a pixel in scan order has been looked at
+
+    def scan(t: pa.Table) -> pa.Table:
+        live = np.zeros((size + reach, size + 2 * reach), bool)
+        x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+        order = np.lexsort((x, y))
+        live[y, x + reach] = True
+        kept = []
+        for i, a, b in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+            if live[b, a + reach]:
+                kept.append(i)
+                live[b : b + reach + 1, a : a + 2 * reach + 1] &= ~near
+        return t.take(pa.array(kept, pa.int64()))
+
+    pixels = mask.select(*KEY).distinct()
+    return pixels.groupBy("tile_id").applyInArrow(scan, pixels.schema)
 
 
 def cover_graph(mask: DataFrame, cover: DataFrame, steps: int, size: int) -> DataFrame:

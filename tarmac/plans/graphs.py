@@ -92,8 +92,8 @@ def _kinds(s, d):
     return neighbour_count(X.mask(s, d)).select("tile_id", "x", "y", F.when(n == 0, "alone").when(n == 1, "end").when(n == 2, "path").otherwise("node").alias("kind"))
 
 
-# cleaning on the coarse lines of one kind: undirected distinct segments with their lengths
-_E = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) < 28)"
+# cleaning of the whole network: undirected distinct segments with their lengths
+_E = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads)"
 
 
 def _network(s, d):
@@ -102,18 +102,13 @@ def _network(s, d):
     return X.roads(s, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), size).distinct()
 
 
-def _sized(s, d):
-    """The roads shorter than 28 only, as in _E: for the queries held against that SQL."""
-    return _network(s, d).where("size < 28")
-
-
 _DEG = f"d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1)"
 for _name, _both, _least in (("prune_dead_end_edges", False, 26.0), ("prune_spurs", True, 26.0)):
     _dead = "least(a.n, b.n) = 1 AND greatest(a.n, b.n) > 2" if _both else "least(a.n, b.n) = 1"
     query(_name, f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE NOT ({_dead} AND size < {_least})")(
-        lambda s, d, b=_both, k=_least: H.prune_short(_sized(s, d), k, b).withColumn("size", r6(F.col("size"))))
-query("remove_hair", f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE least(a.n, b.n) > 1 OR size >= 25.5")(lambda s, d: H.prune_short(_sized(s, d), 25.5, False).withColumn("size", r6(F.col("size"))))
-# the same over the whole network, without SQL: held against plain Python
+        lambda s, d, b=_both, k=_least: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
+query("remove_hair", f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE least(a.n, b.n) > 1 OR size >= 25.5")(lambda s, d: H.prune_short(_network(s, d), 25.5, False).withColumn("size", r6(F.col("size"))))
+# under their former names too
 for _name, _least, _both in (("prune_dead_end_edges", 26.0, False), ("prune_spurs", 26.0, True), ("remove_hair", 25.5, False)):
     query(f"{_name}_whole")(lambda s, d, k=_least, b=_both: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
 query("osm_ways_to_edges", """
@@ -132,27 +127,15 @@ def _both_ways(r):
     return r.select(*cols("x", "y", "x1", "y1")).union(r.select(*cols("x1", "y1", "x", "y")))
 
 
+FRAME = (0.0, 0.0, 1000.0, 1300.0)
 query("extend_to_border", f"""
 WITH {_DEG}, e AS (SELECT src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM {_E} JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst),
 r AS (SELECT n.node AS node, CASE WHEN n.node = src THEN x1 ELSE x END AS fx, CASE WHEN n.node = src THEN y1 ELSE y END AS fy, CASE WHEN n.node = src THEN x ELSE x1 END AS x, CASE WHEN n.node = src THEN y ELSE y1 END AS y FROM d n JOIN e ON n.node IN (src, dst) WHERE n.n = 1),
-q AS (SELECT node, x, y, x+(x-fx)*40/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) AS ex, y+(y-fy)*40/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) AS ey FROM r)
-SELECT node, {R.format('CASE WHEN ex < 0 AND x >= 2 THEN 0 ELSE 1000 END')} AS bx, {R.format('y+(ey-y)*CASE WHEN ex < 0 AND x >= 2 THEN x/(x-ex) ELSE (1000-x)/(ex-x) END')} AS b_y FROM q WHERE (ex < 0 AND x >= 2) OR (ex > 1000 AND x <= 998)""")(lambda s, d: _to_border(s, d))
-
-
-def _to_border(s, d):
-    """Dead ends at least 2 off the left or right border: 40 long rays out of them that cross it, and where."""
-    e = _sized(s, d)
-    ends = H.with_ends(X.nodes(s, d), e)
-    a = ends.select(F.col("src").alias("node"), F.col("x1").alias("fx"), F.col("y1").alias("fy"), "x", "y")
-    b = ends.select(F.col("dst").alias("node"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    dead = a.union(b).join(H.degrees(e).where("n = 1").select("node"), "node", "left_semi")
-    ray = G.extend((G.pt("fx", "fy"), G.pt("x", "y")), 40.0)[1]
-    rows = dead.withColumn("ex", ray[0]).withColumn("ey", ray[1])
-    left, right = (F.col("ex") < 0) & (F.col("x") >= 2), (F.col("ex") > 1000) & (F.col("x") <= 998)
-    t = F.when(left, F.col("x") / F.nullif(F.col("x") - F.col("ex"), F.lit(0.0))).otherwise((1000 - F.col("x")) / F.nullif(F.col("ex") - F.col("x"), F.lit(0.0)))
-    return rows.where(left | right).select("node", r6(F.when(left, 0.0).otherwise(1000.0)).alias("bx"), r6(F.col("y") + (F.col("ey") - F.col("y")) * t).alias("b_y"))
-
-
+q AS (SELECT node, x, y, x+(x-fx)*40/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) AS ex, y+(y-fy)*40/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) AS ey FROM r WHERE x BETWEEN 2 AND 998 AND y BETWEEN 2 AND 1298 AND (x <> fx OR y <> fy)),
+h AS (SELECT node, 1 AS k, x+(ex-x)*y/(y-ey) AS bx, 0.0::DOUBLE AS b_y FROM q WHERE ey < 0 UNION ALL SELECT node, 2, 0.0::DOUBLE, y+(ey-y)*x/(x-ex) FROM q WHERE ex < 0
+  UNION ALL SELECT node, 3, 1000.0::DOUBLE, y+(ey-y)*(1000-x)/(ex-x) FROM q WHERE ex > 1000 UNION ALL SELECT node, 4, x+(ex-x)*(1300-y)/(ey-y), 1300.0::DOUBLE FROM q WHERE ey > 1300)
+SELECT node, {R.format('arg_min(bx, k)')} AS bx, {R.format('arg_min(b_y, k)')} AS b_y FROM h WHERE bx BETWEEN 0 AND 1000 AND b_y BETWEEN 0 AND 1300 GROUP BY node""")(
+    lambda s, d: H.extend_to_border(X.nodes(s, d), _network(s, d), FRAME).select("node", r6(F.col("bx")).alias("bx"), r6(F.col("b_y")).alias("b_y")))
 query("neighbours", "SELECT DISTINCT node, other FROM (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges)")(lambda s, d: X.edges(s, d).select(F.col("src").alias("node"), F.col("dst").alias("other")).union(X.edges(s, d).select("dst", "src")).distinct())
 query("opposite_road", "SELECT src, dst, EXISTS (SELECT 1 FROM edges b WHERE b.src = a.dst AND b.dst = a.src) OR src % 2 = 0 AS paired, (SELECT count(*) FROM edges b WHERE b.src = a.dst) AS n_out, (SELECT count(*) FROM edges b WHERE b.dst = a.src) AS n_in FROM edges a")(lambda s, d: _road_links(X.edges(s, d)))
 

@@ -15,7 +15,7 @@ from tarmac.operators import rasterise as Z
 from tarmac.operators import regions as C
 from tarmac.operators.polylines import cumulative_length
 from tarmac.plans.catalog import R, query, r6
-from tarmac.plans.graphs import _kinds, _network, _sized
+from tarmac.plans.graphs import FRAME, _kinds, _network
 from tarmac.sources import fixtures as X
 
 ADJ8 = "abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1"
@@ -62,7 +62,7 @@ def _traced(s, d):
     n = F.col("n")
     kinds = O.neighbour_count(thin).select(*O.KEY, F.when(n == 2, "path").otherwise("node").alias("kind"))
     rows = P.trace_edges(H.pixel_adjacency(thin), kinds)
-    return rows.select("tile_id", F.concat_ws(",", F.col("road.a.x").cast("string"), F.col("road.a.y").cast("string"), F.col("road.b.x").cast("string"), F.col("road.b.y").cast("string")).alias("road"), "n", r6(F.col("length")).alias("length"))
+    return rows.select("tile_id", F.concat_ws(",", F.col("road.a.x").cast("string"), F.col("road.a.y").cast("string"), F.col("road.b.x").cast("string"), F.col("road.b.y").cast("string")).alias("road"), "n", r6(F.col("length")).alias("length"), F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ").alias("points"))
 
 
 query("contract_chains")(lambda s, d: P.contract_chains(H.make_bidirectional(_network(s, d).select("src", "dst"))))
@@ -77,10 +77,10 @@ def _sources(s, d):
     return X.nodes(s, d).select(F.col("node_id").alias("source"))
 
 
-_W = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads WHERE sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) < 28)"
+_W = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads)"
 _WB = f"w AS (SELECT src, dst, size FROM {_W} UNION ALL SELECT dst, src, size FROM {_W})"
 query("shortest_paths", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
-    lambda s, d: P.shortest_paths(_weighted(_sized(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
+    lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
 query("shortest_paths_whole")(lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
 query("path_to")(lambda s, d: _walked(s, d))
 
@@ -93,6 +93,7 @@ def _walked(s, d):
 
 query("follow_distance")(lambda s, d: P.follow_distance(_weighted(_network(s, d)), _sources(s, d), 70.0).withColumn("along", r6(F.col("along"))))
 query("connect_terminals")(lambda s, d: P.connect_terminals(X.nodes(s, d), _network(s, d), near=60.0, far=200.0).withColumn("distance", r6(F.col("distance"))))
+query("prune_roads")(lambda s, d: P.prune_roads(X.nodes(s, d), _network(s, d), FRAME).withColumn("size", r6(F.col("size"))))
 query("connect_up")(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
 
 

@@ -66,7 +66,7 @@ def valid_data_mask(s, d):
     return X.cube(s, d).groupBy("tile_id", "x", "y").agg(F.max("v").alias("m")).where(F.col("m") > 0).drop("m")
 
 
-@query("nodata_mask", "SELECT a.tile_id, a.x, a.y, CASE WHEN b.v < -0.1 THEN 0 ELSE a.v END AS v FROM pix a JOIN cube b ON a.tile_id = b.tile_id AND a.x = b.x AND a.y = b.y AND b.model = 1")
+@query("nodata_mask", "SELECT tile_id, x, y, CASE WHEN round(v * (1 + 0.1::DOUBLE * 1) + 1.3e-8::DOUBLE, 6) < -0.1 THEN 0 ELSE v END AS v FROM pix")
 def nodata_mask(s, d):
     other = X.cube(s, d).where(F.col("model") == 1).select("tile_id", "x", "y", F.col("v").alias("dsm"))
     return X.pix(s, d).join(other, O.KEY).select("tile_id", "x", "y", F.when(F.col("dsm") < -0.1, 0.0).otherwise(F.col("v")).alias("v"))

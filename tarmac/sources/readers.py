@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarmac.core import numbered
+
 
 def wkt_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(image_id, wkt) of label files, whose quoted texts hold commas; further columns are left out."""
@@ -133,7 +135,12 @@ def geojson_roads(spark: SparkSession, path: str) -> DataFrame:
 
 def natural_key(text: Column) -> Column:
     """A key that sorts digits in a text as numbers."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]+$"), _counted(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "")
+
+
+def _counted(digits: Column) -> Column:
+    """Digits behind their own number, so that longer ones sort after shorter ones, whatever their length."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
 
 
 def labelled_folders(paths: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
@@ -142,6 +149,7 @@ def labelled_folders(paths: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     for s in suffixes:
         ok = ok | F.endswith("path", F.lit(s))
     rows = paths.where(ok).select("path", F.element_at(F.split("path", "/"), -2).alias("label"))
-    names = rows.select("label").distinct()
-    ranked = names.alias("a").join(names.alias("b"), natural_key(F.col("b.label")) < natural_key(F.col("a.label")), "left").groupBy(F.col("a.label").alias("label")).agg(F.count("b.label").cast("int").alias("class_id"))
+    placed = numbered(rows.select("label").distinct().withColumn("key", natural_key(F.col("label"))), "key", "label")
+    first = placed.groupBy("key").agg(F.min("place").cast("int").alias("class_id"))  # labels that sort alike share a class
+    ranked = placed.join(first, "key").select("label", "class_id")
     return rows.join(ranked, "label").select("path", "label", "class_id")

@@ -129,6 +129,48 @@ def test_contract_chains_with_branch_and_loop(spark):
     assert [(10, 11), (11, 12), (12, 10)] in chains and [(10, 12), (12, 11), (11, 10)] in chains
 
 
+def test_contract_chains_of_a_long_loop(spark):
+    n = 10_000
+    edges = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src long, dst long")
+    got = {(r.src, r.dst): r.seq for r in paths.contract_chains(edges).collect()}
+    assert got == {(i, (i + 1) % n): i for i in range(n)}
+
+
+def test_path_to_over_many_nodes(spark):
+    n = 1000
+    found = spark.createDataFrame([(0, i, float(i), i - 1 if i else None) for i in range(n)], "source long, node long, dist double, pred long")
+    got = {r.step: r.node for r in paths.path_to(found, spark.createDataFrame([(0, n - 1), (0, 1), (0, 0)], "source long, target long")).where(f"target = {n - 1}").collect()}
+    assert got == {k: n - 1 - k for k in range(n - 1)}
+
+
+def test_greedy_cover_of_a_whole_tile(spark):
+    size = 1300
+    line = spark.createDataFrame([(1, i, 7) for i in range(size)] + [(1, 9, i) for i in range(size)], "tile_id long, x int, y int")
+    live, want = {(i, 7) for i in range(size)} | {(9, i) for i in range(size)}, set()
+    for p in sorted(live, key=lambda q: (q[1], q[0])):
+        if p in live:
+            want.add(p)
+            live -= {(p[0] + a, p[1] + b) for a in range(-10, 11) for b in range(-10, 11) if a * a + b * b <= 100}
+    assert back(regions.greedy_cover(line, 10.0, size)) == {1: want}
+
+
+def test_trace_edges(spark):
+    """A crossing with three arms, one of them back into a loop, and a ring without a crossing."""
+    arms = [[(5, 5), (4, 5), (3, 5), (2, 5)], [(5, 5), (5, 4), (5, 3)], [(5, 5), (6, 5), (7, 5), (8, 5), (9, 5)]]
+    ring = [(20, 20), (21, 20), (22, 21), (21, 22), (20, 22), (19, 21)]
+    pairs = [(0, *a, *b) for line in [*arms, [*ring, ring[0]]] for a, b in zip(line, line[1:], strict=False)]
+    ends = {(5, 5), (2, 5), (5, 3), (9, 5)}
+    pixels = {p for line in [*arms, ring] for p in line}
+    kinds = spark.createDataFrame([(0, *p, "node" if p in ends else "path") for p in pixels], "tile_id long, x int, y int, kind string")
+    got = paths.trace_edges(spark.createDataFrame(pairs, "tile_id long, x int, y int, x1 int, y1 int"), kinds).collect()
+    lines = [[(p.x, p.y) for p in r.points] for r in got]
+    want = [min(a, a[::-1]) for a in arms]
+    assert sorted(x for x in lines if x[0] != x[-1]) == sorted(want)
+    (loop,) = [x for x in lines if x[0] == x[-1]]
+    assert len(loop) == 7 and set(loop) == set(ring) and all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(loop, loop[1:], strict=False))
+    assert sorted(r.n for r in got) == [2, 3, 4, 6] and all(abs(r.length - sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(x, x[1:], strict=False))) < 1e-9 for r, x in zip(got, lines, strict=True))
+
+
 def test_contract_chains_of_long_lines(spark):
     """Lines of many lengths, numbered at random, so that least edges lie anywhere."""
     rng, und, at = random.Random(8), [], 0

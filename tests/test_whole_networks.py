@@ -6,6 +6,7 @@ import math
 import pytest
 
 import __spark_entry__  # noqa: F401
+from tarmac.operators import paths
 from tarmac.plans.catalog import QUERIES
 from tarmac.sources import fixtures
 
@@ -87,3 +88,24 @@ def test_only_true_dead_ends_are_joined(spark, data, net, name, cols):
     n = degrees(net)
     for r in QUERIES[name](spark, data).collect():
         assert all(n[r[c]] == 1 for c in cols)
+
+
+@pytest.mark.parametrize("frame, margin", [((0.0, 0.0, 1000.0, 1300.0), 20.0), ((-9.0, -9.0, 1000.0, 1300.0), 0.0)])
+def test_prune_roads(spark, data, net, frame, margin):
+    at = {r.node_id: (r.x, r.y) for r in fixtures.nodes(spark, data).collect()}
+    n, ways = degrees(net), around(net)
+    inside = lambda v: all(frame[k] + margin <= at[v][k] <= frame[k + 2] - margin for k in (0, 1))
+    gone, done = set(), set()
+    for v in ways:
+        for w, _ in ways[v] if n[v] != 2 else []:
+            road = [v, w]
+            while n[road[-1]] == 2 and road[-1] != v:
+                road.append(next(b for b, _ in ways[road[-1]] if b != road[-2]))
+            es = [(min(e), max(e)) for e in zip(road, road[1:], strict=False)]
+            size, dead = sum(net[e] for e in es), [n[road[0]] == 1, n[road[-1]] == 1]
+            if inside(road[0]) and inside(road[-1]) and (any(dead) and size < 80 or all(dead) and size < 400):
+                gone.update(es)
+    edges = spark.createDataFrame([(*e, w) for e, w in net.items()], "src long, dst long, size double")
+    got = {(r.src, r.dst) for r in paths.prune_roads(fixtures.nodes(spark, data), edges, frame, margin=margin).collect()}
+    assert got == set(net) - gone and (gone or margin)
+    assert margin == 0 or got == {(r.src, r.dst) for r in QUERIES["prune_roads"](spark, data).collect()}
