@@ -8,18 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.core import materialise, rounds
 from tarmac.operators.graphs import edge_emissions, edge_transitions
 
 
-def transitions_over(roads: DataFrame, hops: int) -> DataFrame:
-    """(src, dst, to_src, to_dst, p): the best way from an edge to another within so many moves, staying included."""
-    one = edge_transitions(roads)
-    one = one.select("src", "dst", F.when(F.col("to_dst").isNull(), F.col("src")).otherwise(F.col("dst")).alias("to_src"), F.coalesce("to_dst", "dst").alias("to_dst"), "p")
-    out = one
-    for _ in range(hops - 1):
-        more = one.select(F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("to_src").alias("s"), F.col("to_dst").alias("t"), F.col("p").alias("q"))
-        out = out.join(more, ["to_src", "to_dst"]).groupBy("src", "dst", F.col("s").alias("to_src"), F.col("t").alias("to_dst")).agg(F.max(F.col("p") * F.col("q")).alias("p"))
-    return out
+def one_move(roads: DataFrame) -> DataFrame:
+    """(src, dst, to_src, to_dst, t): log probability of each move from an edge to itself or to one that follows it."""
+    one = edge_transitions(roads).where("p > 0")
+    return one.select("src", "dst", F.when(F.col("to_dst").isNull(), F.col("src")).otherwise(F.col("dst")).alias("to_src"), F.coalesce("to_dst", "dst").alias("to_dst"), F.log("p").alias("t"))
+
+
+def _moved(starts: DataFrame, roads: DataFrame) -> DataFrame:
+    """The best way (column t) of exactly `hops` moves from edge (src, dst) of each row of starts to each edge (to_src, to_dst).
+
+    Only edges that an observation may lie on set out, and all rows go on together, one move a round, until the longest
+    has had its moves.
+    """
+    keys = [c for c in starts.columns if c != "hops"]
+    one = materialise(one_move(roads).select(F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("to_src").alias("s"), F.col("to_dst").alias("d"), F.col("t").alias("more")))
+    state = starts.select(*keys, "hops", F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.lit(0.0).alias("t"))
+
+    def step(state: DataFrame) -> DataFrame:
+        ahead = state.where("hops > 0").join(one, ["to_src", "to_dst"])
+        best = ahead.groupBy(*keys, (F.col("hops") - 1).alias("hops"), F.col("s").alias("to_src"), F.col("d").alias("to_dst")).agg(F.max(F.col("t") + F.col("more")).alias("t"))
+        return state.where("hops <= 0").unionByName(best)
+
+    return rounds(state, step, lambda a, b: not b.where("hops > 0").isEmpty())
 
 
 def _best_chain(rows: pd.DataFrame) -> pd.DataFrame:
@@ -49,26 +63,29 @@ def _best_chain(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"trace_id": rows["trace_id"].iloc[0], "step": range(len(chain)), "src": [e[0] for e in chain], "dst": [e[1] for e in chain]})
 
 
-def map_match(obs: DataFrame, roads: DataFrame, sigma: float = 25.0, tolerance: float = 30.0, hops: int = 1, least_points: int = 1) -> DataFrame:
+def map_match(obs: DataFrame, roads: DataFrame, sigma: float = 25.0, tolerance: float = 30.0, per: float | None = None, least_points: int = 1) -> DataFrame:
     """(trace_id, step, src, dst): the most likely edge of each observation (trace_id, ts, x, y).
 
-    Ties go to the least edge. A trace without a chain through all its observations, or with fewer than least_points of
-    them, has no rows. The joins are Spark's; only the chain of one trace is found in one group.
+    From one observation to the next there is one move along the roads and, with `per`, one more for each such distance
+    between them. Ties go to the least edge. A trace without a chain through all its observations, or with fewer than
+    least_points of them, has no rows. The joins are Spark's; only the chain of one trace is found in one group.
     """
     w = Window.partitionBy("trace_id").orderBy("ts")
-    o = obs.withColumn("step", F.row_number().over(w) - 1).withColumn("steps", F.count("*").over(Window.partitionBy("trace_id"))).where(F.col("steps") >= least_points)
-    o = o.withColumn("obs_id", F.struct("trace_id", "step", "steps"))
-    em = edge_emissions(o, roads, sigma, tolerance, "obs_id").where("p > 0").select("obs_id.*", "src", "dst", F.log("p").alias("e"))
-    tr = transitions_over(roads, hops).withColumn("t", F.log("p")).drop("p")
+    far = F.sqrt(F.pow(F.lead("x").over(w) - F.col("x"), 2) + F.pow(F.lead("y").over(w) - F.col("y"), 2))
+    hops = F.lit(1) if per is None else 1 + F.floor(F.coalesce(far, F.lit(0.0)) / per).cast("int")
+    o = obs.withColumn("step", F.row_number().over(w) - 1).withColumn("steps", F.count("*").over(Window.partitionBy("trace_id"))).withColumn("hops", hops).where(F.col("steps") >= least_points)
+    o = o.withColumn("obs_id", F.struct("trace_id", "step", "steps", "hops"))
+    em = materialise(edge_emissions(o, roads, sigma, tolerance, "obs_id").where("p > 0").select("obs_id.*", "src", "dst", F.log("p").alias("e")))
+    tr = _moved(em.where(F.col("step") < F.col("steps") - 1).select("trace_id", "step", "steps", "hops", "src", "dst"), roads)
     later = em.select("trace_id", (F.col("step") - 1).alias("step"), F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("e").alias("e1"))
-    moves = em.join(tr, ["src", "dst"]).join(later, ["trace_id", "step", "to_src", "to_dst"]).select("trace_id", "steps", (F.col("step") + 1).alias("step"), "src", "dst", "to_src", "to_dst", (F.col("t") + F.col("e1")).alias("lp"))
+    moves = tr.join(later, ["trace_id", "step", "to_src", "to_dst"]).select("trace_id", "steps", (F.col("step") + 1).alias("step"), "src", "dst", "to_src", "to_dst", (F.col("t") + F.col("e1")).alias("lp"))
     first = em.where("step = 0").select("trace_id", "steps", "step", F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("e").alias("lp"))
     return moves.unionByName(first).groupBy("trace_id").applyInPandas(_best_chain, "trace_id long, step int, src long, dst long")
 
 
 def map_match_sparse(obs: DataFrame, roads: DataFrame) -> DataFrame:
-    """map_match for observations far apart: up to two further moves between two of them, five points at least."""
-    return map_match(obs, roads, sigma=30.0, tolerance=50.0, hops=3, least_points=5)
+    """map_match for observations far apart: a further move for each 50 m between two of them, five points at least."""
+    return map_match(obs, roads, sigma=30.0, tolerance=50.0, per=50.0, least_points=5)
 
 
 def _progress(rows: pd.DataFrame) -> pd.DataFrame:

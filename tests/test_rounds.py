@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tarmac.operators import paths, regions
+from tarmac.operators import matching, paths, regions
 from tarmac.operators.components import components
 
 
@@ -212,3 +212,17 @@ def test_empty_and_single(spark, n):
     m = spark.createDataFrame([(0, 1, 1)][:n], "tile_id long, x int, y int")
     assert regions.pixel_components(m, 8).count() == n
     assert regions.thin(m).count() == n
+
+
+def test_map_matching_over_gaps(spark):
+    """A straight road beside another: fixes several edges apart are matched in order, however long the gap."""
+    roads = spark.createDataFrame([(i, i + 1, 60.0 * i, 0.0, 60.0 * i + 60, 0.0) for i in range(30)] + [(100 + i, 101 + i, 60.0 * i, 90.0, 60.0 * i + 60, 90.0) for i in range(30)], "src long, dst long, x double, y double, x1 double, y1 double")
+    at = [5.0, 30.0, 190.0, 250.0, 900.0, 1110.0]
+    obs = spark.createDataFrame([(1, k, x, 4.0) for k, x in enumerate(at)] + [(2, k, 25.0 * k, 86.0) for k in range(5)] + [(3, 0, 1.0, 1.0)], "trace_id long, ts long, x double, y double")
+    got = {}
+    for r in matching.map_match_sparse(obs, roads).orderBy("trace_id", "step").collect():
+        got.setdefault(r.trace_id, []).append(r.src)
+    assert set(got) == {1, 2} and len(got[1]) == 6 and got[1] == sorted(got[1]) and all(abs(60 * s + 30 - x) <= 80 for s, x in zip(got[1], at, strict=True))
+    assert len(got[2]) == 5 and all(s >= 100 for s in got[2])
+    near = matching.map_match(obs.where("trace_id = 2"), roads).orderBy("step").collect()
+    assert [r.step for r in near] == list(range(5)) and all(r.src >= 100 for r in near)
