@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.core import scratch_root, table
@@ -42,11 +43,18 @@ def list_tiles(s, d):
     return readers.tile_names(table(s, d, "customer").select(path.alias("path")), ".tif", "RGB_")
 
 
+def _graph_parts(s, d):
+    """(nodes, edges) by blocks of 400 nodes, ids counted in the block; a block also has the 40 nodes after it, where its edges may end."""
+    blocks = F.array_distinct(F.array(F.floor(F.col("node_id") / 400), F.floor((F.col("node_id") - 40) / 400)))
+    n = X.nodes(s, d).withColumn("part", F.explode(blocks)).where("part >= 0").withColumn("node_id", F.col("node_id") - 400 * F.col("part"))
+    part = F.floor(F.col("src") / 400)
+    return n, X.edges(s, d).select(part.alias("part"), (F.col("src") - 400 * part).alias("src"), (F.col("dst") - 400 * part).alias("dst"))
+
+
 def _graph_files(s, d) -> str:
-    """A graph file for each block of 400 nodes, its edges inside the block, ids counted in it."""
+    """A graph file for each block of nodes, with all edges that start in it."""
     at = _place(s)
-    n = X.nodes(s, d).withColumn("part", F.floor(F.col("node_id") / 400)).withColumn("node_id", F.col("node_id") % 400)
-    e = X.edges(s, d).where(F.floor(F.col("src") / 400) == F.floor(F.col("dst") / 400)).select(F.floor(F.col("src") / 400).alias("part"), (F.col("src") % 400).alias("src"), (F.col("dst") % 400).alias("dst"))
+    n, e = _graph_parts(s, d)
     sinks.graph_text(n, e, "part").repartition("part").write.partitionBy("part").text(at)
     return f"{at}/part=*"
 
@@ -55,7 +63,8 @@ def _part(df):
     return df.withColumn("part", F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")).drop("file")
 
 
-EPART = "SELECT src//400 AS part, src % 400 AS src, dst % 400 AS dst FROM edges WHERE src//400 = dst//400"
+EPART = "SELECT src//400 AS part, src % 400 AS src, dst - src//400*400 AS dst FROM edges"
+NPART = "(SELECT part, node_id - part*400 AS node_id, x, y FROM (SELECT *, node_id//400 AS part FROM nodes UNION ALL SELECT *, node_id//400 - 1 FROM nodes WHERE node_id >= 400 AND node_id % 400 < 40))"
 
 
 @query("scan_graph_text", f"SELECT part, src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM ({EPART}) e JOIN nodes a ON a.node_id = part*400+src JOIN nodes b ON b.node_id = part*400+dst")
@@ -66,7 +75,7 @@ def scan_graph_text(s, d):
 
 
 @query("scan_graph_text_merge", f"""
-WITH n AS (SELECT node_id//400 AS part, node_id % 400 AS node_id, x::INT//50 AS x, y::INT//50 AS y FROM nodes), f AS (SELECT *, min(node_id) OVER (PARTITION BY part, x, y) AS t FROM n)
+WITH n AS (SELECT part, node_id, x::INT//50 AS x, y::INT//50 AS y FROM {NPART}), f AS (SELECT *, min(node_id) OVER (PARTITION BY part, x, y) AS t FROM n)
 SELECT e.part, a.t AS src, b.t AS dst FROM ({EPART}) e JOIN f a ON a.part = e.part AND a.node_id = src JOIN f b ON b.part = e.part AND b.node_id = dst WHERE a.t <> b.t""")
 def scan_graph_text_merge(s, d):
     """Points on a coarser grid, so that some merge."""
@@ -99,12 +108,12 @@ def scan_vertices_edges_csv(s, d):
     return readers.vertices_and_edges(s, f"{at}/v", f"{at}/e", ",")
 
 
-@query("scan_edge_rows", "SELECT x AS lon, y AS lat, x1 AS lon1, y1 AS lat1, dense_rank() OVER (ORDER BY 0) > 0 AS same_node FROM roads")
+@query("scan_edge_rows", "SELECT x AS lon, y AS lat, x1 AS lon1, y1 AS lat1, x = x1 AND y = y1 AS same_node, count(*) OVER (PARTITION BY x, y) AS n_out FROM roads")
 def scan_edge_rows(s, d):
     at = _place(s)
     X.roads(s, d).select("x", "y", F.lit("-"), "x1", "y1").write.option("sep", " ").csv(at)
     rows = readers.nodes_of_edges(readers.edge_rows(s, at), ("lon", "lat"), ("lon1", "lat1"))
-    return rows.select("lon", "lat", "lon1", "lat1", ((F.col("src") == F.col("dst")) == ((F.col("lon") == F.col("lon1")) & (F.col("lat") == F.col("lat1")))).alias("same_node"))
+    return rows.select("lon", "lat", "lon1", "lat1", (F.col("src") == F.col("dst")).alias("same_node"), F.count("*").over(Window.partitionBy("src")).alias("n_out"))
 
 
 @query("scan_trace_cartel", "SELECT ts, concat('a', trace_id) AS address, y AS lat, x AS lon FROM obs")
@@ -195,8 +204,8 @@ def wkt_submission(s, d):
     return readers.wkt_csv(s, at).select(F.col("image_id").alias("ImageId"), F.col("wkt").alias("WKT_Pix"))
 
 
-query("graph_text", f"SELECT n.part, concat(n.t, chr(10), chr(10), coalesce(e.t, ''), chr(10)) AS value FROM (SELECT node_id//400 AS part, string_agg(printf('%.6f %.6f', x, y), chr(10) ORDER BY node_id) AS t FROM nodes GROUP BY 1) n LEFT JOIN (SELECT part, string_agg(concat(src, ' ', dst), chr(10) ORDER BY src, dst) AS t FROM ({EPART}) GROUP BY 1) e USING (part)")(
-    lambda s, d: sinks.graph_text(X.nodes(s, d).withColumn("part", F.floor(F.col("node_id") / 400)), X.edges(s, d).where(F.floor(F.col("src") / 400) == F.floor(F.col("dst") / 400)).select(F.floor(F.col("src") / 400).alias("part"), (F.col("src") % 400).alias("src"), (F.col("dst") % 400).alias("dst")), "part"))
+query("graph_text", f"SELECT n.part, concat(n.t, chr(10), chr(10), coalesce(e.t, ''), chr(10)) AS value FROM (SELECT part, string_agg(printf('%.6f %.6f', x, y), chr(10) ORDER BY node_id) AS t FROM {NPART} GROUP BY 1) n LEFT JOIN (SELECT part, string_agg(concat(src, ' ', dst), chr(10) ORDER BY src, dst) AS t FROM ({EPART}) GROUP BY 1) e USING (part)")(
+    lambda s, d: sinks.graph_text(*_graph_parts(s, d), "part"))
 _I = "(row_number() OVER (PARTITION BY trace_id ORDER BY ts) - 1)"
 query("trace_linked", f"SELECT trace_id, concat_ws(',', i, printf('%.1f', floor(y)), printf('%.1f', floor(x)), epoch(date_trunc('second', ts))::BIGINT, 0, coalesce(lag(i) OVER w::VARCHAR, 'None'), coalesce(lead(i) OVER w::VARCHAR, 'None')) AS value FROM (SELECT *, {_I} AS i FROM obs) WINDOW w AS (PARTITION BY trace_id ORDER BY ts)".replace("lag(i) OVER w::VARCHAR", "(lag(i) OVER w)::VARCHAR").replace("lead(i) OVER w::VARCHAR", "(lead(i) OVER w)::VARCHAR"))(
     lambda s, d: sinks.trace_linked(X.obs(s, d).withColumn("x", F.floor("x")).withColumn("y", F.floor("y")).withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double"))))

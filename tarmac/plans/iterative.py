@@ -141,6 +141,7 @@ query("map_match_roads")(lambda s, d: _matched_roads(s, d))
 
 
 def _matched_roads(s, d):
-    r = X.roads(s, d).where("dst = src + 1").withColumn("road", F.concat(F.lit("row"), F.floor(F.col("src") / 40))).withColumn("pos", F.col("src"))
+    row = F.concat(F.lit("row"), F.floor(F.col("src") / 40))
+    r = X.roads(s, d).withColumn("road", F.when(F.col("dst") == F.col("src") + 1, row).otherwise(F.concat(F.lit("column"), F.col("src") % 40))).withColumn("pos", F.col("src"))
     segs = cumulative_length(r, ["road"])
     return M.map_match_roads(_walks(s, d), segs).withColumn("cost", r6(F.col("cost")))
