@@ -173,15 +173,56 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return _labelled(docs, words, radius).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """All columns of docs but text, and `shingles`: the sorted distinct hashes of the text's shingles of so many words."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            sets = []
+            for text in b.column("text").to_pylist():
+                parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                grams = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+                sets.append(sorted(xxhash.xxh64_intdigest(g, SEED) - (1 << 63) for g in grams))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"])
+
+    return docs.mapInArrow(run, f"{kinds}, shingles array<long>")
+
+
+def _similar(docs: DataFrame, kept: DataFrame, radius: int, words: int, similarity: float) -> DataFrame:
+    """(doc_id, print) of the rows of kept (doc_id, print, fp) that are similar to a kept one with a smaller id, directly or through others.
+
+    Links of fingerprints within radius only propose pairs; the shares of common shingles of the texts decide.
+    """
+    pairs = materialise(links(kept, radius))
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    asked = kept.join(ends, "fp").select("fp", F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("print"), "text").join(asked, (F.col("doc_id") == F.col("__id")) & (F.col("print") == F.col("__print"))).select("fp", "text")
+    sets = materialise(shingle_sets(texts, words).dropDuplicates(["fp"]))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = components(alike).select(F.col("node").alias("fp"), "component").join(kept, "fp")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component").where(F.col("doc_id") > F.col("least")).select("doc_id", "print")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, wide: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each near-duplicate group kept, one with the least doc_id; columns as in docs.
 
+    Groups are those of near_duplicates. Of what they leave, texts whose fingerprints are up to `wide` bits apart also count as
+    near duplicates if they share at least `similarity` of their shingles of `shingle` words.
+
     Repeated rows of a document count as one and one row stays. Of several texts with one doc_id in a group the one with the
     least hash stays; texts with one doc_id in different groups don't touch each other. A null doc_id names no document
     that another could stand for, so such rows stay.
     """
     first = _labelled(docs, words, radius).where(F.col("doc_id") == F.col("component_id"))
-    keep = materialise(first.groupBy("doc_id", "component").agg(F.min("print").alias("print")).select(F.col("doc_id").alias("__keep"), F.col("print").alias("__print")).distinct())
+    one = F.struct("print", "fp")
+    kept = materialise(first.groupBy("doc_id", "component").agg(F.min(one).alias("one")).select("doc_id", "one.print", "one.fp"))
+    more = _similar(docs, kept, wide, shingle, similarity)
+    keep = materialise(kept.select("doc_id", "print").join(more, ["doc_id", "print"], "left_anti").select(F.col("doc_id").alias("__keep"), F.col("print").alias("__print")))
     known = docs.where(F.col("doc_id").isNotNull()).withColumn("__code", F.xxhash64("text"))
     named = known.join(keep, (F.col("doc_id") == F.col("__keep")) & (F.col("__code") == F.col("__print")), "left_semi").dropDuplicates(["doc_id", "__code"]).drop("__code")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

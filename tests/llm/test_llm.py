@@ -437,7 +437,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r.fp & (1 << 64) - 1, r.component_id) == (prints[r.doc_id], find(r.doc_id))
-    kept = simhash.drop_near_duplicates(docs(spark, rows + [(None, "kept text")]))
+    kept = simhash.drop_near_duplicates(docs(spark, rows + [(None, "kept text")]), wide=3)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in ids if find(i) == i] + ["None"])
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     several = [(1, "one text of a few words here"), (1, "quite another text that is alone"), (2, "quite another text that is alone"), (2, "one text of a few words here"), (2, "a third that has only this id"), (2, "a third that has only this id")]
@@ -445,6 +445,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert left == sorted([several[0], several[1], several[4]])
 
 
+def test_similar_texts_beyond_the_radius(spark):
+    """Texts four to six bits apart go if they share four fifths of their five-word shingles, and stay if they don't."""
+    rng, rows, want = random.Random(21), [], set()
+    for i in range(300):
+        words = [f"w{rng.randrange(900)}" for _ in range(150)]
+        rows.append((10 * i, " ".join(words)))
+        for _ in range(1 + i % 4):
+            words[rng.randrange(150)] = f"x{rng.randrange(900)}"
+        rows.append((10 * i + 1, " ".join(words)))
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(146)}
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(a), shingles(b)
+        far = (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+        if far <= 3 or far <= 6 and len(x & y) >= 0.8 * len(x | y):
+            want.add(j)
+        assert i in left
+    assert {i for i, _ in rows} - left == want and len(want) > 100
+
+
 @pytest.mark.parametrize(("n", "k"), [(0, 1), (2000, 1), (10_000, 2), (256_000, 3), (15_000_000, 6)])
 def test_parts_keep_tiles_small(n, k):
     assert simhash.parts_for(n) == k
