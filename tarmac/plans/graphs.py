@@ -103,14 +103,11 @@ def _network(s, d):
 
 
 _DEG = f"d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1)"
-for _name, _both, _least in (("prune_dead_end_edges", False, 26.0), ("prune_spurs", True, 26.0)):
+for _name, _both, _least in (("prune_dead_end_edges", False, 26.0), ("prune_spurs", True, 26.0), ("remove_hair", False, 25.5)):
     _dead = "least(a.n, b.n) = 1 AND greatest(a.n, b.n) > 2" if _both else "least(a.n, b.n) = 1"
-    query(_name, f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE NOT ({_dead} AND size < {_least})")(
-        lambda s, d, b=_both, k=_least: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
-query("remove_hair", f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE least(a.n, b.n) > 1 OR size >= 25.5")(lambda s, d: H.prune_short(_network(s, d), 25.5, False).withColumn("size", r6(F.col("size"))))
-# under their former names too
-for _name, _least, _both in (("prune_dead_end_edges", 26.0, False), ("prune_spurs", 26.0, True), ("remove_hair", 25.5, False)):
-    query(f"{_name}_whole")(lambda s, d, k=_least, b=_both: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
+    for _as in (_name, f"{_name}_whole"):  # the second is a former name
+        query(_as, f"WITH {_DEG} SELECT src, dst, {R.format('size')} AS size FROM {_E} e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE NOT ({_dead} AND size < {_least})")(
+            lambda s, d, b=_both, k=_least: H.prune_short(_network(s, d), k, b).withColumn("size", r6(F.col("size"))))
 query("osm_ways_to_edges", """
 WITH w AS (SELECT l_orderkey AS way_id, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
 p AS (SELECT way_id, node AS a, lead(node) OVER (PARTITION BY way_id ORDER BY pos) AS b FROM w),

@@ -79,9 +79,9 @@ def _sources(s, d):
 
 _W = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS size FROM roads)"
 _WB = f"w AS (SELECT src, dst, size FROM {_W} UNION ALL SELECT dst, src, size FROM {_W})"
-query("shortest_paths", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
-    lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
-query("shortest_paths_whole")(lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
+for _as in ("shortest_paths", "shortest_paths_whole"):  # the second is a former name
+    query(_as, f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
+        lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0).select("source", "node", r6(F.col("dist")).alias("dist")))
 query("path_to")(lambda s, d: _walked(s, d))
 
 

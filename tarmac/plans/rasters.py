@@ -141,7 +141,12 @@ _OFF = "(SELECT unnest(range(-{0}, {0}+1)) AS dx) ox, (SELECT unnest(range(-{0},
 _IN = "{x} BETWEEN 0 AND 7 AND {y} BETWEEN 0 AND 7"
 query("dilate", f"SELECT DISTINCT tile_id, (x+dx)::INT AS x, (y+dy)::INT AS y FROM mask, {_OFF.format(1)} WHERE {_IN.format(x='x+dx', y='y+dy')}")(lambda s, d: O.dilate(X.mask(s, d), O.square(3), 8, 8))
 query("erode", f"SELECT {PX} FROM mask m WHERE NOT EXISTS (SELECT 1 FROM (SELECT dx, dy FROM (VALUES (0,1),(1,0),(0,-1),(-1,0)) t(dx, dy)) o WHERE {_IN.format(x='m.x+dx', y='m.y+dy')} AND NOT EXISTS (SELECT 1 FROM mask n WHERE n.tile_id = m.tile_id AND n.x = m.x+dx AND n.y = m.y+dy))")(lambda s, d: O.erode(X.mask(s, d), O.CROSS, 8, 8))
-query("close")(lambda s, d: O.close(X.mask(s, d), O.SQUARE5_ROUND, 8, 8).select("tile_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))
+_MIRROR = "CASE WHEN {0} < 0 THEN -1-{0} WHEN {0} > 7 THEN 15-{0} ELSE {0} END"
+query("close", f"""
+WITH o AS (SELECT a, b FROM range(-2, 3) s(a), range(-2, 3) t(b) WHERE abs(a)+abs(b) < 4),
+p AS (SELECT tile_id, px, py FROM mask JOIN range(-4, 12) u(px) ON x = {_MIRROR.format('px')} JOIN range(-4, 12) v(py) ON y = {_MIRROR.format('py')}),
+d AS (SELECT DISTINCT tile_id, px+a AS x, py+b AS y FROM p, o WHERE px+a BETWEEN -2 AND 9 AND py+b BETWEEN -2 AND 9)
+SELECT tile_id, (x-a)::INT AS x, (y-b)::INT AS y FROM d, o WHERE x-a BETWEEN 0 AND 7 AND y-b BETWEEN 0 AND 7 GROUP BY ALL HAVING count(*) = 21""")(lambda s, d: O.close(X.mask(s, d), O.SQUARE5_ROUND, 8, 8).select("tile_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))
 _G = "(SELECT k, exp(-0.5::DOUBLE*k*k)/sum(exp(-0.5::DOUBLE*k*k)) OVER () AS w FROM range(-4, 5) t(k))"
 query("gaussian_blur", f"SELECT tile_id, p.x::INT AS x, q.y::INT AS y, round(sum(a.w*b.w*v) + 1.3e-8::DOUBLE, 6) + 0.0::DOUBLE AS v FROM pix, range(0, 8) p(x), range(0, 8) q(y), {_G} a, {_G} b WHERE pix.x = greatest(0, least(7, p.x+a.k)) AND pix.y = greatest(0, least(7, q.y+b.k)) GROUP BY ALL")(lambda s, d: O.gaussian_blur(X.pix(s, d), 1.0, 8).withColumn("v", r6(F.col("v"))))
 query("box_mean", "SELECT a.tile_id, a.x, a.y, round(avg(b.v) + 1.3e-8::DOUBLE, 6) + 0.0::DOUBLE AS mean FROM pix a JOIN pix b ON a.tile_id = b.tile_id AND b.x BETWEEN a.x-2 AND a.x+2 AND b.y BETWEEN a.y-2 AND a.y+2 GROUP BY ALL")(lambda s, d: O.box_mean(X.pix(s, d), 2).select("tile_id", "x", "y", r6(F.col("mean")).alias("mean")))

@@ -165,7 +165,19 @@ m AS (SELECT id, lon1 + 0.25::DOUBLE*(lon2-lon1) AS qx, {_FAR} AS size, {_MOD.fo
 n AS (SELECT id, qx, size, b12, {_FAR} AS far, {_MOD.format(_BEAR)} AS b13 FROM m)
 SELECT id, {R.format('qx')} AS quarter, {R.format('CASE WHEN size = 0 THEN 0 ELSE far*cos(radians(b13-b12))/size END')} AS f, round(abs(far*sin(radians(b13-b12))), 3) AS off FROM n""")(
     lambda s, d: X.pairs(s, d).join(X.pairs(s, d).select((F.col("id") - 1).alias("id"), F.col("lon2").alias("lon3"), F.col("lat2").alias("lat3")), "id").select("id", *_projected(_ends())))
-query("bearing_intersection")(_pair(lambda LL: [*[r6(c).alias(n) for c, n in zip(W.bearings_meet(LL[0], LL[1], F.lit(70.0), LL[2], LL[3], F.lit(20.0)), ("lon", "lat"), strict=True)]]))
+_WRAP = "(({0})+pi() - 2*pi()*floor((({0})+pi())/(2*pi())) - pi())"
+_UNIT = "CASE WHEN abs({0}) <= 1 + 1e-12 THEN acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {0}))) END"
+query("bearing_intersection", f"""
+WITH a AS (SELECT id, radians(lon1) AS l1, radians(lat1) AS a1, radians(lat2) AS a2, radians(70.0::DOUBLE) AS t13, radians(20.0::DOUBLE) AS t23, sin(radians(lon2-lon1)) > 0 AS east, {_FAR}/6371000 AS d FROM pairs),
+b AS (SELECT *, (sin(a2)-sin(a1)*cos(d))/(sin(d)*cos(a1)) AS cs, (sin(a1)-sin(a2)*cos(d))/(sin(d)*cos(a2)) AS ce FROM a),
+c AS (SELECT *, {_UNIT.format('cs')} AS s, {_UNIT.format('ce')} AS e FROM b),
+g AS (SELECT *, CASE WHEN east THEN s ELSE 2*pi()-s END AS t12, CASE WHEN east THEN 2*pi()-e ELSE e END AS t21 FROM c),
+h AS (SELECT *, {_WRAP.format('t13-t12')} AS b1, {_WRAP.format('t21-t23')} AS b2 FROM g),
+i AS (SELECT *, d = 0 OR (sin(b1) = 0 AND sin(b2) = 0) OR sin(b1)*sin(b2) < 0 AS none, acos(-cos(b1)*cos(b2)+sin(b1)*sin(b2)*cos(d)) AS b3 FROM h),
+j AS (SELECT *, atan2(sin(d)*sin(b1)*sin(b2), cos(b2)+cos(b1)*cos(b3)) AS d13 FROM i),
+k AS (SELECT *, asin(sin(a1)*cos(d13)+cos(a1)*sin(d13)*cos(t13)) AS lat3 FROM j),
+m AS (SELECT *, degrees(l1+atan2(sin(t13)*sin(d13)*cos(a1), cos(d13)-sin(a1)*sin(lat3)))+540 AS lon3 FROM k)
+SELECT id, CASE WHEN NOT none THEN {R.format(_MOD.format('lon3') + '-180')} END AS lon, CASE WHEN NOT none THEN {R.format('degrees(lat3)')} END AS lat FROM m""")(_pair(lambda LL: [*[r6(c).alias(n) for c, n in zip(W.bearings_meet(LL[0], LL[1], F.lit(70.0), LL[2], LL[3], F.lit(20.0)), ("lon", "lat"), strict=True)]]))
 _ERFT = "(1/(1+0.3275911::DOUBLE*abs(z)))"
 _ERF = f"(sign(z)*(1-(((((1.061405429::DOUBLE*{_ERFT}-1.453152027::DOUBLE)*{_ERFT}+1.421413741::DOUBLE)*{_ERFT}-0.284496736::DOUBLE)*{_ERFT}+0.254829592::DOUBLE)*{_ERFT})*exp(-z*z)))"
 query("normal_dist", f"SELECT id, {R.format('exp(-pow((b-5000)/3000.0::DOUBLE,2)/2)/(3000.0::DOUBLE*sqrt(2*pi()))*1000')} AS pdf, {R.format(f'(1+{_ERF})/2')} AS cdf, {R.format(f'1-(1+{_ERF})/2')} AS above, round(-0.5::DOUBLE*b, 3) + 0.0::DOUBLE AS force FROM (SELECT c_custkey AS id, c_acctbal AS b, (c_acctbal-5000)/(3000.0::DOUBLE*sqrt(2.0::DOUBLE)) AS z FROM customer)")(
