@@ -2,8 +2,8 @@
 
 Pigeonhole: a normalised item with a budget of k edits is split into k + 1 pieces; wherever the item occurs with at most
 k edits, one piece occurs unchanged. Documents are read once: a bitmap of fixed size over the hashes of the pieces' first
-characters, made by Spark from any number of items, tells which places may begin a piece. These few places are joined with
-the pieces by hash, those that hold the piece exactly fix a window, and Myers' bit-parallel distance decides whether the
+characters, made by Spark from any number of items, tells which places may begin a piece, and a second one over the hashes
+of whole pieces which do. These few places are joined with the pieces by hash, those that hold the piece exactly fix a window, and Myers' bit-parallel distance decides whether the
 item ends in it within the budget. Neither items nor hits pass the driver.
 """
 
@@ -24,7 +24,9 @@ from tarmac.llm.hashing import BLOCK, Hashes, mixed
 NOT_WORD = re.compile(r"[\W_]+")
 #: Characters of a piece that are hashed: the most of these that it has.
 GRAMS = (12, 6, 3, 1)
-#: Bits of the bitmap, 8 MB; with very many items more places pass it and are told apart by the join.
+#: Characters of a piece that its whole hash covers at most; longer ones are compared when they are joined.
+WHOLE = 256
+#: Bits of a bitmap, 8 MB; with very many items more places pass it and are told apart by the join.
 SLOTS = 1 << 26
 FOUND = "doc_id long, item_id long, distance int, end long"
 
@@ -90,14 +92,14 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def piece_rows(benchmark: DataFrame, rate: float, least: int) -> DataFrame:
-    """(key, gram, item_id, pattern, edits, at, size) of all pieces of the distinct normalised items.
+    """(key, lead, gram, item_id, pattern, edits, at, size) of all pieces of the distinct normalised items.
 
-    key is the hash of the piece's first `gram` characters. An item under `least` characters is one piece with its spaces
+    lead is the hash of the piece's first `gram` characters, key that of all, or of the first WHOLE. An item under `least` characters is one piece with its spaces
     around, as whole words, and at is -1, where that piece begins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -105,16 +107,16 @@ def piece_rows(benchmark: DataFrame, rate: float, least: int) -> DataFrame:
                 edits = budget(len(pattern), rate) if len(pattern) >= least else 0
                 for at, piece in (pieces(pattern, edits) if len(pattern) >= least else [(-1, f" {pattern} ")] if pattern else []):
                     gram = next(g for g in GRAMS if g <= len(piece))
-                    rows.append((key_of(piece[:gram]), gram, item, pattern, edits, at, len(piece)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=["key", "gram", "item_id", "pattern", "edits", "at", "size"])
+                    rows.append((key_of(piece[:WHOLE]), key_of(piece[:gram]), gram, item, pattern, edits, at, len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], names=["key", "lead", "gram", "item_id", "pattern", "edits", "at", "size"])
 
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    return known.mapInArrow(run, "key long, gram int, item_id long, pattern string, edits int, at int, size int")
+    return known.mapInArrow(run, "key long, lead long, gram int, item_id long, pattern string, edits int, at int, size int")
 
 
-def _bitmap(rows: DataFrame) -> bytes:
-    """The slots of all keys, one bit each, compressed; SLOTS bits at most come to the driver, whatever the number of items."""
-    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) + 1  # the bitmap functions count from 1
+def _bitmap(rows: DataFrame, key: str) -> bytes:
+    """The slots of all values of a column, one bit each, compressed; SLOTS bits at most come to the driver, whatever the number of items."""
+    slot = F.col(key).bitwiseAND(F.lit(SLOTS - 1)) + 1  # the bitmap functions count from 1
     parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     bits = np.zeros(SLOTS // 8, np.uint8)
     for r in parts:
@@ -122,25 +124,30 @@ def _bitmap(rows: DataFrame) -> bytes:
     return zlib.compress(bits.tobytes(), 1)
 
 
-def _hits(docs: DataFrame, bitmap: bytes, grams: list[int]) -> DataFrame:
-    """(doc_id, print, text, keys, places): the documents with a place whose gram is in the bitmap, normalised, with these places.
+def _hits(docs: DataFrame, leads: bytes, wholes: bytes, grams: list[int], sizes: list[int]) -> DataFrame:
+    """(doc_id, print, text, keys, places): the documents with a place where a piece may begin, normalised, with these places.
 
-    Places count from the space before the text.
+    Such a place has its first characters in the bitmap `leads` and so many characters as some piece has in `wholes`. Places
+    count from the space before the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zlib.decompress(bitmap), np.uint8)
+        lead, whole = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (leads, wholes))
+        known = lambda bits, keys: bits[_slot(keys) >> 3] >> (_slot(keys) & 7).astype(np.uint8) & 1
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             texts = [normalise(x or "") for x in b.column("text").to_pylist()]
             bounds, codes = np.cumsum([0, *(len(x) + 2 for x in texts)]), _codes("".join(f" {x} " for x in texts))
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for at in range(0, len(codes), BLOCK):
-                hashes = Hashes(codes[at : at + BLOCK + GRAMS[0] - 1])
-                for g in grams:
-                    keys = hashes.all(g).view(np.int64)[:BLOCK]
-                    slot = _slot(keys)
-                    place = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                    found.append((place + at, keys[place]))
+                part = codes[at : at + BLOCK + WHOLE]
+                hashes = Hashes(part)
+                starts = [np.flatnonzero(known(lead, hashes.all(g).view(np.int64)[:BLOCK])) for g in grams]
+                start = np.unique(np.concatenate(starts))
+                for size in sizes:
+                    place = start[start + size <= len(part)]
+                    keys = hashes.of(place, place + size).view(np.int64)
+                    hit = np.flatnonzero(known(whole, keys))
+                    found.append((place[hit] + at, keys[hit]))
             place, key = (np.concatenate(x) for x in zip(*found, strict=True))
             doc = np.searchsorted(bounds, place, side="right") - 1
             order = np.argsort(doc, kind="stable")
@@ -183,13 +190,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least: int) -> Da
     """(doc_id, print, item_id, distance, end), one row for each text and item; print is the hash of the document's text."""
     rows = materialise(piece_rows(benchmark, rate, least))
     grams = [r.gram for r in rows.select("gram").distinct().collect()]
+    sizes = [r["size"] for r in rows.select(F.least("size", F.lit(WHOLE)).alias("size")).distinct().collect()]  # WHOLE values at most
     if not grams:
         return docs.sparkSession.createDataFrame([], FOUND.replace("doc_id long", "doc_id long, print long"))
-    hits = materialise(_hits(docs, _bitmap(rows), grams))
+    hits = materialise(_hits(docs, _bitmap(rows, "lead"), _bitmap(rows, "key"), grams, sizes))
     each = hits.select("doc_id", "print", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "print", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     met = each.join(rows, "key").withColumn("start", F.col("place") - 1 - F.col("at"))
     met = met.select("doc_id", "print", "item_id", "pattern", "edits", "at", "size", "start").distinct()
-    texts = hits.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("padded")).dropDuplicates(["d", "p"])
+    texts = hits.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("padded"))
     placed = met.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
     piece = F.when(F.col("at") < 0, F.concat(F.lit(" "), "pattern", F.lit(" "))).otherwise(F.expr("substring(pattern, at + 1, size)"))
     exact = placed.where((F.col("start") + F.col("at") >= -1) & (F.expr("substring(padded, start + at + 2, size)") == piece))
