@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked fingerprints."""
+    """The document with the least id of each group of linked fingerprints, and of texts that share most of their shingles."""
     return simhash.drop_near_duplicates(docs)
 
 
