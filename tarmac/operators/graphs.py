@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.core import numbered
 from tarmac.functions import geometry as G
 
 
@@ -176,18 +177,38 @@ def osm_to_edges(ways: DataFrame, nodes: DataFrame, shut_out: list[str]) -> Data
     return out.where("src <> dst").distinct()
 
 
+def from_map_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(from_id, to_id, lat, lon, lat1, lon1): edges in both directions, nodes numbered from 0 by their ids, y and x as latitude and
+    longitude."""
+    n = numbered(nodes.select("node_id", "x", "y"), "node_id")
+    end = lambda c, k: n.select(F.col("node_id").alias(c), F.col("place").alias(f"{k}_id"), F.col("y").alias(f"{k}_lat"), F.col("x").alias(f"{k}_lon"))
+    r = edges.join(end("src", "from"), "src").join(end("dst", "to"), "dst")
+    cols = lambda a, b: [F.col(f"{a}_id").alias("from_id"), F.col(f"{b}_id").alias("to_id"), F.col(f"{a}_lat").alias("lat"), F.col(f"{a}_lon").alias("lon"), F.col(f"{b}_lat").alias("lat1"), F.col(f"{b}_lon").alias("lon1")]
+    return r.select(*cols("from", "to")).union(r.select(*cols("to", "from")))
+
+
+def _turns(roads: DataFrame, spread: float) -> DataFrame:
+    """(src, dst, to_dst, raw): each way on from an edge with its raw share: its angle's distance from a right angle, squared, plus a little."""
+    nxt = roads.select(F.col("src").alias("dst"), F.col("dst").alias("to_dst"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
+    turn = G.angle_to(G.sub(G.pt("x1", "y1"), G.pt("x", "y")), G.sub(G.pt("nx", "ny"), G.pt("x1", "y1")))
+    return roads.join(nxt, "dst").select("src", "dst", "to_dst", (F.pow(F.greatest(F.lit(0.0), F.pi() / 2 - turn), 2) + spread).alias("raw"))
+
+
+def edge_transitions_first(roads: DataFrame, stay: float = 30.0, spread: float = 0.05) -> DataFrame:
+    """(src, dst, to_dst, p): the first form: staying, to_dst null, has a raw share of its own, and all shares are scaled to the sum 1."""
+    on = _turns(roads, spread)
+    whole = on.unionByName(roads.select("src", "dst", F.lit(None).cast("long").alias("to_dst"), F.lit(stay).alias("raw")))
+    return whole.select("src", "dst", "to_dst", (F.col("raw") / F.sum("raw").over(Window.partitionBy("src", "dst"))).alias("p"))
+
+
 def edge_transitions(roads: DataFrame, stay: float = 0.5, spread: float = 0.05, most: float = 0.9) -> DataFrame:
     """(src, dst, to_dst, p): shares of going on from an edge; staying has `stay`, straight ways more than turns.
 
     A way's raw share is its angle's distance from a right angle, squared, plus a little; shares of the ways sum to at
     most `most` less `stay`. The row with to_dst equal to src of no edge, null, is staying.
     """
-    nxt = roads.select(F.col("src").alias("dst"), F.col("dst").alias("to_dst"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
-    rows = roads.join(nxt, "dst")
-    turn = G.angle_to(G.sub(G.pt("x1", "y1"), G.pt("x", "y")), G.sub(G.pt("nx", "ny"), G.pt("x1", "y1")))
-    raw = F.pow(F.greatest(F.lit(0.0), F.pi() / 2 - turn), 2) + spread
-    w = Window.partitionBy("src", "dst")
-    p = raw / F.sum(raw).over(w) * (most - stay)
+    rows = _turns(roads, spread)
+    p = F.col("raw") / F.sum("raw").over(Window.partitionBy("src", "dst")) * (most - stay)
     return rows.select("src", "dst", "to_dst", p.alias("p")).unionByName(roads.select("src", "dst", F.lit(None).cast("long").alias("to_dst"), F.lit(stay).alias("p")))
 
 

@@ -115,13 +115,9 @@ t AS (SELECT o_orderkey AS way_id, (['motorway','residential','footway','trunk',
 e AS (SELECT way_id, a, b, highway, o, CASE WHEN lanes > 1 THEN lanes*3.7::DOUBLE ELSE 6.6::DOUBLE END AS width FROM p JOIN t USING (way_id) WHERE b IS NOT NULL AND highway <> 'footway' AND a <> b AND a IN (SELECT node_id FROM nodes) AND b IN (SELECT node_id FROM nodes))
 SELECT DISTINCT way_id, src, dst, round(width, 3) AS width, highway FROM (SELECT way_id, a AS src, b AS dst, width, highway FROM e WHERE o <> 'P' UNION ALL SELECT way_id, b, a, width, highway FROM e WHERE o <> 'F')""")(
     lambda s, d: H.osm_to_edges(osm_ways(s, d), X.nodes(s, d), SHUT_OUT).withColumn("width", F.round("width", 3)))
-query("graph_from_map_tables", "SELECT dense_rank() OVER (ORDER BY src) > 0 AS known, y AS lat, x AS lon, y1 AS lat1, x1 AS lon1 FROM roads UNION ALL SELECT true, y1, x1, y, x FROM roads")(
-    lambda s, d: _both_ways(X.roads(s, d)))
-
-
-def _both_ways(r):
-    cols = lambda a, b, c, e: [F.lit(True).alias("known"), F.col(b).alias("lat"), F.col(a).alias("lon"), F.col(e).alias("lat1"), F.col(c).alias("lon1")]
-    return r.select(*cols("x", "y", "x1", "y1")).union(r.select(*cols("x1", "y1", "x", "y")))
+_NEW = "(SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k, x, y FROM nodes)"
+query("graph_from_map_tables", f"WITH r AS (SELECT a.k AS from_id, b.k AS to_id, a.y AS lat, a.x AS lon, b.y AS lat1, b.x AS lon1 FROM edges JOIN {_NEW} a ON a.node_id = src JOIN {_NEW} b ON b.node_id = dst) SELECT * FROM r UNION ALL SELECT to_id, from_id, lat1, lon1, lat, lon FROM r")(
+    lambda s, d: H.from_map_tables(X.nodes(s, d), X.edges(s, d)))
 
 
 FRAME = (0.0, 0.0, 1000.0, 1300.0)
@@ -148,6 +144,8 @@ def _road_links(e):
 
 
 _TR = "SELECT a.src, a.dst, b.dst AS to_dst, pow(greatest(0.0::DOUBLE, pi()/2 - acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((a.x1-a.x)*(b.x1-a.x1)+(a.y1-a.y)*(b.y1-a.y1))/(sqrt((a.x1-a.x)*(a.x1-a.x)+(a.y1-a.y)*(a.y1-a.y))*sqrt((b.x1-a.x1)*(b.x1-a.x1)+(b.y1-a.y1)*(b.y1-a.y1))))))), 2)+0.05::DOUBLE AS raw FROM roads a JOIN roads b ON a.dst = b.src"
+query("edge_transitions_first", f"SELECT src, dst, to_dst, {R.format('raw/(30.0::DOUBLE + sum(raw) OVER (PARTITION BY src, dst))')} AS p FROM ({_TR}) UNION ALL SELECT r.src, r.dst, NULL, {R.format('30.0::DOUBLE/(30.0::DOUBLE + coalesce(t.n, 0))')} FROM roads r LEFT JOIN (SELECT src, dst, sum(raw) AS n FROM ({_TR}) GROUP BY 1, 2) t USING (src, dst)")(
+    lambda s, d: H.edge_transitions_first(X.roads(s, d)).withColumn("p", r6(F.col("p"))))
 query("edge_transitions", f"SELECT src, dst, to_dst, {R.format('raw/sum(raw) OVER (PARTITION BY src, dst)*0.4::DOUBLE')} AS p FROM ({_TR}) UNION ALL SELECT src, dst, NULL, {R.format('0.5::DOUBLE')} FROM roads")(lambda s, d: H.edge_transitions(X.roads(s, d)).withColumn("p", r6(F.col("p"))))
 _EM = f"(SELECT *, {_FAR} AS f, greatest(least(x, x1)-px, px-greatest(x, x1), least(y, y1)-py, py-greatest(y, y1)) AS gap FROM {_PJ.format(60)})"
 query("edge_emissions", f"SELECT obs_id, src, dst, {R.format('e/sum(e) OVER (PARTITION BY obs_id)')} AS p FROM (SELECT *, exp(-f*f/(2*25.0::DOUBLE*25.0::DOUBLE)) AS e FROM (SELECT *, CASE WHEN count(*) FILTER (gap <= 15) OVER w >= 2 THEN 15 WHEN count(*) FILTER (gap <= 30) OVER w >= 2 THEN 30 ELSE 60 END AS lim FROM {_EM} WINDOW w AS (PARTITION BY obs_id)) WHERE gap <= lim)")(

@@ -209,7 +209,7 @@ query("graph_text", f"SELECT n.part, concat(n.t, chr(10), chr(10), coalesce(e.t,
 _I = "(row_number() OVER (PARTITION BY trace_id ORDER BY ts) - 1)"
 query("trace_linked", f"SELECT trace_id, concat_ws(',', i, printf('%.1f', floor(y)), printf('%.1f', floor(x)), epoch(date_trunc('second', ts))::BIGINT, 0, coalesce(lag(i) OVER w::VARCHAR, 'None'), coalesce(lead(i) OVER w::VARCHAR, 'None')) AS value FROM (SELECT *, {_I} AS i FROM obs) WINDOW w AS (PARTITION BY trace_id ORDER BY ts)".replace("lag(i) OVER w::VARCHAR", "(lag(i) OVER w)::VARCHAR").replace("lead(i) OVER w::VARCHAR", "(lead(i) OVER w)::VARCHAR"))(
     lambda s, d: sinks.trace_linked(X.obs(s, d).withColumn("x", F.floor("x")).withColumn("y", F.floor("y")).withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double"))))
-query("trace_tsv", f"SELECT trace_id, {_I}::INT AS i, round(x*3.6::DOUBLE, 3) AS km_h, round((-degrees(y/100)) - 360.0::DOUBLE*floor(-degrees(y/100)/360.0::DOUBLE), 3) AS degrees, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), '+03') AS at FROM obs")(
+query("trace_tsv", f"SELECT row_number() OVER (ORDER BY trace_id, ts) - 1 AS counter, dense_rank() OVER (ORDER BY trace_id) - 1 AS ordinal, trace_id, {_I}::INT AS i, round(x*3.6::DOUBLE, 3) AS km_h, round((-degrees(y/100)) - 360.0::DOUBLE*floor(-degrees(y/100)/360.0::DOUBLE), 3) AS degrees, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), '+03') AS at FROM obs")(
     lambda s, d: sinks.trace_tsv(X.obs(s, d).withColumn("heading", F.col("y") / 100), "x"))
 query("node_edge_tables", f"SELECT src, dst, CASE WHEN twice THEN 2 ELSE 1 END AS directions, {R.format('(a.w+b.w)/2')} AS weight FROM (SELECT src, dst, bool_or(d) AND bool_or(NOT d) AS twice FROM (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, src < dst AS d FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src % 3 = 0)) GROUP BY ALL) JOIN (SELECT node_id AS src, x+y AS w FROM nodes) a USING (src) JOIN (SELECT node_id AS dst, x+y AS w FROM nodes) b USING (dst)")(
     lambda s, d: _node_edge(s, d))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.core import numbered
+
 
 
 def wkt_submission(tiles: DataFrame, lines: DataFrame) -> DataFrame:
@@ -36,11 +38,15 @@ def trace_linked(obs: DataFrame) -> DataFrame:
 
 
 def trace_tsv(obs: DataFrame, speed: str | None = None) -> DataFrame:
-    """(trace_id, i, ordinal, km_h, degrees, at): speed in km/h (20 where unknown), heading wrapped to [0, 360)."""
-    w = Window.partitionBy("trace_id").orderBy("ts")
+    """(counter, ordinal, trace_id, i, km_h, degrees, at): counter runs on over all traces, ordinal is the trace's place, i the
+    observation's in it; speed in km/h (20 where unknown), heading wrapped to [0, 360)."""
+    first = F.col("i") == 0
+    places = numbered(obs.withColumn("i", F.row_number().over(Window.partitionBy("trace_id").orderBy("ts")) - 1), "trace_id", "i")
+    ordinals = numbered(places.where(first).select("trace_id"), "trace_id").select("trace_id", F.col("place").alias("ordinal"))
     kmh = F.coalesce(F.col(speed) * 3.6, F.lit(20.0)) if speed else F.lit(20.0)
     at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-    return obs.select("trace_id", (F.row_number().over(w) - 1).cast("int").alias("i"), F.round(kmh, 3).alias("km_h"), F.round(F.pmod(-F.degrees(F.col("heading")), F.lit(360.0)), 3).alias("degrees"), F.concat(at, F.lit("+03")).alias("at"))
+    rows = places.join(ordinals, "trace_id")
+    return rows.select(F.col("place").alias("counter"), "ordinal", "trace_id", F.col("i").cast("int").alias("i"), F.round(kmh, 3).alias("km_h"), F.round(F.pmod(-F.degrees(F.col("heading")), F.lit(360.0)), 3).alias("degrees"), F.concat(at, F.lit("+03")).alias("at"))
 
 
 def metric_log(metrics: DataFrame, path: str) -> None:
