@@ -225,6 +225,15 @@ def _node_edge(s, d):
     return rows.select(F.col("a").alias("src"), F.col("b").alias("dst"), "directions", r6((F.col("wa") + F.col("wb")) / 2).alias("weight"))
 
 
+@query("network_segments")
+def network_segments(s, d):
+    """The segment table of all roads, with its edge ids as text."""
+    n = X.nodes(s, d).withColumn("weight", F.col("x") + F.col("y"))
+    t = sinks.node_edge_tables(n, X.edges(s, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())["segments"]
+    ids = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("out_edges", "back_edges")]
+    return t.select("segment_id", *ids, r6(F.col("weight")).alias("weight"))
+
+
 @query("metric_log", f"SELECT l_linenumber AS epoch, {R.format('avg(l_discount)')} AS loss FROM lineitem GROUP BY 1 UNION ALL SELECT l_linenumber + 100, {R.format('avg(l_tax)')} FROM lineitem GROUP BY 1")
 def metric_log(s, d):
     at, t = _place(s), table(s, d, "lineitem")

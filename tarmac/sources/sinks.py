@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.core import numbered
+from tarmac.operators.graphs import degrees
+from tarmac.operators.paths import contract_chains
 
 
 
@@ -49,6 +51,26 @@ def trace_tsv(obs: DataFrame, speed: str | None = None) -> DataFrame:
     return rows.select(F.col("place").alias("counter"), "ordinal", "trace_id", F.col("i").cast("int").alias("i"), F.round(kmh, 3).alias("km_h"), F.round(F.pmod(-F.degrees(F.col("heading")), F.lit(360.0)), 3).alias("degrees"), F.concat(at, F.lit("+03")).alias("at"))
 
 
+def node_edge_tables(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a network given as nodes (node_id, x, y, weight) and undirected edges (src, dst).
+
+    nodes: as they are; edges: edge_id, src, dst, in both directions; segments: segment_id, out_edges and back_edges, the edge
+    ids of a chain between crossings there and back, and weight, the mean of the nodes inside or, without any, of the ends;
+    intersections: node_id and n, the number of edges, of nodes that no chain runs through.
+    """
+    both = numbered(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "src", "dst").withColumnRenamed("place", "edge_id")
+    chains = contract_chains(both).join(both, ["src", "dst"])
+    ends = nodes.select("node_id", "weight")
+    rows = chains.join(ends.select(F.col("node_id").alias("src"), F.col("weight").alias("from_weight")), "src").join(ends.select(F.col("node_id").alias("dst"), F.col("weight").alias("to_weight")), "dst")
+    one = rows.groupBy("road").agg(
+        F.min(F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))).alias("key"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "edge_id"))), lambda e: e["edge_id"]).alias("ids"),
+        F.coalesce(F.avg(F.when(F.col("seq") > 0, F.col("from_weight"))), (F.min_by("from_weight", "seq") + F.max_by("to_weight", "seq")) / 2).alias("weight"),
+    )
+    pairs = one.groupBy("key").agg(F.min("ids").alias("out_edges"), F.max("ids").alias("back_edges"), F.min_by("weight", "ids").alias("weight"))
+    segments = numbered(pairs, "key").select(F.col("place").alias("segment_id"), "out_edges", "back_edges", "weight")
+    return {"nodes": nodes, "edges": both.select("edge_id", "src", "dst"), "segments": segments, "intersections": degrees(edges).where("n <> 2").select(F.col("node").alias("node_id"), "n")}
+
+
 def metric_log(metrics: DataFrame, path: str) -> None:
     """Append rows of metrics to a CSV log."""
     metrics.write.mode("append").option("header", True).csv(path)

@@ -109,3 +109,21 @@ def test_prune_roads(spark, data, net, frame, margin):
     got = {(r.src, r.dst) for r in paths.prune_roads(fixtures.nodes(spark, data), edges, frame, margin=margin).collect()}
     assert got == set(net) - gone and (gone or margin)
     assert margin == 0 or got == {(r.src, r.dst) for r in QUERIES["prune_roads"](spark, data).collect()}
+
+
+def test_network_tables(spark, data, net):
+    from tarmac.sources import sinks
+
+    n, weight = degrees(net), {r.node_id: r.x + r.y for r in fixtures.nodes(spark, data).collect()}
+    t = sinks.node_edge_tables(spark.createDataFrame(list(weight.items()), "node_id long, weight double"), spark.createDataFrame(list(net), "src long, dst long"))
+    edges = {r.edge_id: (r.src, r.dst) for r in t["edges"].collect()}
+    assert sorted(edges.values()) == sorted([*net, *(e[::-1] for e in net)])
+    assert {r.node_id: r.n for r in t["intersections"].collect()} == {v: k for v, k in n.items() if k != 2}
+    rows, seen = t["segments"].collect(), []
+    for r in rows:
+        there, back = [edges[k] for k in r.out_edges], [edges[k] for k in r.back_edges]
+        assert sorted(back) == sorted(e[::-1] for e in there) and all(a[1] == b[0] for a, b in zip(there, there[1:], strict=False))
+        inner = [e[0] for e in there[1:]] or [there[0][0], there[-1][1]]
+        assert abs(r.weight - sum(weight[v] for v in inner) / len(inner)) < 1e-9
+        seen += there + back
+    assert sorted(seen) == sorted(edges.values()) and len({r.segment_id for r in rows}) == len(rows) == QUERIES["network_segments"](spark, data).count()
