@@ -15,7 +15,7 @@ from tarmac.operators import rasterise as Z
 from tarmac.operators import regions as C
 from tarmac.operators.polylines import cumulative_length
 from tarmac.plans.catalog import R, query, r6
-from tarmac.plans.graphs import FRAME, _kinds, _network
+from tarmac.plans.graphs import _DEG, _E, FRAME, _kinds, _network
 from tarmac.sources import fixtures as X
 
 ADJ8 = "abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1"
@@ -51,7 +51,8 @@ query("junction_clusters", f"WITH RECURSIVE {_comp(_NODEPX, ADJ8)} SELECT tile_i
     lambda s, d: C.junction_clusters(_kinds(s, d), 8).withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y"))))
 query("drop_short_components", f"WITH RECURSIVE {_comp('mask', ADJ8)}, c AS (SELECT tile_id, x, y, 1 AS c FROM {_NODEPX}), g AS (SELECT label, count(*) AS n, sum(coalesce(c, 0)) AS c FROM lab LEFT JOIN c USING (tile_id, x, y) GROUP BY 1) SELECT tile_id, x, y FROM lab JOIN g USING (label) WHERE NOT (n < 4 OR (n < 8 AND g.c < 2))")(
     lambda s, d: C.drop_short_components(X.mask(s, d), _kinds(s, d), 8, 4, 2))
-query("snap_ends_to_junction")(lambda s, d: C.snap_ends(_kinds(s, d)))
+_NPX = "(SELECT a.tile_id, a.x, a.y, count(b.x) AS n FROM mask a LEFT JOIN mask b ON a.tile_id = b.tile_id AND abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL)"
+query("snap_ends_to_junction", f"WITH k AS {_NPX} SELECT e.tile_id, e.x, e.y, c.x AS cx, c.y AS cy FROM k e JOIN k c ON c.tile_id = e.tile_id AND abs(c.x-e.x) <= 1 AND abs(c.y-e.y) <= 1 WHERE e.n IN (1, 2) AND c.n > 2 QUALIFY row_number() OVER (PARTITION BY e.tile_id, e.x, e.y ORDER BY abs(e.x-c.x)+abs(e.y-c.y), c.y, c.x) = 1")(lambda s, d: C.snap_ends(_kinds(s, d)))
 query("set_overlap_merge")(lambda s, d: P.set_overlap_merge(table(s, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("p")), "g", "p"))
 query("greedy_matching")(lambda s, d: P.greedy_matching(H.pairs_within(X.nodes(s, d), 30.0, "node_id").withColumnRenamed("node_id", "a").withColumnRenamed("other", "b")).withColumn("distance", r6(F.col("distance"))))
 query("trace_edges")(lambda s, d: _traced(s, d))
@@ -94,7 +95,29 @@ def _walked(s, d):
 query("follow_distance")(lambda s, d: P.follow_distance(_weighted(_network(s, d)), _sources(s, d), 70.0).withColumn("along", r6(F.col("along"))))
 query("connect_terminals")(lambda s, d: P.connect_terminals(X.nodes(s, d), _network(s, d), near=60.0, far=200.0).withColumn("distance", r6(F.col("distance"))))
 query("prune_roads")(lambda s, d: P.prune_roads(X.nodes(s, d), _network(s, d), FRAME).withColumn("size", r6(F.col("size"))))
-query("connect_up")(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
+_UP = f"""
+r AS (SELECT n.node AS node, CASE WHEN n.node = src THEN x1 ELSE x END AS fx, CASE WHEN n.node = src THEN y1 ELSE y END AS fy, CASE WHEN n.node = src THEN x ELSE x1 END AS x, CASE WHEN n.node = src THEN y ELSE y1 END AS y FROM d n JOIN e ON n.node IN (src, dst) WHERE n.n = 1),
+q AS (SELECT node, x AS px, y AS py, x+(x-fx)*(120/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy))) AS ex, y+(y-fy)*(120/sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy))) AS ey FROM r),
+h AS (SELECT node, src, dst, px, py, ex-px AS rx, ey-py AS ry, x-px AS gx, y-py AS gy, x1-x AS qx, y1-y AS qy FROM q JOIN e ON node <> src AND node <> dst AND least(px, ex) <= greatest(x, x1) AND least(x, x1) <= greatest(px, ex) AND least(py, ey) <= greatest(y, y1) AND least(y, y1) <= greatest(py, ey)),
+i AS (SELECT *, rx*qy-ry*qx AS den FROM h),
+j AS (SELECT *, den = 0 AND gx*ry-gy*rx = 0 AS along, CASE WHEN den <> 0 THEN (gx*qy-gy*qx)/den END AS t, CASE WHEN den <> 0 THEN (gx*ry-gy*rx)/den END AS u FROM i),
+k AS (SELECT node, src, dst, px, py, CASE WHEN along THEN px ELSE px+t*rx END AS at_x, CASE WHEN along THEN py ELSE py+t*ry END AS at_y FROM j WHERE along OR (t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)),
+m AS (SELECT *, sqrt((at_x-px)*(at_x-px)+(at_y-py)*(at_y-py)) AS far FROM k QUALIFY row_number() OVER (PARTITION BY node ORDER BY sqrt((at_x-px)*(at_x-px)+(at_y-py)*(at_y-py)), src, dst) = 1)
+SELECT node, src, dst, {R.format('at_x')} AS at_x, {R.format('at_y')} AS at_y, {R.format('far')} AS far FROM m"""
+query("connect_up", f"WITH {_DEG}, e AS (SELECT src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM {_E} JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst), {_UP}")(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
+_LE = "(SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT (tile_id*2000+x)*2000+y AS a, (tile_id*2000+x1)*2000+y1 AS b FROM segs) WHERE a <> b)"
+query("connect_up_lines", f"WITH g AS {_LE}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1), e AS (SELECT src, dst, (src//2000)::DOUBLE AS x, (src%2000)::DOUBLE AS y, (dst//2000)::DOUBLE AS x1, (dst%2000)::DOUBLE AS y1 FROM g), {_UP}")(lambda s, d: _up_lines(s, d))
+
+
+def _up_lines(s, d):
+    """connect_up over the network of all polylines, tiles side by side; a node's number is its place."""
+    at = lambda x, y: (F.col("tile_id") * 2000 + F.col(x)) * 2000 + F.col(y)
+    ends = X.segs(s, d).select(at("x", "y").alias("a"), at("x1", "y1").alias("b")).where("a <> b")
+    edges = ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    nodes = nodes.select("node_id", F.floor(F.col("node_id") / 2000).cast("double").alias("x"), (F.col("node_id") % 2000).cast("double").alias("y"))
+    return P.connect_up(nodes, edges, reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")])
+
 
 
 def _ends(s, d):
