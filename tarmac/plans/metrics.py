@@ -128,13 +128,13 @@ def bce(s, d):
     return prediction_truth(s, d).groupBy("tile_id").agg(r6(loss(F.col("t"))).alias("bce"), r6(loss(0.95 * F.col("t") + 0.05 * c)).alias("soft"), r6(0.75 * loss(F.col("t")) + 0.25 * (1 - smooth)).alias("mixed"))
 
 
-@query("multiclass_ce_accuracy", f"SELECT tile_id, {R.format('avg(-ln(q)) FILTER (c <> -100)')} AS loss, {R.format('avg(hit) FILTER (c <> -100)')} AS accuracy, {R.format('avg(CASE WHEN c = -100 THEN 1 ELSE hit END)')} AS lenient FROM (SELECT tile_id, x, y, c, max(q) FILTER (model = c % 4) AS q, (arg_max(model, v) = max(c))::INT AS hit FROM (SELECT *, exp(v)/sum(exp(v)) OVER (PARTITION BY tile_id, x, y) AS q, CASE WHEN (x+y) % 5 = 4 THEN -100 ELSE (x+y) % 5 END AS c FROM cube) GROUP BY tile_id, x, y, c) GROUP BY tile_id")
+@query("multiclass_ce_accuracy", f"SELECT tile_id, {R.format('avg(-ln(q)) FILTER (c <> -100)')} AS loss, {R.format('avg(hit) FILTER (c <> -100)')} AS accuracy, {R.format('avg(CASE WHEN c = -100 THEN 1 ELSE hit END)')} AS lenient FROM (SELECT tile_id, x, y, c, max(q) FILTER (model = c % 4) AS q, (arg_max(model, (v, -model)) = max(c))::INT AS hit FROM (SELECT *, exp(v)/sum(exp(v)) OVER (PARTITION BY tile_id, x, y) AS q, CASE WHEN (x+y) % 5 = 4 THEN -100 ELSE (x+y) % 5 END AS c FROM cube) GROUP BY tile_id, x, y, c) GROUP BY tile_id")
 def multiclass_ce_accuracy(s, d):
-    """Log-loss and accuracy over pixels with a class; `lenient` counts pixels without one as right."""
+    """Log-loss and accuracy over pixels with a class, of equal scores the lower class; `lenient` counts pixels without one as right."""
     w = Window.partitionBy(*O.KEY)
     c = F.when((F.col("x") + F.col("y")) % 5 == 4, -100).otherwise((F.col("x") + F.col("y")) % 5)
     rows = X.cube(s, d).withColumn("q", F.exp("v") / F.sum(F.exp("v")).over(w)).withColumn("c", c)
-    px = rows.groupBy(*O.KEY, "c").agg(F.max(F.when(F.col("model") == F.col("c"), F.col("q"))).alias("q"), F.max_by("model", "v").alias("top")).withColumn("hit", (F.col("top") == F.col("c")).cast("int"))
+    px = rows.groupBy(*O.KEY, "c").agg(F.max(F.when(F.col("model") == F.col("c"), F.col("q"))).alias("q"), F.max_by("model", F.struct("v", -F.col("model"))).alias("top")).withColumn("hit", (F.col("top") == F.col("c")).cast("int"))
     known = F.col("c") != -100
     return px.groupBy("tile_id").agg(r6(F.avg(F.when(known, -F.log("q")))).alias("loss"), r6(F.avg(F.when(known, F.col("hit")))).alias("accuracy"), r6(F.avg(F.when(known, F.col("hit")).otherwise(1))).alias("lenient"))
 
