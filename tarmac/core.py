@@ -43,6 +43,17 @@ def _fs(spark: SparkSession, path: str):
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is dropped by `at_exit`, when the driver ends."""
+    return f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Drop a written path when the driver ends."""
+    fs, where = _fs(spark, path)
+    fs.deleteOnExit(where)
+
+
 def materialise(df: DataFrame, *by: str) -> DataFrame:
     """Write df to a scratch table in the shared folder, partitioned by the last columns `by`, and read it back.
 
@@ -51,15 +62,14 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     steps don't pile them up. The folder goes when the driver ends; `release` drops it earlier.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    fs, where = _fs(spark, path)
-    fs.deleteOnExit(where)
+    at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
