@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.core import table
-from tarmac.llm import ann, decontaminate, packing, pii, preference, quality, simhash, substrings, token_counts, toxicity
+from tarmac.core import at_exit, scratch_path, table
+from tarmac.llm import ann, decontaminate, infill, manifest, packing, pii, preference, quality, simhash, substrings, token_counts, token_files, toxicity
 from tarmac.llm.common import fold
 
 
@@ -82,9 +82,27 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root in the manifest, and whether the tampered document still leads to that root."""
+    return manifest.verified(manifest.proofs(table(spark, sf_dir, "documents"), manifest.tampered()))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cut lengths and digests of every document with its middle moved to the end."""
+    return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest in the compressed token files, read back from them."""
+    folder = scratch_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
+    at_exit(spark, folder)
+    return token_files.digest(token_files.read(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_nearest, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash, op10_repeats)}
+    return {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_nearest, op5_preference, op6_token_counts, op7_decontamination, op8_toxicity, op9_simhash, op10_repeats, op11_manifest, op12_infill, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preference": preference.ORACLE}
+    return {"op5_preference": preference.ORACLE, "op11_manifest": manifest.ORACLE, "op12_infill": infill.ORACLE}
