@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +35,21 @@ END_ID = 0
 MOST = 18
 #: Ids from one mark to the next, and ids after which a block ends with the document.
 STEP, BLOCK = 256, 1 << 16
-#: Pieces of text, and stems, that each of the two generations of a worker's memory holds; results don't depend on them.
-PIECES, STEMS = 250_000, 250_000
-#: Runs of white space whose tokens depend on more than one sign of them.
-LONG_WHITE = re.compile(r"\s\s\s|\s\s\Z")
+#: Stems that each of the two generations of a worker's memory holds, and bytes of text that are cut at once; results don't depend on them.
+STEMS, CUT = 300_000, 16 << 20
+#: Runs of white space of any kind whose tokens depend on more than one sign of them, for Arrow's regular expressions.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LONG_WHITE = rf"{WHITE}{WHITE}(?:{WHITE}|\z)"
 SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 class PieceEncoder:
-    """Ids of texts by a byte-level `tokenizers` file, as arrays of little-endian unsigned numbers of `width` bytes.
+    """Ids of texts by a byte-level `tokenizers` file, as little-endian unsigned numbers of dtype `kind`.
 
     Such a tokenizer looks for tokens within words, and a word with the space before it has the same tokens everywhere; of a
     run of white space before a word the last sign stands alone. So texts without long runs are cut before each space and
-    line feed, and each piece goes to the tokenizer once: a piece of letters with signs behind it as its letters and its
-    signs, letters many at a time, told apart by the space or line feed that begins each.
+    line feed, by Arrow, and each distinct piece is looked up once: a piece of letters with signs behind it as its letters and its
+    signs. What the memory lacks goes to the tokenizer many at a time, told apart by the space or line feed that begins each.
     """
 
     def __init__(self, path: str):
@@ -61,75 +63,81 @@ class PieceEncoder:
         for white, shown in ((" ", "Ġ"), ("\n", "Ċ")):  # as the vocabulary writes these bytes
             self.begins[white] = np.zeros(max(entries.values()) + 1, bool)
             self.begins[white][[i for e, i in entries.items() if e.startswith(shown)]] = True
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.stems = Memory(PIECES), Memory(STEMS)
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([LONG_WHITE, *added])  # texts that aren't cut; an added token cuts a run of white space
+        self.stems = Memory(STEMS)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stems: list[str]) -> dict[str, bytes]:
-        """The ids of stems as they stand in a text; those that begin with a space or line feed many at a time."""
-        out, others = {}, []
-        plain = [x for x in stems if len(x) > 1 and not x[1].isspace() and not x[-1].isspace()]
-        if len(plain) < len(stems):
-            others = [x for x in stems if not (len(x) > 1 and not x[1].isspace() and not x[-1].isspace())]
-        for white, begins in self.begins.items():
-            some = [x for x in plain if x[0] == white]
+    def _learn(self, stems: list[str]) -> None:
+        """Remember the ids of stems as they stand in a text."""
+        out, alone = self.stems.young, []
+        groups: dict[str, list[str]] = {white: [] for white in self.begins}
+        for x in stems:
+            (groups[x[0]] if len(x) > 1 and x[0] in groups and not x[1].isspace() and not x[-1].isspace() else alone).append(x)
+        for white, some in groups.items():
             for at in range(0, len(some), 512):
                 part = some[at : at + 512]
                 (ids,) = self._ids(["".join(part)])
-                cut = np.flatnonzero(begins[ids])
+                cut = np.flatnonzero(self.begins[white][ids])
                 if len(cut) == len(part) and not cut[0]:
                     joined, size = ids.tobytes(), self.kind.itemsize
                     bounds = [*(size * cut).tolist(), len(joined)]
                     out.update(zip(part, map(joined.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
                 else:
-                    others += part
-        others += [x for x in plain if x[0] not in self.begins]
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
+                    alone += part
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
             out.update((x, ids.tobytes()) for x, ids in zip(part, self._ids(part), strict=True))
-        return out
 
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that the memory lacks. A letter or digit and a sign behind it are in different tokens, so stems and signs are learnt apart."""
-        parts, wanted = [], set()
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces as they stand in a text. A letter or digit and a sign behind it are in different tokens."""
+        stems, signs = [], []
         for p in pieces:
-            shown = p if p[:1] == "\n" else p[1:] if p[:1] == " " else " " + p
-            stem = shown.rstrip(SIGNS)
-            if len(stem) < len(shown) and stem and stem[-1] <= "ÿ" and stem[-1].isalnum():
-                signs = shown[len(stem) :]
-                wanted.add(signs)
+            stem = p.rstrip(SIGNS)
+            if len(stem) < len(p) and stem and stem[-1] <= "ÿ" and stem[-1].isalnum():
+                stems.append(stem)
+                signs.append(p[len(stem) :])
             else:
-                stem, signs = shown, ""
-            wanted.add(stem)
-            parts.append((p, stem, signs))
-        new = self.stems.missing(wanted)
-        stems = self.stems.young
-        stems.update(self._learn(new))
-        out = {p: stems[stem] + stems[signs] if signs else stems[stem] for p, stem, signs in parts}
+                stems.append(p)
+                signs.append("")
+        new = self.stems.missing({*stems, *signs})
+        self._learn(new)
+        known = self.stems.young
+        out = [known[stem] + known[sign] if sign else known[stem] for stem, sign in zip(stems, signs, strict=True)]
         self.stems.age(new)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        flat, ends = [], []
-        for x in texts:
-            if not (LONG_WHITE.search(x) or any(w in x for w in self.added)):  # an added token cuts a run
-                first, *rest = x.replace("\n", " \n").split(" ")
-                flat.append(" " + first)  # a text's own first piece has no space before it, the others have; so their keys differ
-                flat += rest
-            ends.append(len(flat))
-        young, old = self.pieces.young, self.pieces.old
-        found = list(map(young.get, flat))
-        if None in found:
-            lacking = {p for p, ids in zip(flat, found, strict=True) if ids is None}
-            known = {p: old[p] for p in lacking if p in old}
-            fresh = self._fresh(lacking.difference(known)) if len(known) < len(lacking) else {}
-            known |= fresh
-            found = [known[p] if ids is None else ids for p, ids in zip(flat, found, strict=True)]
-            young |= known
-            self.pieces.age(fresh)
-        return [b"".join(found[a:z]) if z > a else self._ids([x])[0].tobytes() for x, a, z in zip(texts, [0, *ends], ends, strict=False)]
+    def _cut(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of texts that may be cut."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        seen, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        first = ends[:-1] - ends[0]  # a text's own first piece has no space before it, the others have
+        shown = [p if p[:1] == "\n" else " " + p for p in seen] + [seen[i] for i in at[first].tolist()]
+        at[first] = np.arange(len(seen), len(shown))
+        known = self._of_pieces(shown)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        begins, each = np.cumsum(sizes) - sizes, sizes[at]
+        end = np.cumsum(each)
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begins[at] - end + each, each) + np.arange(end[-1])].tobytes()
+        bounds = [0, *(end[ends[1:] - ends[0] - 1] * self.kind.itemsize).tolist()]
+        return map(ids.__getitem__, map(slice, bounds, bounds[1:]))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null texts have none."""
+        texts = texts.fill_null("")
+        out: list[bytes] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        for a, z in zip(*(lambda cuts: (cuts, [*cuts[1:], len(texts)]))(np.flatnonzero(np.diff(ends // CUT, prepend=-1)).tolist()), strict=True):
+            part = texts.slice(a, z - a)
+            whole = pc.match_substring_regex(part, self.whole)
+            cut = part.filter(pc.invert(whole))
+            rest = self._cut(cut) if len(cut) else iter(())
+            out += [self._ids([x.as_py()])[0].tobytes() if w else next(rest) for x, w in zip(part, whole.to_pylist(), strict=True)]
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -224,12 +232,14 @@ def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, ahead = encoder(path), TaskContext.get().partitionId(), 0
         last = np.array([end_id], enc.kind).tobytes()
-        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            ids = [x + last for x in enc.encode([x or "" for x in b.column(1).to_pylist()])]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [x + last for x in enc.encode(b.column(1))]
             n = np.array([len(x) // enc.kind.itemsize for x in ids])
             end = np.cumsum(n) + ahead
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(end - n), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "ahead", "n", "ids"])
-            ahead = int(end[-1]) if len(end) else ahead
+            ahead = int(end[-1])
 
     order = ("doc_id", "print", "row")  # row deals out repeated rows
     placed = docs.select("doc_id", "text", F.xxhash64("text").alias("print"), F.monotonically_increasing_id().alias("row"))

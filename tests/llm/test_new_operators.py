@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,7 +163,7 @@ def test_token_files_come_back(spark, case, monkeypatch):
 @given(st.lists(st.lists(st.sampled_from([" ", "\n", "a", "B", "'s", ".", "\xa0", "\t", "é", "1", "\x1c", "日", "<|endoftext|>"]), max_size=12).map("".join), max_size=4))
 def test_pieces_have_the_tokenizers_ids(texts):
     enc = token_files.encoder(vocabulary("byte_bpe_50k.json"))
-    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(pa.array(texts, pa.string()))] == [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @settings(max_examples=60, deadline=None)
