@@ -201,14 +201,23 @@ def edge_transitions_first(roads: DataFrame, stay: float = 30.0, spread: float =
     return whole.select("src", "dst", "to_dst", (F.col("raw") / F.sum("raw").over(Window.partitionBy("src", "dst"))).alias("p"))
 
 
-def edge_transitions(roads: DataFrame, stay: float = 0.5, spread: float = 0.05, most: float = 0.9) -> DataFrame:
-    """(src, dst, to_dst, p): shares of going on from an edge; staying has `stay`, straight ways more than turns.
+def edge_transitions(roads: DataFrame, weights: DataFrame | None = None, stay: float = 0.5, spread: float = 0.05, each: float = 0.05, most: float = 0.9) -> DataFrame:
+    """(src, dst, to_dst, p): the second form: staying, to_dst null, has `stay`; ways on have `each` on average, less where all would have
+    more than `most`.
 
-    A way's raw share is its angle's distance from a right angle, squared, plus a little; shares of the ways sum to at
-    most `most` less `stay`. The row with to_dst equal to src of no edge, null, is staying.
+    A way's share is in proportion to its weight: that of the road that it leads to in weights (src, dst, weight), or, without
+    weights, its angle's distance from a right angle, squared, plus a little. Roads that weights lacks have 0; what is missing
+    to the sum 1 leads nowhere.
     """
-    rows = _turns(roads, spread)
-    p = F.col("raw") / F.sum("raw").over(Window.partitionBy("src", "dst")) * (most - stay)
+    if weights is None:
+        rows = _turns(roads, spread)
+    else:
+        known = weights.groupBy(F.col("src").alias("dst"), F.col("dst").alias("to_dst")).agg(F.max("weight").cast("double").alias("raw"))
+        on = roads.select("src", "dst").join(roads.select(F.col("src").alias("dst"), F.col("dst").alias("to_dst")), "dst")
+        rows = on.join(known, ["dst", "to_dst"], "left").select("src", "dst", "to_dst", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    w = Window.partitionBy("src", "dst")
+    mean = F.least(F.lit(each), (most - stay) / F.count("*").over(w))
+    p = F.coalesce(mean * F.col("raw") / F.nullif(F.avg("raw").over(w), F.lit(0.0)), F.lit(0.0))
     return rows.select("src", "dst", "to_dst", p.alias("p")).unionByName(roads.select("src", "dst", F.lit(None).cast("long").alias("to_dst"), F.lit(stay).alias("p")))
 
 

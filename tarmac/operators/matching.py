@@ -1,91 +1,184 @@
-"""Map matching: candidates, transitions and emissions by Spark joins, the best chain of each trace in its own group."""
+"""Map matching: candidates, moves and emissions by Spark joins, the best chain of each trace by products of adjacent stretches.
 
-from __future__ import annotations
+A chain's cost adds up from fix to fix, and the best ways over two adjacent stretches are those of each, met at the edge between
+them. So stretches double every round: a trace of n fixes takes log n rounds of joins whose keys are (trace, stretch, edge), a long
+trace is spread over all tasks as many short ones are, and no trace is gathered anywhere. The way back halves the
+stretches again. Costs are whole billionths of negative log probabilities: their sums don't depend on the order of adding.
+"""
 
-import math
+from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, rounds
-from tarmac.operators.graphs import edge_emissions, edge_transitions
+from tarmac.core import materialise, numbered, release
+from tarmac.functions import geometry as G
+from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first
+
+#: Parts of a cost of one.
+PARTS = 1_000_000_000
+
+
+def _cost(p: Column) -> Column:
+    return F.round(-F.log(p) * PARTS).cast("long")
 
 
-def one_move(roads: DataFrame) -> DataFrame:
-    """(src, dst, to_src, to_dst, t): log probability of each move from an edge to itself or to one that follows it."""
-    one = edge_transitions(roads).where("p > 0")
-    return one.select("src", "dst", F.when(F.col("to_dst").isNull(), F.col("src")).otherwise(F.col("dst")).alias("to_src"), F.coalesce("to_dst", "dst").alias("to_dst"), F.log("p").alias("t"))
+def _moves(transitions: DataFrame) -> DataFrame:
+    """(edge, to, move): the cost of each move from an edge to itself or to one that follows it."""
+    edge = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    to = F.when(F.col("to_dst").isNull(), edge("src", "dst")).otherwise(edge("dst", "to_dst"))
+    return transitions.where("p > 0").select(edge("src", "dst").alias("edge"), to.alias("to"), _cost(F.col("p")).alias("move"))
+
+
+def _fixes(obs: DataFrame, per: float | None, least: int) -> DataFrame:
+    """(trace_id, step, steps, x, y, hops): fixes numbered from 0 in each trace by ts, x, y, with the moves to the next one.
+
+    One sort by range numbers all fixes; a trace's first number is an aggregate. Rows without a trace, time or place are left out.
+    """
+    known = obs.select("trace_id", "ts", "x", "y").dropna()
+    placed = numbered(known, "trace_id", "ts", "x", "y")
+    traces = materialise(placed.groupBy("trace_id").agg(F.min("place").alias("base"), F.count("*").alias("steps")).where(F.col("steps") >= least))
+    rows = placed.join(traces, "trace_id")
+    ahead = placed.select((F.col("place") - 1).alias("place"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    far = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
+    hops = F.lit(1) if per is None else F.greatest(F.lit(1), F.ceil(F.coalesce(far, F.lit(0.0)) / per).cast("int"))
+    return materialise(rows.join(ahead, "place", "left").select("trace_id", (F.col("place") - F.col("base")).alias("step"), "steps", "x", "y", hops.alias("hops")))
 
 
-def _moved(starts: DataFrame, roads: DataFrame) -> DataFrame:
-    """The best way (column t) of exactly `hops` moves from edge (src, dst) of each row of starts to each edge (to_src, to_dst).
+def _moved(starts: DataFrame, moves: DataFrame) -> DataFrame:
+    """starts (edge, hops and other columns) with `to` and `cost`: the cheapest way of exactly `hops` moves to each edge.
 
-    Only edges that an observation may lie on set out, and all rows go on together, one move a round, until the longest
-    has had its moves.
+    All rows go on together, one move a round, until the longest has had its moves; what has arrived is kept apart.
     """
     keys = [c for c in starts.columns if c != "hops"]
-    one = materialise(one_move(roads).select(F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("to_src").alias("s"), F.col("to_dst").alias("d"), F.col("t").alias("more")))
-    state = starts.select(*keys, "hops", F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.lit(0.0).alias("t"))
+    moves = materialise(moves)
+    now, arrived = starts.select(*keys, "hops", F.col("edge").alias("at"), F.lit(0).cast("long").alias("cost")), None
+    while True:
+        step = moves.select(F.col("edge").alias("at"), "to", "move")
+        ahead = now.join(step, "at").groupBy(*keys, (F.col("hops") - 1).alias("hops"), F.col("to").alias("at")).agg(F.min(F.col("cost") + F.col("move")).alias("cost"))
+        now = materialise(ahead)
+        there = now.where("hops = 0").select(*keys, F.col("at").alias("to"), "cost")
+        arrived = there if arrived is None else arrived.union(there)
+        now = now.where("hops > 0")
+        if now.isEmpty():
+            return arrived
+
+
+def best_chains(ways: DataFrame) -> DataFrame:
+    """(trace_id, k, a, b): of ways (trace_id, n, k, a, b, cost) over the stretches k = 0 .. n - 1 of each trace, from a to b, the
+    cheapest chain, one row for each stretch; a stretch begins where the one before it ends.
+
+    Of equally cheap chains the one with the least last edge stays, then the least first, then the least in the middle, and so on in
+    both halves. A trace without a chain has no rows. Each round pairs even stretches with the odd ones behind them.
+    """
+    half = F.floor(F.col("k") / 2)
+    levels = [materialise(ways.groupBy("trace_id", "n", "k", "a", "b").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast(ways.schema["a"].dataType)))]
+    while not (open_ := levels[-1].where("n > 1")).isEmpty():
+        left, right = open_.where("k % 2 = 0"), open_.where("k % 2 = 1")
+        behind = right.select(F.col("trace_id").alias("t"), (F.col("k") - 1).alias("j"), F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more"))
+        met = left.join(behind, (F.col("trace_id") == F.col("t")) & (F.col("k") == F.col("j")) & (F.col("b") == F.col("m")))
+        n = F.ceil(F.col("n") / 2).alias("n")
+        both = met.groupBy("trace_id", n, half.alias("k"), "a", F.col("c").alias("b")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.col("m").alias("mid"))).alias("best"))
+        lone = left.where("k = n - 1").select("trace_id", n, half.alias("k"), "a", "b", "cost", F.lit(None).cast(ways.schema["a"].dataType).alias("mid"))
+        levels.append(materialise(both.select("trace_id", "n", "k", "a", "b", "best.cost", "best.mid").unionByName(lone)))
+    want = None
+    for k in reversed(range(len(levels))):
+        top = levels[k].where("n = 1").groupBy("trace_id").agg(F.min(F.struct("cost", "b", "a")).alias("o")).select("trace_id", F.lit(0).cast("long").alias("k"), "o.a", "o.b")
+        here = materialise(top if want is None else top.unionByName(want))
+        if k == 0:
+            break
+        rows = here.join(levels[k].select("trace_id", "k", "a", "b", "mid"), ["trace_id", "k", "a", "b"])
+        part = lambda j, a, b: F.struct((2 * F.col("k") + j).cast("long").alias("k"), a.alias("a"), b.alias("b"))
+        a, b, mid = F.col("a"), F.col("b"), F.col("mid")
+        # a stretch without a second half has no middle, and goes down as it is
+        parts = F.when(mid.isNull(), F.array(part(0, a, b))).otherwise(F.array(part(0, a, mid), part(1, mid, b)))
+        want = rows.select("trace_id", F.explode(parts).alias("o")).select("trace_id", "o.*")
+    for old in levels:
+        release(old)
+    return here
+
+
+def _matched(obs: DataFrame, roads: DataFrame, moves: DataFrame, sigma: float, tolerance: float, start: float, per: float | None, least: int) -> tuple[DataFrame, DataFrame]:
+    """The fixes, and (trace_id, k, hops, a, b): the matched edges at both ends of the moves from fix k to the next."""
+    fixes = _fixes(obs, per, least)
+    edge = F.struct("src", "dst").alias("edge")
+    later = edge_emissions(fixes.where("step > 0").withColumn("fix", F.struct("trace_id", "step", "steps", "hops")), roads, sigma, tolerance, "fix").where("p > 0")
+    later = materialise(later.select("fix.*", edge, _cost(F.col("p")).alias("cost")))
+    moved = _moved(_starts(fixes, roads, start).unionByName(later.where("step < steps - 1").drop("cost")), moves)
+    seen = later.select("trace_id", (F.col("step") - 1).alias("step"), F.col("edge").alias("to"), F.col("cost").alias("more"))
+    ways = moved.join(seen, ["trace_id", "step", "to"]).select("trace_id", (F.col("steps") - 1).alias("n"), F.col("step").alias("k"), F.col("edge").alias("a"), F.col("to").alias("b"), (F.col("cost") + F.col("more")).alias("cost"))
+    chains = best_chains(ways)
+    return fixes, chains.join(fixes.select("trace_id", F.col("step").alias("k"), "hops"), ["trace_id", "k"])
+
+
+def _starts(fixes: DataFrame, roads: DataFrame, start: float) -> DataFrame:
+    """(trace_id, step, steps, hops, edge): the edges whose box is within `start` of a trace's first fix, all equally likely."""
+    first = fixes.where("step = 0").select(F.struct("trace_id", "step", "steps", "hops").alias("fix"), *(e.alias(n) for e, n in ((F.col("x") - start, "x0"), (F.col("y") - start, "y0"), (F.col("x") + start, "x1"), (F.col("y") + start, "y1"))))
+    boxes = roads.select(F.struct("src", "dst").alias("edge"), F.least("x", "x1").alias("x0"), F.least("y", "y1").alias("y0"), F.greatest("x", "x1").alias("x1"), F.greatest("y", "y1").alias("y1"))
+    return bbox_search(first, boxes, 2 * start, "fix", "edge").select("fix.*", "edge")
+
+
+def _annotated(fixes: DataFrame, chains: DataFrame, roads: DataFrame, start: float) -> DataFrame:
+    """(trace_id, step, src, dst, along): the matched edge of each fix and the fix's place on it."""
+    a = chains.select("trace_id", F.col("k").alias("step"), F.col("a").alias("edge"))
+    last = chains.join(fixes.where("steps > 1 and step = steps - 1").select("trace_id", "step"), "trace_id").where("k = step - 1").select("trace_id", "step", F.col("b").alias("edge"))
+    single = _starts(fixes.where("steps = 1"), roads, start).groupBy("trace_id", "step").agg(F.min("edge").alias("edge"))
+    at = a.unionByName(last).unionByName(single).select("trace_id", "step", "edge.src", "edge.dst")
+    rows = at.join(fixes.select("trace_id", "step", F.col("x").alias("px"), F.col("y").alias("py")), ["trace_id", "step"]).join(roads.dropDuplicates(["src", "dst"]), ["src", "dst"])
+    s = (G.pt("x", "y"), G.pt("x1", "y1"))
+    return rows.select("trace_id", F.col("step").cast("int").alias("step"), "src", "dst", (G.project_fraction(s, G.pt("px", "py")) * G.length(s)).alias("along"))
+
+
+def map_match(obs: DataFrame, roads: DataFrame, sigma: float = 25.0, tolerance: float = 30.0) -> DataFrame:
+    """(trace_id, step, src, dst, along): the most likely edge of each fix (trace_id, ts, x, y), and the fix's place on it.
+
+    Fixes lie close together: from one to the next there is one move, to the same edge or to one that follows it. All edges
+    within `tolerance` of the first fix are equally likely at the start; edges farther off count where fewer than two are that
+    close to a later fix. A trace without a chain through all its fixes has no rows; one with a single fix takes the least edge. Ties
+    as in best_chains. roads are directed, with the coordinates of both ends. Rows with a null are left out.
+    """
+    fixes, chains = _matched(obs, roads, _moves(edge_transitions_first(roads)), sigma, tolerance, tolerance, None, 1)
+    return _annotated(fixes, chains, roads, tolerance)
 
-    def step(state: DataFrame) -> DataFrame:
-        ahead = state.where("hops > 0").join(one, ["to_src", "to_dst"])
-        best = ahead.groupBy(*keys, (F.col("hops") - 1).alias("hops"), F.col("s").alias("to_src"), F.col("d").alias("to_dst")).agg(F.max(F.col("t") + F.col("more")).alias("t"))
-        return state.where("hops <= 0").unionByName(best)
 
-    return rounds(state, step, lambda a, b: not b.where("hops > 0").isEmpty())
+#: Distance that each further move between two fixes covers; the normal curve's width, the distance of candidate edges, and fixes that a trace needs.
+PER, SIGMA, TOLERANCE, FIXES = 50.0, 30.0, 100.0, 5
 
 
-def _best_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The likeliest chain of one trace over its rows (step, src, dst, to_src, to_dst, lp); none if a step has no way on."""
-    best: dict = {}
-    back: list[dict] = []
-    for want, (step, part) in enumerate(rows.sort_values("step").groupby("step")):
-        if step != want:
-            return pd.DataFrame(columns=["trace_id", "step", "src", "dst"])
-        new: dict = {}
-        came: dict = {}
-        for s, d, ts, td, lp in sorted(part[["src", "dst", "to_src", "to_dst", "lp"]].itertuples(index=False, name=None), key=lambda r: (r[2], r[3], r[0], r[1])):
-            start = 0.0 if step == 0 else best.get((s, d), -math.inf)
-            if start + lp > new.get((ts, td), -math.inf):
-                new[ts, td] = start + lp
-                came[ts, td] = (s, d)
-        best = new
-        back.append(came)
-    if not best or len(back) != int(rows["steps"].iloc[0]):
-        return pd.DataFrame(columns=["trace_id", "step", "src", "dst"])
-    at = min(best, key=lambda e: (-best[e], e))
-    chain = []
-    for came in reversed(back):
-        chain.append(at)
-        at = came[at]
-    chain.reverse()
-    return pd.DataFrame({"trace_id": rows["trace_id"].iloc[0], "step": range(len(chain)), "src": [e[0] for e in chain], "dst": [e[1] for e in chain]})
-
-
-def map_match(obs: DataFrame, roads: DataFrame, sigma: float = 25.0, tolerance: float = 30.0, per: float | None = None, least_points: int = 1) -> DataFrame:
-    """(trace_id, step, src, dst): the most likely edge of each observation (trace_id, ts, x, y).
-
-    From one observation to the next there is one move along the roads and, with `per`, one more for each such distance
-    between them. Ties go to the least edge. A trace without a chain through all its observations, or with fewer than
-    least_points of them, has no rows. The joins are Spark's; only the chain of one trace is found in one group.
+def map_match_sparse(obs: DataFrame, roads: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """map_match for fixes far apart: one move for each 50 m, or part of it, from one fix to the next, five fixes at least.
+
+    weights (src, dst, weight) are the roads' shares at crossings; without them straight ways have larger ones than turns.
     """
-    w = Window.partitionBy("trace_id").orderBy("ts")
-    far = F.sqrt(F.pow(F.lead("x").over(w) - F.col("x"), 2) + F.pow(F.lead("y").over(w) - F.col("y"), 2))
-    hops = F.lit(1) if per is None else 1 + F.floor(F.coalesce(far, F.lit(0.0)) / per).cast("int")
-    o = obs.withColumn("step", F.row_number().over(w) - 1).withColumn("steps", F.count("*").over(Window.partitionBy("trace_id"))).withColumn("hops", hops).where(F.col("steps") >= least_points)
-    o = o.withColumn("obs_id", F.struct("trace_id", "step", "steps", "hops"))
-    em = materialise(edge_emissions(o, roads, sigma, tolerance, "obs_id").where("p > 0").select("obs_id.*", "src", "dst", F.log("p").alias("e")))
-    tr = _moved(em.where(F.col("step") < F.col("steps") - 1).select("trace_id", "step", "steps", "hops", "src", "dst"), roads)
-    later = em.select("trace_id", (F.col("step") - 1).alias("step"), F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("e").alias("e1"))
-    moves = tr.join(later, ["trace_id", "step", "to_src", "to_dst"]).select("trace_id", "steps", (F.col("step") + 1).alias("step"), "src", "dst", "to_src", "to_dst", (F.col("t") + F.col("e1")).alias("lp"))
-    first = em.where("step = 0").select("trace_id", "steps", "step", F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("e").alias("lp"))
-    return moves.unionByName(first).groupBy("trace_id").applyInPandas(_best_chain, "trace_id long, step int, src long, dst long")
-
-
-def map_match_sparse(obs: DataFrame, roads: DataFrame) -> DataFrame:
-    """map_match for observations far apart: a further move for each 50 m between two of them, five points at least."""
-    return map_match(obs, roads, sigma=30.0, tolerance=50.0, per=50.0, least_points=5)
+    fixes, chains = _matched(obs, roads, _moves(edge_transitions(roads, weights)), SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
+    return _annotated(fixes, chains, roads, TOLERANCE)
+
+
+def matched_ways(obs: DataFrame, roads: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(trace_id, step, way): all edges that map_match_sparse goes along from each fix to the next, with both fixes' edges.
+
+    The moves between two fixes are found again from the one edge that was matched, so a gap has one start; of equally
+    cheap ways the least stays.
+    """
+    moves = materialise(_moves(edge_transitions(roads, weights)))
+    _, chains = _matched(obs, roads, moves, SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
+    now, done = chains.select("trace_id", "k", "b", F.col("hops"), F.col("a").alias("at"), F.lit(0).cast("long").alias("cost"), F.array("a").alias("way")), None
+    while True:
+        ahead = now.join(moves.select(F.col("edge").alias("at"), "to", "move"), "at")
+        best = ahead.groupBy("trace_id", "k", "b", (F.col("hops") - 1).alias("hops"), "to").agg(F.min(F.struct((F.col("cost") + F.col("move")).alias("cost"), F.concat("way", F.array("to")).alias("way"))).alias("o"))
+        now = materialise(best.select("trace_id", "k", "b", "hops", F.col("to").alias("at"), "o.cost", "o.way"))
+        there = now.where((F.col("hops") == 0) & (F.col("at") == F.col("b"))).select("trace_id", F.col("k").cast("int").alias("step"), "way")
+        done = there if done is None else done.union(there)
+        now = now.where("hops > 0")
+        if now.isEmpty():
+            return done
+
+
+def way_hits(ways: DataFrame) -> DataFrame:
+    """(src, dst, hits): how often each edge is entered along the ways of matched_ways; staying on an edge isn't entering it, nor is starting on it."""
+    entered = F.filter(F.transform("way", lambda e, i: F.when((i > 0) & (F.get("way", i - 1) != e), e)), lambda e: e.isNotNull())
+    return ways.select(F.explode(entered).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("hits"))
 
 
 def _progress(rows: pd.DataFrame) -> pd.DataFrame:

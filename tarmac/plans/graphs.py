@@ -146,7 +146,9 @@ def _road_links(e):
 _TR = "SELECT a.src, a.dst, b.dst AS to_dst, pow(greatest(0.0::DOUBLE, pi()/2 - acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((a.x1-a.x)*(b.x1-a.x1)+(a.y1-a.y)*(b.y1-a.y1))/(sqrt((a.x1-a.x)*(a.x1-a.x)+(a.y1-a.y)*(a.y1-a.y))*sqrt((b.x1-a.x1)*(b.x1-a.x1)+(b.y1-a.y1)*(b.y1-a.y1))))))), 2)+0.05::DOUBLE AS raw FROM roads a JOIN roads b ON a.dst = b.src"
 query("edge_transitions_first", f"SELECT src, dst, to_dst, {R.format('raw/(30.0::DOUBLE + sum(raw) OVER (PARTITION BY src, dst))')} AS p FROM ({_TR}) UNION ALL SELECT r.src, r.dst, NULL, {R.format('30.0::DOUBLE/(30.0::DOUBLE + coalesce(t.n, 0))')} FROM roads r LEFT JOIN (SELECT src, dst, sum(raw) AS n FROM ({_TR}) GROUP BY 1, 2) t USING (src, dst)")(
     lambda s, d: H.edge_transitions_first(X.roads(s, d)).withColumn("p", r6(F.col("p"))))
-query("edge_transitions", f"SELECT src, dst, to_dst, {R.format('raw/sum(raw) OVER (PARTITION BY src, dst)*0.4::DOUBLE')} AS p FROM ({_TR}) UNION ALL SELECT src, dst, NULL, {R.format('0.5::DOUBLE')} FROM roads")(lambda s, d: H.edge_transitions(X.roads(s, d)).withColumn("p", r6(F.col("p"))))
+query("edge_transitions", f"SELECT src, dst, to_dst, {R.format('least(0.05::DOUBLE, 0.4::DOUBLE/count(*) OVER w)*raw/avg(raw) OVER w')} AS p FROM ({_TR}) WINDOW w AS (PARTITION BY src, dst) UNION ALL SELECT src, dst, NULL, {R.format('0.5::DOUBLE')} FROM roads")(lambda s, d: H.edge_transitions(X.roads(s, d)).withColumn("p", r6(F.col("p"))))
+query("edge_transitions_weighted", f"SELECT src, dst, to_dst, {R.format('coalesce(least(0.05::DOUBLE, 0.4::DOUBLE/count(*) OVER w)*raw/nullif(avg(raw) OVER w, 0), 0)')} AS p FROM (SELECT a.src, a.dst, b.dst AS to_dst, CASE WHEN b.dst % 5 = 0 THEN 0.0 ELSE b.src % 7 END::DOUBLE AS raw FROM roads a JOIN roads b ON a.dst = b.src) WINDOW w AS (PARTITION BY src, dst) UNION ALL SELECT src, dst, NULL, 0.5::DOUBLE FROM roads")(
+    lambda s, d: H.edge_transitions(X.roads(s, d), X.edges(s, d).where("dst % 5 <> 0").withColumn("weight", F.col("src") % 7)).withColumn("p", r6(F.col("p"))))
 _EM = f"(SELECT *, {_FAR} AS f, greatest(least(x, x1)-px, px-greatest(x, x1), least(y, y1)-py, py-greatest(y, y1)) AS gap FROM {_PJ.format(60)})"
 query("edge_emissions", f"SELECT obs_id, src, dst, {R.format('e/sum(e) OVER (PARTITION BY obs_id)')} AS p FROM (SELECT *, exp(-f*f/(2*25.0::DOUBLE*25.0::DOUBLE)) AS e FROM (SELECT *, CASE WHEN count(*) FILTER (gap <= 15) OVER w >= 2 THEN 15 WHEN count(*) FILTER (gap <= 30) OVER w >= 2 THEN 30 ELSE 60 END AS lim FROM {_EM} WINDOW w AS (PARTITION BY obs_id)) WHERE gap <= lim)")(
     lambda s, d: H.edge_emissions(_obs(s, d), X.roads(s, d), 25.0, 15.0, "obs_id").withColumn("p", r6(F.col("p"))))

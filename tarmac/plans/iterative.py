@@ -151,13 +151,21 @@ def _walks(s, d):
     return X.nodes(s, d).select(F.floor(k / 40).alias("trace_id"), (k % 40).alias("ts"), (F.col("x") + k % 3).alias("x"), (F.col("y") + 2).alias("y"))
 
 
-query("map_match")(lambda s, d: M.map_match(_walks(s, d), X.roads(s, d)))
-query("map_match_sparse")(lambda s, d: M.map_match_sparse(_thinned(s, d), X.roads(s, d)))
+query("map_match")(lambda s, d: M.map_match(_walks(s, d), X.roads(s, d)).withColumn("along", r6(F.col("along"))))
+
+
+def _wide(points):
+    """The lattice with nodes some 100 apart, as roads in a town."""
+    return points.select(*[(F.col(c) * 4).alias(c) if c in ("x", "y", "x1", "y1") else c for c in points.columns])
 
 
 def _thinned(s, d):
-    """The same traces with one fix, the mean, for each six nodes: some 150 apart, so several edges lie between two of them."""
-    return _walks(s, d).groupBy("trace_id", F.floor(F.col("ts") / 6).alias("ts")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    """The traces over the wide lattice with one fix, the mean, for each three nodes: some 300 apart, so edges lie between two of them."""
+    return _wide(_walks(s, d).groupBy("trace_id", F.floor(F.col("ts") / 3).alias("ts")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+
+
+query("map_match_sparse")(lambda s, d: M.map_match_sparse(_thinned(s, d), _wide(X.roads(s, d))).withColumn("along", r6(F.col("along"))))
+query("edge_hits_matched")(lambda s, d: M.way_hits(M.matched_ways(_thinned(s, d), _wide(X.roads(s, d)))))
 
 
 query("map_match_roads")(lambda s, d: _matched_roads(s, d))
