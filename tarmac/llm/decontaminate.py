@@ -2,9 +2,11 @@
 
 Pigeonhole: a normalised item with a budget of k edits is split into k + 1 pieces; wherever the item occurs with at most
 k edits, one piece occurs unchanged. Documents are read once: a bitmap of fixed size over the hashes of the pieces' first
-characters, made by Spark from any number of items, tells which places may begin a piece, and a second one over the hashes
-of whole pieces which do. These few places are joined with the pieces by hash, those that hold the piece exactly fix a window, and Myers' bit-parallel distance decides whether the
-item ends in it within the budget. Neither items nor hits pass the driver.
+characters, made by Spark from any number of items, tells which places may begin a piece, and others over the hashes
+of whole pieces which do. These few places are joined with the pieces by hash and become one row for each document and item; that
+row meets the text once, its windows are merged where they overlap, and Myers' bit-parallel distance decides whether the item
+ends in one within the budget. So a document costs time in proportion to its length, however often a piece occurs in it. Neither items
+nor hits pass the driver.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def piece_rows(benchmark: DataFrame, rate: float, least: int) -> DataFrame:
-    """(key, lead, gram, item_id, pattern, edits, at, size) of all pieces of the distinct normalised items.
+    """(key, lead, gram, item, item_id, pattern, edits, at, size) of all pieces of the distinct normalised items; item is a hash of id and pattern.
 
     lead is the hash of the piece's first `gram` characters, key that of all, or of the first WHOLE. An item under `least` characters is one piece with its spaces
     around, as whole words, and at is -1, where that piece begins.
@@ -111,7 +113,8 @@ def piece_rows(benchmark: DataFrame, rate: float, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], names=["key", "lead", "gram", "item_id", "pattern", "edits", "at", "size"])
 
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    return known.mapInArrow(run, "key long, lead long, gram int, item_id long, pattern string, edits int, at int, size int")
+    rows = known.mapInArrow(run, "key long, lead long, gram int, item_id long, pattern string, edits int, at int, size int")
+    return rows.withColumn("item", F.xxhash64("item_id", "pattern"))
 
 
 def _bitmap(rows: DataFrame, key: str) -> bytes:
@@ -124,15 +127,15 @@ def _bitmap(rows: DataFrame, key: str) -> bytes:
     return zlib.compress(bits.tobytes(), 1)
 
 
-def _hits(docs: DataFrame, leads: bytes, wholes: bytes, grams: list[int], sizes: list[int]) -> DataFrame:
+def _hits(docs: DataFrame, leads: bytes, wholes: bytes, shorts: bytes, grams: list[int], sizes: list[int]) -> DataFrame:
     """(doc_id, print, text, keys, places): the documents with a place where a piece may begin, normalised, with these places.
 
-    Such a place has its first characters in the bitmap `leads` and so many characters as some piece has in `wholes`. Places
-    count from the space before the text.
+    Such a place has its first characters in the bitmap `leads` and so many characters as some piece has in `wholes` or, for items that
+    are one piece, in `shorts`; of these a document's first place is enough. Places count from the space before the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, whole = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (leads, wholes))
+        lead, whole, short = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (leads, wholes, shorts))
         known = lambda bits, keys: bits[_slot(keys) >> 3] >> (_slot(keys) & 7).astype(np.uint8) & 1
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             texts = [normalise(x or "") for x in b.column("text").to_pylist()]
@@ -146,11 +149,15 @@ def _hits(docs: DataFrame, leads: bytes, wholes: bytes, grams: list[int], sizes:
                 for size in sizes:
                     place = start[start + size <= len(part)]
                     keys = hashes.of(place, place + size).view(np.int64)
-                    hit = np.flatnonzero(known(whole, keys))
+                    hit = np.flatnonzero(known(whole, keys) | known(short, keys))
                     found.append((place[hit] + at, keys[hit]))
             place, key = (np.concatenate(x) for x in zip(*found, strict=True))
             doc = np.searchsorted(bounds, place, side="right") - 1
-            order = np.argsort(doc, kind="stable")
+            once = known(whole, key) == 0
+            order = np.lexsort((place, key, once, doc))
+            again = np.zeros(len(order), bool)
+            again[1:] = once[order][1:] & (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & once[order][:-1]
+            order = order[~again]
             place, key, doc = place[order] - bounds[doc[order]], key[order], doc[order]
             hit, first = np.unique(doc, return_index=True)
             offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
@@ -160,30 +167,64 @@ def _hits(docs: DataFrame, leads: bytes, wholes: bytes, grams: list[int], sizes:
     return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, text string, keys array<long>, places array<int>")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(doc_id, print, item_id, distance, end) of (doc_id, print, item_id, pattern, edits, low, window): windows that hold the
-    pattern within its budget."""
+def merged(starts: list[int], before: int, behind: int, size: int) -> list[tuple[int, int]]:
+    """The windows (start - before, start + behind) within 0 .. size, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        low, high = max(0, s - before), min(size, s + behind)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        elif low < high:
+            out.append((low, high))
+    return out
+
+
+def nearest(text: str, pattern: str, edits: int, starts: list[int], at: int) -> tuple[int, int] | None:
+    """(distance, end) of the nearest occurrence of the pattern in a normalised text, of equal ones the first, around where it may start.
+
+    Patterns that were looked for as whole words (at is -1) occur at one of the starts or not at all. None if it is farther than
+    its edits everywhere.
+    """
+    size = len(pattern)
+    if at < 0:
+        ends = [s + size for s in starts if text.startswith(pattern, s) and text[max(0, s - 1) : s] in ("", " ") and text[s + size : s + size + 1] in ("", " ")]
+        return (0, min(ends)) if ends else None
+    best, peq = None, None
+    for low, high in merged(starts, edits, size + edits, len(text)):
+        window = text[low:high]
+        if (found := window.find(pattern)) >= 0:
+            here = (0, found + size)
+        elif not edits:
+            continue
+        else:
+            peq = peq or masks(pattern)
+            here = best_end(peq, size, window)
+        if here[0] <= edits and (best is None or here[0] < best[0]):
+            best = (here[0], low + here[1])
+        if best and not best[0]:
+            break
+    return best
+
+
+#: Parts, by the item's hash, in which a document's candidates are checked, so that no row holds very many of them.
+PARTS = 8
+
+
+def _verified(placed: DataFrame) -> DataFrame:
+    """(doc_id, print, item_id, distance, end) of the texts (doc_id, print, text, found) that hold a candidate within its budget."""
+    names = ["doc_id", "print", "item_id", "distance", "end"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "print", "item_id", "distance", "end"]
-        for b in batches:
-            known: dict[str, dict[str, int]] = {}
-            keep, far, ends = [], [], []
-            for n, (pattern, edits, low, window) in enumerate(zip(*(b.column(c).to_pylist() for c in ("pattern", "edits", "low", "window")), strict=True)):
-                if (at := window.find(pattern)) >= 0 or not edits:
-                    distance, end = (0, at + len(pattern)) if at >= 0 else (1, 0)
-                else:
-                    if pattern not in known:
-                        known = {pattern: masks(pattern)}
-                    distance, end = best_end(known[pattern], len(pattern), window)
-                if distance <= edits:
-                    keep.append(n)
-                    far.append(distance)
-                    ends.append(low + end)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in names[:3]), pa.array(far, pa.int32()), pa.array(ends, pa.int64())], names=names)
-
-    return pairs.select("doc_id", "print", "item_id", "pattern", "edits", "low", "window").mapInArrow(run, "doc_id long, print long, item_id long, distance int, end long")
+        for b in (b.slice(at, 16) for b in batches for at in range(0, b.num_rows, 16)):
+            rows = []
+            for doc, code, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "print", "text", "found")), strict=True):
+                for x in found:
+                    if best := nearest(text, x["pattern"], x["edits"], x["starts"], x["at"]):
+                        rows.append((doc, code, x["item_id"], *best))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
+
+    return placed.mapInArrow(run, "doc_id long, print long, item_id long, distance int, end long")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least: int) -> DataFrame:
@@ -193,17 +234,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least: int) -> Da
     sizes = [r["size"] for r in rows.select(F.least("size", F.lit(WHOLE)).alias("size")).distinct().collect()]  # WHOLE values at most
     if not grams:
         return docs.sparkSession.createDataFrame([], FOUND.replace("doc_id long", "doc_id long, print long"))
-    hits = materialise(_hits(docs, _bitmap(rows, "lead"), _bitmap(rows, "key"), grams, sizes))
+    hits = materialise(_hits(docs, _bitmap(rows, "lead"), _bitmap(rows.where("at >= 0"), "key"), _bitmap(rows.where("at < 0"), "key"), grams, sizes))
     each = hits.select("doc_id", "print", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "print", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
-    met = each.join(rows, "key").withColumn("start", F.col("place") - 1 - F.col("at"))
-    met = met.select("doc_id", "print", "item_id", "pattern", "edits", "at", "size", "start").distinct()
-    texts = hits.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("padded"))
-    placed = met.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
-    piece = F.when(F.col("at") < 0, F.concat(F.lit(" "), "pattern", F.lit(" "))).otherwise(F.expr("substring(pattern, at + 1, size)"))
-    exact = placed.where((F.col("start") + F.col("at") >= -1) & (F.expr("substring(padded, start + at + 2, size)") == piece))
-    low, high = F.greatest(F.lit(0), F.col("start") - F.col("edits")), F.least(F.length("padded") - 2, F.col("start") + F.length("pattern") + F.col("edits"))
-    window = exact.select("doc_id", "print", "item_id", "pattern", "edits", low.alias("low"), F.substring("padded", low + 2, high - low).alias("window"))
-    best = _verified(window.distinct()).groupBy("doc_id", "print", "item_id").agg(F.min(F.struct("distance", "end")).alias("best"))
+    start = F.col("place") - 1 - F.col("at")
+    met = each.join(rows.select("key", "item", "at"), "key").groupBy("doc_id", "print", "item").agg(F.collect_set(start).alias("starts"))
+    items = rows.groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("pattern").alias("pattern"), F.first("edits").alias("edits"), F.min("at").alias("at"))
+    some = met.join(items, "item").groupBy("doc_id", "print", F.pmod("item", F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "pattern", "edits", "starts", "at")).alias("found"))
+    texts = hits.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "text")
+    placed = some.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "print", "text", "found")
+    best = _verified(placed).groupBy("doc_id", "print", "item_id").agg(F.min(F.struct("distance", "end")).alias("best"))
     return best.select("doc_id", "print", "item_id", "best.distance", "best.end")
 
 
