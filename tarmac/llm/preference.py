@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise
+from tarmac.core import materialise, numbered
 
 TEXTS = ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
@@ -35,21 +35,11 @@ def _last_answer(turns: Column) -> Column:
 
 
 def _next_ids(ids: DataFrame) -> DataFrame:
-    """(conv_id, next_id): for each of the distinct ids the next larger one, for the largest the smallest.
-
-    Ids are sorted by range and numbered; the driver gets a count for each partition.
-    """
-    placed = materialise(ids.repartitionByRange("conv_id").sortWithinPartitions("conv_id").select("conv_id", F.monotonically_increasing_id().alias("place")))
-    part = F.shiftright("place", 33)
-    sizes = sorted((r.part, r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
-    before, n = {}, 0
-    for k, size in sizes:
-        before[k], n = n, n + size
-    if not n:
-        return ids.select("conv_id", F.col("conv_id").alias("next_id"))
-    number = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[part] + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.select("conv_id", number.alias("number"))
-    return numbered.join(numbered.select(F.col("conv_id").alias("next_id"), F.pmod(F.col("number") - 1, F.lit(n)).alias("number")), "number").select("conv_id", "next_id")
+    """(conv_id, next_id): for each of the distinct ids the next larger one, for the largest the smallest."""
+    placed = materialise(numbered(ids, "conv_id"))
+    n = placed.count()
+    before = F.when(F.col("place") > 0, F.col("place")).otherwise(n) - 1
+    return placed.join(placed.select(F.col("conv_id").alias("next_id"), before.alias("place")), "place").select("conv_id", "next_id")
 
 
 def with_negatives(conversations: DataFrame) -> DataFrame:
@@ -57,15 +47,17 @@ def with_negatives(conversations: DataFrame) -> DataFrame:
     of each is made from its neighbour.
 
     The rejected conversation has the turns before the last assistant turn, and in that turn's place the last assistant
-    turn of the next conversation by id that has one; the last by id takes the first one's. The pair of conversation c is c,
-    its sides are 2c and 2c + 1. Each conversation with an assistant turn has a pair; a single one is its own neighbour.
+    turn of the next conversation by id that has one; the last by id takes the first one's. The pair of conversation c is c, its
+    chosen side too, and its rejected side has the id of that next conversation. Each conversation with an assistant turn has a pair. Where
+    the neighbour's last answer is the same, as where a single conversation is its own neighbour, both sides are equal, the prefix
+    is the whole of them, and both completions are empty: a pair that nothing can be learnt from.
     """
     whole = gathered(conversations).select("conv_id", "turns", _last_answer(F.col("turns")).alias("n")).where("n > 0")
     ids = conversations.where(F.col("conv_id").isNotNull() & (F.col("role") == "assistant")).select("conv_id").distinct()
     answers = whole.select(F.col("conv_id").alias("next_id"), F.element_at("turns", F.col("n"))["text"].alias("other"))
-    swap = _next_ids(ids).join(answers, "next_id").select("conv_id", "other")
+    swap = _next_ids(ids).join(answers, "next_id").select("conv_id", "next_id", "other")
     swapped = F.concat(F.slice("turns", F.lit(1), F.col("n") - 1), F.array(F.struct(F.lit("assistant").alias("role"), F.col("other").alias("text"))))
-    return whole.join(swap, "conv_id").select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"), F.col("turns").alias("chosen_turns"), swapped.alias("rejected_turns"))
+    return whole.join(swap, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("next_id").alias("rejected_id"), F.col("turns").alias("chosen_turns"), swapped.alias("rejected_turns"))
 
 
 def render(chosen: list[tuple[str, str]], rejected: list[tuple[str, str]]) -> tuple[int, str, str, str, str, str]:
@@ -125,22 +117,21 @@ WITH plain AS (
 last AS (SELECT conv_id, pos AS last_pos, text AS last_text FROM plain WHERE role = 'assistant'
          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
 circle AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM last),
-swap AS (SELECT conv_id, a.last_pos, b.last_text AS other FROM last a JOIN circle USING (conv_id) JOIN last b ON b.conv_id = next_id),
+swap AS (SELECT conv_id, next_id, a.last_pos, b.last_text AS other FROM last a JOIN circle USING (conv_id) JOIN last b ON b.conv_id = next_id),
 turns AS (
-  SELECT conv_id * 2 AS conv_id, pos, role, text FROM plain
-  UNION ALL SELECT conv_id * 2 + 1, pos, role, CASE WHEN pos = last_pos THEN other ELSE text END FROM plain JOIN swap USING (conv_id) WHERE pos <= last_pos),
-pairs AS (SELECT conv_id AS pair_id, conv_id * 2 AS chosen_id, conv_id * 2 + 1 AS rejected_id FROM swap),
+  SELECT conv_id AS pair_id, 0 AS side, pos, role, text FROM plain
+  UNION ALL SELECT conv_id, 1, pos, role, CASE WHEN pos = last_pos THEN other ELSE text END FROM plain JOIN swap USING (conv_id) WHERE pos <= last_pos),
+pairs AS (SELECT conv_id AS pair_id, conv_id AS chosen_id, next_id AS rejected_id FROM swap),
 lined AS (
   SELECT p.pair_id, c.pos AS cpos, c.role = r.role AND c.text = r.text AS same
-  FROM pairs p JOIN turns c ON c.conv_id = p.chosen_id JOIN turns r ON r.conv_id = p.rejected_id AND r.pos = c.pos),
-lengths AS (SELECT p.pair_id, least((SELECT count(*) FROM turns t WHERE t.conv_id = p.chosen_id), (SELECT count(*) FROM turns t WHERE t.conv_id = p.rejected_id)) AS n FROM pairs p),
+  FROM pairs p JOIN turns c ON c.pair_id = p.pair_id AND c.side = 0 JOIN turns r ON r.pair_id = p.pair_id AND r.side = 1 AND r.pos = c.pos),
+lengths AS (SELECT p.pair_id, least((SELECT count(*) FROM turns t WHERE t.pair_id = p.pair_id AND t.side = 0), (SELECT count(*) FROM turns t WHERE t.pair_id = p.pair_id AND t.side = 1)) AS n FROM pairs p),
 prefix AS (
   SELECT l.pair_id, coalesce((SELECT min(cpos) FROM lined d WHERE d.pair_id = l.pair_id AND NOT d.same), l.n) AS n_prompt FROM lengths l),
 shown AS (
-  SELECT p.pair_id, side, t.pos, t.role, t.text, x.n_prompt,
+  SELECT p.pair_id, t.side, t.pos, t.role, t.text, x.n_prompt,
          '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS shown, length(t.role) + 5 AS head
-  FROM (SELECT pair_id, 0 AS side, chosen_id AS conv_id FROM pairs UNION ALL SELECT pair_id, 1, rejected_id FROM pairs) p
-  JOIN turns t USING (conv_id) JOIN prefix x USING (pair_id)),
+  FROM pairs p JOIN turns t USING (pair_id) JOIN prefix x USING (pair_id)),
 spans AS (
   SELECT *, head + coalesce(sum(CASE WHEN pos >= n_prompt THEN length(shown) END)
     OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM shown),
