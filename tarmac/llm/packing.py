@@ -1,8 +1,9 @@
 """Packing of tokenised documents into sequences: first-fit decreasing by a tournament tree of bin capacities.
 
 The pieces of documents are dealt into randomised groups by a hash, and every group is packed on its own. The number of
-groups follows the number of documents, so a group stays at a few thousand pieces at any size of corpus, whatever the
-sources or the lengths of documents; no group gathers a key of the data.
+groups follows the lengths of all texts, so a group stays at a few thousand pieces at any size of corpus, whatever the
+sources or the lengths of documents; equal pieces are counted first and then dealt one by one, so no group gathers a key of the
+data. A group holds the pieces' places and lengths; their ids stay outside and meet the places afterwards.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from tarmac.core import materialise
 
 SEQUENCE = 2048
 END_ID = 1
@@ -192,15 +197,17 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, groups: int, capacity: int = SEQUENCE, seed: int = 7, key: str = "doc_id", length: str = "length") -> DataFrame:
     """All columns of pieces, and sequence_id, offset of each piece: no sequence holds more than capacity tokens.
 
-    sequence_id is unique over all groups (group in the upper bits). A piece's group is a hash of all its columns, so
-    neither one huge document nor many pieces with one key, or none, make a huge group. Order within a group is by
-    length, then key and the other columns, so the result doesn't depend on the partitioning. A length over capacity or
-    null raises an error.
+    sequence_id is unique over all groups (group in the upper bits). A piece's group is a hash of all its columns and, of equal
+    pieces, its number among them, so neither one huge document nor many pieces with one key, or none, nor many equal ones
+    make a huge group. Order within a group is by length, then key and the other columns, so the result doesn't depend on the
+    partitioning. A length over capacity or null raises an error.
     """
     names = pieces.columns
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(max(1, groups))).cast("int"))
+    each = pieces.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    dealt = each.select(*names, F.pmod(F.xxhash64(F.lit(seed), *names, "__copy"), F.lit(max(1, groups))).cast("int").alias("__group"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     order = [c for c in (length, key, "start", "piece") if c in names]
+    order += [f.name for f in pieces.schema.fields if f.name not in order and isinstance(f.dataType, AtomicType)]
 
     def place(t: pa.Table) -> pa.Table:
         group = t.column("__group")[0].as_py()
@@ -218,11 +225,22 @@ def assemble(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), joined.alias("ids"))
 
 
-def groups_for(docs: DataFrame, documents: int = 3000) -> int:
-    """How many groups hold about that many documents each."""
-    return max(1, -(-docs.count() // documents))
+def groups_for(docs: DataFrame, pieces: int = 6000, length: int = SEQUENCE) -> int:
+    """How many groups hold at most about that many pieces each: a text has no more ids than bytes, and one more for its end."""
+    most = docs.agg(F.sum(1 + F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length))).first()[0] or 0
+    return max(1, -(-most // pieces))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE) -> DataFrame:
-    """Tokenise and pack documents: tokenise() and then pack(), with the ids of each piece."""
-    return pack(tokenise(docs, path, capacity), groups_for(docs), capacity)
+    """Tokenise and pack documents: tokenise() and then pack(), with the ids of each piece.
+
+    Pieces are written once; those with equal places and equal ids by their hash share them, so ids are joined back to the places one
+    for each such piece.
+    """
+    pieces = materialise(tokenise(docs, path, capacity).withColumn("ids_hash", F.xxhash64("ids")))
+    names = [c for c in pieces.columns if c != "ids"]
+    packed = pack(pieces.select(*names), groups_for(docs, length=capacity), capacity)
+    ids = pieces.groupBy(*names).agg(F.first("ids").alias("ids"))
+    same = [packed[c].eqNullSafe(ids[c]) if c == "doc_id" else packed[c] == ids[c] for c in names]
+    kept = [c for c in names if c != "ids_hash"]
+    return packed.join(ids, reduce(Column.__and__, same)).select(*(packed[c] for c in kept), ids["ids"], packed["sequence_id"], packed["offset"])
