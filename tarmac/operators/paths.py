@@ -106,28 +106,45 @@ def simplify_lines(points: DataFrame, key: str, epsilon: float) -> DataFrame:
     return points.join(done.select(key, "pos"), [key, "pos"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: float) -> DataFrame:
-    """(source, node, dist, pred) of all nodes within `most` of each source over directed edges (src, dst, size).
+def search(edges: DataFrame, starts: DataFrame, most: float, stops: DataFrame | None = None, barred: DataFrame | None = None, beyond: bool = True) -> DataFrame:
+    """(source, node, dist, pred): all nodes within `most` of each source over directed edges (src, dst, size); pred is null at a start.
 
-    Rounds relax the edges out of what improved in the round before; of equal distances the least predecessor stays.
+    starts (source, node, dist) are where a source's search begins, one node or several. stops (source, node) are reached and
+    reported, but never gone beyond, unless they are starts. barred (source, src, dst) are edges that a source doesn't use. Without `beyond`,
+    nodes at exactly `most` aren't reached. Rounds relax the edges out of what improved in the round before; of equal
+    distances the least predecessor stays.
     """
-    start = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
+    first = starts.groupBy("source", "node").agg(F.min("dist").cast("double").alias("dist"))
+    near = (F.col("dist") <= most) if beyond else (F.col("dist") < most)
+    start = first.where(near).select("source", "node", "dist", F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
 
     def step(state: DataFrame) -> DataFrame:
         ahead = state.where("fresh").select("source", F.col("node").alias("src"), "dist").join(edges.select("src", "dst", "size"), "src")
-        new = ahead.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("size")).alias("dist"), F.col("src").alias("pred"), F.lit(True).alias("fresh")).where(F.col("dist") <= most)
+        if barred is not None:
+            ahead = ahead.join(barred.select("source", "src", "dst"), ["source", "src", "dst"], "left_anti")
+        new = ahead.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("size")).alias("dist"), F.col("src").alias("pred")).where(near)
+        if stops is not None:
+            new = new.join(stops.select("source", "node").distinct().withColumn("fresh", F.lit(False)), ["source", "node"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        else:
+            new = new.withColumn("fresh", F.lit(True))
         best = state.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("source", "node").agg(F.min(F.struct("dist", "pred", "fresh")).alias("b"))
         return best.select("source", "node", "b.dist", "b.pred", "b.fresh")
 
     return rounds(start, step, lambda a, b: not b.where("fresh").isEmpty()).drop("fresh")
 
 
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: float, stops: DataFrame | None = None) -> DataFrame:
+    """(source, node, dist, pred) of all nodes within `most` of each source node, itself included; stops (source, node) as in search."""
+    return search(edges, sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist")), most, stops)
+
+
 def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target, step, node): the way back from each target to its source, the source left out.
+    """(source, target, step, node): the way back from each target to where the search began, that node left out.
 
-    Jumps double every round: a way of n nodes takes log n rounds.
+    found comes from search or shortest_paths. Jumps double every round: a way of n nodes takes log n rounds.
     """
-    jump = materialise(found.where("pred is not null and pred <> source").select("source", "node", F.col("pred").alias("to")))
+    begun = found.where("pred is null").select("source", F.col("node").alias("pred"))
+    jump = materialise(found.where("pred is not null").join(begun, ["source", "pred"], "left_anti").select("source", "node", F.col("pred").alias("to")))
     ways = materialise(targets.join(found.where("pred is not null").select("source", F.col("node").alias("target")), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
     reach = 1
     while True:
@@ -141,24 +158,93 @@ def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
         ways, jump, reach = both, further, 2 * reach
 
 
-def follow_distance(edges: DataFrame, sources: DataFrame, length: float) -> DataFrame:
-    """(source, src, dst, along): where one is after travelling `length` from each source node along directed edges.
-
-    No undirected edge is used again from the same source; of two ways onto an edge the shorter counts, then the lower node.
+def _onward(edges: DataFrame, found: DataFrame, starts: DataFrame, barred: DataFrame | None, length: float, stops: DataFrame | None) -> DataFrame:
+    """(source, src, dst, along): where a search that found these nodes is when it has gone `length`, on edges out of them."""
+    gone = found if stops is None else found.join(stops.select("source", "node"), ["source", "node"], "left_anti").unionByName(found.where("pred is null").join(stops.select("source", "node").distinct(), ["source", "node"]))
+    gone = materialise(gone.select("source", "node", "dist"))
+    out = gone.withColumnRenamed("node", "src").join(edges.select("src", "dst", "size"), "src")
+    if barred is not None:
+        out = out.join(barred.select("source", "src", "dst"), ["source", "src", "dst"], "left_anti")
+    # an edge that runs both ways is used once, from the end that is reached first
+    there = gone.select("source", F.col("node").alias("dst"), F.col("dist").alias("far"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().withColumn("back", F.lit(True))
+    out = out.join(there, ["source", "dst"], "left").join(back, ["src", "dst"], "left")
+    out = out.where("back is null or far is null or dist < far or dist = far and src < dst")
+    on_edge = F.when(F.col("dist") + F.col("size") >= length, length - F.col("dist"))
+    if stops is not None:
+        out = out.join(stops.select("source", F.col("node").alias("dst")).distinct().withColumn("stop", F.lit(True)), ["source", "dst"], "left")
+        on_edge = F.coalesce(on_edge, F.when(F.col("stop"), F.col("size")))
+    return out.select("source", "src", "dst", on_edge.alias("along")).where("along is not null")
+
+
+def follow_distance(edges: DataFrame, starts: DataFrame, length: float, backwards: bool = False, stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two tables, (source, src, dst, along) and (source, node, dist): where one is after travelling `length` along directed edges
+    (src, dst, size), and the nodes passed on the way.
+
+    starts are nodes (source, node) or places on edges (source, src, dst, along). One goes forwards, or with `backwards` against the
+    edges; for both, unite both calls. No edge, taken without its direction, is used twice by a source: the way that reaches an
+    edge first has it, of equal ones that from the lower node. Stop nodes (source, node) aren't passed: the place is then the edge's
+    end before the node. A dead end before `length` has no place.
     """
-    start = sources.select("source", F.lit(None).cast("long").alias("src"), F.col("source").alias("dst"), F.lit(0.0).alias("gone"), F.lit(True).alias("fresh"))
-
-    def step(state: DataFrame) -> DataFrame:
-        ahead = state.where("fresh").select("source", F.col("dst").alias("src"), "gone").join(edges.select("src", "dst", "size"), "src")
-        ahead = ahead.withColumn("und", F.struct(F.least("src", "dst"), F.greatest("src", "dst")))
-        seen = state.where("src is not null").select("source", F.struct(F.least("src", "dst"), F.greatest("src", "dst")).alias("und"))
-        new = ahead.join(seen, ["source", "und"], "left_anti").groupBy("source", "und").agg(F.min(F.struct("gone", "src", "dst", "size")).alias("b"))
-        rows = new.select("source", "b.src", "b.dst", (F.col("b.gone") + F.col("b.size")).alias("gone")).withColumn("fresh", F.col("gone") < length)
-        return state.withColumn("fresh", F.lit(False)).unionByName(rows)
-
-    done = rounds(start, step, lambda a, b: not b.where("fresh").isEmpty())
-    ends = done.where((F.col("gone") >= length) & F.col("src").isNotNull()).join(edges.select("src", "dst", "size"), ["src", "dst"])
-    return ends.select("source", "src", "dst", (F.col("size") - (F.col("gone") - length)).alias("along"))
+    on = edges
+    if backwards:
+        on = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "size")
+    if "along" not in starts.columns:
+        begin, barred, own = starts.select("source", "node", F.lit(0.0).alias("dist")), None, None
+    else:
+        at = starts.select("source", "src", "dst", "along").join(edges.select("src", "dst", "size"), ["src", "dst"])
+        if backwards:
+            at = at.select("source", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("size") - F.col("along")).alias("along"), "size")
+        rest = at.withColumn("rest", F.col("size") - F.col("along"))
+        if stops is not None:
+            rest = rest.join(stops.select("source", F.col("node").alias("dst")).distinct().withColumn("stop", F.lit(True)), ["source", "dst"], "left")
+        else:
+            rest = rest.withColumn("stop", F.lit(None).cast("boolean"))
+        rest = materialise(rest)
+        own = rest.select("source", "src", "dst", F.when(F.col("rest") >= length, F.col("along") + length).when(F.col("stop"), F.col("size")).alias("along")).where("along is not null")
+        begin = rest.where((F.col("rest") < length) & F.col("stop").isNull()).select("source", F.col("dst").alias("node"), F.col("rest").alias("dist"))
+        barred = materialise(rest.select("source", "src", "dst").union(rest.select("source", "dst", "src")))
+    found = materialise(search(on, begin, length, stops, barred, beyond=False))
+    places = _onward(on, found, begin, barred, length, stops)
+    places = places if own is None else places.unionByName(own)
+    seen = found if stops is None else found.join(stops.select("source", "node"), ["source", "node"], "left_anti").unionByName(found.where("pred is null").join(stops.select("source", "node").distinct(), ["source", "node"]))
+    if backwards:
+        places = places.join(on, ["src", "dst"]).select("source", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("size") - F.col("along")).alias("along"))
+    return places, seen.select("source", "node", "dist")
+
+
+def closest_reachable(points: DataFrame, edges: DataFrame, remaining: float = 50.0, most: float = 50.0, explored: DataFrame | None = None) -> DataFrame:
+    """(source, src, dst, distance, along, way): of the edges that can be reached within `remaining` from a place on an edge, the one nearest to a point.
+
+    points: source, src, dst, along (the place), px, py (the point). edges: src, dst, x, y, x1, y1, directed; a road that runs both ways
+    is two of them. From the place one goes forwards, and backwards where the edge's reverse is there too, best first, never
+    over the edge of the place again; an edge counts as soon as its beginning is nearer than `remaining`. The place's own edge
+    counts too. Edges farther than `most` from the point don't count, nor, but for the place's own, those that explored (source, src, dst)
+    has in either direction. Of equally near edges the one that is reached first stays, then the least. way has the edges
+    from the place's own, left out, to the beginning of the edge found: null on the own edge. A point without an edge has no row.
+    """
+    sized = edges.withColumn("size", G.length((G.pt("x", "y"), G.pt("x1", "y1"))))
+    at = materialise(points.join(sized, ["src", "dst"]))
+    back = sized.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ahead = at.select("source", F.col("dst").alias("node"), (F.col("size") - F.col("along")).alias("dist"))
+    behind = at.join(back, ["src", "dst"], "left_semi").select("source", F.col("src").alias("node"), F.col("along").alias("dist"))
+    barred = materialise(at.select("source", "src", "dst").union(at.select("source", "dst", "src")))
+    found = materialise(search(sized, ahead.union(behind), remaining, barred=barred, beyond=False))
+    new = found.select("source", F.col("node").alias("src"), F.col("dist").alias("gone")).join(sized.select("src", "dst", "x", "y", "x1", "y1"), "src").join(barred, ["source", "src", "dst"], "left_anti")
+    if explored is not None:
+        shut = explored.select("source", "src", "dst").union(explored.select("source", "dst", "src")).distinct()
+        new = new.join(shut, ["source", "src", "dst"], "left_anti")
+    cols = ["source", "src", "dst", "gone", "x", "y", "x1", "y1"]
+    rows = new.select(cols).union(at.select("source", "src", "dst", F.lit(-1.0).alias("gone"), "x", "y", "x1", "y1")).join(points.select("source", "px", "py"), "source")
+    s, p = (G.pt("x", "y"), G.pt("x1", "y1")), G.pt("px", "py")
+    rows = rows.withColumn("distance", G.segment_distance(s, p)).withColumn("at", G.project_fraction(s, p) * G.length(s)).where(F.col("distance") <= most)
+    best = materialise(rows.groupBy("source").agg(F.min(F.struct("distance", "gone", "src", "dst", F.col("at").alias("along"))).alias("b")).select("source", "b.*"))
+    # the nodes back to where the search began, each with the one before it, are the edges of the way
+    nodes = path_to(found, best.where("gone >= 0").select("source", F.col("src").alias("target")))
+    steps = nodes.join(found.select("source", "node", "pred"), ["source", "node"]).groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("k"), F.col("pred").alias("src"), F.col("node").alias("dst")))).alias("w"))
+    way = F.transform("w", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst")))
+    none = F.array().cast("array<struct<src:bigint,dst:bigint>>")
+    return best.join(steps, "source", "left").select("source", "src", "dst", "distance", "along", F.when(F.col("gone") >= 0, F.coalesce(way, none)).alias("way"))
 
 
 def trace_edges(adjacency: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -92,7 +92,78 @@ def _walked(s, d):
     return P.path_to(found, far)
 
 
-query("follow_distance")(lambda s, d: P.follow_distance(_weighted(_network(s, d)), _sources(s, d), 70.0).withColumn("along", r6(F.col("along"))))
+def _stops(sources, nodes):
+    """(source, node): the absorbing nodes of each source, those near it in number."""
+    n = nodes.select("node_id").where("node_id % 7 = 3")
+    near = n.select(F.col("node_id").alias("node"), F.explode(F.sequence(F.col("node_id") - 300, F.col("node_id") + 300)).alias("source"))
+    return near.where("(node + source) % 2 = 1").join(sources.select("source"), "source", "left_semi")
+
+
+query("shortest_paths_stops", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110 AND (r.node = r.source OR NOT (r.node % 7 = 3 AND (r.node + r.source) % 2 = 1))) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
+    lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0, _stops(_sources(s, d), X.nodes(s, d))).select("source", "node", r6(F.col("dist")).alias("dist")))
+
+
+def _followed(name, starts, begin, own, stopped):
+    """DuckDB text of the places after 70 along the roads taken both ways: starts of the search, places on the own edge, whether stops count."""
+    stop = "({0} % 7 = 3 AND ({0} + {1}) % 2 = 1)" if stopped else "(false AND {0} = {1})"
+    free = f"(r.node <> s.node OR r.dist <> s.dist) AND {stop.format('r.node', 'r.source')}"
+    return f"""
+WITH RECURSIVE {_WB}, pl AS ({starts}), s AS ({begin.format(stop=stop.format('dst', 'source'))}),
+r(source, node, dist) AS (SELECT source, node, dist FROM s UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node JOIN s ON s.source = r.source LEFT JOIN pl ON pl.source = r.source
+  WHERE r.dist + w.size < 70 AND NOT ({free}) AND NOT (least(w.src, w.dst) = coalesce(least(pl.src, pl.dst), -1) AND greatest(w.src, w.dst) = coalesce(greatest(pl.src, pl.dst), -1))),
+g AS (SELECT r.source, r.node, min(r.dist) AS dist FROM r JOIN s ON s.source = r.source WHERE NOT ({free}) GROUP BY ALL),
+o AS (SELECT g.source, w.src, w.dst, w.size, g.dist FROM g JOIN w ON w.src = g.node LEFT JOIN pl ON pl.source = g.source
+  WHERE NOT (least(w.src, w.dst) = coalesce(least(pl.src, pl.dst), -1) AND greatest(w.src, w.dst) = coalesce(greatest(pl.src, pl.dst), -1))),
+u AS (SELECT o.* FROM o LEFT JOIN g h ON h.source = o.source AND h.node = o.dst WHERE h.dist IS NULL OR o.dist < h.dist OR (o.dist = h.dist AND o.src < o.dst)),
+p AS (SELECT source, src, dst, CASE WHEN dist + size >= 70 THEN 70 - dist WHEN {stop.format('dst', 'source')} THEN size END AS along FROM u UNION ALL {own.format(stop=stop.format('dst', 'source'))})
+SELECT source, src, dst, {R.format('along')} AS along FROM p WHERE along IS NOT NULL"""
+
+
+query("follow_distance", _followed("nodes", "SELECT NULL::BIGINT AS source, NULL::BIGINT AS src, NULL::BIGINT AS dst WHERE false", "SELECT node_id AS source, node_id AS node, 0.0::DOUBLE AS dist FROM nodes", "SELECT NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE WHERE false", False))(
+    lambda s, d: P.follow_distance(_weighted(_network(s, d)), X.nodes(s, d).select(F.col("node_id").alias("source"), F.col("node_id").alias("node")), 70.0)[0].withColumn("along", r6(F.col("along"))))
+
+
+def _positions(s, d):
+    """A place on every road, taken in its lower direction: some way along, by the number of its first node."""
+    e = _network(s, d)
+    return e.select((F.col("src") * 100000 + F.col("dst")).alias("source"), "src", "dst", (F.col("size") * (F.col("src") % 5) / 5).alias("along"))
+
+
+_AT = f"SELECT src*100000+dst AS source, src, dst, size, size*(src % 5)/5 AS along FROM {_W}"
+query("follow_positions", _followed("edges", _AT, "SELECT source, dst AS node, size - along AS dist FROM pl WHERE size - along < 70 AND NOT {stop}", "SELECT source, src, dst, CASE WHEN size - along >= 70 THEN along + 70 WHEN {stop} THEN size END FROM pl", True))(
+    lambda s, d: _followed_places(s, d)[0].withColumn("along", r6(F.col("along"))))
+
+
+def _followed_places(s, d, backwards=False):
+    at = _positions(s, d)
+    stops = X.nodes(s, d).select("node_id").where("node_id % 7 = 3")
+    stops = at.select("source", "src").join(stops, F.col("node_id").between(F.col("src") - 300, F.col("src") + 300)).where("(node_id + source) % 2 = 1").select("source", F.col("node_id").alias("node"))
+    return P.follow_distance(_weighted(_network(s, d)), at, 70.0, backwards, stops)
+
+
+def _reachable(s, d):
+    """For each place of _positions a point beside it, and the edge nearest to it that can be reached within 60; pairs from nodes divisible by 6 are explored."""
+    r = X.roads(s, d)
+    both = r.union(r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("x1"), F.col("y").alias("y1")))
+    at = _positions(s, d).join(r.select("src", "dst", "x", "y"), ["src", "dst"])
+    points = at.select("source", "src", "dst", "along", (F.col("x") + F.col("src") % 37).alias("px"), (F.col("y") - F.col("dst") % 29 + 11).alias("py"))
+    explored = points.select("source", F.col("src").alias("s")).join(_network(s, d).where("src % 6 = 0"), F.col("src").between(F.col("s") - 200, F.col("s") + 200)).select("source", "src", "dst")
+    return P.closest_reachable(points, both, 60.0, 45.0, explored)
+
+
+_PF = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px-x)*(x1-x)+(py-y)*(y1-y))/((x1-x)*(x1-x)+(y1-y)*(y1-y))))"
+query("closest_reachable", f"""
+WITH RECURSIVE {_WB}, both_ways AS (SELECT src, dst, x, y, x1, y1 FROM roads UNION ALL SELECT dst, src, x1, y1, x, y FROM roads),
+pl AS (SELECT a.*, x + src % 37 AS px, y - dst % 29 + 11 AS py FROM ({_AT}) a JOIN roads USING (src, dst)),
+s AS (SELECT source, dst AS node, size - along AS dist FROM pl WHERE size - along < 60 UNION ALL SELECT source, src, along FROM pl WHERE along < 60),
+r(source, node, dist) AS (SELECT source, node, dist FROM s UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node JOIN pl USING (source) WHERE r.dist + w.size < 60 AND NOT (w.src = pl.src AND w.dst = pl.dst OR w.src = pl.dst AND w.dst = pl.src)),
+g AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL),
+c AS (SELECT source, b.src, b.dst, g.dist AS gone, x, y, x1, y1, px, py FROM g JOIN pl USING (source) JOIN both_ways b ON b.src = g.node
+  WHERE NOT (b.src = pl.src AND b.dst = pl.dst OR b.src = pl.dst AND b.dst = pl.src) AND NOT (least(b.src, b.dst) % 6 = 0 AND least(b.src, b.dst) BETWEEN pl.src - 200 AND pl.src + 200)
+  UNION ALL SELECT source, src, dst, -1.0, x, y, x1, y1, px, py FROM pl JOIN roads USING (src, dst)),
+f AS (SELECT *, {_PF} AS t FROM c), h AS (SELECT *, sqrt((px-(x+t*(x1-x)))*(px-(x+t*(x1-x)))+(py-(y+t*(y1-y)))*(py-(y+t*(y1-y)))) AS far, t*sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS place FROM f)
+SELECT source, src, dst, {R.format('far')} AS distance, {R.format('place')} AS along FROM h WHERE far <= 45 QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, gone, src, dst) = 1""")(
+    lambda s, d: _reachable(s, d).select("source", "src", "dst", r6(F.col("distance")).alias("distance"), r6(F.col("along")).alias("along")))
 query("connect_terminals")(lambda s, d: P.connect_terminals(X.nodes(s, d), _network(s, d), near=60.0, far=200.0).withColumn("distance", r6(F.col("distance"))))
 query("prune_roads")(lambda s, d: P.prune_roads(X.nodes(s, d), _network(s, d), FRAME).withColumn("size", r6(F.col("size"))))
 _UP = f"""
