@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, offsets, release, rounds
+from tarmac.core import materialise, numbered, offsets, release, rounds
 from tarmac.functions import geometry as G
 from tarmac.operators.components import components
 from tarmac.operators.graphs import degrees, with_ends
@@ -309,29 +309,116 @@ def connect_terminals(nodes: DataFrame, edges: DataFrame, near: float = 20.0, fa
     return greedy_matching(rows.where(fine).select("a", "b", "distance"))
 
 
-def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0) -> DataFrame:
-    """(node, src, dst, at_x, at_y, far): dead ends lengthened by a ray of `reach` to the nearest edge that it crosses.
+def road_graph(edges: DataFrame) -> dict[str, DataFrame]:
+    """The roads of a directed network (src, dst, size) and how they hang together, as three tables.
 
-    All are judged on one snapshot; edges of the end itself don't count; of two at the same distance the lower one.
+    `roads` (road, head, tail, n, length, first, last): the chains of contract_chains, from node head to node tail, with the first and the last
+    edge; `links` (road, way, other): the other roads with an edge into a road's head (way in) or out of its tail (out); `opposites` (road, opposite): the
+    least road from tail to head that ends with the reverse of the road's first edge.
     """
-    from tarmac.operators.graphs import bbox_search
-
+    chains = materialise(contract_chains(edges).join(edges.groupBy("src", "dst").agg(F.min("size").alias("size")), ["src", "dst"]))
+    edge = F.struct("src", "dst")
+    roads = chains.groupBy("road").agg(F.min_by("src", "seq").alias("head"), F.max_by("dst", "seq").alias("tail"), F.count("*").alias("n"), F.sum("size").alias("length"), F.min_by(edge, "seq").alias("first"), F.max_by(edge, "seq").alias("last"))
+    roads = materialise(roads)
+    side = lambda end, node, way: roads.select("road", F.col(end).alias("at")).join(chains.select(F.col(node).alias("at"), F.col("road").alias("other")).distinct(), "at").where("road <> other").select("road", F.lit(way).alias("way"), "other")
+    links = side("head", "dst", "in").union(side("tail", "src", "out"))
+    back = roads.select(F.col("road").alias("other"), F.col("head").alias("h"), F.col("tail").alias("t"), F.struct(F.col("last.dst").alias("src"), F.col("last.src").alias("dst")).alias("turned"))
+    met = roads.join(back, (F.col("tail") == F.col("h")) & (F.col("head") == F.col("t")) & (F.col("first") == F.col("turned"))).where("road <> other")
+    return {"roads": roads, "links": links, "opposites": met.groupBy("road").agg(F.min("other").alias("opposite"))}
+
+
+def _rays(nodes: DataFrame, edges: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """The edges with their ends' places, and (node, rx, ry, ex, ey): dead ends and where a ray of `reach` from them ends."""
     ends = materialise(with_ends(nodes, edges))
     a = ends.select(F.col("src").alias("node"), "x", "y", F.col("x1").alias("fx"), F.col("y1").alias("fy"))
     b = ends.select(F.col("dst").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"))
     dead = a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi")
     tip = G.extend((G.pt("fx", "fy"), G.pt("x", "y")), reach)[1]
-    rays = dead.select(F.struct("node", F.col("x").alias("rx"), F.col("y").alias("ry"), tip[0].alias("ex"), tip[1].alias("ey")).alias("ray"))
-    box = lambda r, c: [F.least(*c[::2]).alias("x0"), F.least(*c[1::2]).alias("y0"), F.greatest(*c[::2]).alias("x1"), F.greatest(*c[1::2]).alias("y1")]
-    left = rays.select("ray", *box(None, [F.col("ray.rx"), F.col("ray.ry"), F.col("ray.ex"), F.col("ray.ey")]))
-    right = ends.select(F.struct("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty")).alias("edge"), *box(None, [F.col("x"), F.col("y"), F.col("x1"), F.col("y1")]))
+    return ends, dead.select("node", F.col("x").alias("rx"), F.col("y").alias("ry"), tip[0].alias("ex"), tip[1].alias("ey"))
+
+
+def _beside(rays: DataFrame, ends: DataFrame, reach: float, confidence: DataFrame, least: float) -> DataFrame:
+    """(node, src, dst, at_x, at_y, far): edges' ends ahead of a dead end that lie and go on in nearly its direction, over likely pixels."""
+    from tarmac.operators.graphs import bbox_search
+
+    around = rays.select(F.struct("node", "rx", "ry", "ex", "ey").alias("ray"), (F.col("rx") - reach).alias("x0"), (F.col("ry") - reach).alias("y0"), (F.col("rx") + reach).alias("x1"), (F.col("ry") + reach).alias("y1"))
+    both = ends.select("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty")).union(ends.select("src", "dst", "x1", "y1", "x", "y"))
+    boxes = both.select(F.struct("src", "dst", "sx", "sy", "tx", "ty").alias("edge"), F.least("sx", "tx").alias("x0"), F.least("sy", "ty").alias("y0"), F.greatest("sx", "tx").alias("x1"), F.greatest("sy", "ty").alias("y1"))
+    rows = bbox_search(around, boxes, 2 * reach, "ray", "edge").select("ray.*", "edge.*").where((F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")))
+    meets, _ = G.segment_intersection((G.pt("rx", "ry"), G.pt("ex", "ey")), (G.pt("sx", "sy"), G.pt("tx", "ty")))
+    ray, on, way = G.sub(G.pt("ex", "ey"), G.pt("rx", "ry")), G.sub(G.pt("tx", "ty"), G.pt("sx", "sy")), G.sub(G.pt("sx", "sy"), G.pt("rx", "ry"))
+    far = G.distance(G.pt("rx", "ry"), G.pt("sx", "sy"))
+    near = rows.withColumn("far", far).where(~meets & (F.col("far") < reach) & (F.col("far") > 0) & (F.abs(G.signed_angle(on, ray)) <= F.pi() / 4) & (F.abs(G.signed_angle(way, ray)) <= F.pi() / 4))
+    near = materialise(near.select("node", "src", "dst", F.col("sx").alias("at_x"), F.col("sy").alias("at_y"), "far", "rx", "ry"))
+    # a sample each two units; its value is the most of nine pixels, which are two units wide
+    k = F.explode_outer(F.when(F.floor("far") >= 1, F.sequence(F.lit(0), F.floor("far").cast("int") - 1, F.lit(2)))).alias("k")
+    at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("far")) / 2).cast("long")
+    steps = near.select("*", k).select("node", "src", "dst", "at_x", "at_y", "k", at("rx", "at_x").alias("px"), at("ry", "at_y").alias("py"))
+    wide = steps.select("*", offsets("o", [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])).withColumn("x", F.col("px") + F.col("o.dx")).withColumn("y", F.col("py") + F.col("o.dy"))
+    key = ["node", "src", "dst", "at_x", "at_y"]
+    most = wide.join(confidence.select("x", "y", "v"), ["x", "y"], "left").groupBy(*key, "k").agg(F.max(F.coalesce("v", F.lit(0.0))).alias("v"))
+    fine = most.groupBy(*key).agg(F.avg(F.when(F.col("k").isNotNull(), F.col("v"))).alias("mean")).where(F.coalesce("mean", F.lit(least)) >= least)
+    return near.join(fine.select(*key), key, "left_semi").select("node", "src", "dst", "at_x", "at_y", "far")
+
+
+def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0, confidence: DataFrame | None = None, least: float = 55.0) -> DataFrame:
+    """(node, src, dst, at_x, at_y, far): dead ends lengthened by a ray of `reach` to the nearest edge that it crosses.
+
+    With `confidence` (x, y, v; pixels two units wide) an edge that isn't crossed counts with an end of it that is nearer than `reach`, if
+    both the edge, from that end on, and the way there are within 45 degrees of the ray, and the mean confidence along the way is at
+    least `least`. All are judged on one snapshot; edges of the end itself don't count; of two at the same distance the
+    lower one. split_edges makes the new edges.
+    """
+    from tarmac.operators.graphs import bbox_search
+
+    ends, rays = _rays(nodes, edges, reach)
+    box = lambda c: [F.least(*c[::2]).alias("x0"), F.least(*c[1::2]).alias("y0"), F.greatest(*c[::2]).alias("x1"), F.greatest(*c[1::2]).alias("y1")]
+    left = rays.select(F.struct("node", "rx", "ry", "ex", "ey").alias("ray"), *box([F.col("rx"), F.col("ry"), F.col("ex"), F.col("ey")]))
+    right = ends.select(F.struct("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty")).alias("edge"), *box([F.col("x"), F.col("y"), F.col("x1"), F.col("y1")]))
     hits = bbox_search(left, right, 2 * reach, "ray", "edge").select("ray.*", "edge.*").where((F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")))
     meets, at = G.segment_intersection((G.pt("rx", "ry"), G.pt("ex", "ey")), (G.pt("sx", "sy"), G.pt("tx", "ty")))
     rows = hits.withColumn("meets", meets).withColumn("at_x", at[0]).withColumn("at_y", at[1]).where("meets").withColumn("far", G.distance(G.pt("rx", "ry"), G.pt("at_x", "at_y")))
+    rows = rows.select("node", "src", "dst", "at_x", "at_y", "far")
+    if confidence is not None:
+        rows = rows.unionByName(_beside(rays, ends, reach, confidence, least))
     best = rows.groupBy("node").agg(F.min(F.struct("far", "src", "dst", "at_x", "at_y")).alias("b"))
     return best.select("node", "b.src", "b.dst", "b.at_x", "b.at_y", "b.far")
 
 
+def split_edges(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, x, y) and undirected edges (src, dst, size) after edges were cut at places and nodes joined to these.
+
+    cuts (node, src, dst, at_x, at_y), as from connect_up: an edge may have any number of places. Each different place inside an edge
+    becomes a node, numbered on from the largest id by edge and distance from src; the pieces between them replace the edge, and
+    each cut's node is linked to its place. A place at an end of the edge is that end, and cuts nothing. All places are put in order by
+    one sort by range, so an edge with very many of them is spread as well.
+    """
+    ends = with_ends(nodes, edges).select("src", "dst", "x", "y", "x1", "y1").distinct()
+    asked = materialise(cuts.select("node", "src", "dst", "at_x", "at_y").join(ends, ["src", "dst"]))
+    at = lambda x, y: (F.col("at_x") == F.col(x)) & (F.col("at_y") == F.col(y))
+    t = G.distance(G.pt("x", "y"), G.pt("at_x", "at_y"))
+    inner = asked.where(~at("x", "y") & ~at("x1", "y1")).select("src", "dst", "at_x", "at_y", "x", "y", "x1", "y1", t.alias("t")).distinct()
+    base = nodes.agg(F.max("node_id").alias("m")).first().m or 0
+    places = materialise(numbered(inner, "src", "dst", "t", "at_x", "at_y").withColumn("id", F.col("place") + base + 1))
+    next_ = places.select((F.col("place") - 1).alias("place"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("id").alias("nid"), F.col("at_x").alias("nx"), F.col("at_y").alias("ny"))
+    before = places.select((F.col("place") + 1).alias("place"), F.col("src").alias("s"), F.col("dst").alias("d"), F.lit(True).alias("has"))
+    same = (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d"))
+    after = places.join(next_, "place", "left")
+    fine = F.coalesce(same, F.lit(False))
+    size = lambda *c: G.distance(G.pt(*c[:2]), G.pt(*c[2:]))
+    on = after.select(F.col("id").alias("a"), F.when(fine, F.col("nid")).otherwise(F.col("dst")).alias("b"), F.when(fine, size("at_x", "at_y", "nx", "ny")).otherwise(size("at_x", "at_y", "x1", "y1")).alias("size"))
+    first = places.join(before, "place", "left").where(~fine).select(F.col("src").alias("a"), F.col("id").alias("b"), F.col("t").alias("size"))
+    vertex = asked.join(places.select("src", "dst", "at_x", "at_y", "id"), ["src", "dst", "at_x", "at_y"], "left")
+    to = F.coalesce(F.when(at("x", "y"), F.col("src")).when(at("x1", "y1"), F.col("dst")), F.col("id"))
+    own = nodes.select(F.col("node_id").alias("node"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    links = vertex.select("node", to.alias("to"), "at_x", "at_y").distinct().join(own, "node").select(F.col("node").alias("a"), F.col("to").alias("b"), size("ox", "oy", "at_x", "at_y").alias("size"))
+    made = on.union(first).union(links).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "size").where("src <> dst")
+    whole = edges.join(places.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    kept = with_ends(nodes, whole).select("src", "dst", G.distance(G.pt("x", "y"), G.pt("x1", "y1")).alias("size"))
+    more = nodes.select("node_id", "x", "y").unionByName(places.select(F.col("id").alias("node_id"), F.col("at_x").alias("x"), F.col("at_y").alias("y")))
+    return more, kept.union(made).distinct()
+
+
 def ray_connect(ends: DataFrame, roads: DataFrame, probability: DataFrame, most: float, least: float, angles: tuple[int, ...] = (0, 5, -5, 10, -10, 15, -15, 20, -20, 25, -25), r: int = 0) -> DataFrame:
     """(tile_id, end_id, angle, k, x, y): where rays from line ends, in half-pixel steps, first come within r of another line's pixel.
 

@@ -177,7 +177,7 @@ m AS (SELECT *, sqrt((at_x-px)*(at_x-px)+(at_y-py)*(at_y-py)) AS far FROM k QUAL
 SELECT node, src, dst, {R.format('at_x')} AS at_x, {R.format('at_y')} AS at_y, {R.format('far')} AS far FROM m"""
 query("connect_up", f"WITH {_DEG}, e AS (SELECT src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM {_E} JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst), {_UP}")(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
 _LE = "(SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT (tile_id*2000+x)*2000+y AS a, (tile_id*2000+x1)*2000+y1 AS b FROM segs) WHERE a <> b)"
-query("connect_up_lines", f"WITH g AS {_LE}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1), e AS (SELECT src, dst, (src//2000)::DOUBLE AS x, (src%2000)::DOUBLE AS y, (dst//2000)::DOUBLE AS x1, (dst%2000)::DOUBLE AS y1 FROM g), {_UP}")(lambda s, d: _up_lines(s, d))
+query("connect_up_lines", f"WITH g AS {_LE}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1), e AS (SELECT src, dst, (src//2000)::DOUBLE AS x, (src%2000)::DOUBLE AS y, (dst//2000)::DOUBLE AS x1, (dst%2000)::DOUBLE AS y1 FROM g), {_UP}")(lambda s, d: _up_lines(s, d)[2])
 
 
 def _up_lines(s, d):
@@ -187,9 +187,32 @@ def _up_lines(s, d):
     edges = ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     nodes = nodes.select("node_id", F.floor(F.col("node_id") / 2000).cast("double").alias("x"), (F.col("node_id") % 2000).cast("double").alias("y"))
-    return P.connect_up(nodes, edges, reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")])
-
-
+    return nodes, edges, P.connect_up(nodes, edges, reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")])
+
+
+_SQ = "sqrt(({0}-{2})*({0}-{2})+({1}-{3})*({1}-{3}))"
+query("connect_up_edges", f"WITH g AS {_LE}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1), e AS (SELECT src, dst, (src//2000)::DOUBLE AS x, (src%2000)::DOUBLE AS y, (dst//2000)::DOUBLE AS x1, (dst%2000)::DOUBLE AS y1 FROM g), {_UP.replace(chr(10) + 'SELECT node', ', up AS (SELECT node')}), asked AS (SELECT up.*, x, y, x1, y1 FROM up JOIN e USING (src, dst)), "
+    f"inside AS (SELECT DISTINCT src, dst, at_x, at_y, x, y, x1, y1, {_SQ.format('x', 'y', 'at_x', 'at_y')} AS t FROM asked WHERE NOT (at_x = x AND at_y = y) AND NOT (at_x = x1 AND at_y = y1)), "
+    "placed AS (SELECT *, (SELECT max(node) FROM d) + row_number() OVER (ORDER BY src, dst, t, at_x, at_y) AS id FROM inside), "
+    f"after AS (SELECT src, dst, id, t, lag(id) OVER w AS p, coalesce(lead(id) OVER w, dst) AS b, {_SQ.format('at_x', 'at_y', 'coalesce(lead(at_x) OVER w, x1)', 'coalesce(lead(at_y) OVER w, y1)')} AS size FROM placed WINDOW w AS (PARTITION BY src, dst ORDER BY t, at_x, at_y)), "
+    f"made AS (SELECT id AS a, b, size FROM after UNION ALL SELECT src, id, t FROM after WHERE p IS NULL UNION ALL SELECT q.node, CASE WHEN q.at_x = q.x AND q.at_y = q.y THEN q.src WHEN q.at_x = q.x1 AND q.at_y = q.y1 THEN q.dst ELSE id END, {_SQ.format('(q.node//2000)', '(q.node%2000)', 'q.at_x', 'q.at_y')} FROM asked q LEFT JOIN placed z ON z.src = q.src AND z.dst = q.dst AND z.at_x = q.at_x AND z.at_y = q.at_y) "
+    f"SELECT DISTINCT src, dst, {R.format('size')} AS size FROM (SELECT least(a, b) AS src, greatest(a, b) AS dst, size FROM made WHERE a <> b UNION ALL SELECT src, dst, {_SQ.format('x', 'y', 'x1', 'y1')} FROM e WHERE NOT EXISTS (SELECT 1 FROM placed z WHERE z.src = e.src AND z.dst = e.dst))")(
+    lambda s, d: P.split_edges(*_up_lines(s, d))[1].withColumn("size", r6(F.col("size"))).distinct())
+query("road_graph", f"""
+WITH RECURSIVE {_WB}, deg AS (SELECT src AS node, count(*) AS n FROM w GROUP BY 1),
+c(road, head, src, dst, n, length, fs, fd) AS (SELECT src || '-' || dst, src, src, dst, 1, size, src, dst FROM w JOIN deg ON node = src WHERE deg.n <> 2
+  UNION ALL SELECT c.road, c.head, w.src, w.dst, c.n + 1, c.length + w.size, fs, fd FROM c JOIN deg ON deg.node = c.dst AND deg.n = 2 JOIN w ON w.src = c.dst AND w.dst <> c.src),
+r AS (SELECT road, head, c.dst AS tail, c.n, length, c.src AS ls, c.dst AS ld, fs, fd FROM c JOIN deg ON deg.node = c.dst WHERE deg.n <> 2)
+SELECT road, head, tail, n::BIGINT AS n, {R.format('length')} AS length, (SELECT count(*) FROM r o WHERE o.tail = r.head AND o.road <> r.road) AS n_in, (SELECT count(*) FROM r o WHERE o.head = r.tail AND o.road <> r.road) AS n_out,
+  (SELECT min(o.road) FROM r o WHERE o.head = r.tail AND o.tail = r.head AND o.ls = r.fd AND o.ld = r.fs AND o.road <> r.road) AS opposite FROM r""")(lambda s, d: _road_rows(s, d))
+
+
+def _road_rows(s, d):
+    """The roads of the whole network with the numbers of their roads in and out, and their opposites."""
+    g = P.road_graph(_weighted(_network(s, d)))
+    count = lambda way: g["links"].where(F.col("way") == way).groupBy("road").agg(F.count("*").alias(f"n_{way}"))
+    rows = g["roads"].join(count("in"), "road", "left").join(count("out"), "road", "left").join(g["opposites"], "road", "left")
+    return rows.select("road", "head", "tail", "n", r6(F.col("length")).alias("length"), F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"), "opposite")
 
 def _ends(s, d):
     seg = X.segs(s, d).select("tile_id", F.col("line_id").alias("road"), "pos", *[F.floor(F.col(c) / 13).cast("long").alias(c) for c in ("x", "y", "x1", "y1")])
