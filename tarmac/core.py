@@ -110,6 +110,17 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("place", F.create_map(*before)[part] + row) if n else placed
 
 
+def ranked(df: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """df with `place`, its rows' places from 0 within their key in the given order, and `total`, the key's rows.
+
+    One sort by range over all keys numbers the rows, and a key's first number is an aggregate: a key with most of the rows is spread
+    over tasks as many small ones are. Null keys are left out.
+    """
+    placed = numbered(df.dropna(subset=key), *key, *order)
+    first = materialise(placed.groupBy(*key).agg(F.min("place").alias("__first"), F.count("*").alias("total")))
+    return placed.join(first, key).withColumn("place", F.col("place") - F.col("__first")).drop("__first")
+
+
 def grid(*axes: tuple[str, int, int]) -> list[tuple[int, ...]]:
     """All integer offsets in the given closed ranges, as constants for small neighbourhoods."""
     out: list[tuple[int, ...]] = [()]

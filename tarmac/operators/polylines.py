@@ -95,3 +95,23 @@ def densify(segs: DataFrame, most: float = 10.0, piece: float = 5.0) -> DataFram
     to = F.when(F.col("k") < F.col("n"), (F.col("k") + 1) * piece / F.col("size")).otherwise(1.0)
     dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
     return rows.withColumn("ax", F.col("x") + at * dx).withColumn("ay", F.col("y") + at * dy).withColumn("bx", F.col("x") + to * dx).withColumn("by", F.col("y") + to * dy)
+
+
+def novelty(lines: DataFrame) -> DataFrame:
+    """(image_id, line_id) of the lines (image_id, line_id, wkt) whose text of points, either way round, is in no other line's of the image.
+
+    Of equal lines none stays. A text that lies in another has its first two points there one after the other, but for the ends of their
+    numbers: the second number of a point and the first of the next are whole. So lines are listed by these pairs, and a line
+    is compared only with those that have its own first pair; texts that are equal all over an image meet in joins that can
+    be split. Lines have two points at least; empty ones are left out.
+    """
+    points = F.split(F.regexp_extract("wkt", r"\((.*)\)", 1), ", ")
+    t = lines.where("wkt <> 'LINESTRING EMPTY'").select("image_id", "line_id", points.alias("p"))
+    ends = lambda p, i: F.concat_ws(" ", F.element_at(F.split(F.get(p, i), " "), -1), F.element_at(F.split(F.get(p, i + 1), " "), 1))
+    body = lambda p: F.array_join(p, ", ")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: ends(F.col("p"), i)))
+    whole = t.where(F.size("p") > 1).select("image_id", F.col("line_id").alias("other"), body(F.col("p")).alias("whole"), F.explode(pairs).alias("pair"))
+    both = t.where(F.size("p") > 1).select("image_id", "line_id", F.explode(F.array(F.col("p"), F.reverse("p"))).alias("p"))
+    asked = both.select("image_id", "line_id", body(F.col("p")).alias("body"), ends(F.col("p"), F.lit(0)).alias("pair"))
+    inside = asked.join(whole, ["image_id", "pair"]).where((F.col("line_id") != F.col("other")) & F.contains("whole", "body"))
+    return t.join(inside.select("image_id", "line_id").distinct(), ["image_id", "line_id"], "left_anti").select("image_id", "line_id")

@@ -30,7 +30,8 @@ query("components", f"WITH RECURSIVE {_comp('mask', ADJ8)} SELECT tile_id, x, y,
 query("remove_small_components", f"WITH RECURSIVE {_comp('mask', ADJ8)} SELECT tile_id, x, y FROM lab WHERE label IN (SELECT label FROM lab GROUP BY 1 HAVING count(*) >= 6)")(lambda s, d: C.remove_small(X.mask(s, d), 8, 6))
 _BACK = "(SELECT tile_id, x, y FROM pix WHERE v <= 0.05)"
 query("remove_small_holes", f"WITH RECURSIVE {_comp(_BACK, ADJ4)} SELECT tile_id, x, y FROM mask UNION ALL SELECT tile_id, x, y FROM lab WHERE label IN (SELECT label FROM lab GROUP BY 1 HAVING count(*) < 5)")(lambda s, d: C.fill_small_holes(X.mask(s, d), X.pix(s, d).select("tile_id").distinct(), 8, 5))
-query("filter_components", f"WITH RECURSIVE {_comp('mask', ADJ8)}, n AS (SELECT tile_id, label, count(*) AS n FROM lab GROUP BY ALL HAVING count(*)*2 >= 8) SELECT lab.tile_id, x, y FROM lab JOIN (SELECT label FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, label) AS k FROM n) WHERE k = 1) USING (label)".replace("}, n AS (SELECT tile_id, label", "}, nn AS (SELECT tile_id, label").replace(", n AS (SELECT tile_id, label", ", nn AS (SELECT tile_id, label").replace("AS k FROM n)", "AS k FROM nn)"))(
+_LARGEST = "big AS (SELECT tile_id, label, count(*) AS n FROM lab GROUP BY ALL HAVING count(*)*2 >= 8), k AS (SELECT label FROM big QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, label) = 1)"
+query("filter_components", f"WITH RECURSIVE {_comp('mask', ADJ8)}, {_LARGEST} SELECT lab.tile_id, x, y FROM lab JOIN k USING (label)")(
     lambda s, d: C.filter_components(X.mask(s, d), 8, 2, 8, largest=True))
 query("thin")(lambda s, d: C.thin(X.mask(s, d)))
 query("seeded_growth")(lambda s, d: C.seeded_growth(X.mask(s, d), X.pix(s, d).where("v > 0.15"), 8))
@@ -175,7 +176,9 @@ j AS (SELECT *, den = 0 AND gx*ry-gy*rx = 0 AS along, CASE WHEN den <> 0 THEN (g
 k AS (SELECT node, src, dst, px, py, CASE WHEN along THEN px ELSE px+t*rx END AS at_x, CASE WHEN along THEN py ELSE py+t*ry END AS at_y FROM j WHERE along OR (t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)),
 m AS (SELECT *, sqrt((at_x-px)*(at_x-px)+(at_y-py)*(at_y-py)) AS far FROM k QUALIFY row_number() OVER (PARTITION BY node ORDER BY sqrt((at_x-px)*(at_x-px)+(at_y-py)*(at_y-py)), src, dst) = 1)
 SELECT node, src, dst, {R.format('at_x')} AS at_x, {R.format('at_y')} AS at_y, {R.format('far')} AS far FROM m"""
-query("connect_up", f"WITH {_DEG}, e AS (SELECT src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM {_E} JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst), {_UP}")(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
+#: The columns of the lattice, whose gaps leave dead ends in the midst of it.
+_EC = _E.replace("FROM roads", "FROM roads WHERE dst = src + 40")
+query("connect_up", f"WITH {_DEG}, e AS (SELECT src, dst, a.x, a.y, b.x AS x1, b.y AS y1 FROM {_E} JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst), {_UP}".replace(_E, _EC))(lambda s, d: P.connect_up(X.nodes(s, d), _network(s, d).where("dst = src + 40"), reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")]))
 _LE = "(SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT (tile_id*2000+x)*2000+y AS a, (tile_id*2000+x1)*2000+y1 AS b FROM segs) WHERE a <> b)"
 query("connect_up_lines", f"WITH g AS {_LE}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1), e AS (SELECT src, dst, (src//2000)::DOUBLE AS x, (src%2000)::DOUBLE AS y, (dst//2000)::DOUBLE AS x1, (dst%2000)::DOUBLE AS y1 FROM g), {_UP}")(lambda s, d: _up_lines(s, d)[2])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac.core import table
+from tarmac.operators import folds
 from tarmac.operators import raster as O
 from tarmac.plans.catalog import R, query, r6
 from tarmac.sources import fixtures as X
@@ -44,29 +45,28 @@ def crop_sample(s, d):
 
 @query("fold_round_robin", f"SELECT tile_id, city, CAST((row_number() OVER (ORDER BY city, {HASH.format('tile_id')}, tile_id) - 1) % 4 AS INT) AS fold FROM {TILES}")
 def fold_round_robin(s, d):
-    """A counter over shuffled tiles of each city that runs on across cities: rank in the city plus the cities before."""
-    t = _tiles(s, d)
-    before = t.groupBy("city").count()
-    shift = before.alias("a").join(before.alias("b"), F.col("b.city") < F.col("a.city"), "left").groupBy("a.city").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("city").orderBy(arithmetic_hash("tile_id"), "tile_id"))
-    return t.withColumn("r", rank).join(shift, "city").select("tile_id", "city", ((F.col("r") - 1 + F.col("shift")) % 4).cast("int").alias("fold"))
+    """A counter over shuffled tiles of each city that runs on across cities."""
+    return folds.round_robin(_shuffled(s, d), 4, "city", "h", "tile_id").select("tile_id", "city", "fold")
+
+
+def _shuffled(s, d):
+    return _tiles(s, d).withColumn("h", arithmetic_hash("tile_id"))
 
 
 @query("fold_every_third", f"SELECT tile_id, city, CAST((row_number() OVER (PARTITION BY city ORDER BY tile_id) - 1) % 3 AS INT) AS fold FROM {TILES} WHERE label < 8")
 def fold_every_third(s, d):
     """Folds of the training tiles of each city in the order of ids; labels 8 and 9 are the test source."""
-    rank = F.row_number().over(Window.partitionBy("city").orderBy("tile_id")) - 1
-    return _tiles(s, d).where("label < 8").select("tile_id", "city", (rank % 3).cast("int").alias("fold"))
+    return folds.every_nth(_tiles(s, d).where("label < 8"), 3, "city", "tile_id").select("tile_id", "city", "fold")
 
 
 @query("kfold_split", f"SELECT tile_id, city, ntile(4) OVER (PARTITION BY city ORDER BY {HASH.format('tile_id')}, tile_id)::INT AS fold FROM {TILES}")
 def kfold_split(s, d):
-    return _tiles(s, d).select("tile_id", "city", F.ntile(4).over(Window.partitionBy("city").orderBy(arithmetic_hash("tile_id"), "tile_id")).alias("fold"))
+    return folds.contiguous(_shuffled(s, d), 4, "city", "h", "tile_id").select("tile_id", "city", "fold")
 
 
 @query("holdout_n", f"SELECT tile_id, city, row_number() OVER (PARTITION BY city ORDER BY {HASH.format('tile_id')}, tile_id) <= 20 AS val FROM {TILES}")
 def holdout_n(s, d):
-    return _tiles(s, d).select("tile_id", "city", (F.row_number().over(Window.partitionBy("city").orderBy(arithmetic_hash("tile_id"), "tile_id")) <= 20).alias("val"))
+    return folds.held_out(_shuffled(s, d), 20, "city", "h", "tile_id").select("tile_id", "city", "val")
 
 
 @query("ensemble_mean", f"SELECT tile_id, x, y, {R.format('avg(v)')} AS v FROM cube GROUP BY ALL HAVING count(*) = 4")

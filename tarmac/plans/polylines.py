@@ -12,7 +12,7 @@ from tarmac.operators import rasterise as Z
 from tarmac.operators import traces as W
 from tarmac.plans.catalog import R, query, r6
 from tarmac.sources import fixtures as X
-from tarmac.streaming.sessions import batch_sessions
+from tarmac.streaming.sessions import run_sessions
 
 SMALL = 100
 
@@ -90,19 +90,22 @@ query("densify_line", f"SELECT line_id, pos, k::INT AS k, {R.format('x+(CASE WHE
 query("distinct_edges", "SELECT tile_id, x, y, x1, y1 FROM (SELECT tile_id, x//100 AS x, y//100 AS y, x1//100 AS x1, y1//100 AS y1, row_number() OVER (PARTITION BY tile_id, least((x//100, y//100), (x1//100, y1//100)), greatest((x//100, y//100), (x1//100, y1//100)) ORDER BY line_id, pos) AS r FROM segs WHERE x//100 <> x1//100 OR y//100 <> y1//100) WHERE r = 1")(
     lambda s, d: L.distinct_segments(X.segs(s, d).select("tile_id", "line_id", "pos", *[F.floor(F.col(c) / 100).alias(c) for c in ("x", "y", "x1", "y1")]), ["tile_id"], ["line_id", "pos"]))
 
-query("substring_novelty", "WITH t AS (SELECT image_id, line_id, wkt[13:-2] AS body FROM wkt WHERE wkt <> 'LINESTRING EMPTY') SELECT a.image_id, a.line_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.image_id = a.image_id AND b.line_id <> a.line_id AND (contains(b.body, a.body) OR contains(b.body, array_to_string(list_reverse(string_split(a.body, ', ')), ', '))))")(lambda s, d: novelty(X.wkt(s, d)))
+query("substring_novelty", "WITH t AS (SELECT image_id, line_id, wkt[13:-2] AS body FROM wkt WHERE wkt <> 'LINESTRING EMPTY') SELECT a.image_id, a.line_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.image_id = a.image_id AND b.line_id <> a.line_id AND (contains(b.body, a.body) OR contains(b.body, array_to_string(list_reverse(string_split(a.body, ', ')), ', '))))")(lambda s, d: L.novelty(X.wkt(s, d)))
 
 
-def novelty(w):
-    """(image_id, line_id) of lines whose text, either way round, is in no other line of the image."""
-    t = w.where("wkt <> 'LINESTRING EMPTY'").select("image_id", "line_id", F.regexp_extract("wkt", r"\((.*)\)", 1).alias("body"))
-    t = t.withColumn("back", F.array_join(F.reverse(F.split("body", ", ")), ", "))
-    other = t.select("image_id", F.col("line_id").alias("other"), F.col("body").alias("whole"))
-    inside = t.join(other, "image_id").where((F.col("line_id") != F.col("other")) & (F.contains("whole", "body") | F.contains("whole", "back")))
-    return t.join(inside.select("image_id", "line_id").distinct(), ["image_id", "line_id"], "left_anti").select("image_id", "line_id")
+query("stream_sessions", f"SELECT trace_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(x, ts) AS first_x, arg_max(x, ts) AS last_x FROM {_SES} GROUP BY trace_id, session")(lambda s, d: _streamed(s, d))
+
+
+def _streamed(s, d):
+    """The observations as a stream, and after them rows of ten years before, which the watermark drops, with one of a month later."""
+    obs = X.obs(s, d).withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark wants instants
+    month = F.expr("INTERVAL 30 DAYS")
+    late = obs.withColumn("ts", F.col("ts") - F.expr("INTERVAL 3650 DAYS"))
+    last = obs.agg((F.max("ts") + month).alias("ts")).select(F.lit(-1).cast("long").alias("trace_id"), "ts", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    found = run_sessions([obs, late.unionByName(last)], "6 hours", "10 minutes")[0]
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
-query("stream_sessions", f"SELECT trace_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(x, ts) AS first_x, arg_max(x, ts) AS last_x FROM {_SES} GROUP BY trace_id, session")(lambda s, d: batch_sessions(X.obs(s, d), "6 hours"))
 query("edge_hits", "SELECT x//130*10 + y//130 AS edge, count(*) AS hits FROM (SELECT *, lag(x//130*10 + y//130) OVER (PARTITION BY line_id ORDER BY pos) AS before FROM lines) WHERE before IS DISTINCT FROM x//130*10 + y//130 GROUP BY 1")(lambda s, d: edge_hits(X.lines(s, d).withColumn("edge", F.floor(F.col("x") / 130) * 10 + F.floor(F.col("y") / 130)), "line_id"))
 
 
