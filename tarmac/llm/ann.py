@@ -171,16 +171,19 @@ def _joined_up(graph: DataFrame, nodes: DataFrame, n: int, k: int, blocks: int,
     return _merged(graph.union(found), k, blocks)
 
 
-def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 2, rows: int = 128, stop: float = 0.03, most: int = 10, seed: int = 11) -> DataFrame:
-    """The graph (u, v, s, fresh) of the k nearest nodes found for each of nodes (node, unit), as a scratch table."""
+def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 2, rows: int = 128, stop: float = 0.03, seed: int = 11) -> DataFrame:
+    """The graph (u, v, s, fresh) of the k nearest nodes found for each of nodes (node, unit), as a scratch table.
+
+    Rounds end when at most the share `stop` of all edges is new; lists only get better, so that comes.
+    """
     n = nodes.count()
     blocks = max(1, -(-n // 1500))
     first = materialise(_started(nodes, n, k, blocks, tables, rows, seed))
     graph = materialise(_joined_up(first, nodes, n, k, blocks, seed))
     release(first)
-    for turn in range(most):
-        if graph.where("fresh").count() <= stop * k * n:
-            break
+    turn = -1
+    while graph.where("fresh").count() > stop * k * n:
+        turn += 1
         least = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
         both = graph.select(F.col("u").alias("c"), F.col("v").alias("m"), "fresh").union(graph.select(F.col("v"), F.col("u"), "fresh"))
         dice = F.xxhash64("c", "m", F.lit(turn))
@@ -194,10 +197,11 @@ def build(nodes: DataFrame, k: int = 24, choice: int = 16, tables: int = 2, rows
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320, most: int = 40, entries: int = 8) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320, entries: int = 8) -> DataFrame:
     """(q, v, s): the `beam` best nodes that a greedy walk finds from each node of asked (column node).
 
-    A walk starts from the node's own list and from a few entry nodes, the same for all.
+    A walk starts from the node's own list and from a few entry nodes, the same for all, and ends when the neighbours of all its
+    best nodes have been looked at; what has left the list is worse than all in it and doesn't come back.
     """
     n = nodes.count()
     blocks = max(1, -(-n // 1500))
@@ -224,10 +228,7 @@ def search(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int = 320
             ss.append(s[good])
         return pa.table({"q": np.concatenate(qs), "v": np.concatenate(vs), "s": np.concatenate(ss)})
 
-    for _ in range(most):
-        ahead = state.where(~F.col("seen"))
-        if ahead.isEmpty():
-            break
+    while not (ahead := state.where(~F.col("seen"))).isEmpty():
         pairs = ahead.join(around, ahead["v"] == around["u"]).select("q", around["v"].alias("w")).where(F.col("q") != F.col("w")).distinct()
         pairs = pairs.join(state.select("q", F.col("v").alias("w")), ["q", "w"], "left_anti")
         least = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
