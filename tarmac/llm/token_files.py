@@ -131,7 +131,8 @@ class PieceEncoder:
         texts = texts.fill_null("")
         out: list[bytes] = []
         ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        for a, z in zip(*(lambda cuts: (cuts, [*cuts[1:], len(texts)]))(np.flatnonzero(np.diff(ends // CUT, prepend=-1)).tolist()), strict=True):
+        cuts = np.flatnonzero(np.diff(ends // CUT, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(texts)], strict=False):
             part = texts.slice(a, z - a)
             whole = pc.match_substring_regex(part, self.whole)
             cut = part.filter(pc.invert(whole))
