@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -23,8 +24,10 @@ from tarmac.core import materialise
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words and stems that each of the two generations of a worker's memory holds; results don't depend on it.
-WORDS, STEMS = 160_000, 120_000
+#: Stems that each of the two generations of a worker's memory holds, and bytes of text that are cut at once; results don't depend on them.
+STEMS, CUT = 200_000, 8 << 20
+#: Documents whose pieces are put out together.
+ROWS = 2048
 #: Longer words aren't remembered.
 LONG = 64
 #: Letters that are one code point in every normal form and have a lower case of their own, and ASCII signs after them.
@@ -66,10 +69,10 @@ class WordEncoder:
     """Token ids of texts, by a `tokenizers` file that lower-cases and whose tokens span neither white space nor the
     border between letters and signs.
 
-    Space and line feed separate tokens for sure, so the text is cut there. A word of letters with signs behind it is
-    its lower-cased letters and then its signs; these, and any other word whole, go to the tokenizer once, letters many
-    at a time and told apart by the mark of a word's last token. `encode` returns the ids as little-endian unsigned
-    32-bit numbers.
+    Space and line feed separate tokens for sure, so the text is cut there, by Arrow, and each distinct word of some
+    documents is looked up once. A word of letters with signs behind it is its lower-cased letters and then its signs; these, and
+    any other word whole, go to the tokenizer once, letters many at a time and told apart by the mark of a word's last
+    token. `encode` returns the ids as little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
@@ -79,7 +82,7 @@ class WordEncoder:
         entries = self.tokenizer.get_vocab()
         self.last = np.zeros(max(entries.values()) + 1, bool)
         self.last[[i for e, i in entries.items() if e.endswith(END)]] = True
-        self.words, self.stems = Memory(WORDS), Memory(STEMS)
+        self.stems = Memory(STEMS)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,31 +107,45 @@ class WordEncoder:
             for x, ids in zip(part, self._ids(part), strict=True):
                 known[x] = ids.tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        fresh = self.words.missing(set().union(*cut))
-        parts, lettered = [], set()
-        for w in fresh:
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space at their borders."""
+        stems, signs, lettered = [], [], set()
+        for w in words:
             if w.isascii() and w.isalpha():
-                stem, signs = w.lower(), ""
+                stem, sign = w.lower(), ""
                 lettered.add(stem)
             elif m := STEM_AND_SIGNS.fullmatch(w):
-                stem, signs = m[1].lower(), m[2]
+                stem, sign = m[1].lower(), m[2]
                 lettered.add(stem)
             else:
-                stem, signs = w, ""
-            parts.append((w, stem, signs))
-        wanted = {p[1] for p in parts} | {p[2] for p in parts}
-        new = self.stems.missing(wanted)
+                stem, sign = w, ""
+            stems.append(stem)
+            signs.append(sign)
+        new = self.stems.missing({*stems, *signs})
         self._learn(new, lettered)
-        words, stems = self.words.young, self.stems.young
-        for w, stem, signs in parts:
-            words[w] = stems[stem] + stems[signs] if signs else stems[stem]
-        out = [b"".join([words[w] for w in ws]) for ws in cut]
-        self.words.age(fresh)
+        known = self.stems.young
+        out = [known[stem] + known[sign] if sign else known[stem] for stem, sign in zip(stems, signs, strict=True)]
         self.stems.age(new)
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null texts have none."""
+        texts, out = texts.fill_null(""), []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        cuts = np.flatnonzero(np.diff(ends // CUT, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(texts)], strict=False):
+            words = pc.split_pattern(pc.replace_substring(texts.slice(a, z - a), "\n", " "), " ")
+            bounds = words.offsets.to_numpy()
+            coded = words.flatten().dictionary_encode()
+            known, at = self._of_words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            begins, each = np.cumsum(sizes) - sizes, sizes[at]
+            end = np.cumsum(each)
+            ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(begins[at] - end + each, each) + np.arange(end[-1])].tobytes()
+            cut = [0, *(4 * end[bounds[1:] - bounds[0] - 1]).tolist()]  # a text has one word at least
+            out += map(ids.__getitem__, map(slice, cut, cut[1:]))
+        return out
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -151,10 +168,10 @@ def tokenise(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     ids += last
                     n = len(ids) // 4
                     rows += [(doc, i, s, min(length, n - s), n, ids[4 * s : 4 * (s + length)]) for i, s in enumerate(range(0, n, length))]
