@@ -85,9 +85,10 @@ def test_follow_distance_ends_on_long_roads_too(spark, data, net):
 
 @pytest.mark.parametrize("name, cols", [("connect_terminals", ("a", "b")), ("connect_up", ("node",))])
 def test_only_true_dead_ends_are_joined(spark, data, net, name, cols):
-    n = degrees(net)
-    for r in QUERIES[name](spark, data).collect():
-        assert all(n[r[c]] == 1 for c in cols)
+    n = degrees({e for e in net if name != "connect_up" or e[1] == e[0] + 40})  # connect_up runs over the columns of the lattice
+    rows = QUERIES[name](spark, data).collect()
+    assert rows or name != "connect_up"
+    assert all(n[r[c]] == 1 for r in rows for c in cols)
 
 
 @pytest.mark.parametrize("frame, margin", [((0.0, 0.0, 1000.0, 1300.0), 20.0), ((-9.0, -9.0, 1000.0, 1300.0), 0.0)])
