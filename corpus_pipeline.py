@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
 
-#: SQL can't train the models or compare edit distances; the tests hold run() against brute force.
+#: SQL can't train the models or compare edit distances; the tests hold each stage against documents planted for it.
 ORACLE_SQL = None
 
 
