@@ -8,13 +8,17 @@ stretches again. Costs are whole billionths of negative log probabilities: their
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarmac.core import materialise, numbered, release
+from tarmac.core import at_exit, materialise, numbered, release, scratch_path
 from tarmac.functions import geometry as G
 from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first
+from tarmac.operators.paths import road_graph
+from tarmac.operators.polylines import cumulative_length
 
 #: Parts of a cost of one.
 PARTS = 1_000_000_000
@@ -181,47 +185,158 @@ def way_hits(ways: DataFrame) -> DataFrame:
     return ways.select(F.explode(entered).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("hits"))
 
 
-def _progress(rows: pd.DataFrame) -> pd.DataFrame:
-    """The cheapest monotone progress of one trace along one road; no rows where none keeps the pace."""
-    none = pd.DataFrame(columns=["trace_id", "road", "cost", "n"])
-    last: list[tuple[float, float]] = []
-    for want, (step, part) in enumerate(rows.sort_values(["step", "along"]).groupby("step")):
+#: Fixes that one task takes a trace on by before the state is written, in map_match_roads.
+STRETCH = 256
+
+
+def road_segments(graph: dict[str, DataFrame], roads: DataFrame) -> DataFrame:
+    """The edges of road_graph's roads with their coordinates, `before`, the road's length ahead of the edge, `size` and `whole`."""
+    ends = roads.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in ("x", "y", "x1", "y1")])
+    return cumulative_length(graph["chains"].select("road", F.col("seq").alias("pos"), "src", "dst").join(ends, ["src", "dst"]), ["road"])
+
+
+def _boxes(rows: DataFrame, reach: float, *names: str) -> DataFrame:
+    sides = ((F.col("x") - reach, "x0"), (F.col("y") - reach, "y0"), (F.col("x") + reach, "x1"), (F.col("y") + reach, "y1"))
+    return rows.select(F.struct(*names).alias("fix"), *(e.alias(n) for e, n in sides))
+
+
+def _near_roads(fixes: DataFrame, segs: DataFrame, reach: float, *names: str) -> DataFrame:
+    """The fixes' columns with those of each segment whose box is within `reach`: road, before, size, whole, sx, sy, tx, ty."""
+    seg = F.struct("road", "before", "size", "whole", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    right = segs.select(seg.alias("seg"), F.least("x", "x1").alias("x0"), F.least("y", "y1").alias("y0"), F.greatest("x", "x1").alias("x1"), F.greatest("y", "y1").alias("y1"))
+    return bbox_search(_boxes(fixes, reach, *names), right, 2 * reach, "fix", "seg").select("fix.*", "seg.*")
+
+
+def _road_moves(fixes: DataFrame, starts: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pace: float) -> DataFrame:
+    """(trace_id, step, origin, road, base, turn, ...): segments near a fix with the roads that a trace may have been on one fix before.
+
+    base is what the progress along the origin is worth on the road: nothing is taken off on the same road, and the origin's
+    length on one that begins at its end. Opposite roads don't follow each other.
+    """
+    back = fixes.select("trace_id", (F.col("step") + 1).alias("step"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    later = fixes.join(back, ["trace_id", "step"])
+    near = _near_roads(later.withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 4 * pace, "trace_id", "step", "px", "py", "qx", "qy")
+    s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
+    near = near.withColumn("turn", 12 * G.angle_to(G.vector(s), G.sub(p, G.pt("qx", "qy")))).where(G.segment_distance(s, p) + F.col("turn") <= 4 * pace)
+    near = materialise(near.drop("qx", "qy"))
+    alive = near.select("trace_id", "step", "road").union(starts.select("trace_id", "step", "road")).distinct()
+    ahead = graph["links"].where("way = 'out'").select("road", F.col("other").alias("to"))
+    ahead = ahead.join(graph["opposites"].withColumnRenamed("opposite", "to"), ["road", "to"], "left_anti")
+    ahead = ahead.join(graph["roads"].select("road", "length"), "road").select("road", "to", (-F.col("length")).alias("base"))
+    moves = ahead.union(graph["roads"].select("road", "road", F.lit(0.0)))
+    moved = alive.join(moves, "road").select("trace_id", (F.col("step") + 1).alias("step"), F.col("road").alias("origin"), F.col("to").alias("road"), "base")
+    return near.join(moved, ["trace_id", "step", "road"]).withColumn("stretch", F.floor((F.col("step") - 1) / STRETCH).cast("int"))
+
+
+def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float) -> pd.DataFrame:
+    """The states of one trace after each fix of one stretch, from those before it; at most STRETCH fixes with the segments near them."""
+    now, out = state[["road", "cost", "along"]].rename(columns={"road": "origin"}), []
+    for want, (step, part) in enumerate(rows.groupby("step"), int(state["step"].min()) + 1 if len(state) else -1):
         if step != want:
-            return none
-        if not last:
-            last = list(zip(part["along"], part["far"], strict=True))
-            continue
-        size, new = float(part["size"].iloc[0]), []
-        for at, far in zip(part["along"], part["far"], strict=True):
-            costs = [c for p, c in last if 0.5 * size <= at - p <= 2 * size]
-            if costs:
-                new.append((at, min(costs) + far))
-        if not new:
-            return none
-        last = new
-    if want + 1 != int(rows["steps"].iloc[0]):
-        return none
-    return pd.DataFrame({"trace_id": [rows["trace_id"].iloc[0]], "road": [rows["road"].iloc[0]], "cost": [min(c for _, c in last)], "n": [want + 1]})
-
-
-def map_match_roads(obs: DataFrame, road_segs: DataFrame, reach: float = 40.0) -> DataFrame:
-    """(trace_id, road, cost, n): the road along which a trace moves on steadily at the least sum of distances.
-
-    road_segs: road, src, dst, x, y, x1, y1, before (distance from the road's start). Between two observations the
-    progress must be between half and twice their distance.
+            break
+        m = part.merge(now, on="origin")
+        low, high, end = m["along"] + m["base"] + pace / 2, m["along"] + m["base"] + 2 * pace, m["before"] + m["size"]
+        m = m[(high >= 0) & (low <= m["whole"]) & (end >= low) & ((m["before"] < high) | (m["before"] == 0))]
+        low, high = low[m.index], high[m.index]
+        dx, dy, size = m["tx"] - m["sx"], m["ty"] - m["sy"], m["size"].where(m["size"] > 0, 1.0)
+        place = (((m["px"] - m["sx"]) * dx + (m["py"] - m["sy"]) * dy) / size).clip(0, m["size"])
+        place = ((m["before"] + place).clip(low, high) - m["before"]).clip(0, m["size"])
+        far = np.hypot(m["sx"] + dx * place / size - m["px"], m["sy"] + dy * place / size - m["py"]) + m["turn"]
+        new = m[["trace_id", "step", "road", "origin"]].assign(cost=m["cost"] + 0.5 * (far / pace) ** 2, along=m["before"] + place)[far <= 4 * pace]
+        new = new.sort_values(["road", "cost", "along", "origin"]).drop_duplicates("road")
+        if not len(new):
+            break
+        out.append(new)
+        now = new[["road", "cost", "along"]].rename(columns={"road": "origin"})
+    return pd.concat(out) if out else pd.DataFrame(columns=["trace_id", "step", "road", "origin", "cost", "along"])
+
+
+def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pace: float) -> DataFrame:
+    """(trace_id, step, steps, road, origin, cost, along, stretch): the cheapest way onto each road at each fix of each trace.
+
+    obs has trace_id, ts, x, y, with fixes some `pace` apart. From one fix to the next a trace moves on by half of pace to twice pace, along
+    its road or from its end onto another that isn't its opposite. A fix costs half the square of (distance + 12 x angle between road and movement) over
+    pace; over four paces it is out of reach. Traces start with any segment whose box is within 2.5 paces of the first fix. A road
+    keeps one state, the cheapest, of equal ones that least far along, then that from the least origin. Where no road is left a trace has no
+    further rows. segs are road_segments, graph is road_graph. Rows with a null are left out; an empty table gives an empty result.
+
+    All traces advance together, STRETCH fixes a job; a task holds one stretch of one trace, and each stretch's states are
+    written, so the longest trace sets the number of jobs, not the size of a task.
     """
-    from tarmac.functions import geometry as G
-    from tarmac.operators.graphs import bbox_search
-
-    w = Window.partitionBy("trace_id").orderBy("ts")
-    size = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    o = obs.withColumn("size", F.coalesce(size, F.lit(0.0))).withColumn("step", F.row_number().over(w) - 1).withColumn("steps", F.count("*").over(Window.partitionBy("trace_id")))
-    left = o.select(F.struct("trace_id", "step", "steps", "size", F.col("x").alias("px"), F.col("y").alias("py")).alias("o"), *[c.alias(n) for c, n in ((F.col("x") - reach, "x0"), (F.col("y") - reach, "y0"), (F.col("x") + reach, "x1"), (F.col("y") + reach, "y1"))])
-    right = road_segs.select(F.struct("road", "before", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty")).alias("e"), F.least("x", "x1").alias("x0"), F.least("y", "y1").alias("y0"), F.greatest("x", "x1").alias("x1"), F.greatest("y", "y1").alias("y1"))
-    rows = bbox_search(left, right, 2 * reach, "o", "e").select("o.*", "e.*")
+    fixes = materialise(_fixes(obs, None, 1).drop("hops"))
+    start = _near_roads(fixes.where("step = 0").withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 2.5 * pace, "trace_id", "step", "px", "py")
     s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
-    rows = rows.withColumn("far", G.segment_distance(s, p)).withColumn("along", F.col("before") + G.project_fraction(s, p) * G.length(s)).where(F.col("far") <= reach)
-    kinds = "trace_id long, road string, cost double, n int"
-    found = rows.select("trace_id", "road", "step", "steps", "size", "far", "along").groupBy("trace_id", "road").applyInPandas(_progress, kinds)
-    best = found.groupBy("trace_id").agg(F.min(F.struct("cost", "road", "n")).alias("b"))
-    return best.select("trace_id", "b.road", "b.cost", "b.n")
+    least = F.min(F.struct((0.5 * F.pow(G.segment_distance(s, p) / pace, 2)).alias("cost"), (F.col("before") + G.project_fraction(s, p) * G.length(s)).alias("along"))).alias("o")
+    kind = obs.schema["trace_id"].dataType.simpleString()
+    road = segs.schema["road"].dataType.simpleString()
+    start = start.groupBy("trace_id", "step", "road").agg(least).select("trace_id", F.col("step").cast("long").alias("step"), "road", F.lit(None).cast(road).alias("origin"), "o.cost", "o.along")
+    spark, path = obs.sparkSession, scratch_path(obs.sparkSession)
+    at_exit(spark, path)
+    start.write.parquet(f"{path}/stretch=-1")
+    read = lambda k: spark.read.schema(start.schema).parquet(f"{path}/stretch={k}")
+    moves = _road_moves(fixes, read(-1), segs, graph, pace)
+    moves = materialise(moves.repartitionByRange("stretch", "trace_id"), "stretch")
+    kinds = f"trace_id {kind}, step long, road {road}, origin {road}, cost double, along double"
+    for k in range(int(moves.agg(F.coalesce(F.max("stretch"), F.lit(-1))).first()[0]) + 1):
+        state = read(k - 1).where(F.col("step") == k * STRETCH).groupBy("trace_id")
+        rows = moves.where(F.col("stretch") == k).drop("stretch").withColumn("step", F.col("step").cast("long")).groupBy("trace_id")
+        state.cogroup(rows).applyInPandas(lambda a, b: _onward(a, b, pace), kinds).write.parquet(f"{path}/stretch={k}")
+    release(moves)
+    found = spark.read.schema(f"{kinds}, stretch int").parquet(path)
+    return found.join(fixes.where("step = 0").select("trace_id", F.col("steps").cast("long").alias("steps")), "trace_id")
+
+
+def best_roads(states: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+    """(trace_id, road, cost, n): the road on which each trace of n fixes ends most cheaply, of equal ones the least; blacklist
+    (trace_id, road) has roads that don't count for a trace. A trace that no road takes to its last fix has no row."""
+    last = states.where("step = steps - 1")
+    if blacklist is not None:
+        last = last.join(blacklist.select("trace_id", "road").distinct(), ["trace_id", "road"], "left_anti")
+    best = last.groupBy("trace_id").agg(F.min(F.struct("cost", "road", "steps")).alias("b"))
+    return best.select("trace_id", "b.road", "b.cost", F.col("b.steps").cast("int").alias("n"))
+
+
+def _backward(ends: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """One trace's roads at the fixes of one stretch, and at the fix before it, from the road at the last of them."""
+    if not len(ends) or not len(rows):
+        return pd.DataFrame(columns=["trace_id", "step", "road"])
+    origin = dict(zip(zip(rows["step"], rows["road"], strict=True), rows["origin"], strict=True))
+    step, road, out = int(ends["step"].iloc[0]), ends["road"].iloc[0], []
+    while (step, road) in origin:
+        out.append((step, road))
+        step, road = step - 1, origin[step, road]
+    return pd.DataFrame([(ends["trace_id"].iloc[0], *x) for x in [*out, (step, road)]], columns=["trace_id", "step", "road"])
+
+
+def road_ways(states: DataFrame, best: DataFrame) -> DataFrame:
+    """(trace_id, step, road): the roads along which the traces came to those of best_roads, fix by fix.
+
+    The stretches are gone through from the last to the first, all traces at once; each hands the road at its first fix to the one
+    before it.
+    """
+    spark, path = states.sparkSession, scratch_path(states.sparkSession)
+    at_exit(spark, path)
+    ends = materialise(best.select("trace_id", (F.col("n") - 1).cast("long").alias("step"), "road"))
+    ends.where("step = 0").write.parquet(f"{path}/part=-1")
+    kinds = ends.schema
+    found_kinds = T.StructType([*kinds.fields, T.StructField("part", T.IntegerType())])
+    carry = ends.where("false")
+    for k in range(int(ends.agg(F.coalesce(F.max("step"), F.lit(0))).first()[0] - 1) // STRETCH, -1, -1):
+        here = ends.where((F.col("step") > k * STRETCH) & (F.col("step") <= (k + 1) * STRETCH)).union(carry)
+        rows = states.where(F.col("stretch") == k).select("trace_id", "step", "road", "origin")
+        here.groupBy("trace_id").cogroup(rows.groupBy("trace_id")).applyInPandas(_backward, kinds).write.parquet(f"{path}/part={k}")
+        carry = spark.read.schema(kinds).parquet(f"{path}/part={k}").where(F.col("step") == k * STRETCH)
+    found = spark.read.schema(found_kinds).parquet(path)
+    return found.where((F.col("step") > F.col("part") * STRETCH) | (F.col("part") <= 0)).drop("part")  # the fix between two stretches is in both parts
+
+
+def map_match_roads(obs: DataFrame, roads: DataFrame, pace: float) -> DataFrame:
+    """(trace_id, step, road, cost): the roads along which each trace moves at the least cost, fix by fix, with the whole trace's cost.
+
+    roads are directed edges (src, dst, x, y, x1, y1); they are joined to the chains of road_graph. See road_states for what
+    a way costs, best_roads for the choice, and for a second one without roads that are shut out.
+    """
+    graph = road_graph(roads.select("src", "dst", G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")))
+    states = road_states(obs, materialise(road_segments(graph, roads)), graph, pace)
+    best = best_roads(states)
+    return road_ways(states, best).join(best.select("trace_id", "cost"), "trace_id").select("trace_id", F.col("step").cast("int").alias("step"), "road", "cost")

@@ -310,9 +310,9 @@ def connect_terminals(nodes: DataFrame, edges: DataFrame, near: float = 20.0, fa
 
 
 def road_graph(edges: DataFrame) -> dict[str, DataFrame]:
-    """The roads of a directed network (src, dst, size) and how they hang together, as three tables.
+    """The roads of a directed network (src, dst, size) and how they hang together, as four tables.
 
-    `roads` (road, head, tail, n, length, first, last): the chains of contract_chains, from node head to node tail, with the first and the last
+    `chains` (road, seq, src, dst, size): the edges of each road in order; `roads` (road, head, tail, n, length, first, last): the chains of contract_chains, from node head to node tail, with the first and the last
     edge; `links` (road, way, other): the other roads with an edge into a road's head (way in) or out of its tail (out); `opposites` (road, opposite): the
     least road from tail to head that ends with the reverse of the road's first edge.
     """
@@ -324,7 +324,7 @@ def road_graph(edges: DataFrame) -> dict[str, DataFrame]:
     links = side("head", "dst", "in").union(side("tail", "src", "out"))
     back = roads.select(F.col("road").alias("other"), F.col("head").alias("h"), F.col("tail").alias("t"), F.struct(F.col("last.dst").alias("src"), F.col("last.src").alias("dst")).alias("turned"))
     met = roads.join(back, (F.col("tail") == F.col("h")) & (F.col("head") == F.col("t")) & (F.col("first") == F.col("turned"))).where("road <> other")
-    return {"roads": roads, "links": links, "opposites": met.groupBy("road").agg(F.min("other").alias("opposite"))}
+    return {"chains": chains, "roads": roads, "links": links, "opposites": met.groupBy("road").agg(F.min("other").alias("opposite"))}
 
 
 def _rays(nodes: DataFrame, edges: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tarmac.core import table
 
+from tarmac.functions import geometry as G
 from tarmac.operators import graphs as H
 from tarmac.operators import matching as M
 from tarmac.operators import paths as P
 from tarmac.operators import raster as O
 from tarmac.operators import rasterise as Z
 from tarmac.operators import regions as C
-from tarmac.operators.polylines import cumulative_length
 from tarmac.plans.catalog import R, query, r6
 from tarmac.plans.graphs import _DEG, _E, FRAME, _kinds, _network
 from tarmac.sources import fixtures as X
@@ -265,11 +265,15 @@ query("map_match_sparse")(lambda s, d: M.map_match_sparse(_thinned(s, d), _wide(
 query("edge_hits_matched")(lambda s, d: M.way_hits(M.matched_ways(_thinned(s, d), _wide(X.roads(s, d)))))
 
 
-query("map_match_roads")(lambda s, d: _matched_roads(s, d))
+query("map_match_roads")(lambda s, d: M.map_match_roads(_walks(s, d), X.roads(s, d), 25.0).withColumn("cost", r6(F.col("cost"))))
+query("map_match_roads_again")(lambda s, d: _second_roads(s, d))
 
 
-def _matched_roads(s, d):
-    row = F.concat(F.lit("row"), F.floor(F.col("src") / 40))
-    r = X.roads(s, d).withColumn("road", F.when(F.col("dst") == F.col("src") + 1, row).otherwise(F.concat(F.lit("column"), F.col("src") % 40))).withColumn("pos", F.col("src"))
-    segs = cumulative_length(r, ["road"])
-    return M.map_match_roads(_walks(s, d), segs).withColumn("cost", r6(F.col("cost")))
+def _second_roads(s, d):
+    """The road on which each trace ends most cheaply, and the one where that road is shut out."""
+    roads = X.roads(s, d)
+    graph = P.road_graph(roads.withColumn("size", G.length((G.pt("x", "y"), G.pt("x1", "y1")))))
+    states = M.road_states(_walks(s, d), M.road_segments(graph, roads), graph, 25.0)
+    best = M.best_roads(states)
+    other = M.best_roads(states, best).select("trace_id", F.col("road").alias("other"), r6(F.col("cost")).alias("other_cost"))
+    return best.withColumn("cost", r6(F.col("cost"))).join(other, "trace_id", "left")

@@ -4,9 +4,11 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql.functions import expr
 
 from tarmac.operators import matching
 from tarmac.operators.graphs import edge_transitions, edge_transitions_first
+from tarmac.operators.paths import road_graph
 from tarmac.plans import iterative
 from tarmac.plans.catalog import QUERIES
 from tarmac.sources import fixtures as X
@@ -135,3 +137,98 @@ def test_weights_decide_at_crossings(spark):
         weights = roads.select("src", "dst").selectExpr("src", "dst", f"CASE WHEN dst = {heavy} THEN 9 ELSE 1 END AS weight")
         along = {(e.src, e.dst) for r in matching.matched_ways(obs, roads, weights).collect() for e in r.way}
         assert (1, heavy) in along and (1, 5 - heavy) not in along
+
+
+def road_search(fixes, place, roads, pace):
+    """[{road: (cost, along, origin)}] after each fix: plain trellis over roads and the progress along them."""
+    size = {e: math.dist(p[:2], p[2:]) for e, p in place.items()}
+    before = {r: [sum(size[e] for e in way[:k]) for k in range(len(way))] for r, way in roads.items()}
+    whole = {r: sum(size[e] for e in way) for r, way in roads.items()}
+
+    def put(e, p):
+        x, y, x1, y1 = place[e]
+        return max(0.0, min(size[e], ((p[0] - x) * (x1 - x) + (p[1] - y) * (y1 - y)) / size[e])) if size[e] else 0.0
+
+    def angle(e, v):
+        w = (place[e][2] - place[e][0], place[e][3] - place[e][1])
+        m = math.hypot(*w) * math.hypot(*v)
+        return math.acos(max(-1.0, min(1.0, (w[0] * v[0] + w[1] * v[1]) / m))) if m else 0.0
+
+    near = {r: min((0.5 * (away(place[e], fixes[0]) / pace) ** 2, b + put(e, fixes[0])) for e, b in zip(way, before[r]) if gap(place[e], fixes[0]) <= 2.5 * pace) for r, way in roads.items() if any(gap(place[e], fixes[0]) <= 2.5 * pace for e in way)}
+    states = [{r: (*s, None) for r, s in near.items()}]
+    for a, b in zip(fixes, fixes[1:]):
+        new = {}
+        for r, (cost, along, _) in states[-1].items():
+            nexts = [(r, along)] + [(q, along - whole[r]) for q, way in roads.items() if q != r and any(e[0] == roads[r][-1][1] for e in way)]
+            for q, clip in nexts:
+                if roads[q][0] == roads[r][-1][::-1] and roads[q][-1][1] == roads[r][0][0]:
+                    continue
+                low, high = clip + pace / 2, clip + 2 * pace
+                if high < 0 or low > whole[q]:
+                    continue
+                ends = [x + size[e] for e, x in zip(roads[q], before[q])]
+                i = next((i for i, x in enumerate(ends) if x >= low), len(ends) - 1)
+                j = next((j for j, x in enumerate(ends) if x >= high), len(ends) - 1)
+                for e, x in list(zip(roads[q], before[q]))[i : j + 1]:
+                    at = max(x, min(x + size[e], max(low, min(high, x + put(e, b)))))
+                    t = (at - x) / size[e] if size[e] else 0.0
+                    here = [place[e][k] + t * (place[e][k + 2] - place[e][k]) for k in (0, 1)]
+                    far = math.dist(here, b) + 12 * angle(e, (b[0] - a[0], b[1] - a[1]))
+                    if far <= 4 * pace:
+                        new[q] = min(new.get(q, (math.inf,)), (cost + 0.5 * (far / pace) ** 2, at, r))
+        states.append(new)
+    return states
+
+
+def check_roads(spark, obs, roads, pace):
+    """Compares final states, ways and second choices with the plain search; gives the ways by trace."""
+    place = {(r.src, r.dst): (r.x, r.y, r.x1, r.y1) for r in roads.collect()}
+    graph = road_graph(roads.withColumn("size", expr("sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y))")))
+    chains = defaultdict(list)
+    for r in sorted(graph["chains"].collect(), key=lambda r: r.seq):
+        chains[r.road].append((r.src, r.dst))
+    traces = defaultdict(list)
+    for r in sorted(obs.collect(), key=lambda r: (r.trace_id, r.ts, r.x, r.y)):
+        traces[r.trace_id].append((r.x, r.y))
+    states = matching.road_states(obs, matching.road_segments(graph, roads), graph, pace)
+    found = defaultdict(dict)
+    for r in states.where("step = steps - 1").collect():
+        found[r.trace_id][r.road] = r.cost
+    best = matching.best_roads(states)
+    first, second = ({r.trace_id: r for r in x.collect()} for x in (best, matching.best_roads(states, best)))
+    ways = defaultdict(dict)
+    for r in matching.map_match_roads(obs, roads, pace).collect():
+        assert r.step not in ways[r.trace_id] and r.cost == pytest.approx(first[r.trace_id].cost)
+        ways[r.trace_id][r.step] = r.road
+    for t, fixes in traces.items():
+        want = road_search(fixes, place, chains, pace)
+        assert found[t] == pytest.approx({r: s[0] for r, s in want[-1].items()})
+        if not want[-1]:
+            assert t not in ways
+            continue
+        costs = sorted(s[0] for s in want[-1].values())
+        assert first[t].cost == pytest.approx(costs[0]) and (second[t].cost == pytest.approx(costs[1]) if len(costs) > 1 else t not in second)
+        way = [first[t].road]
+        for s in want[:0:-1]:
+            way.append(s[way[-1]][2])
+        assert [ways[t][k] for k in range(len(fixes))] == way[::-1]
+    return ways
+
+
+def test_roads_as_plain_search(spark, data):
+    assert len(check_roads(spark, iterative._walks(spark, data), X.roads(spark, data), 25.0)) > 2
+
+
+def test_roads_of_many_edges_both_ways(spark, monkeypatch):
+    """Bent two-way roads between three crossings, in stretches of seven fixes: traces along them, one that jumps, one far off, one of one fix, nulls."""
+    monkeypatch.setattr(matching, "STRETCH", 7)
+    legs = [[(0, 0.0, 0.0), *((100 + k, 20.0 * k + 20, 6.0 * (k % 2)) for k in range(12)), (1, 260.0, 0.0)], [(1, 260.0, 0.0), *((200 + k, 260.0 + 3 * (k % 2), 20.0 * k + 20) for k in range(9)), (2, 260.0, 200.0)], [(1, 260.0, 0.0), (300, 330.0, -20.0), (3, 400.0, 0.0)], [(0, 0.0, 0.0), (400, 100.0, 120.0), (2, 260.0, 200.0)], [(2, 260.0, 200.0), (5, 300.0, 260.0)], [(0, 0.0, 0.0), (6, -60.0, 0.0)]]
+    rows = [(a[0], b[0], *a[1:], *b[1:]) for leg in legs for way in (leg, leg[::-1]) for a, b in zip(way, way[1:])]
+    roads = spark.createDataFrame(rows, "src long, dst long, x double, y double, x1 double, y1 double")
+    there = [(20.0 * k, 4.0) for k in range(13)] + [(262.0, 20.0 * k) for k in range(11)]
+    points = {1: there, 2: there[::-1], 3: there[:9] + there[16:], 4: [(9e5, 9e5)] * 3, 5: [(30.0, 3.0)], 6: [(20.0 * k, -0.7 * k) for k in range(19)], 7: there[:8], 8: [(0.8 * p, 0.6 * p) for p in range(0, 160, 20)], 9: [(50.0, 1.0)] * 4}
+    obs = spark.createDataFrame([(t, k, *p) for t, ps in points.items() for k, p in enumerate(ps)] + [(None, 0, 1.0, 1.0), (5, None, 1.0, 1.0)], "trace_id long, ts long, x double, y double")
+    ways = check_roads(spark, obs.dropna(), roads, 20.0)
+    assert [ways[1][k] for k in (3, 20)] == ["0-100", "1-200"] and len(ways[1]) == 24 and set(ways[1].values()).isdisjoint(ways[2].values()) and 4 not in ways
+    assert matching.map_match_roads(obs, roads, 20.0).where("trace_id = 5").count() == 1
+    assert matching.map_match_roads(obs.where("false"), roads, 20.0).count() == 0 == matching.map_match_roads(obs, roads.where("false"), 20.0).count()
