@@ -6,9 +6,10 @@ place. Ranks of strings grow from there, and what is unique drops out before eac
 1. 16 bytes: the chosen positions, one for about 17 bytes of text. Where the 16 bytes occur in one document only, nothing
    around them repeats. The windows that share a chosen position form a stretch; a stretch that a smaller document holds
    whole is settled at once, so the inside of a long repeated passage needs no row for each byte.
-2. length - 8 bytes: what remains are stretches that differ somewhere, as at the ends of a passage. Their windows are
-   covered by four or so cores of length - 8 bytes around the chosen position. Spark sorts the pairs of (rank of the
-   16 bytes, rest of the core) by range, equal pairs get one new rank, and cores of one document drop out.
+2. 32 bytes and on, doubled up to length - 8: what remains are stretches that differ somewhere, as at the ends of a passage. Their
+   windows are covered by four or so cores of length - 8 bytes around the chosen position. In each round a string is the pair of the
+   ranks at its begin and at an offset, 16 bytes on at first, then as far as the doubled length needs (16 and 16 make 32, 32 and
+   32 at 10 make 42). Spark sorts the pairs by range, equal pairs get one new rank, and what one document alone has drops out.
 3. length bytes: each window of a surviving core is the pair of the core's rank and the 8 bytes around it, by their own
    value; pairs are ranked again, and the smallest document of a rank keeps the string.
 
@@ -140,17 +141,32 @@ def _shared(anchors: DataFrame) -> DataFrame:
     return out
 
 
+def _places(width: int) -> list[list[int]]:
+    """For each doubling from GRAM bytes to width: where the shorter strings begin in the whole; two neighbours make one of the next list.
+
+    The last list is [0], the whole. For 42: [0, 16, 10, 26] of 16 bytes, [0, 10] of 32 bytes, [0].
+    """
+    sizes = [GRAM]
+    while sizes[-1] < width:
+        sizes.append(min(2 * sizes[-1], width))
+    out = [[0]]
+    for long, short in zip(sizes[:0:-1], sizes[-2::-1], strict=True):
+        out.append([x for at in out[-1] for x in (at, at + long - short)])
+    return out[::-1]
+
+
 def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """(doc_id, print, at, a, b, left, right, low, high): the cores of length - EXTRA bytes around the chosen positions of open_.
+    """(doc_id, print, at, left, right, low, high, r0, r1, ...): the cores of length - EXTRA bytes around the chosen positions of open_.
 
-    The core begins `at` bytes into the text; a is the hash of the 16 bytes and b that of the core. left and right are the
+    The core begins `at` bytes into the text; r0 and so on are the hashes of 16 bytes at the first of _places. left and right are the
     values of the EXTRA bytes before and after it. The windows from at - low down to at - high are those that it stands for.
     """
     most = length - GRAM
     extra = min(EXTRA, most)
     lows = [(k, min(k, most - extra)) for k in range(0, most + 1, extra + 1)]
-    names = ["doc_id", "print", "at", "a", "b", "left", "right", "low", "high"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    places = _places(length - extra)[0]
+    names = ["doc_id", "print", "at", "left", "right", "low", "high", *(f"r{k}" for k in range(len(places)))]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * len(places)]
     weights = (1 << (8 * np.arange(extra)[::-1].astype(np.uint64))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +176,12 @@ def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             padded = np.concatenate((np.zeros(2 * extra, np.uint8), data, np.zeros(2 * extra + length, np.uint8)))
             views = np.lib.stride_tricks.sliding_window_view(padded, extra)
             value = lambda p: (views[p + 2 * extra].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            gram = hashes.of(start + back, start + back + GRAM).view(np.int64)
             for first, low in lows:
                 l0, l1 = np.maximum(first, back - run + 1), np.minimum(low + extra, back)
                 ok = np.flatnonzero(l0 <= l1)
                 a = (start + back)[ok] - low
                 z = a + length - extra
-                yield ok, a, gram[ok], hashes.of(a, z).view(np.int64), value(a - extra), value(z), l0[ok] - low, l1[ok] - low
+                yield ok, a, value(a - extra), value(z), l0[ok] - low, l1[ok] - low, *(hashes.of(a + k, a + k + GRAM).view(np.int64) for k in places)
 
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
             for b in batches:
@@ -184,11 +199,11 @@ def _blocks(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
     packed = F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft("run", 16) + F.col("back")
     marks = open_.groupBy("doc_id", "print").agg(F.collect_set(packed).alias("marks"))
-    return texts.join(marks, ["doc_id", "print"]).select("doc_id", "print", "text", "marks").mapInArrow(run, "doc_id long, print long, at int, a long, b long, left long, right long, low int, high int")
+    return texts.join(marks, ["doc_id", "print"]).select("doc_id", "print", "text", "marks").mapInArrow(run, ", ".join(f"{n} {'long' if k == pa.int64() else 'int'}" for n, k in zip(names, kinds, strict=True)))
 
 
-def _reranked(rows: DataFrame) -> DataFrame:
-    """rows with `rank` and `first` for columns a, b: equal pairs have one rank; first is the least doc_id of the rank.
+def _ranks(rows: DataFrame) -> DataFrame:
+    """(a, b, first, rank) of the pairs of rows (doc_id, a, b): equal pairs have one rank; first is the least doc_id of the rank.
 
     Pairs that one document alone has drop out. The distinct pairs of the others are sorted by range over all partitions;
     a rank is the place of its pair, with the partition in the upper bits.
@@ -201,8 +216,28 @@ def _reranked(rows: DataFrame) -> DataFrame:
             at += b.num_rows
 
     pairs = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    ranks = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a long, b long, first long, rank long")
-    return rows.join(ranks.hint("shuffle_hash"), ["a", "b"])
+    return pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "a long, b long, first long, rank long")
+
+
+def _doubled(blocks: DataFrame, width: int) -> DataFrame:
+    """blocks with `rank` of their cores of `width` bytes instead of r0, r1, ...; cores of one document alone drop out, with any of their parts.
+
+    A round ranks all pairs of neighbours together, wherever in a core they lie, and puts the ranks in their place, until one
+    is left. blocks is a scratch table and is released.
+    """
+    now, levels = blocks, _places(width)
+    for places in levels[1:] or levels:
+        couples = [(f"r{2 * k}", f"r{2 * k + 1}") if len(levels) > 1 else ("r0", "r0") for k in range(len(places))]
+        ranks = materialise(_ranks(reduce(DataFrame.union, [now.select("doc_id", F.col(a).alias("a"), F.col(b).alias("b")) for a, b in couples])).select("a", "b", "rank"))
+        after = now
+        for k, (a, b) in enumerate(couples):
+            new = ranks.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("rank").alias(f"n{k}"))
+            after = after.join(new.hint("shuffle_hash"), (F.col(a) == F.col("x")) & (F.col(b) == F.col("y"))).drop(a, b, "x", "y")
+        after = materialise(after.withColumnsRenamed({f"n{k}": f"r{k}" if len(couples) > 1 else "rank" for k in range(len(couples))}))
+        release(ranks)
+        release(now)
+        now = after
+    return now
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -224,15 +259,15 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     for s in (*slices, first):
         release(s)
     blocks = materialise(_blocks(texts, marked.where("not settled"), length))
-    cores = materialise(_reranked(blocks).select("doc_id", "print", "at", "left", "right", "low", "high", "rank"))
-    release(blocks)
     extra = min(EXTRA, length - GRAM)
+    cores = _doubled(blocks, length - extra)
     bits = F.col("j") * 8
     head = F.when(F.col("j") == 0, F.lit(0)).otherwise(F.expr(f"shiftleft(`left` & (shiftrightunsigned(-1L, 64 - j * 8)), {8 * extra} - j * 8)"))
     tail = F.when(F.col("j") == extra, F.lit(0)).otherwise(F.expr("shiftrightunsigned(`right`, j * 8)"))
     windows = materialise(cores.withColumn("j", F.explode(F.sequence("low", "high"))).select("doc_id", "print", (F.col("at") - F.col("j")).alias("start"), (F.col("rank") * 16 + F.col("j")).alias("a"), head.bitwiseOR(tail).alias("b")))
     release(cores)
-    repeated = materialise(_reranked(windows).where(F.col("doc_id") > F.col("first")).select("doc_id", "print", "start", F.lit(1).alias("run")))
+    repeated = windows.join(_ranks(windows).hint("shuffle_hash"), ["a", "b"]).where(F.col("doc_id") > F.col("first"))
+    repeated = materialise(repeated.select("doc_id", "print", "start", F.lit(1).alias("run")))
     release(windows)
     return marked.where("settled").select("doc_id", "print", "start", "run").union(repeated)
 
@@ -254,7 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     strings are judged on the input. Null texts are empty; texts under `length` stay whole. Rows with one doc_id don't
     remove each other: with the same text they have the same result, with different texts each loses what smaller
     documents hold. Rows with a null doc_id keep their texts and remove nothing. Other columns aren't read; an empty
-    table gives an empty result. Strings are told apart by hashes of 128 bits in all.
+    table gives an empty result. Settled stretches are told apart by hashes of 128 bits, other
+    strings by hashes of 64 bits for each 16 bytes (the last ones overlap) and the rest as it is.
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("print"))
