@@ -37,6 +37,8 @@ GRAM = 16
 EXTRA = 8
 #: Parts, by the hash of the chosen string, in which the first step runs one after the other.
 SLICES = 8
+#: Parts, by the hash of their first 16 bytes, in which cores are ranked one after the other; equal cores are in one.
+CORE_SLICES = 4
 ANCHORS = "doc_id long, print long, start int, run int, back int, h long, t long"
 _U = np.uint64
 
@@ -223,7 +225,7 @@ def _doubled(blocks: DataFrame, width: int) -> DataFrame:
     """blocks with `rank` of their cores of `width` bytes instead of r0, r1, ...; cores of one document alone drop out, with any of their parts.
 
     A round ranks all pairs of neighbours together, wherever in a core they lie, and puts the ranks in their place, until one
-    is left. blocks is a scratch table and is released.
+    is left.
     """
     now, levels = blocks, _places(width)
     for places in levels[1:] or levels:
@@ -258,14 +260,18 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     marked = materialise(marked.select("doc_id", "print", "start", "run", "back", (F.col("doc_id") > F.col("first")).alias("settled")))
     for s in (*slices, first):
         release(s)
-    blocks = materialise(_blocks(texts, marked.where("not settled"), length))
+    part = F.pmod("r0", F.lit(CORE_SLICES)).cast("int")
+    blocks = materialise(_blocks(texts, marked.where("not settled"), length).withColumn("slice", part), "slice")
     extra = min(EXTRA, length - GRAM)
-    cores = _doubled(blocks, length - extra)
+    parts = [_doubled(blocks.where(F.col("slice") == s).drop("slice"), length - extra) for s in range(CORE_SLICES)]
+    release(blocks)
+    cores = reduce(DataFrame.union, [c.withColumn("rank", F.col("rank") * CORE_SLICES + s) for s, c in enumerate(parts)])
     bits = F.col("j") * 8
     head = F.when(F.col("j") == 0, F.lit(0)).otherwise(F.expr(f"shiftleft(`left` & (shiftrightunsigned(-1L, 64 - j * 8)), {8 * extra} - j * 8)"))
     tail = F.when(F.col("j") == extra, F.lit(0)).otherwise(F.expr("shiftrightunsigned(`right`, j * 8)"))
     windows = materialise(cores.withColumn("j", F.explode(F.sequence("low", "high"))).select("doc_id", "print", (F.col("at") - F.col("j")).alias("start"), (F.col("rank") * 16 + F.col("j")).alias("a"), head.bitwiseOR(tail).alias("b")))
-    release(cores)
+    for c in parts:
+        release(c)
     repeated = windows.join(_ranks(windows).hint("shuffle_hash"), ["a", "b"]).where(F.col("doc_id") > F.col("first"))
     repeated = materialise(repeated.select("doc_id", "print", "start", F.lit(1).alias("run")))
     release(windows)
