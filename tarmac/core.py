@@ -75,11 +75,14 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Drop the scratch table behind a DataFrame that `materialise` returned, once nothing reads it any more."""
+def release(df: DataFrame, part: str = "") -> None:
+    """Drop the scratch table behind a DataFrame that `materialise` returned, once nothing reads it any more.
+
+    part: drop only one partition, such as "slice=3"; the others can be read on from the same DataFrame.
+    """
     path = getattr(df, "_scratch_path", None)
     if path:
-        fs, where = _fs(df.sparkSession, path)
+        fs, where = _fs(df.sparkSession, f"{path}/{part}" if part else path)
         fs.delete(where, True)
 
 

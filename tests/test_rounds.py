@@ -1,9 +1,12 @@
 """Operators in rounds against plain Python on small inputs."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tarmac.core import materialise, release
 from tarmac.operators import matching, paths, regions
 from tarmac.operators.components import components
 
@@ -226,3 +229,14 @@ def test_map_matching_over_gaps(spark):
     assert len(got[2]) == 5 and all(s >= 100 for s in got[2])
     near = matching.map_match(obs.where("trace_id = 2"), roads).orderBy("step").collect()
     assert [r.step for r in near] == list(range(5)) and all(r.src >= 100 for r in near)
+
+
+def test_a_released_partition_leaves_the_others(spark):
+    kept = materialise(spark.range(90).withColumn("slice", (F.col("id") % 3).cast("int")), "slice")
+    read = {}
+    for s in range(4):  # no row lies in the last
+        read[s] = sorted(r.id for r in kept.where(F.col("slice") == s).collect())
+        release(kept, f"slice={s}")
+    assert read == {0: list(range(0, 90, 3)), 1: list(range(1, 90, 3)), 2: list(range(2, 90, 3)), 3: []}
+    release(kept)
+    assert not os.path.exists(kept._scratch_path.removeprefix("file:"))
