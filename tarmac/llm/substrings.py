@@ -15,7 +15,8 @@ place. Ranks of strings grow from there, and what is unique drops out before eac
 
 Ranks are given to distinct pairs, after an aggregation with partial sums, and joined back; so neither a passage that a
 third of all documents hold nor a very common string meets in one task. The first step runs in slices of the hash of the
-chosen string, which are independent, so that its shuffles take a small part of the disk at a time.
+chosen string, which are independent, so that its shuffles take a small part of the disk at a time; what a slice has read is
+dropped before the next one.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ EXTRA = 8
 #: Parts, by the hash of the chosen string, in which the first step runs one after the other.
 SLICES = 8
 #: Parts, by the hash of their first 16 bytes, in which cores are ranked one after the other; equal cores are in one.
-CORE_SLICES = 4
+CORE_SLICES = 2
 ANCHORS = "doc_id long, print long, start int, run int, back int, h long, t long"
 _U = np.uint64
 
@@ -252,7 +253,10 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be {GRAM} at least")
     texts = docs.where(F.octet_length("text") >= length)
     anchors = materialise(_anchors(texts, length).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "slice")
-    slices = [_shared(anchors.where(F.col("slice") == s)) for s in range(SLICES)]
+    slices = []
+    for s in range(SLICES):
+        slices.append(_shared(anchors.where(F.col("slice") == s)))
+        release(anchors, f"slice={s}")
     release(anchors)
     shared = reduce(DataFrame.union, slices)
     first = materialise(shared.groupBy("h", "t").agg(F.min("doc_id").alias("first")))
@@ -263,7 +267,10 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     part = F.pmod("r0", F.lit(CORE_SLICES)).cast("int")
     blocks = materialise(_blocks(texts, marked.where("not settled"), length).withColumn("slice", part), "slice")
     extra = min(EXTRA, length - GRAM)
-    parts = [_doubled(blocks.where(F.col("slice") == s).drop("slice"), length - extra) for s in range(CORE_SLICES)]
+    parts = []
+    for s in range(CORE_SLICES):
+        parts.append(_doubled(blocks.where(F.col("slice") == s).drop("slice"), length - extra))
+        release(blocks, f"slice={s}")
     release(blocks)
     cores = reduce(DataFrame.union, [c.withColumn("rank", F.col("rank") * CORE_SLICES + s) for s, c in enumerate(parts)])
     bits = F.col("j") * 8
