@@ -75,6 +75,23 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, joined by shuffles of both sides wherever it is a side of an equality join.
+
+    Spark takes a table's size from its files and doesn't count the rows that an explode makes, so columns of small numbers and
+    exploded rows look a hundred times smaller than they are, and would go whole through the driver to be broadcast.
+    """
+    out = df.hint("merge")
+    if path := getattr(df, "_scratch_path", None):
+        out._scratch_path = path
+    return out
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """materialise, for tables that grow with the input: joins shuffle them, however small their files are."""
+    return shuffled(materialise(df, *by))
+
+
 def release(df: DataFrame, part: str = "") -> None:
     """Drop the scratch table behind a DataFrame that `materialise` returned, once nothing reads it any more.
 
@@ -91,9 +108,9 @@ def rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Ca
 
     The steps must move towards a fixed point; how many rounds that takes is the data's affair, so there is no cap.
     """
-    now = materialise(state)
+    now = stored(state)
     while True:
-        after = materialise(step(now))
+        after = stored(step(now))
         go_on = changed(now, after)
         release(now)
         now = after

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import offsets
+from tarmac.core import offsets, shuffled
 
 KEY = ["tile_id", "x", "y"]
 SQUARE8 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -101,24 +101,30 @@ def pad(pixels: DataFrame, size: int, border: int, mode: str) -> DataFrame:
 
 
 def resize_bilinear(pixels: DataFrame, size: int, to: int, value: str = "v") -> DataFrame:
-    """Bilinear resampling with half-pixel centres and clamped edges; every target pixel gathers its four sources."""
-    scale = size / to
-    axis = pixels.select("tile_id").distinct()
-    grid = axis.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias("tx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias("ty"))
+    """Bilinear resampling with half-pixel centres and clamped edges; every pixel gives its share to the targets around it.
 
-    def sources(c: str) -> Column:
-        at = F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), (F.col(c) + 0.5) * scale - 0.5))
-        low = F.floor(at).cast("int")
-        return F.array(F.struct(low.alias("p"), (1 - (at - low)).alias("w")), F.struct(F.least(low + 1, F.lit(size - 1)).alias("p"), (at - low).alias("w")))
+    Shares add up within a task before they are exchanged, and no table of targets is joined.
+    """
+    scale = size / to
 
-    rows = grid.select("tile_id", "tx", "ty", F.explode(sources("tx")).alias("sx")).select("*", F.explode(sources("ty")).alias("sy"))
-    rows = rows.select("tile_id", "tx", "ty", F.col("sx.p").alias("x"), F.col("sy.p").alias("y"), (F.col("sx.w") * F.col("sy.w")).alias("w")).where(F.col("w") > 0)
-    return rows.join(pixels.select("tile_id", "x", "y", F.col(value).alias("v")), KEY).groupBy("tile_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    shares: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+    for t in range(to):
+        at = max(0.0, min(float(size - 1), (t + 0.5) * scale - 0.5))
+        low = int(at)
+        shares[low].append((t, 1 - (at - low)))
+        if at > low:
+            shares[low + 1].append((t, at - low))
+    none = F.array().cast("array<struct<t:int,w:double>>")
+    table = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in s]) if s else none for s in shares])
+    targets = lambda c: F.explode(F.get(table, F.col(c).cast("int")))
+    rows = pixels.where(F.col("tile_id").isNotNull() & inside(size, size)).select("tile_id", "x", "y", F.col(value).alias("v"))
+    rows = rows.select("*", targets("x").alias("gx")).select("*", targets("y").alias("gy"))
+    return rows.groupBy("tile_id", F.col("gx.t").alias("x"), F.col("gy.t").alias("y")).agg(F.sum(F.col("gx.w") * F.col("gy.w") * F.col("v")).alias("v"))
 
 
 def shifted(pixels: DataFrame, around: list[tuple[int, int]], *keep: str) -> DataFrame:
     """Every pixel at all the given offsets from itself."""
-    rows = pixels.select("tile_id", "x", "y", *keep, offsets("o", around))
+    rows = shuffled(pixels.select("tile_id", "x", "y", *keep, offsets("o", around)))
     return rows.select("tile_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), *keep)
 
 
@@ -196,7 +202,7 @@ def distance_label(mask: DataFrame, tiles: DataFrame, size: int, factor: float =
     down = mask.select("tile_id", "x", "y", step).withColumn("y", F.col("y") + F.col("k")).where(F.col("y").between(0, size - 1)).groupBy(*KEY).agg(F.min(F.col("k") * F.col("k")).alias("g"))
     across = down.select("tile_id", "x", "y", "g", step).withColumn("x", F.col("x") + F.col("k")).where(F.col("x").between(0, size - 1)).groupBy(*KEY).agg(F.min(F.col("k") * F.col("k") + F.col("g")).alias("g"))
     whole = tiles.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y"))
-    return whole.join(across, KEY, "left").select(*KEY, F.coalesce(F.least(F.lit(most), F.floor(F.sqrt("g") * factor)), F.lit(most)).cast("int").alias("d"))
+    return shuffled(whole).join(across, KEY, "left").select(*KEY, F.coalesce(F.least(F.lit(most), F.floor(F.sqrt("g") * factor)), F.lit(most)).cast("int").alias("d"))
 
 
 def window_starts(length: Column, window: int) -> Column:
