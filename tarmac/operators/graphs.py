@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import numbered
+from tarmac.core import numbered, shuffled
 from tarmac.functions import geometry as G
 
 
@@ -28,15 +28,15 @@ def make_bidirectional(edges: DataFrame, key: list[str] | None = None) -> DataFr
 def subgraph(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
     """Nodes in a closed rectangle, and the edges with both ends among them."""
     kept = nodes.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
-    ids = kept.select("node_id")
+    ids = shuffled(kept).select("node_id")
     e = edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     return kept, e
 
 
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with (x, y) and (x1, y1) of their ends."""
-    a = nodes.select(F.col("node_id").alias("src"), "x", "y")
-    b = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    a = shuffled(nodes).select(F.col("node_id").alias("src"), "x", "y")
+    b = shuffled(nodes).select(F.col("node_id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     return edges.join(a, "src").join(b, "dst")
 
 
@@ -47,7 +47,7 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
 def gridded(boxes: DataFrame, size: float, cols: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
     """A row for each grid cell that a box touches; the cell size is what bounds the rows of a cell."""
     a, b, c, d = map(F.col, cols)
-    return boxes.withColumn("gx", _cells(a, c, size)).withColumn("gy", _cells(b, d, size))
+    return shuffled(boxes.withColumn("gx", _cells(a, c, size)).withColumn("gy", _cells(b, d, size)))
 
 
 def grid_search(left: DataFrame, right: DataFrame, size: float, left_id: str, right_id: str) -> DataFrame:
@@ -79,7 +79,7 @@ def pairs_within(points: DataFrame, r: float, id_col: str, key: list[str] | None
     q = p.select(*key, F.col(id_col).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy", around.alias("o"))
     q = q.withColumn("gx", F.col("gx") + F.col("o.a")).withColumn("gy", F.col("gy") + F.col("o.b")).drop("o")
     far = G.distance(G.pt("x", "y"), G.pt("ox", "oy"))
-    return p.join(q, [*key, "gx", "gy"]).where(F.col(id_col) < F.col("other")).withColumn("distance", far).where(F.col("distance") <= r).select(*key, id_col, "other", "distance")
+    return p.join(shuffled(q), [*key, "gx", "gy"]).where(F.col(id_col) < F.col("other")).withColumn("distance", far).where(F.col("distance") <= r).select(*key, id_col, "other", "distance")
 
 
 def nearest_point(points: DataFrame, among: DataFrame, r: float, point_id: str, among_id: str) -> DataFrame:
@@ -87,7 +87,7 @@ def nearest_point(points: DataFrame, among: DataFrame, r: float, point_id: str,
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     p = points.select(point_id, "x", "y", around.alias("o")).withColumn("gx", F.floor(F.col("x") / r) + F.col("o.a")).withColumn("gy", F.floor(F.col("y") / r) + F.col("o.b"))
     q = among.select(among_id, F.col("x").alias("qx"), F.col("y").alias("qy"), F.floor(F.col("x") / r).alias("gx"), F.floor(F.col("y") / r).alias("gy"))
-    rows = p.join(q, ["gx", "gy"]).withColumn("distance", G.distance(G.pt("x", "y"), G.pt("qx", "qy"))).where(F.col("distance") <= r)
+    rows = shuffled(p).join(q, ["gx", "gy"]).withColumn("distance", G.distance(G.pt("x", "y"), G.pt("qx", "qy"))).where(F.col("distance") <= r)
     best = rows.groupBy(point_id).agg(F.min(F.struct("distance", among_id)).alias("b"))
     return best.select(point_id, f"b.{among_id}", "b.distance")
 
@@ -108,7 +108,8 @@ def pixel_adjacency(mask: DataFrame) -> DataFrame:
     """Edges between neighbouring pixels of a skeleton; a diagonal goes where a pixel bridges it at right angles."""
     forward = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (0, 1), (1, 1), (1, -1))]))
     rows = mask.select("tile_id", "x", "y", forward.alias("o")).select("tile_id", "x", "y", (F.col("x") + F.col("o.a")).alias("x1"), (F.col("y") + F.col("o.b")).alias("y1"))
-    hits = rows.join(mask.select("tile_id", F.col("x").alias("x1"), F.col("y").alias("y1")), ["tile_id", "x1", "y1"])
+    mask = shuffled(mask)
+    hits = shuffled(rows).join(mask.select("tile_id", F.col("x").alias("x1"), F.col("y").alias("y1")), ["tile_id", "x1", "y1"])
     diagonal = (F.col("x") != F.col("x1")) & (F.col("y") != F.col("y1"))
     bridge = lambda a, b: mask.select("tile_id", F.col("x").alias(a), F.col("y").alias(b))
     slant = hits.where(diagonal).join(bridge("x1", "y"), ["tile_id", "x1", "y"], "left_anti").join(bridge("x", "y1"), ["tile_id", "x", "y1"], "left_anti")
@@ -169,7 +170,7 @@ def osm_to_edges(ways: DataFrame, nodes: DataFrame, shut_out: list[str]) -> Data
     width = F.coalesce(tag("width").try_cast("double"), F.when(lanes > 1, lanes * 3.7).otherwise(6.6))
     step = F.transform(F.sequence(F.lit(0), F.size("node_ids") - 2), lambda k: F.struct(F.get("node_ids", k).alias("a"), F.get("node_ids", k + 1).alias("b")))
     rows = fine.select("way_id", width.alias("width"), tag("highway").alias("highway"), F.coalesce(tag("oneway"), F.lit("no")).alias("oneway"), F.explode(step).alias("e"))
-    known = nodes.select("node_id")
+    known = shuffled(nodes).select("node_id")
     rows = rows.select("way_id", "width", "highway", "oneway", "e.a", "e.b").join(known.withColumnRenamed("node_id", "a"), "a", "left_semi").join(known.withColumnRenamed("node_id", "b"), "b", "left_semi")
     forth, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
     ways_ = F.when(F.col("oneway").isin("yes", "1"), F.array(forth)).when(F.col("oneway") == "-1", F.array(back)).otherwise(F.array(forth, back))
@@ -189,7 +190,7 @@ def from_map_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _turns(roads: DataFrame, spread: float) -> DataFrame:
     """(src, dst, to_dst, raw): each way on from an edge with its raw share: its angle's distance from a right angle, squared, plus a little."""
-    nxt = roads.select(F.col("src").alias("dst"), F.col("dst").alias("to_dst"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
+    nxt = shuffled(roads).select(F.col("src").alias("dst"), F.col("dst").alias("to_dst"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
     turn = G.angle_to(G.sub(G.pt("x1", "y1"), G.pt("x", "y")), G.sub(G.pt("nx", "ny"), G.pt("x1", "y1")))
     return roads.join(nxt, "dst").select("src", "dst", "to_dst", (F.pow(F.greatest(F.lit(0.0), F.pi() / 2 - turn), 2) + spread).alias("raw"))
 

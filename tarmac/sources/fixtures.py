@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import table
+from tarmac.core import shuffled, table
 
 SQL = {
     "pix": "SELECT vec_id AS tile_id, CAST((i - 1) % 8 AS INT) AS x, CAST((i - 1) // 8 AS INT) AS y, round(embedding[i]::DOUBLE, 6) AS v, label % 4 AS city FROM embeddings, range(1, 65) r(i)",
@@ -27,7 +27,7 @@ SQL = {
 def pix(spark: SparkSession, d: str) -> DataFrame:
     """(tile_id, x, y, v, city): the 64 floats of a vector as a tile of 8 x 8 pixels."""
     e = table(spark, d, "embeddings")
-    rows = e.select(F.col("vec_id").alias("tile_id"), F.posexplode("embedding").alias("p", "v"), (F.col("label") % 4).alias("city"))
+    rows = shuffled(e.select(F.col("vec_id").alias("tile_id"), F.posexplode("embedding").alias("p", "v"), (F.col("label") % 4).alias("city")))
     return rows.select("tile_id", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), F.round(F.col("v").cast("double"), 6).alias("v"), "city")
 
 
@@ -75,12 +75,12 @@ def quad(spark: SparkSession, d: str) -> DataFrame:
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """(node_id, x, y): a jittered lattice."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("node_id"), ((k % 40) * 25 + F.col("p_size") % 10).cast("double").alias("x"), (F.floor(k / 40).cast("long") * 25 + F.col("p_size") % 7).cast("double").alias("y"))
+    return shuffled(table(spark, d, "part")).select(k.alias("node_id"), ((k % 40) * 25 + F.col("p_size") % 10).cast("double").alias("x"), (F.floor(k / 40).cast("long") * 25 + F.col("p_size") % 7).cast("double").alias("y"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst): lattice edges to the right, and down where the size allows."""
-    p = table(spark, d, "part").select("p_partkey", "p_size")
+    p = shuffled(table(spark, d, "part")).select("p_partkey", "p_size")
     have = p.select(F.col("p_partkey").alias("dst"))
     right = p.where(F.col("p_partkey") % 40 != 39).select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
     down = p.where(F.col("p_size") % 3 != 0).select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 40).alias("dst"))
