@@ -228,7 +228,7 @@ def top_k_per_key(s, d):
 
 
 query("ordered_listing", f"SELECT tile_id, city, label FROM {TILES} ORDER BY city, tile_id")(lambda s, d: _tiles(s, d).orderBy("city", "tile_id"))
-query("best_per_group", "SELECT tile_id, y, arg_max(x, v) AS best_x, max(v) AS v FROM pix GROUP BY ALL")(lambda s, d: X.pix(s, d).groupBy("tile_id", "y").agg(F.max_by("x", "v").alias("best_x"), F.max("v").alias("v")))
+query("best_per_group", "SELECT tile_id, y, arg_max(x, v) AS best_x, max(v) AS v FROM pix GROUP BY ALL")(lambda s, d: X.pix(s, d).groupBy("tile_id", "y").agg(F.max_by("x", F.when(F.col("v").isNotNull(), F.struct("v", -F.col("x")))).alias("best_x"), F.max("v").alias("v")))
 query("limit", "SELECT trace_id, ts, x FROM (SELECT *, dense_rank() OVER (ORDER BY trace_id) AS r FROM (SELECT * FROM obs WHERE trace_id IN (SELECT DISTINCT trace_id FROM obs ORDER BY 1 LIMIT 10))) WHERE r <= 10")(
     lambda s, d: X.obs(s, d).join(F.broadcast(X.obs(s, d).select("trace_id").distinct().orderBy("trace_id").limit(10)), "trace_id", "left_semi").select("trace_id", "ts", "x"))
 query("union_all", "SELECT tile_id, line_id, pos, x, y FROM lines UNION ALL SELECT trace_id, -1, 0, floor(x)::BIGINT, floor(y)::BIGINT FROM obs")(
