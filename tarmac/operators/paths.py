@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, numbered, offsets, release, rounds
+from tarmac.core import numbered, offsets, release, rounds, shuffled, stored
 from tarmac.functions import geometry as G
 from tarmac.operators.components import components
 from tarmac.operators.graphs import degrees, with_ends
@@ -21,10 +23,10 @@ def greedy_matching(pairs: DataFrame, a: str = "a", b: str = "b", cost: str = "d
 
     def step(state: DataFrame) -> DataFrame:
         live = state.where("is = 'open'").withColumn("k", F.struct("c", "a", "b"))
-        ends = live.select(F.col("a").alias("e"), "k").union(live.select("b", "k")).groupBy("e").agg(F.min("k").alias("m"))
+        ends = shuffled(live.select(F.col("a").alias("e"), "k").union(live.select("b", "k")).groupBy("e").agg(F.min("k").alias("m")))
         rows = live.join(ends.select(F.col("e").alias("a"), F.col("m").alias("ma")), "a").join(ends.select(F.col("e").alias("b"), F.col("m").alias("mb")), "b")
-        take = materialise(rows.where((F.col("k") == F.col("ma")) & (F.col("k") == F.col("mb"))).select("a", "b", "c"))
-        used = take.select(F.col("a").alias("e")).union(take.select("b"))
+        take = stored(rows.where((F.col("k") == F.col("ma")) & (F.col("k") == F.col("mb"))).select("a", "b", "c"))
+        used = shuffled(take.select(F.col("a").alias("e")).union(take.select("b")))
         rest = live.drop("k").join(used.withColumnRenamed("e", "a"), "a", "left_anti").join(used.withColumnRenamed("e", "b"), "b", "left_anti")
         return state.where("is = 'in'").unionByName(take.withColumn("is", F.lit("in"))).unionByName(rest)
 
@@ -47,20 +49,20 @@ def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataF
     named by its first edge; a closed loop starts at its least edge. With `through` (node) chains go on only through its nodes.
     """
     e = edges.select("src", "dst").distinct()
-    nxt = e.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    nxt = shuffled(e).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     on = e.join(nxt, "dst").where(F.col("to") != F.col("src"))
     on = on if through is None else on.join(through.select(F.col("node").alias("dst")), "dst", "left_semi")
     only = on.groupBy("src", "dst").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").select(F.struct("src", "dst").alias("e"), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst")).alias("succ"))
     into = only.groupBy("succ").agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
-    back = materialise(into.select(F.col("succ").alias("e"), F.col("e").alias("prev")))
+    back = stored(into.select(F.col("succ").alias("e"), F.col("e").alias("prev")))
     start = e.select(F.struct("src", "dst").alias("e")).join(back, "e", "left").select("e", F.coalesce("prev", "e").alias("p"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least(F.col("e"), F.coalesce("prev", "e")).alias("low"))
 
     def step(s: DataFrame) -> DataFrame:
         far = s.select(F.col("e").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("low").alias("ll"))
         return s.join(far, "p").select("e", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.least("low", "ll").alias("low"))
 
-    heads = materialise(start.where("d = 0").select(F.col("e").alias("p"), F.lit(True).alias("head")))
-    now, seen = materialise(start), None
+    heads = stored(start.where("d = 0").select(F.col("e").alias("p"), F.lit(True).alias("head")))
+    now, seen = stored(start), None
     while True:
         # while a line or loop is longer than the pointers' reach, each round brings more edges to their head or lowers a least edge
         lows = now.agg(F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()[0]
@@ -68,7 +70,7 @@ def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataF
         if after == seen:
             break
         seen, before = after, now
-        now = materialise(step(before))
+        now = stored(step(before))
         release(before)
     rows = now.join(heads, "p", "left")
     line = rows.where("head").select("e", F.col("p").alias("road"), F.col("d").alias("seq"))
@@ -106,11 +108,21 @@ def simplify_lines(points: DataFrame, key: str, epsilon: float) -> DataFrame:
     return points.join(done.select(key, "pos"), [key, "pos"], "left_semi")
 
 
-def search(edges: DataFrame, starts: DataFrame, most: float, stops: DataFrame | None = None, barred: DataFrame | None = None, beyond: bool = True) -> DataFrame:
+def _stopped(rows: DataFrame, stops: DataFrame | Column | None, node: str = "node") -> DataFrame:
+    """rows with `stop`: whether a row's node is a stop of its source, by a table (source, node) or by a rule on source and node."""
+    if stops is None:
+        return rows.withColumn("stop", F.lit(False))
+    if isinstance(stops, Column):
+        return rows.withColumnRenamed(node, "node").withColumn("stop", F.coalesce(stops, F.lit(False))).withColumnRenamed("node", node)
+    known = shuffled(stops).select("source", F.col("node").alias(node)).distinct().withColumn("stop", F.lit(True))
+    return rows.join(known, ["source", node], "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
+
+
+def search(edges: DataFrame, starts: DataFrame, most: float, stops: DataFrame | Column | None = None, barred: DataFrame | None = None, beyond: bool = True) -> DataFrame:
     """(source, node, dist, pred): all nodes within `most` of each source over directed edges (src, dst, size); pred is null at a start.
 
-    starts (source, node, dist) are where a source's search begins, one node or several. stops (source, node) are reached and
-    reported, but never gone beyond, unless they are starts. barred (source, src, dst) are edges that a source doesn't use. Without `beyond`,
+    starts (source, node, dist) are where a source's search begins, one node or several. stops, a table (source, node) or a rule
+    on these columns, are reached and reported, but never gone beyond, unless they are starts. barred (source, src, dst) are edges that a source doesn't use. Without `beyond`,
     nodes at exactly `most` aren't reached. Rounds relax the edges out of what improved in the round before; of equal
     distances the least predecessor stays.
     """
@@ -119,22 +131,19 @@ def search(edges: DataFrame, starts: DataFrame, most: float, stops: DataFrame |
     start = first.where(near).select("source", "node", "dist", F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
 
     def step(state: DataFrame) -> DataFrame:
-        ahead = state.where("fresh").select("source", F.col("node").alias("src"), "dist").join(edges.select("src", "dst", "size"), "src")
+        ahead = state.where("fresh").select("source", F.col("node").alias("src"), "dist").join(shuffled(edges).select("src", "dst", "size"), "src")
         if barred is not None:
             ahead = ahead.join(barred.select("source", "src", "dst"), ["source", "src", "dst"], "left_anti")
         new = ahead.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("size")).alias("dist"), F.col("src").alias("pred")).where(near)
-        if stops is not None:
-            new = new.join(stops.select("source", "node").distinct().withColumn("fresh", F.lit(False)), ["source", "node"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
-        else:
-            new = new.withColumn("fresh", F.lit(True))
+        new = _stopped(new, stops).select("source", "node", "dist", "pred", (~F.col("stop")).alias("fresh"))
         best = state.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("source", "node").agg(F.min(F.struct("dist", "pred", "fresh")).alias("b"))
         return best.select("source", "node", "b.dist", "b.pred", "b.fresh")
 
     return rounds(start, step, lambda a, b: not b.where("fresh").isEmpty()).drop("fresh")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: float, stops: DataFrame | None = None) -> DataFrame:
-    """(source, node, dist, pred) of all nodes within `most` of each source node, itself included; stops (source, node) as in search."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: float, stops: DataFrame | Column | None = None) -> DataFrame:
+    """(source, node, dist, pred) of all nodes within `most` of each source node, itself included; stops as in search."""
     return search(edges, sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist")), most, stops)
 
 
@@ -144,24 +153,28 @@ def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
     found comes from search or shortest_paths. Jumps double every round: a way of n nodes takes log n rounds.
     """
     begun = found.where("pred is null").select("source", F.col("node").alias("pred"))
-    jump = materialise(found.where("pred is not null").join(begun, ["source", "pred"], "left_anti").select("source", "node", F.col("pred").alias("to")))
-    ways = materialise(targets.join(found.where("pred is not null").select("source", F.col("node").alias("target")), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
+    jump = stored(found.where("pred is not null").join(begun, ["source", "pred"], "left_anti").select("source", "node", F.col("pred").alias("to")))
+    ways = stored(targets.join(found.where("pred is not null").select("source", F.col("node").alias("target")), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
     reach = 1
     while True:
-        more = materialise(ways.join(jump, ["source", "node"]).select("source", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node")))
+        more = stored(ways.join(jump, ["source", "node"]).select("source", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node")))
         if more.isEmpty():
             return ways
-        both = materialise(ways.unionByName(more))
-        further = materialise(jump.join(jump.select("source", F.col("node").alias("to"), F.col("to").alias("beyond")), ["source", "to"]).select("source", "node", F.col("beyond").alias("to")))
+        both = stored(ways.unionByName(more))
+        further = stored(jump.join(jump.select("source", F.col("node").alias("to"), F.col("to").alias("beyond")), ["source", "to"]).select("source", "node", F.col("beyond").alias("to")))
         for old in (ways, more, jump):
             release(old)
         ways, jump, reach = both, further, 2 * reach
 
 
-def _onward(edges: DataFrame, found: DataFrame, starts: DataFrame, barred: DataFrame | None, length: float, stops: DataFrame | None) -> DataFrame:
+def _passed(found: DataFrame, stops: DataFrame | Column | None) -> DataFrame:
+    """(source, node, dist) of the nodes that a search went beyond: its starts, and all others that aren't stops."""
+    return _stopped(found, stops).where("pred is null or not stop").select("source", "node", "dist")
+
+
+def _onward(edges: DataFrame, found: DataFrame, starts: DataFrame, barred: DataFrame | None, length: float, stops: DataFrame | Column | None) -> DataFrame:
     """(source, src, dst, along): where a search that found these nodes is when it has gone `length`, on edges out of them."""
-    gone = found if stops is None else found.join(stops.select("source", "node"), ["source", "node"], "left_anti").unionByName(found.where("pred is null").join(stops.select("source", "node").distinct(), ["source", "node"]))
-    gone = materialise(gone.select("source", "node", "dist"))
+    gone = stored(_passed(found, stops))
     out = gone.withColumnRenamed("node", "src").join(edges.select("src", "dst", "size"), "src")
     if barred is not None:
         out = out.join(barred.select("source", "src", "dst"), ["source", "src", "dst"], "left_anti")
@@ -171,19 +184,18 @@ def _onward(edges: DataFrame, found: DataFrame, starts: DataFrame, barred: DataF
     out = out.join(there, ["source", "dst"], "left").join(back, ["src", "dst"], "left")
     out = out.where("back is null or far is null or dist < far or dist = far and src < dst")
     on_edge = F.when(F.col("dist") + F.col("size") >= length, length - F.col("dist"))
-    if stops is not None:
-        out = out.join(stops.select("source", F.col("node").alias("dst")).distinct().withColumn("stop", F.lit(True)), ["source", "dst"], "left")
-        on_edge = F.coalesce(on_edge, F.when(F.col("stop"), F.col("size")))
+    out = _stopped(out, stops, "dst")
+    on_edge = F.coalesce(on_edge, F.when(F.col("stop"), F.col("size")))
     return out.select("source", "src", "dst", on_edge.alias("along")).where("along is not null")
 
 
-def follow_distance(edges: DataFrame, starts: DataFrame, length: float, backwards: bool = False, stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def follow_distance(edges: DataFrame, starts: DataFrame, length: float, backwards: bool = False, stops: DataFrame | Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables, (source, src, dst, along) and (source, node, dist): where one is after travelling `length` along directed edges
     (src, dst, size), and the nodes passed on the way.
 
     starts are nodes (source, node) or places on edges (source, src, dst, along). One goes forwards, or with `backwards` against the
     edges; for both, unite both calls. No edge, taken without its direction, is used twice by a source: the way that reaches an
-    edge first has it, of equal ones that from the lower node. Stop nodes (source, node) aren't passed: the place is then the edge's
+    edge first has it, of equal ones that from the lower node. Stop nodes, as in search, aren't passed: the place is then the edge's
     end before the node. A dead end before `length` has no place.
     """
     on = edges
@@ -195,50 +207,49 @@ def follow_distance(edges: DataFrame, starts: DataFrame, length: float, backward
         at = starts.select("source", "src", "dst", "along").join(edges.select("src", "dst", "size"), ["src", "dst"])
         if backwards:
             at = at.select("source", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("size") - F.col("along")).alias("along"), "size")
-        rest = at.withColumn("rest", F.col("size") - F.col("along"))
-        if stops is not None:
-            rest = rest.join(stops.select("source", F.col("node").alias("dst")).distinct().withColumn("stop", F.lit(True)), ["source", "dst"], "left")
-        else:
-            rest = rest.withColumn("stop", F.lit(None).cast("boolean"))
-        rest = materialise(rest)
+        rest = stored(_stopped(at.withColumn("rest", F.col("size") - F.col("along")), stops, "dst"))
         own = rest.select("source", "src", "dst", F.when(F.col("rest") >= length, F.col("along") + length).when(F.col("stop"), F.col("size")).alias("along")).where("along is not null")
-        begin = rest.where((F.col("rest") < length) & F.col("stop").isNull()).select("source", F.col("dst").alias("node"), F.col("rest").alias("dist"))
-        barred = materialise(rest.select("source", "src", "dst").union(rest.select("source", "dst", "src")))
-    found = materialise(search(on, begin, length, stops, barred, beyond=False))
+        begin = rest.where((F.col("rest") < length) & ~F.col("stop")).select("source", F.col("dst").alias("node"), F.col("rest").alias("dist"))
+        barred = stored(rest.select("source", "src", "dst").union(rest.select("source", "dst", "src")))
+    found = stored(search(on, begin, length, stops, barred, beyond=False))
     places = _onward(on, found, begin, barred, length, stops)
     places = places if own is None else places.unionByName(own)
-    seen = found if stops is None else found.join(stops.select("source", "node"), ["source", "node"], "left_anti").unionByName(found.where("pred is null").join(stops.select("source", "node").distinct(), ["source", "node"]))
+    seen = _passed(found, stops)
     if backwards:
         places = places.join(on, ["src", "dst"]).select("source", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("size") - F.col("along")).alias("along"))
-    return places, seen.select("source", "node", "dist")
+    return places, seen
 
 
-def closest_reachable(points: DataFrame, edges: DataFrame, remaining: float = 50.0, most: float = 50.0, explored: DataFrame | None = None) -> DataFrame:
+def closest_reachable(points: DataFrame, edges: DataFrame, remaining: float = 50.0, most: float = 50.0, explored: DataFrame | Column | None = None) -> DataFrame:
     """(source, src, dst, distance, along, way): of the edges that can be reached within `remaining` from a place on an edge, the one nearest to a point.
 
     points: source, src, dst, along (the place), px, py (the point). edges: src, dst, x, y, x1, y1, directed; a road that runs both ways
     is two of them. From the place one goes forwards, and backwards where the edge's reverse is there too, best first, never
     over the edge of the place again; an edge counts as soon as its beginning is nearer than `remaining`. The place's own edge
-    counts too. Edges farther than `most` from the point don't count, nor, but for the place's own, those that explored (source, src, dst)
-    has in either direction. Of equally near edges the one that is reached first stays, then the least. way has the edges
+    counts too. Edges farther than `most` from the point don't count, nor, but for the place's own, those that explored,
+    a table (source, src, dst) or a rule on these columns, has in either direction. Of equally near edges the one that is reached first stays, then the least. way has the edges
     from the place's own, left out, to the beginning of the edge found: null on the own edge. A point without an edge has no row.
     """
     sized = edges.withColumn("size", G.length((G.pt("x", "y"), G.pt("x1", "y1"))))
-    at = materialise(points.join(sized, ["src", "dst"]))
+    at = stored(points.join(sized, ["src", "dst"]))
     back = sized.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ahead = at.select("source", F.col("dst").alias("node"), (F.col("size") - F.col("along")).alias("dist"))
     behind = at.join(back, ["src", "dst"], "left_semi").select("source", F.col("src").alias("node"), F.col("along").alias("dist"))
-    barred = materialise(at.select("source", "src", "dst").union(at.select("source", "dst", "src")))
-    found = materialise(search(sized, ahead.union(behind), remaining, barred=barred, beyond=False))
+    barred = stored(at.select("source", "src", "dst").union(at.select("source", "dst", "src")))
+    found = stored(search(sized, ahead.union(behind), remaining, barred=barred, beyond=False))
     new = found.select("source", F.col("node").alias("src"), F.col("dist").alias("gone")).join(sized.select("src", "dst", "x", "y", "x1", "y1"), "src").join(barred, ["source", "src", "dst"], "left_anti")
-    if explored is not None:
+    if isinstance(explored, Column):
+        new = new.where(~F.coalesce(explored, F.lit(False)))
+        turned = new.withColumnRenamed("src", "__dst").withColumnRenamed("dst", "src").withColumnRenamed("__dst", "dst")
+        new = turned.where(~F.coalesce(explored, F.lit(False))).withColumnRenamed("src", "__dst").withColumnRenamed("dst", "src").withColumnRenamed("__dst", "dst")
+    elif explored is not None:
         shut = explored.select("source", "src", "dst").union(explored.select("source", "dst", "src")).distinct()
         new = new.join(shut, ["source", "src", "dst"], "left_anti")
     cols = ["source", "src", "dst", "gone", "x", "y", "x1", "y1"]
     rows = new.select(cols).union(at.select("source", "src", "dst", F.lit(-1.0).alias("gone"), "x", "y", "x1", "y1")).join(points.select("source", "px", "py"), "source")
     s, p = (G.pt("x", "y"), G.pt("x1", "y1")), G.pt("px", "py")
     rows = rows.withColumn("distance", G.segment_distance(s, p)).withColumn("at", G.project_fraction(s, p) * G.length(s)).where(F.col("distance") <= most)
-    best = materialise(rows.groupBy("source").agg(F.min(F.struct("distance", "gone", "src", "dst", F.col("at").alias("along"))).alias("b")).select("source", "b.*"))
+    best = stored(rows.groupBy("source").agg(F.min(F.struct("distance", "gone", "src", "dst", F.col("at").alias("along"))).alias("b")).select("source", "b.*"))
     # the nodes back to where the search began, each with the one before it, are the edges of the way
     nodes = path_to(found, best.where("gone >= 0").select("source", F.col("src").alias("target")))
     steps = nodes.join(found.select("source", "node", "pred"), ["source", "node"]).groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("k"), F.col("pred").alias("src"), F.col("node").alias("dst")))).alias("w"))
@@ -300,7 +311,7 @@ def connect_terminals(nodes: DataFrame, edges: DataFrame, near: float = 20.0, fa
     ends = with_ends(nodes, edges)
     a = ends.select(F.col("src").alias("node"), "x", "y", F.col("x1").alias("fx"), F.col("y1").alias("fy"))
     b = ends.select(F.col("dst").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"))
-    dead = materialise(a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi"))
+    dead = stored(a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi"))
     pairs = pairs_within(dead.withColumnRenamed("node", "a"), far, "a").withColumnRenamed("other", "b")
     rows = pairs.join(dead.select(F.col("node").alias("a"), "x", "y", "fx", "fy"), "a").join(dead.select(F.col("node").alias("b"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("fx").alias("gx"), F.col("fy").alias("gy")), "b")
     off = F.abs(G.line_offset((G.pt("fx", "fy"), G.pt("x", "y")), G.pt("x1", "y1")))
@@ -316,10 +327,10 @@ def road_graph(edges: DataFrame) -> dict[str, DataFrame]:
     edge; `links` (road, way, other): the other roads with an edge into a road's head (way in) or out of its tail (out); `opposites` (road, opposite): the
     least road from tail to head that ends with the reverse of the road's first edge.
     """
-    chains = materialise(contract_chains(edges).join(edges.groupBy("src", "dst").agg(F.min("size").alias("size")), ["src", "dst"]))
+    chains = stored(contract_chains(edges).join(edges.groupBy("src", "dst").agg(F.min("size").alias("size")), ["src", "dst"]))
     edge = F.struct("src", "dst")
     roads = chains.groupBy("road").agg(F.min_by("src", "seq").alias("head"), F.max_by("dst", "seq").alias("tail"), F.count("*").alias("n"), F.sum("size").alias("length"), F.min_by(edge, "seq").alias("first"), F.max_by(edge, "seq").alias("last"))
-    roads = materialise(roads)
+    roads = stored(roads)
     side = lambda end, node, way: roads.select("road", F.col(end).alias("at")).join(chains.select(F.col(node).alias("at"), F.col("road").alias("other")).distinct(), "at").where("road <> other").select("road", F.lit(way).alias("way"), "other")
     links = side("head", "dst", "in").union(side("tail", "src", "out"))
     back = roads.select(F.col("road").alias("other"), F.col("head").alias("h"), F.col("tail").alias("t"), F.struct(F.col("last.dst").alias("src"), F.col("last.src").alias("dst")).alias("turned"))
@@ -329,7 +340,7 @@ def road_graph(edges: DataFrame) -> dict[str, DataFrame]:
 
 def _rays(nodes: DataFrame, edges: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     """The edges with their ends' places, and (node, rx, ry, ex, ey): dead ends and where a ray of `reach` from them ends."""
-    ends = materialise(with_ends(nodes, edges))
+    ends = stored(with_ends(nodes, edges))
     a = ends.select(F.col("src").alias("node"), "x", "y", F.col("x1").alias("fx"), F.col("y1").alias("fy"))
     b = ends.select(F.col("dst").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"))
     dead = a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi")
@@ -349,7 +360,7 @@ def _beside(rays: DataFrame, ends: DataFrame, reach: float, confidence: DataFram
     ray, on, way = G.sub(G.pt("ex", "ey"), G.pt("rx", "ry")), G.sub(G.pt("tx", "ty"), G.pt("sx", "sy")), G.sub(G.pt("sx", "sy"), G.pt("rx", "ry"))
     far = G.distance(G.pt("rx", "ry"), G.pt("sx", "sy"))
     near = rows.withColumn("far", far).where(~meets & (F.col("far") < reach) & (F.col("far") > 0) & (F.abs(G.signed_angle(on, ray)) <= F.pi() / 4) & (F.abs(G.signed_angle(way, ray)) <= F.pi() / 4))
-    near = materialise(near.select("node", "src", "dst", F.col("sx").alias("at_x"), F.col("sy").alias("at_y"), "far", "rx", "ry"))
+    near = stored(near.select("node", "src", "dst", F.col("sx").alias("at_x"), F.col("sy").alias("at_y"), "far", "rx", "ry"))
     # a sample each two units; its value is the most of nine pixels, which are two units wide
     k = F.explode_outer(F.when(F.floor("far") >= 1, F.sequence(F.lit(0), F.floor("far").cast("int") - 1, F.lit(2)))).alias("k")
     at = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("far")) / 2).cast("long")
@@ -394,12 +405,12 @@ def split_edges(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> tuple[Da
     one sort by range, so an edge with very many of them is spread as well.
     """
     ends = with_ends(nodes, edges).select("src", "dst", "x", "y", "x1", "y1").distinct()
-    asked = materialise(cuts.select("node", "src", "dst", "at_x", "at_y").join(ends, ["src", "dst"]))
+    asked = stored(cuts.select("node", "src", "dst", "at_x", "at_y").join(ends, ["src", "dst"]))
     at = lambda x, y: (F.col("at_x") == F.col(x)) & (F.col("at_y") == F.col(y))
     t = G.distance(G.pt("x", "y"), G.pt("at_x", "at_y"))
     inner = asked.where(~at("x", "y") & ~at("x1", "y1")).select("src", "dst", "at_x", "at_y", "x", "y", "x1", "y1", t.alias("t")).distinct()
     base = nodes.agg(F.max("node_id").alias("m")).first().m or 0
-    places = materialise(numbered(inner, "src", "dst", "t", "at_x", "at_y").withColumn("id", F.col("place") + base + 1))
+    places = stored(numbered(inner, "src", "dst", "t", "at_x", "at_y").withColumn("id", F.col("place") + base + 1))
     next_ = places.select((F.col("place") - 1).alias("place"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("id").alias("nid"), F.col("at_x").alias("nx"), F.col("at_y").alias("ny"))
     before = places.select((F.col("place") + 1).alias("place"), F.col("src").alias("s"), F.col("dst").alias("d"), F.lit(True).alias("has"))
     same = (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d"))
@@ -425,21 +436,40 @@ def ray_connect(ends: DataFrame, roads: DataFrame, probability: DataFrame, most:
     ends: tile_id, end_id, road, x, y, fx, fy (the point before the end); roads: tile_id, x, y, road; probability: tile_id,
     x, y, v. A ray counts if the mean probability of the pixels on its way is over `least`; the first angle in order wins.
     """
-    heading = F.atan2(F.col("y") - F.col("fy"), F.col("x") - F.col("fx"))
-    turns = F.posexplode(F.array(*[F.lit(float(a)) for a in angles])).alias("rank", "angle")
-    rows = ends.select("tile_id", "end_id", F.col("road").alias("own"), "x", "y", "fx", "fy", turns).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(2 * most)))))
-    to = heading + F.radians("angle")
-    rows = rows.select("tile_id", "end_id", "own", "rank", "angle", "k", F.rint(F.col("x") + F.cos(to) * F.col("k") / 2).cast("long").alias("x"), F.rint(F.col("y") + F.sin(to) * F.col("k") / 2).cast("long").alias("y"))
     near = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
     wide = roads.select("tile_id", "x", "y", "road", offsets("o", near)).select("tile_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "road")
-    wide = wide.groupBy("tile_id", "x", "y").agg(F.collect_set("road").alias("roads"))
-    rows = rows.join(wide, ["tile_id", "x", "y"], "left").withColumn("road", F.array_min(F.array_remove("roads", F.col("own")))).join(probability.select("tile_id", "x", "y", "v"), ["tile_id", "x", "y"], "left")
-    hit = F.col("road").isNotNull()
-    w = Window.partitionBy("tile_id", "end_id", "rank")
-    rows = rows.withColumn("stop", F.min(F.when(hit, F.col("k"))).over(w)).where("k <= stop")
-    per = rows.groupBy("tile_id", "end_id", "rank", "angle", "stop").agg(F.avg(F.when(F.col("k") < F.col("stop"), F.coalesce("v", F.lit(0.0)))).alias("mean"), F.max(F.when(F.col("k") == F.col("stop"), F.struct("x", "y"))).alias("p"))
-    best = per.where(F.coalesce("mean", F.lit(float("inf"))) > least).groupBy("tile_id", "end_id").agg(F.min_by(F.struct("angle", "stop", "p"), "rank").alias("b"))
-    return best.select("tile_id", "end_id", "b.angle", F.col("b.stop").alias("k"), "b.p.x", "b.p.y")
+    # a pixel has another line's road if its least or its largest one is another
+    wide = wide.groupBy("tile_id", "x", "y").agg(F.min("road").alias("lo"), F.max("road").alias("hi"))
+    likely = probability.groupBy("tile_id", "x", "y").agg(F.sum("v").alias("v"), F.count("*").alias("m"))
+    pixels = stored(wide.join(likely, ["tile_id", "x", "y"], "full"))
+    heading = F.atan2(F.col("y") - F.col("fy"), F.col("x") - F.col("fx"))
+    left, found = stored(ends.select("tile_id", "end_id", F.col("road").alias("own"), F.col("x").alias("ex"), F.col("y").alias("ey"), heading.alias("heading"))), []
+    ray = ["tile_id", "end_id", "own", "ex", "ey", "heading", "rank", "angle"]
+    first = 0
+    while first < len(angles):
+        # few angles and few steps at a time: most rays end early, and what they have behind that is never made
+        turns = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(float(angles[k])).alias("angle")) for k in range(first, min(2 * first + 1, len(angles)))]))
+        rays = left.select("*", turns.alias("t")).select(*ray[:6], "t.*", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+        at, hits = 1, []
+        while at <= int(2 * most):
+            last = min(2 * at, int(2 * most))
+            to = F.col("heading") + F.radians("angle")
+            rows = rays.select("*", F.explode(F.sequence(F.lit(at), F.lit(last))).alias("k"))
+            rows = rows.select("*", F.rint(F.col("ex") + F.cos(to) * F.col("k") / 2).cast("long").alias("x"), F.rint(F.col("ey") + F.sin(to) * F.col("k") / 2).cast("long").alias("y"))
+            rows = rows.join(pixels, ["tile_id", "x", "y"], "left").withColumn("stop", F.min(F.when((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own")), F.col("k"))).over(Window.partitionBy("tile_id", "end_id", "rank")))
+            before = F.col("stop").isNull() | (F.col("k") < F.col("stop"))
+            more = [(F.col("s") + F.sum(F.when(before, F.coalesce("v", F.lit(0.0))).otherwise(0.0))).alias("s"), (F.col("n") + F.sum(F.when(before, F.coalesce("m", F.lit(1))).otherwise(0))).alias("n")]
+            rows = stored(rows.groupBy(*ray, "stop", "s", "n").agg(F.max(F.when(F.col("k") == F.col("stop"), F.struct("x", "y"))).alias("p"), *[c.alias(f"__{k}") for k, c in zip("sn", more, strict=True)]).select(*ray, "stop", "p", F.col("__s").alias("s"), F.col("__n").alias("n")))
+            hits.append(rows.where("stop is not null"))
+            rays, at = rows.where("stop is null").select(*ray, "s", "n"), last + 1
+        per = reduce(DataFrame.unionByName, hits).where((F.col("n") == 0) | (F.col("s") / F.nullif(F.col("n"), F.lit(0)) > least))
+        best = stored(per.groupBy("tile_id", "end_id").agg(F.min_by(F.struct("angle", "stop", "p"), "rank").alias("b")))
+        found.append(best)
+        left = stored(left.join(best, ["tile_id", "end_id"], "left_anti"))
+        if left.isEmpty():
+            break
+        first = 2 * first + 1
+    return reduce(DataFrame.unionByName, found).select("tile_id", "end_id", "b.angle", F.col("b.stop").alias("k"), "b.p.x", "b.p.y")
 
 
 def inject_points(points: DataFrame, extra: DataFrame, key: str) -> DataFrame:

@@ -93,15 +93,13 @@ def _walked(s, d):
     return P.path_to(found, far)
 
 
-def _stops(sources, nodes):
-    """(source, node): the absorbing nodes of each source, those near it in number."""
-    n = nodes.select("node_id").where("node_id % 7 = 3")
-    near = n.select(F.col("node_id").alias("node"), F.explode(F.sequence(F.col("node_id") - 300, F.col("node_id") + 300)).alias("source"))
-    return near.where("(node + source) % 2 = 1").join(sources.select("source"), "source", "left_semi")
+def _stops():
+    """The absorbing nodes of each source, as a rule."""
+    return (F.col("node") % 7 == 3) & ((F.col("node") + F.col("source")) % 2 == 1)
 
 
 query("shortest_paths_stops", f"WITH RECURSIVE {_WB}, r(source, node, dist) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM nodes UNION SELECT r.source, w.dst, r.dist + w.size FROM r JOIN w ON w.src = r.node WHERE r.dist + w.size <= 110 AND (r.node = r.source OR NOT (r.node % 7 = 3 AND (r.node + r.source) % 2 = 1))) SELECT source, node, {R.format('min(dist)')} AS dist FROM r GROUP BY ALL")(
-    lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0, _stops(_sources(s, d), X.nodes(s, d))).select("source", "node", r6(F.col("dist")).alias("dist")))
+    lambda s, d: P.shortest_paths(_weighted(_network(s, d)), _sources(s, d), 110.0, _stops()).select("source", "node", r6(F.col("dist")).alias("dist")))
 
 
 def _followed(name, starts, begin, own, stopped):
@@ -137,9 +135,7 @@ query("follow_positions", _followed("edges", _AT, "SELECT source, dst AS node, s
 
 def _followed_places(s, d, backwards=False):
     at = _positions(s, d)
-    stops = X.nodes(s, d).select("node_id").where("node_id % 7 = 3")
-    stops = at.select("source", "src").join(stops, F.col("node_id").between(F.col("src") - 300, F.col("src") + 300)).where("(node_id + source) % 2 = 1").select("source", F.col("node_id").alias("node"))
-    return P.follow_distance(_weighted(_network(s, d)), at, 70.0, backwards, stops)
+    return P.follow_distance(_weighted(_network(s, d)), at, 70.0, backwards, _stops())
 
 
 def _reachable(s, d):
@@ -148,7 +144,9 @@ def _reachable(s, d):
     both = r.union(r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("x1"), F.col("y").alias("y1")))
     at = _positions(s, d).join(r.select("src", "dst", "x", "y"), ["src", "dst"])
     points = at.select("source", "src", "dst", "along", (F.col("x") + F.col("src") % 37).alias("px"), (F.col("y") - F.col("dst") % 29 + 11).alias("py"))
-    explored = points.select("source", F.col("src").alias("s")).join(_network(s, d).where("src % 6 = 0"), F.col("src").between(F.col("s") - 200, F.col("s") + 200)).select("source", "src", "dst")
+    # source is 100001 times the place's src and its dst - src, which is at most 40
+    low, own = F.least("src", "dst"), F.expr("source div 100001")
+    explored = (low % 6 == 0) & low.between(own - 200, own + 200)
     return P.closest_reachable(points, both, 60.0, 45.0, explored)
 
 
