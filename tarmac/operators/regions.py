@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, rounds
+from tarmac.core import rounds, shuffled, stored
 from tarmac.operators.components import components
 from tarmac.operators.raster import KEY, SQUARE8, disc, shifted
 
@@ -26,7 +26,7 @@ def pixel_components(mask: DataFrame, size: int, diagonal: bool = True) -> DataF
     half = [(1, 0), (0, 1), (1, 1), (1, -1)] if diagonal else [(1, 0), (0, 1)]
     links = shifted(p, half, "id").withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), KEY).select("a", "b")
     found = components(links)
-    return p.join(found, p["id"] == found["node"], "left").select(*KEY, F.coalesce("component", "id").alias("label"))
+    return shuffled(p).join(found, p["id"] == found["node"], "left").select(*KEY, F.coalesce("component", "id").alias("label"))
 
 
 def remove_small(mask: DataFrame, size: int, least: int, diagonal: bool = True) -> DataFrame:
@@ -39,7 +39,7 @@ def remove_small(mask: DataFrame, size: int, least: int, diagonal: bool = True)
 def fill_small_holes(mask: DataFrame, tiles: DataFrame, size: int, least: int) -> DataFrame:
     """The mask with the 4-connected components of its background under `least` pixels filled."""
     whole = tiles.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y"))
-    back = whole.join(mask, KEY, "left_anti")
+    back = shuffled(whole).join(mask, KEY, "left_anti")
     lab = pixel_components(back, size, diagonal=False)
     small = lab.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
     return mask.select(*KEY).union(lab.join(small, "label", "left_semi").select(*KEY))
@@ -57,7 +57,7 @@ def filter_components(mask: DataFrame, size: int, stride: int, least: int, large
 def _ring(mask: DataFrame) -> DataFrame:
     """Pixels with the bits of their set ring neighbours."""
     o = F.explode(F.array(*[F.struct(F.lit(-a).alias("dx"), F.lit(-b).alias("dy"), F.lit(1 << k).alias("bit")) for k, (a, b) in enumerate(RING)])).alias("o")
-    rows = mask.select(*KEY, o).select("tile_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("o.bit").alias("bit"))
+    rows = shuffled(mask.select(*KEY, o)).select("tile_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("o.bit").alias("bit"))
     return mask.join(rows.groupBy(*KEY).agg(F.sum("bit").cast("int").alias("bits")), KEY, "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
 
 
@@ -84,7 +84,7 @@ def seeded_growth(low: DataFrame, high: DataFrame, size: int) -> DataFrame:
     A pixel that two labels reach in the same round is a contact: it has label 0 and doesn't grow on.
     """
     seeds = pixel_components(high, size, diagonal=False).withColumn("label", F.col("label") + 1)
-    field = low.select(*KEY)
+    field = shuffled(low.select(*KEY))
 
     def step(state: DataFrame) -> DataFrame:
         out = shifted(state.where("label > 0 and fresh"), CROSS4, "label").join(field, KEY, "left_semi").join(state, KEY, "left_anti")
@@ -101,7 +101,7 @@ def geodesic_reach(mask: DataFrame, sources: DataFrame, steps: int, keep: list[s
     for k in range(1, steps + 1):
         ahead = shifted(state.where(F.col("k") == k - 1), SQUARE8, *keep).join(mask, KEY, "left_semi").distinct()
         new = ahead.join(state, [*keep, *KEY], "left_anti").select(*keep, *KEY, F.lit(k).alias("k"))
-        state = materialise(state.unionByName(new))
+        state = stored(state.unionByName(new))
     return state
 
 
@@ -110,7 +110,7 @@ def grid_cost_path(pixels: DataFrame, sources: DataFrame, most: float, size: int
 
     Costs are relaxed in rounds; paths dearer than `most` end.
     """
-    cost = pixels.select(*KEY, F.pow(F.lit(1.1), F.greatest(30 - F.col("v"), F.lit(0.0))).alias("step"))
+    cost = shuffled(pixels).select(*KEY, F.pow(F.lit(1.1), F.greatest(30 - F.col("v"), F.lit(0.0))).alias("step"))
     start = sources.select("tile_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "x", "y", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"))
 
     def step(state: DataFrame) -> DataFrame:
