@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.core import at_exit, materialise, numbered, release, scratch_path
+from tarmac.core import at_exit, numbered, release, scratch_path, stored
 from tarmac.functions import geometry as G
 from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first
 from tarmac.operators.paths import road_graph
@@ -42,12 +42,12 @@ def _fixes(obs: DataFrame, per: float | None, least: int) -> DataFrame:
     """
     known = obs.select("trace_id", "ts", "x", "y").dropna()
     placed = numbered(known, "trace_id", "ts", "x", "y")
-    traces = materialise(placed.groupBy("trace_id").agg(F.min("place").alias("base"), F.count("*").alias("steps")).where(F.col("steps") >= least))
+    traces = stored(placed.groupBy("trace_id").agg(F.min("place").alias("base"), F.count("*").alias("steps")).where(F.col("steps") >= least))
     rows = placed.join(traces, "trace_id")
     ahead = placed.select((F.col("place") - 1).alias("place"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     far = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
     hops = F.lit(1) if per is None else F.greatest(F.lit(1), F.ceil(F.coalesce(far, F.lit(0.0)) / per).cast("int"))
-    return materialise(rows.join(ahead, "place", "left").select("trace_id", (F.col("place") - F.col("base")).alias("step"), "steps", "x", "y", hops.alias("hops")))
+    return stored(rows.join(ahead, "place", "left").select("trace_id", (F.col("place") - F.col("base")).alias("step"), "steps", "x", "y", hops.alias("hops")))
 
 
 def _moved(starts: DataFrame, moves: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def _moved(starts: DataFrame, moves: DataFrame) -> DataFrame:
     All rows go on together, one move a round, until the longest has had its moves; what has arrived is kept apart.
     """
     keys = [c for c in starts.columns if c != "hops"]
-    moves = materialise(moves)
+    moves = stored(moves)
     now, arrived = starts.select(*keys, "hops", F.col("edge").alias("at"), F.lit(0).cast("long").alias("cost")), None
     while True:
         step = moves.select(F.col("edge").alias("at"), "to", "move")
         ahead = now.join(step, "at").groupBy(*keys, (F.col("hops") - 1).alias("hops"), F.col("to").alias("at")).agg(F.min(F.col("cost") + F.col("move")).alias("cost"))
-        now = materialise(ahead)
+        now = stored(ahead)
         there = now.where("hops = 0").select(*keys, F.col("at").alias("to"), "cost")
         arrived = there if arrived is None else arrived.union(there)
         now = now.where("hops > 0")
@@ -77,7 +77,7 @@ def best_chains(ways: DataFrame) -> DataFrame:
     both halves. A trace without a chain has no rows. Each round pairs even stretches with the odd ones behind them.
     """
     half = F.floor(F.col("k") / 2)
-    levels = [materialise(ways.groupBy("trace_id", "n", "k", "a", "b").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast(ways.schema["a"].dataType)))]
+    levels = [stored(ways.groupBy("trace_id", "n", "k", "a", "b").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast(ways.schema["a"].dataType)))]
     while not (open_ := levels[-1].where("n > 1")).isEmpty():
         left, right = open_.where("k % 2 = 0"), open_.where("k % 2 = 1")
         behind = right.select(F.col("trace_id").alias("t"), (F.col("k") - 1).alias("j"), F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more"))
@@ -85,11 +85,11 @@ def best_chains(ways: DataFrame) -> DataFrame:
         n = F.ceil(F.col("n") / 2).alias("n")
         both = met.groupBy("trace_id", n, half.alias("k"), "a", F.col("c").alias("b")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.col("m").alias("mid"))).alias("best"))
         lone = left.where("k = n - 1").select("trace_id", n, half.alias("k"), "a", "b", "cost", F.lit(None).cast(ways.schema["a"].dataType).alias("mid"))
-        levels.append(materialise(both.select("trace_id", "n", "k", "a", "b", "best.cost", "best.mid").unionByName(lone)))
+        levels.append(stored(both.select("trace_id", "n", "k", "a", "b", "best.cost", "best.mid").unionByName(lone)))
     want = None
     for k in reversed(range(len(levels))):
         top = levels[k].where("n = 1").groupBy("trace_id").agg(F.min(F.struct("cost", "b", "a")).alias("o")).select("trace_id", F.lit(0).cast("long").alias("k"), "o.a", "o.b")
-        here = materialise(top if want is None else top.unionByName(want))
+        here = stored(top if want is None else top.unionByName(want))
         if k == 0:
             break
         rows = here.join(levels[k].select("trace_id", "k", "a", "b", "mid"), ["trace_id", "k", "a", "b"])
@@ -108,7 +108,7 @@ def _matched(obs: DataFrame, roads: DataFrame, moves: DataFrame, sigma: float, t
     fixes = _fixes(obs, per, least)
     edge = F.struct("src", "dst").alias("edge")
     later = edge_emissions(fixes.where("step > 0").withColumn("fix", F.struct("trace_id", "step", "steps", "hops")), roads, sigma, tolerance, "fix").where("p > 0")
-    later = materialise(later.select("fix.*", edge, _cost(F.col("p")).alias("cost")))
+    later = stored(later.select("fix.*", edge, _cost(F.col("p")).alias("cost")))
     moved = _moved(_starts(fixes, roads, start).unionByName(later.where("step < steps - 1").drop("cost")), moves)
     seen = later.select("trace_id", (F.col("step") - 1).alias("step"), F.col("edge").alias("to"), F.col("cost").alias("more"))
     ways = moved.join(seen, ["trace_id", "step", "to"]).select("trace_id", (F.col("steps") - 1).alias("n"), F.col("step").alias("k"), F.col("edge").alias("a"), F.col("to").alias("b"), (F.col("cost") + F.col("more")).alias("cost"))
@@ -165,13 +165,13 @@ def matched_ways(obs: DataFrame, roads: DataFrame, weights: DataFrame | None = N
     The moves between two fixes are found again from the one edge that was matched, so a gap has one start; of equally
     cheap ways the least stays.
     """
-    moves = materialise(_moves(edge_transitions(roads, weights)))
+    moves = stored(_moves(edge_transitions(roads, weights)))
     _, chains = _matched(obs, roads, moves, SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
     now, done = chains.select("trace_id", "k", "b", F.col("hops"), F.col("a").alias("at"), F.lit(0).cast("long").alias("cost"), F.array("a").alias("way")), None
     while True:
         ahead = now.join(moves.select(F.col("edge").alias("at"), "to", "move"), "at")
         best = ahead.groupBy("trace_id", "k", "b", (F.col("hops") - 1).alias("hops"), "to").agg(F.min(F.struct((F.col("cost") + F.col("move")).alias("cost"), F.concat("way", F.array("to")).alias("way"))).alias("o"))
-        now = materialise(best.select("trace_id", "k", "b", "hops", F.col("to").alias("at"), "o.cost", "o.way"))
+        now = stored(best.select("trace_id", "k", "b", "hops", F.col("to").alias("at"), "o.cost", "o.way"))
         there = now.where((F.col("hops") == 0) & (F.col("at") == F.col("b"))).select("trace_id", F.col("k").cast("int").alias("step"), "way")
         done = there if done is None else done.union(there)
         now = now.where("hops > 0")
@@ -218,7 +218,7 @@ def _road_moves(fixes: DataFrame, starts: DataFrame, segs: DataFrame, graph: dic
     near = _near_roads(later.withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 4 * pace, "trace_id", "step", "px", "py", "qx", "qy")
     s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
     near = near.withColumn("turn", 12 * G.angle_to(G.vector(s), G.sub(p, G.pt("qx", "qy")))).where(G.segment_distance(s, p) + F.col("turn") <= 4 * pace)
-    near = materialise(near.drop("qx", "qy"))
+    near = stored(near.drop("qx", "qy"))
     alive = near.select("trace_id", "step", "road").union(starts.select("trace_id", "step", "road")).distinct()
     ahead = graph["links"].where("way = 'out'").select("road", F.col("other").alias("to"))
     ahead = ahead.join(graph["opposites"].withColumnRenamed("opposite", "to"), ["road", "to"], "left_anti")
@@ -263,7 +263,7 @@ def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pa
     All traces advance together, STRETCH fixes a job; a task holds one stretch of one trace, and each stretch's states are
     written, so the longest trace sets the number of jobs, not the size of a task.
     """
-    fixes = materialise(_fixes(obs, None, 1).drop("hops"))
+    fixes = stored(_fixes(obs, None, 1).drop("hops"))
     start = _near_roads(fixes.where("step = 0").withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 2.5 * pace, "trace_id", "step", "px", "py")
     s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
     least = F.min(F.struct((0.5 * F.pow(G.segment_distance(s, p) / pace, 2)).alias("cost"), (F.col("before") + G.project_fraction(s, p) * G.length(s)).alias("along"))).alias("o")
@@ -275,7 +275,7 @@ def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pa
     start.write.parquet(f"{path}/stretch=-1")
     read = lambda k: spark.read.schema(start.schema).parquet(f"{path}/stretch={k}")
     moves = _road_moves(fixes, read(-1), segs, graph, pace)
-    moves = materialise(moves.repartitionByRange("stretch", "trace_id"), "stretch")
+    moves = stored(moves.repartitionByRange("stretch", "trace_id"), "stretch")
     kinds = f"trace_id {kind}, step long, road {road}, origin {road}, cost double, along double"
     for k in range(int(moves.agg(F.coalesce(F.max("stretch"), F.lit(-1))).first()[0]) + 1):
         state = read(k - 1).where(F.col("step") == k * STRETCH).groupBy("trace_id")
@@ -316,7 +316,7 @@ def road_ways(states: DataFrame, best: DataFrame) -> DataFrame:
     """
     spark, path = states.sparkSession, scratch_path(states.sparkSession)
     at_exit(spark, path)
-    ends = materialise(best.select("trace_id", (F.col("n") - 1).cast("long").alias("step"), "road"))
+    ends = stored(best.select("trace_id", (F.col("n") - 1).cast("long").alias("step"), "road"))
     ends.where("step = 0").write.parquet(f"{path}/part=-1")
     kinds = ends.schema
     found_kinds = T.StructType([*kinds.fields, T.StructField("part", T.IntegerType())])
@@ -337,6 +337,6 @@ def map_match_roads(obs: DataFrame, roads: DataFrame, pace: float) -> DataFrame:
     a way costs, best_roads for the choice, and for a second one without roads that are shut out.
     """
     graph = road_graph(roads.select("src", "dst", G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")))
-    states = road_states(obs, materialise(road_segments(graph, roads)), graph, pace)
+    states = road_states(obs, stored(road_segments(graph, roads)), graph, pace)
     best = best_roads(states)
     return road_ways(states, best).join(best.select("trace_id", "cost"), "trace_id").select("trace_id", F.col("step").cast("int").alias("step"), "road", "cost")
