@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.core import materialise, release
+from tarmac.core import release, shuffled, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(shuffled(least), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     `coalesce(component, node)`. Ids may be of any ordered type.
     """
     x, y = F.col(a), F.col(b)
-    now = materialise(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+    now = stored(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     seen = _digest(now)
     while True:  # both steps lower vertices' neighbours, so a fixed point comes
-        large = materialise(_large_star(now))
-        small = materialise(_small_star(large))
+        large = stored(_large_star(now))
+        small = stored(_small_star(large))
         release(large)
         release(now)
         now, after = small, _digest(small)

@@ -39,7 +39,7 @@ def set_overlap_merge(members: DataFrame, group: str, member: str) -> DataFrame:
     least = members.groupBy(member).agg(F.min(group).alias("least"))
     links = members.join(least, member).select(F.col(group).alias("a"), F.col("least").alias("b"))
     found = components(links)
-    return members.select(group).distinct().join(found, F.col(group) == found["node"], "left").select(group, F.coalesce("component", group).alias("merged"))
+    return members.select(group).distinct().join(shuffled(found), F.col(group) == found["node"], "left").select(group, F.coalesce("component", group).alias("merged"))
 
 
 def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
@@ -48,10 +48,10 @@ def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataF
     Each edge has at most one successor; pointers double every round, so chains of length n take log n rounds. A road is
     named by its first edge; a closed loop starts at its least edge. With `through` (node) chains go on only through its nodes.
     """
-    e = edges.select("src", "dst").distinct()
-    nxt = shuffled(e).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    e = stored(edges.select("src", "dst").distinct())
+    nxt = e.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     on = e.join(nxt, "dst").where(F.col("to") != F.col("src"))
-    on = on if through is None else on.join(through.select(F.col("node").alias("dst")), "dst", "left_semi")
+    on = on if through is None else on.join(shuffled(through).select(F.col("node").alias("dst")), "dst", "left_semi")
     only = on.groupBy("src", "dst").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").select(F.struct("src", "dst").alias("e"), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst")).alias("succ"))
     into = only.groupBy("succ").agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
     back = stored(into.select(F.col("succ").alias("e"), F.col("e").alias("prev")))

@@ -33,7 +33,7 @@ def remove_small(mask: DataFrame, size: int, least: int, diagonal: bool = True)
     """The mask without components of fewer than `least` pixels."""
     lab = pixel_components(mask, size, diagonal)
     big = lab.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
-    return lab.join(big, "label", "left_semi").select(*KEY)
+    return lab.join(shuffled(big), "label", "left_semi").select(*KEY)
 
 
 def fill_small_holes(mask: DataFrame, tiles: DataFrame, size: int, least: int) -> DataFrame:
@@ -42,7 +42,7 @@ def fill_small_holes(mask: DataFrame, tiles: DataFrame, size: int, least: int) -
     back = shuffled(whole).join(mask, KEY, "left_anti")
     lab = pixel_components(back, size, diagonal=False)
     small = lab.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
-    return mask.select(*KEY).union(lab.join(small, "label", "left_semi").select(*KEY))
+    return mask.select(*KEY).union(lab.join(shuffled(small), "label", "left_semi").select(*KEY))
 
 
 def filter_components(mask: DataFrame, size: int, stride: int, least: int, largest: bool = False) -> DataFrame:
@@ -51,7 +51,7 @@ def filter_components(mask: DataFrame, size: int, stride: int, least: int, large
     n = lab.groupBy("tile_id", "label").agg(F.count("*").alias("n")).where(F.col("n") * stride >= least)
     if largest:
         n = n.groupBy("tile_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-    return lab.join(n.select("label"), "label", "left_semi").select(*KEY)
+    return lab.join(shuffled(n).select("label"), "label", "left_semi").select(*KEY)
 
 
 def _ring(mask: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def drop_short_components(mask: DataFrame, kinds: DataFrame, size: int, area: in
     lab = pixel_components(mask, size).join(kinds.select(*KEY, (F.col("kind") == "node").cast("int").alias("c")), KEY)
     n = lab.groupBy("label").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
     gone = (F.col("n") < area) | ((F.col("n") < 2 * area) & (F.col("c") < crossings))
-    return lab.join(n.where(~gone).select("label"), "label", "left_semi").select(*KEY)
+    return lab.join(shuffled(n).where(~gone).select("label"), "label", "left_semi").select(*KEY)
 
 
 def snap_ends(kinds: DataFrame) -> DataFrame:

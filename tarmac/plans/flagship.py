@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.core import stored
 from tarmac.functions import text as T
 from tarmac.operators import graphs as H
 from tarmac.operators import polylines as L
@@ -53,10 +54,10 @@ def flagship_labels(s, d):
 def flagship_predictions(s, d):
     """Mean of four models, threshold, small components out, small holes filled, thinned, traced into roads, and written as a submission:
     each road as its line of pixels, and an empty line for a tile without roads."""
-    mean = X.cube(s, d).groupBy(*O.KEY).agg(F.avg("v").alias("v"))
-    mask = C.remove_small(mean.where("v > 0.06").select(*O.KEY), 8, 4)
+    mean = stored(X.cube(s, d).groupBy(*O.KEY).agg(F.avg("v").alias("v")))
+    mask = stored(C.remove_small(mean.where("v > 0.06").select(*O.KEY), 8, 4))
     whole = C.fill_small_holes(mask, mean.select("tile_id").distinct(), 8, 3)
-    skeleton = C.thin(whole)
+    skeleton = stored(C.thin(whole))
     kinds = O.neighbour_count(skeleton).select(*O.KEY, F.when(F.col("n") == 2, "path").otherwise("node").alias("kind"))
     image = F.concat(F.lit("AOI_"), 2 + F.col("tile_id") % 4, F.lit("_c"), F.col("tile_id") % 4, F.lit("_img"), F.col("tile_id")).alias("image_id")
     lines = trace_edges(H.pixel_adjacency(skeleton), kinds).select(image, T.wkt_text(F.col("points")).alias("wkt"))

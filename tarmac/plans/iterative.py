@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarmac.core import table
+from tarmac.core import stored, table
 
 from tarmac.functions import geometry as G
 from tarmac.operators import graphs as H
@@ -60,7 +60,7 @@ query("trace_edges")(lambda s, d: _traced(s, d))
 
 
 def _traced(s, d):
-    thin = C.thin(X.mask(s, d))
+    thin = stored(C.thin(X.mask(s, d)))
     n = F.col("n")
     kinds = O.neighbour_count(thin).select(*O.KEY, F.when(n == 2, "path").otherwise("node").alias("kind"))
     rows = P.trace_edges(H.pixel_adjacency(thin), kinds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import numbered
+from tarmac.core import numbered, stored
 from tarmac.operators.graphs import degrees
 from tarmac.operators.paths import contract_chains
 
@@ -13,8 +13,10 @@ from tarmac.operators.paths import contract_chains
 
 def wkt_submission(tiles: DataFrame, lines: DataFrame) -> DataFrame:
     """(ImageId, WKT_Pix): one row for each line with points; a tile without one gets LINESTRING EMPTY."""
-    kept = lines.where(F.col("wkt") != "LINESTRING EMPTY").select("image_id", "wkt")
-    return tiles.select("image_id").distinct().join(kept, "image_id", "left").select(F.col("image_id").alias("ImageId"), F.coalesce("wkt", F.lit("LINESTRING EMPTY")).alias("WKT_Pix"))
+    names = tiles.select("image_id").distinct()
+    kept = stored(lines.where(F.col("wkt") != "LINESTRING EMPTY").select("image_id", "wkt").join(names, "image_id", "left_semi"))
+    bare = names.join(kept.select("image_id").distinct(), "image_id", "left_anti").select("image_id", F.lit("LINESTRING EMPTY").alias("wkt"))
+    return kept.unionByName(bare).select(F.col("image_id").alias("ImageId"), F.col("wkt").alias("WKT_Pix"))
 
 
 def graph_text(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:

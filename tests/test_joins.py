@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tarmac.operators import graphs, raster, regions
+from tarmac.operators import components, graphs, paths, raster, regions
 import __spark_entry__  # noqa: F401
 from tarmac.plans.catalog import QUERIES
 
@@ -26,6 +26,16 @@ def test_operators_shuffle_exploded_rows(spark, tmp_path):
     assert broadcasts(graphs.pixel_adjacency(mask)) == 0
 
 
+def test_components_and_chains_shuffle(spark, tmp_path):
+    spark.range(50).selectExpr("id + 1 as a", "id div 2 as b").write.parquet(f"{tmp_path}/links")
+    spark.createDataFrame([(1, x, y) for x in range(4) for y in range(4) if x != y], "tile_id long, x int, y int").write.parquet(f"{tmp_path}/mask")
+    links, mask = spark.read.parquet(f"{tmp_path}/links"), spark.read.parquet(f"{tmp_path}/mask")
+    assert broadcasts(components._large_star(links)) == 0
+    for out in (regions.remove_small(mask, 4, 2), regions.fill_small_holes(mask, mask.select("tile_id").distinct(), 4, 3), regions.filter_components(mask, 4, 1, 2)):
+        assert broadcasts(out) == 0
+    assert broadcasts(paths.set_overlap_merge(links, "b", "a")) == 0
+
+
 def test_resize_needs_no_join(spark):
     rows = spark.createDataFrame([(1, x, y, float(x + 10 * y)) for x in range(3) for y in range(3)], "tile_id long, x int, y int, v double")
     out = raster.resize_bilinear(rows, 3, 5)
