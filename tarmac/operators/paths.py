@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -343,7 +344,7 @@ def _rays(nodes: DataFrame, edges: DataFrame, reach: float) -> tuple[DataFrame,
     ends = stored(with_ends(nodes, edges))
     a = ends.select(F.col("src").alias("node"), "x", "y", F.col("x1").alias("fx"), F.col("y1").alias("fy"))
     b = ends.select(F.col("dst").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"))
-    dead = a.union(b).join(degrees(edges).where("n = 1").select("node"), "node", "left_semi")
+    dead = a.union(b).join(shuffled(degrees(edges)).where("n = 1").select("node"), "node", "left_semi")
     tip = G.extend((G.pt("fx", "fy"), G.pt("x", "y")), reach)[1]
     return ends, dead.select("node", F.col("x").alias("rx"), F.col("y").alias("ry"), tip[0].alias("ex"), tip[1].alias("ey"))
 
@@ -372,6 +373,84 @@ def _beside(rays: DataFrame, ends: DataFrame, reach: float, confidence: DataFram
     return near.join(fine.select(*key), key, "left_semi").select("node", "src", "dst", "at_x", "at_y", "far")
 
 
+def _walked(rows: DataFrame, line: list[str], size: float) -> DataFrame:
+    """A row for each grid cell (gx, gy) that the segment between the places in the four columns runs through or touches."""
+    x, y, x1, y1 = map(F.col, line)
+    slack = size * 1e-6
+    turn = x > x1
+    rows = rows.withColumns({"__l": F.least(x, x1), "__h": F.greatest(x, x1), "__a": F.when(turn, y1).otherwise(y), "__b": F.when(turn, y).otherwise(y1)})
+    low, high, a, b = map(F.col, ("__l", "__h", "__a", "__b"))
+    cells = lambda p, q: F.explode(F.sequence(F.floor((p - slack) / size), F.floor((q + slack) / size)))
+    rows = rows.withColumn("gx", cells(low, high))
+    at = lambda u: F.when(high > low, a + (u - low) / (high - low) * (b - a))
+    start, end = at(F.greatest(low, F.col("gx") * size - slack)), at(F.least(high, (F.col("gx") + 1) * size + slack))
+    start, end = F.coalesce(start, a), F.coalesce(end, b)
+    return shuffled(rows.withColumn("gy", cells(F.least(start, end), F.greatest(start, end))).drop("__l", "__h", "__a", "__b"))
+
+
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """(node, src, dst, at_x, at_y, far) of pairs of a ray and an edge whose boxes meet and that cross."""
+    over = lambda a, b, c, d: (F.least(a, b) <= F.greatest(c, d)) & (F.least(c, d) <= F.greatest(a, b))
+    rows = pairs.where((F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")) & over("rx", "ex", "sx", "tx") & over("ry", "ey", "sy", "ty"))
+    meets, at = G.segment_intersection((G.pt("rx", "ry"), G.pt("ex", "ey")), (G.pt("sx", "sy"), G.pt("tx", "ty")))
+    rows = rows.withColumn("meets", meets).withColumn("at_x", at[0]).withColumn("at_y", at[1]).where("meets").withColumn("far", G.distance(G.pt("rx", "ry"), G.pt("at_x", "at_y")))
+    return rows.select("node", "src", "dst", "at_x", "at_y", "far")
+
+
+def _on_line(rows: DataFrame, line: list[str], reach: float, off: float) -> DataFrame:
+    """Rows with the numbers (turn, aside) of the line through the segment's ends, and its cells; `off` also takes numbers that near."""
+    x, y, x1, y1 = map(F.col, line)
+    way, parts = F.atan2(y1 - y, x1 - x), 1 << 24
+    near = lambda v: F.explode(F.array_distinct(F.array(F.floor(v - off), F.floor(v + off))))
+    rows = rows.withColumn("turn", near(way / F.pi() * parts)).withColumn("turn", F.pmod(F.col("turn"), F.lit(parts)))
+    rows = rows.withColumn("aside", near(F.abs(x * F.sin(way) - y * F.cos(way)) / (reach * 1e-5)))
+    return _walked(rows, line, 2 * reach)
+
+
+def _crossed(rays: DataFrame, ends: DataFrame, reach: float) -> DataFrame:
+    """(node, src, dst, at_x, at_y, far): the nearest crossing of each ray (node, rx, ry, ex, ey) with an edge, of equal ones the lower edge.
+
+    Rays go on a stretch at a time, and only those that have met nothing go further, so few crossings behind the nearest one are
+    made. Cells are as wide as rays lie apart, and both rays and edges are in the cells that they run through. What lies on
+    a ray's line counts as met at its start, wherever it lies: it is found by the line's direction and its distance from the origin.
+    """
+    from tarmac.operators.graphs import bbox_search
+
+    ray, edge = ["rx", "ry", "ex", "ey"], ["sx", "sy", "tx", "ty"]
+    segs = ends.select("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    key = ["gx", "gy"]
+    same = _on_line(rays, ray, reach, 0.01).join(_on_line(segs, edge, reach, 0.0), [*key, "turn", "aside"])
+    rows = [_meeting(same)]
+    # without length there is no direction: whatever box holds the point meets it
+    dots = rays.where("rx = ex and ry = ey"), segs.where("sx = tx and sy = ty")
+    for left, right in ((dots[0], segs), (rays, dots[1])):
+        if not left.isEmpty() and not right.isEmpty():
+            box = lambda df, c, name: df.select(F.struct(*df.columns).alias(name), F.least(c[0], c[2]).alias("x0"), F.least(c[1], c[3]).alias("y0"), F.greatest(c[0], c[2]).alias("x1"), F.greatest(c[1], c[3]).alias("y1"))
+            rows.append(_meeting(bbox_search(box(left, ray, "ray"), box(right, edge, "edge"), 2 * reach, "ray", "edge").select("ray.*", "edge.*")))
+    least = lambda df: df.groupBy("node").agg(F.min(F.struct("far", "src", "dst", "at_x", "at_y")).alias("b")).select("node", "b.*")
+    found = [stored(least(reduce(DataFrame.unionByName, rows)))]
+    span = lambda c: F.max(c) - F.min(c)
+    wide = rays.agg((span("rx") * span("ry")).alias("area")).first().area or 0.0
+    left, gone = rays, 0.0
+    while (n := left.count()) and gone < reach:
+        size = min(max(math.sqrt(wide / n), reach / 64), 2 * reach)
+        to = min(reach, max(gone + size / 8, 2 * gone))
+        part = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * (t / reach)
+        ends_at = [part(a, b, t).alias(n) for a, b, t, n in (("rx", "ex", gone - reach * 1e-6, "fx"), ("ry", "ey", gone - reach * 1e-6, "fy"), ("rx", "ex", to + reach * 1e-6, "lx"), ("ry", "ey", to + reach * 1e-6, "ly"))]
+        pairs = _walked(left.select("*", *ends_at), ["fx", "fy", "lx", "ly"], size).join(_walked(segs, edge, size), key)
+        # a short test of sides takes most pairs away inside the join; the array keeps the long one for what is left out of it
+        c = F.col
+        side = lambda a, b, p: (c(b[0]) - c(a[0])) * (c(p[1]) - c(a[1])) - (c(b[1]) - c(a[1])) * (c(p[0]) - c(a[0]))
+        split = lambda a, b, p, q: side(a, b, p) * side(a, b, q) <= reach**4 * 1e-8
+        first, last, start, end = ("fx", "fy"), ("lx", "ly"), ("sx", "sy"), ("tx", "ty")
+        near = pairs.where(split(start, end, first, last) & split(first, last, start, end))
+        near = near.select(F.explode(F.array(F.struct("node", *ray, "src", "dst", *edge))).alias("o")).select("o.*")
+        met = least(_meeting(near))
+        found.append(stored(met if to >= reach else met.where(F.col("far") <= to)))
+        left, gone = stored(left.join(found[-1].select("node"), "node", "left_anti")), to
+    return least(reduce(DataFrame.unionByName, found)).select("node", "src", "dst", "at_x", "at_y", "far")
+
+
 def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0, confidence: DataFrame | None = None, least: float = 55.0) -> DataFrame:
     """(node, src, dst, at_x, at_y, far): dead ends lengthened by a ray of `reach` to the nearest edge that it crosses.
 
@@ -380,16 +459,8 @@ def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0, confiden
     least `least`. All are judged on one snapshot; edges of the end itself don't count; of two at the same distance the
     lower one. split_edges makes the new edges.
     """
-    from tarmac.operators.graphs import bbox_search
-
     ends, rays = _rays(nodes, edges, reach)
-    box = lambda c: [F.least(*c[::2]).alias("x0"), F.least(*c[1::2]).alias("y0"), F.greatest(*c[::2]).alias("x1"), F.greatest(*c[1::2]).alias("y1")]
-    left = rays.select(F.struct("node", "rx", "ry", "ex", "ey").alias("ray"), *box([F.col("rx"), F.col("ry"), F.col("ex"), F.col("ey")]))
-    right = ends.select(F.struct("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty")).alias("edge"), *box([F.col("x"), F.col("y"), F.col("x1"), F.col("y1")]))
-    hits = bbox_search(left, right, 2 * reach, "ray", "edge").select("ray.*", "edge.*").where((F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")))
-    meets, at = G.segment_intersection((G.pt("rx", "ry"), G.pt("ex", "ey")), (G.pt("sx", "sy"), G.pt("tx", "ty")))
-    rows = hits.withColumn("meets", meets).withColumn("at_x", at[0]).withColumn("at_y", at[1]).where("meets").withColumn("far", G.distance(G.pt("rx", "ry"), G.pt("at_x", "at_y")))
-    rows = rows.select("node", "src", "dst", "at_x", "at_y", "far")
+    rows = _crossed(stored(rays), ends, reach)
     if confidence is not None:
         rows = rows.unionByName(_beside(rays, ends, reach, confidence, least))
     best = rows.groupBy("node").agg(F.min(F.struct("far", "src", "dst", "at_x", "at_y")).alias("b"))

@@ -1,6 +1,8 @@
 """Roads as a graph, and edges cut by lengthened dead ends, against plain Python."""
 
 import math
+import random
+from collections import Counter
 
 from tarmac.operators import paths
 from tarmac.plans import iterative
@@ -57,3 +59,43 @@ def test_ends_beside_likely_pixels(spark):
     assert 2 not in {r.node for r in paths.connect_up(nodes, edges, 40.0, sure.withColumn("v", sure.v - 6)).collect()}
     assert 2 not in {r.node for r in paths.connect_up(nodes, edges, 40.0).collect()}
     assert 2 not in {r.node for r in paths.connect_up(nodes, edges, 30.0, sure).collect()}
+
+
+def test_rays_among_many_edges(spark):
+    """connect_up against all pairs: edges of all lengths, on a ray's line, through its start, and without length."""
+    rng = random.Random(3)
+    at = {k: (float(rng.randrange(300)), float(rng.randrange(300))) for k in range(240)}
+    at |= {300: (10.0, 50.0), 301: (20.0, 50.0), 302: (60.0, 50.0), 303: (80.0, 50.0), 310: (100.0, 5.0), 311: (100.0, 5.0), 312: (90.0, 5.0), 313: (95.0, 5.0), 320: (0.0, 0.0), 321: (290.0, 290.0), 322: (7.0, 7.0), 323: (4.0, 4.0)}
+    edges = [(2 * k, 2 * k + 1) for k in range(120)] + [(2 * k, 2 * k + 2) for k in range(0, 60, 3)] + [(300, 301), (302, 303), (310, 311), (312, 313), (320, 321), (322, 323)]
+    degree = Counter(v for e in edges for v in e)
+    cross = lambda a, b: a[0] * b[1] - a[1] * b[0]
+    over = lambda a, b, c, d: min(a, b) <= max(c, d) and min(c, d) <= max(a, b)
+    want = {}
+    for u, v in [e for s, d in edges for e in ((s, d), (d, s)) if degree[e[0]] == 1]:
+        p, f = at[u], at[v]
+        n = math.sqrt((p[0] - f[0]) * (p[0] - f[0]) + (p[1] - f[1]) * (p[1] - f[1]))
+        e = [p[i] + (p[i] - f[i]) * (60.0 / n if n else 0.0) for i in (0, 1)]
+        r = [e[i] - p[i] for i in (0, 1)]
+        for s, d in edges:
+            a, b = at[s], at[d]
+            if u in (s, d) or not all(over(p[i], e[i], a[i], b[i]) for i in (0, 1)):
+                continue
+            q, g = [b[i] - a[i] for i in (0, 1)], [a[i] - p[i] for i in (0, 1)]
+            den = cross(r, q)
+            if den == 0 and cross(g, r) == 0:
+                hit = (0.0, s, d)
+            elif den != 0 and 0 <= cross(g, q) / den <= 1 and 0 <= cross(g, r) / den <= 1:
+                t = cross(g, q) / den
+                hit = (math.sqrt((t * r[0]) ** 2 + (t * r[1]) ** 2), s, d)
+            else:
+                continue
+            want[u] = min(want.get(u, hit), hit)
+    nodes = spark.createDataFrame([(k, *xy) for k, xy in at.items()], "node_id long, x double, y double")
+    got = {r.node: (r.far, r.src, r.dst) for r in paths.connect_up(nodes, spark.createDataFrame(edges, "src long, dst long"), 60.0).collect()}
+    assert got.keys() == want.keys() and want[301][1:] == (302, 303) and 310 in want
+    assert all(got[k][1:] == want[k][1:] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_a_line_is_in_the_cells_that_it_runs_through(spark):
+    line = spark.createDataFrame([(0.5, 0.5, 999.5, 999.2)], "x double, y double, x1 double, y1 double")
+    assert paths._walked(line, ["x", "y", "x1", "y1"], 1.0).count() < 3000
