@@ -187,6 +187,8 @@ def way_hits(ways: DataFrame) -> DataFrame:
 
 #: Fixes that one task takes a trace on by before the state is written, in map_match_roads.
 STRETCH = 256
+#: Traces that one task takes on together.
+TRACES = 64
 
 
 def road_segments(graph: dict[str, DataFrame], roads: DataFrame) -> DataFrame:
@@ -229,12 +231,12 @@ def _road_moves(fixes: DataFrame, starts: DataFrame, segs: DataFrame, graph: dic
 
 
 def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float) -> pd.DataFrame:
-    """The states of one trace after each fix of one stretch, from those before it; at most STRETCH fixes with the segments near them."""
-    now, out = state[["road", "cost", "along"]].rename(columns={"road": "origin"}), []
+    """The states of some traces after each fix of one stretch, from those before it; at most STRETCH fixes of TRACES traces or so, with the segments near them."""
+    now, out = state[["trace_id", "road", "cost", "along"]].rename(columns={"road": "origin"}), []
     for want, (step, part) in enumerate(rows.groupby("step"), int(state["step"].min()) + 1 if len(state) else -1):
         if step != want:
             break
-        m = part.merge(now, on="origin")
+        m = part.merge(now, on=["trace_id", "origin"])
         low, high, end = m["along"] + m["base"] + pace / 2, m["along"] + m["base"] + 2 * pace, m["before"] + m["size"]
         m = m[(high >= 0) & (low <= m["whole"]) & (end >= low) & ((m["before"] < high) | (m["before"] == 0))]
         low, high = low[m.index], high[m.index]
@@ -243,14 +245,19 @@ def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float) -> pd.DataFram
         place = ((m["before"] + place).clip(low, high) - m["before"]).clip(0, m["size"])
         far = np.hypot(m["sx"] + dx * place / size - m["px"], m["sy"] + dy * place / size - m["py"]) + m["turn"]
         new = m[["trace_id", "step", "road", "origin"]].assign(cost=m["cost"] + 0.5 * (far / pace) ** 2, along=m["before"] + place)[far <= 4 * pace]
-        new = new.sort_values(["road", "cost", "along", "origin"]).drop_duplicates("road")
+        new = new.sort_values(["trace_id", "road", "cost", "along", "origin"]).drop_duplicates(["trace_id", "road"])
         if not len(new):
             break
         out.append(new)
-        now = new[["road", "cost", "along"]].rename(columns={"road": "origin"})
+        now = new[["trace_id", "road", "cost", "along"]].rename(columns={"road": "origin"})
     return pd.concat(out) if out else pd.DataFrame(columns=["trace_id", "step", "road", "origin", "cost", "along"])
 
 
+def _batch(traces: int) -> Column:
+    """The group of a trace's id, with some TRACES of so many traces in each: pandas' own cost is paid once for all of them."""
+    return F.pmod(F.xxhash64("trace_id"), F.lit(traces // TRACES + 1)).alias("batch")
+
+
 def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pace: float) -> DataFrame:
     """(trace_id, step, steps, road, origin, cost, along, stretch): the cheapest way onto each road at each fix of each trace.
 
@@ -260,7 +267,7 @@ def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pa
     keeps one state, the cheapest, of equal ones that least far along, then that from the least origin. Where no road is left a trace has no
     further rows. segs are road_segments, graph is road_graph. Rows with a null are left out; an empty table gives an empty result.
 
-    All traces advance together, STRETCH fixes a job; a task holds one stretch of one trace, and each stretch's states are
+    All traces advance together, STRETCH fixes a job; a task holds one stretch of some TRACES traces, and each stretch's states are
     written, so the longest trace sets the number of jobs, not the size of a task.
     """
     fixes = stored(_fixes(obs, None, 1).drop("hops"))
@@ -277,9 +284,10 @@ def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pa
     moves = _road_moves(fixes, read(-1), segs, graph, pace)
     moves = stored(moves.repartitionByRange("stretch", "trace_id"), "stretch")
     kinds = f"trace_id {kind}, step long, road {road}, origin {road}, cost double, along double"
+    batch = _batch(fixes.where("step = 0").count())
     for k in range(int(moves.agg(F.coalesce(F.max("stretch"), F.lit(-1))).first()[0]) + 1):
-        state = read(k - 1).where(F.col("step") == k * STRETCH).groupBy("trace_id")
-        rows = moves.where(F.col("stretch") == k).drop("stretch").withColumn("step", F.col("step").cast("long")).groupBy("trace_id")
+        state = read(k - 1).where(F.col("step") == k * STRETCH).groupBy(batch)
+        rows = moves.where(F.col("stretch") == k).drop("stretch").withColumn("step", F.col("step").cast("long")).groupBy(batch)
         state.cogroup(rows).applyInPandas(lambda a, b: _onward(a, b, pace), kinds).write.parquet(f"{path}/stretch={k}")
     release(moves)
     found = spark.read.schema(f"{kinds}, stretch int").parquet(path)
@@ -297,15 +305,17 @@ def best_roads(states: DataFrame, blacklist: DataFrame | None = None) -> DataFra
 
 
 def _backward(ends: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """One trace's roads at the fixes of one stretch, and at the fix before it, from the road at the last of them."""
-    if not len(ends) or not len(rows):
-        return pd.DataFrame(columns=["trace_id", "step", "road"])
-    origin = dict(zip(zip(rows["step"], rows["road"], strict=True), rows["origin"], strict=True))
-    step, road, out = int(ends["step"].iloc[0]), ends["road"].iloc[0], []
-    while (step, road) in origin:
-        out.append((step, road))
-        step, road = step - 1, origin[step, road]
-    return pd.DataFrame([(ends["trace_id"].iloc[0], *x) for x in [*out, (step, road)]], columns=["trace_id", "step", "road"])
+    """Some traces' roads at the fixes of one stretch, and at the fix before it, from the road at the last of them."""
+    origin = dict(zip(zip(rows["trace_id"], rows["step"], rows["road"], strict=True), rows["origin"], strict=True))
+    out, known = [], set(rows["trace_id"])
+    for trace, step, road in zip(ends["trace_id"], ends["step"], ends["road"], strict=True):
+        if trace not in known:
+            continue
+        while (trace, step, road) in origin:
+            out.append((trace, step, road))
+            step, road = step - 1, origin[trace, step, road]
+        out.append((trace, step, road))
+    return pd.DataFrame(out, columns=["trace_id", "step", "road"])
 
 
 def road_ways(states: DataFrame, best: DataFrame) -> DataFrame:
@@ -321,10 +331,11 @@ def road_ways(states: DataFrame, best: DataFrame) -> DataFrame:
     kinds = ends.schema
     found_kinds = T.StructType([*kinds.fields, T.StructField("part", T.IntegerType())])
     carry = ends.where("false")
+    batch = _batch(ends.count())
     for k in range(int(ends.agg(F.coalesce(F.max("step"), F.lit(0))).first()[0] - 1) // STRETCH, -1, -1):
         here = ends.where((F.col("step") > k * STRETCH) & (F.col("step") <= (k + 1) * STRETCH)).union(carry)
         rows = states.where(F.col("stretch") == k).select("trace_id", "step", "road", "origin")
-        here.groupBy("trace_id").cogroup(rows.groupBy("trace_id")).applyInPandas(_backward, kinds).write.parquet(f"{path}/part={k}")
+        here.groupBy(batch).cogroup(rows.groupBy(batch)).applyInPandas(_backward, kinds).write.parquet(f"{path}/part={k}")
         carry = spark.read.schema(kinds).parquet(f"{path}/part={k}").where(F.col("step") == k * STRETCH)
     found = spark.read.schema(found_kinds).parquet(path)
     return found.where((F.col("step") > F.col("part") * STRETCH) | (F.col("part") <= 0)).drop("part")  # the fix between two stretches is in both parts

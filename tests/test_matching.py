@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql.functions import expr
 
@@ -232,3 +233,16 @@ def test_roads_of_many_edges_both_ways(spark, monkeypatch):
     assert [ways[1][k] for k in (3, 20)] == ["0-100", "1-200"] and len(ways[1]) == 24 and set(ways[1].values()).isdisjoint(ways[2].values()) and 4 not in ways
     assert matching.map_match_roads(obs, roads, 20.0).where("trace_id = 5").count() == 1
     assert matching.map_match_roads(obs.where("false"), roads, 20.0).count() == 0 == matching.map_match_roads(obs, roads.where("false"), 20.0).count()
+
+
+def test_traces_go_on_together():
+    """Two traces in one call of _onward and _backward get what each gets alone."""
+    state = pd.DataFrame({"trace_id": [1, 2], "step": [0, 0], "road": ["a", "a"], "cost": [0.5, 0.25], "along": [0.0, 10.0]})
+    cols = ["trace_id", "step", "road", "origin", "base", "turn", "before", "size", "whole", "sx", "sy", "tx", "ty", "px", "py"]
+    rows = pd.DataFrame([(t, k, "a", "a", 0.0, 0.0, 0.0, 200.0, 200.0, 0.0, 0.0, 200.0, 0.0, 20.0 * k + 3 * t, 2.0 * t) for t in (1, 2) for k in (1, 2, 3) if (t, k) != (2, 3)], columns=cols)
+    alone = pd.concat([matching._onward(state[state.trace_id == t], rows[rows.trace_id == t], 20.0) for t in (1, 2)])
+    both = matching._onward(state, rows, 20.0).sort_values(["trace_id", "step"])
+    assert len(both) == 5 and both.values.tolist() == alone.values.tolist()
+    ends = pd.DataFrame({"trace_id": [1, 2], "step": [3, 2], "road": ["a", "a"]})
+    back = matching._backward(ends, both)
+    assert sorted(map(tuple, back.values.tolist())) == [(t, k, "a") for t, n in ((1, 3), (2, 2)) for k in range(n + 1)]
