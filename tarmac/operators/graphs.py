@@ -68,7 +68,9 @@ def bbox_search(left: DataFrame, right: DataFrame, size: float, left_id: str, ri
     c = F.col
     meet = (c("x1") >= c("r_x0")) & (c("r_x1") >= c("x0")) & (c("y1") >= c("r_y0")) & (c("r_y1") >= c("y0"))
     mine = (F.floor(F.greatest("x0", "r_x0") / size) == c("gx")) & (F.floor(F.greatest("y0", "r_y0") / size) == c("gy"))
-    return a.join(b, ["gx", "gy"]).where(meet & mine).select(left_id, right_id)
+    pairs = a.join(b, ["gx", "gy"]).where(meet & mine)
+    # the array keeps what callers ask of a pair out of the join's own condition, which would grow too long to be compiled
+    return pairs.select(F.explode(F.array(F.struct(left_id, right_id))).alias("o")).select("o.*")
 
 
 def pairs_within(points: DataFrame, r: float, id_col: str, key: list[str] | None = None) -> DataFrame:

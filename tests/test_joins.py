@@ -49,3 +49,8 @@ def test_best_per_group_takes_the_first_of_equal_values(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = QUERIES["best_per_group"](spark, str(tmp_path)).select(F.col("best_x")).collect()
     assert [r.best_x for r in got] == [0] * 8
+
+
+def test_what_is_asked_of_a_pair_stays_out_of_the_join(spark, data):
+    plan = QUERIES["closest_edge"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "SQRT" in line.upper()]
