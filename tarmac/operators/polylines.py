@@ -26,11 +26,18 @@ def undirected(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def distinct_segments(segs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row for each undirected segment with length within a key: the first in order, in its own direction."""
-    und = undirected((F.col("x"), F.col("y")), (F.col("x1"), F.col("y1")))
-    rows = segs.where((F.col("x") != F.col("x1")) | (F.col("y") != F.col("y1"))).withColumn("und", und)
-    first = rows.groupBy(*key, "und").agg(F.min_by(F.struct("x", "y", "x1", "y1"), F.struct(*order)).alias("s"))
-    return first.select(*key, "s.x", "s.y", "s.x1", "s.y1")
+    """One row for each undirected segment with length within a key: the first in order, in its own direction.
+
+    Rows are grouped by plain columns and carry only their order and whether they run from the lesser end, since what is grouped
+    is sorted in memory.
+    """
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ahead = point("x", "y") <= point("x1", "y1")
+    ends = [F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(f"__{a}") for a, b in (("x", "x1"), ("y", "y1"), ("x1", "x"), ("y1", "y"))]
+    rows = segs.where((F.col("x") != F.col("x1")) | (F.col("y") != F.col("y1"))).select(*key, F.struct(*order, ahead.alias("ahead")).alias("__o"), *ends)
+    first = rows.groupBy(*key, "__x", "__y", "__x1", "__y1").agg(F.min("__o").alias("o"))
+    own = [F.when(F.col("o.ahead"), F.col(f"__{a}")).otherwise(F.col(f"__{b}")).alias(a) for a, b in (("x", "x1"), ("y", "y1"), ("x1", "x"), ("y1", "y"))]
+    return first.select(*key, *own)
 
 
 def dedupe_consecutive(points: DataFrame, key: list[str]) -> DataFrame:

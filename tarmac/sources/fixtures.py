@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tarmac.core import shuffled, table
@@ -24,6 +24,11 @@ SQL = {
 }
 
 
+def _line() -> WindowSpec:
+    """An order's items along their line; items alike in all three are one place twice, so their order doesn't matter."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+
+
 def pix(spark: SparkSession, d: str) -> DataFrame:
     """(tile_id, x, y, v, city): the 64 floats of a vector as a tile of 8 x 8 pixels."""
     e = table(spark, d, "embeddings")
@@ -42,10 +47,15 @@ def mask(spark: SparkSession, d: str) -> DataFrame:
     return pix(spark, d).where(F.col("v") > 0.05).select("tile_id", "x", "y")
 
 
+def _items(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """(tile_id, line_id, pos, x, y) and more columns: the items of an order as the points of a polyline, in one pass over each line's window."""
+    t = table(spark, d, "lineitem").select("*", (F.col("l_partkey") % 1300).alias("x"), ((F.col("l_suppkey") * 13 + F.col("l_partkey") * 7) % 1300).alias("y"))
+    return t.select((F.col("l_orderkey") % 200).alias("tile_id"), F.col("l_orderkey").alias("line_id"), F.row_number().over(_line()).alias("pos"), "x", "y", *more)
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(tile_id, line_id, pos, x, y): the items of an order as the points of a polyline."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("tile_id"), F.col("l_orderkey").alias("line_id"), F.row_number().over(w).alias("pos"), (F.col("l_partkey") % 1300).alias("x"), ((F.col("l_suppkey") * 13 + F.col("l_partkey") * 7) % 1300).alias("y"))
+    return _items(spark, d)
 
 
 def wkt(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +69,7 @@ def wkt(spark: SparkSession, d: str) -> DataFrame:
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive points of lines as segments (x, y)-(x1, y1)."""
-    w = Window.partitionBy("line_id").orderBy("pos")
-    return lines(spark, d).withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where(F.col("x1").isNotNull())
+    return _items(spark, d, *[F.lead(c).over(_line()).alias(f"{c}1") for c in ("x", "y")]).where(F.col("x1").isNotNull())
 
 
 def quad(spark: SparkSession, d: str) -> DataFrame:
