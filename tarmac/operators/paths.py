@@ -40,7 +40,7 @@ def set_overlap_merge(members: DataFrame, group: str, member: str) -> DataFrame:
     least = members.groupBy(member).agg(F.min(group).alias("least"))
     links = members.join(least, member).select(F.col(group).alias("a"), F.col("least").alias("b"))
     found = components(links)
-    return members.select(group).distinct().join(shuffled(found), F.col(group) == found["node"], "left").select(group, F.coalesce("component", group).alias("merged"))
+    return stored(members.select(group).distinct().join(shuffled(found), F.col(group) == found["node"], "left").select(group, F.coalesce("component", group).alias("merged")))
 
 
 def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import random
 
-from tarmac.operators import polylines
+from tarmac.core import materialise, stored
+from tarmac.operators import components, polylines
 from tarmac.sources import fixtures as X
 
 
@@ -25,3 +26,24 @@ def test_distinct_segments_keep_the_first_direction(spark):
     found = polylines.distinct_segments(spark.createDataFrame(rows, "t int, line_id int, pos int, x int, y int, x1 int, y1 int"), ["t"], ["line_id", "pos"])
     assert sorted(map(tuple, found.collect())) == sorted(want.values())
     assert "struct<lo" not in found._jdf.queryExecution().analyzed().treeString() and "min_by" not in plan(found)
+
+
+def test_component_rounds_deal_edges_out_once_for_each_key(spark):
+    edges = stored(spark.createDataFrame([(3, 1), (2, 1), (4, 2)], "a long, b long"))
+    assert plan(components._large_star(edges)).count("Exchange hashpartitioning") == 2
+    assert plan(components._small_star(edges)).count("Exchange hashpartitioning") == 3
+
+
+def test_scratch_tables_are_written_in_small_parts(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    key, seen, write = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path: (seen.append(spark.conf.get(key)), write(w, path))[1])
+    before = spark.conf.get(key, None)
+    materialise(spark.range(3))
+    spark.conf.set(key, "1m")
+    try:
+        materialise(spark.range(3))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert seen == ["16m", "1m"] and spark.conf.get(key, None) == before
