@@ -86,27 +86,27 @@ def contract_chains(edges: DataFrame, through: DataFrame | None = None) -> DataF
 def simplify_lines(points: DataFrame, key: str, epsilon: float) -> DataFrame:
     """Points that stay when each line is split at its farthest point while that is epsilon or more off the chord.
 
-    Every open point carries the ends of its range, so a round is one aggregation of the open points and a join of the
-    cuts; points of ranges that don't split drop out.
+    Every open point carries the ends of its range, whose first place names it within the line, so a round is one aggregation of
+    the open points and a join of the cuts; points of ranges that don't split drop out, and cuts are written once.
     """
+    points = stored(points)
     p = points.select(key, "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     end = F.struct("pos", "x", "y")
-    ends = p.groupBy(key).agg(F.min(end).alias("a"), F.max(end).alias("b"))
-    kept = ends.select(key, F.explode(F.array("a.pos", "b.pos")).alias("pos")).distinct()
-    open_ = p.join(ends, key).where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos")))
-    state = open_.select(key, "pos", "x", "y", "a", "b").unionByName(kept.select(key, "pos"), allowMissingColumns=True)
-
-    def step(state: DataFrame) -> DataFrame:
-        live = state.where("a is not null")
-        far = G.segment_distance((G.pt("a.x", "a.y"), G.pt("b.x", "b.y")), G.pt("x", "y"))
-        worst = live.withColumn("far", far).groupBy(key, "a", "b").agg(F.max(F.struct("far", (-F.col("pos")).alias("back"), "x", "y")).alias("w")).where(F.col("w.far") >= epsilon)
-        cut = worst.select(key, "a", "b", F.struct((-F.col("w.back")).alias("pos"), "w.x", "w.y").alias("m"))
-        left = F.col("pos") < F.col("m.pos")
-        inside = live.join(cut, [key, "a", "b"]).where(F.col("pos") != F.col("m.pos")).select(key, "pos", "x", "y", F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(left, F.col("m")).otherwise(F.col("b")).alias("b"))
-        return state.where("a is null").unionByName(inside).unionByName(cut.select(key, F.col("m.pos").alias("pos")), allowMissingColumns=True)
-
-    done = rounds(state, step, lambda x, y: not y.where("a is not null").isEmpty())
-    return points.join(done.select(key, "pos"), [key, "pos"], "left_semi")
+    ends = stored(p.groupBy(key).agg(F.min(end).alias("a"), F.max(end).alias("b")).select(key, F.col("a.pos").alias("low"), F.col("b.pos").alias("high"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("b_y")))
+    kept = [ends.select(key, F.explode(F.array_distinct(F.array("low", "high"))).alias("pos"))]
+    line = ["low", "ax", "ay", "bx", "b_y"]
+    live = stored(p.join(ends, key).where((F.col("pos") > F.col("low")) & (F.col("pos") < F.col("high"))).select(key, "pos", "x", "y", *line))
+    far = G.segment_distance((G.pt("ax", "ay"), G.pt("bx", "b_y")), G.pt("x", "y"))
+    while not live.isEmpty():
+        worst = live.withColumn("far", far).where(F.col("far") >= epsilon).groupBy(key, "low").agg(F.max(F.struct("far", (-F.col("pos")).alias("back"), "x", "y")).alias("w"))
+        cut = stored(worst.select(key, "low", (-F.col("w.back")).alias("at"), F.col("w.x").alias("mx"), F.col("w.y").alias("my")))
+        kept.append(cut.select(key, F.col("at").alias("pos")))
+        left = F.col("pos") < F.col("at")
+        half = [F.when(left, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("low", "at"), ("ax", "mx"), ("ay", "my"))] + [F.when(left, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("bx", "mx"), ("b_y", "my"))]
+        after = stored(live.join(cut, [key, "low"]).where(F.col("pos") != F.col("at")).select(key, "pos", "x", "y", *half))
+        release(live)
+        live = after
+    return points.join(shuffled(reduce(DataFrame.unionByName, kept)), [key, "pos"], "left_semi")
 
 
 def _stopped(rows: DataFrame, stops: DataFrame | Column | None, node: str = "node") -> DataFrame:

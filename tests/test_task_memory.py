@@ -3,7 +3,8 @@
 import random
 
 from tarmac.core import materialise, stored
-from tarmac.operators import components, polylines
+from tarmac import core
+from tarmac.operators import components, paths, polylines
 from tarmac.sources import fixtures as X
 
 
@@ -47,3 +48,18 @@ def test_scratch_tables_are_written_in_small_parts(spark, monkeypatch):
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     assert seen == ["16m", "1m"] and spark.conf.get(key, None) == before
+
+
+def test_simplified_lines_write_what_stays_once(spark, monkeypatch):
+    n, wrote, real = 128, [], core.materialise
+
+    def counted(df, *by):
+        out = real(df, *by)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(core, "materialise", counted)
+    rows = [(line, k, float(k), float(k * k)) for line in range(2) for k in range(n)]  # a parabola is halved by every round
+    found = paths.simplify_lines(spark.createDataFrame(rows, "line_id int, pos int, x double, y double"), "line_id", 1e-6)
+    assert found.count() == 2 * n
+    assert all(after < before for before, after in zip(wrote[2::2], wrote[4::2])) and sum(wrote) < 2 * n * 9
