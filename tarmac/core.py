@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,19 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return shuffled(materialise(df, *by))
 
 
+@contextmanager
+def parted(spark: SparkSession) -> Iterator[None]:
+    """Steps written in here may join sides that were repartitioned by a part of the join's keys as they lie, so that one shuffle of each
+    side serves a join and the aggregation after it."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(df: DataFrame, part: str = "") -> None:
     """Drop the scratch table behind a DataFrame that `materialise` returned, once nothing reads it any more.
 

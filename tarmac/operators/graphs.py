@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.core import numbered, shuffled
+from tarmac.core import numbered, shuffled, stored
 from tarmac.functions import geometry as G
 
 
@@ -227,18 +227,31 @@ def edge_transitions(roads: DataFrame, weights: DataFrame | None = None, stay: f
 def edge_emissions(obs: DataFrame, roads: DataFrame, sigma: float, tolerance: float, obs_id: str, enough: int = 2) -> DataFrame:
     """(obs_id, src, dst, p): edges near an observation by a normal curve of their distance, shares that sum to 1.
 
-    The box around an observation is tolerance wide; it doubles, twice at most, while fewer than `enough` edges are in it.
+    The box around an observation is tolerance wide; it doubles, twice at most, while fewer than `enough` edges are in it. Only
+    observations that need a wider box are searched again.
     """
-    wide = 4 * tolerance
-    boxes = obs.select(obs_id, F.col("x").alias("px"), F.col("y").alias("py"), *[e.alias(n) for e, n in ((F.col("x") - wide, "x0"), (F.col("y") - wide, "y0"), (F.col("x") + wide, "x1"), (F.col("y") + wide, "y1"))])
+    points = stored(obs.select(obs_id, F.col("x").alias("px"), F.col("y").alias("py")))
     e = roads.select(F.struct("src", "dst", "x", "y", "x1", "y1").alias("edge"), F.least("x", "x1").alias("x0"), F.least("y", "y1").alias("y0"), F.greatest("x", "x1").alias("x1"), F.greatest("y", "y1").alias("y1"))
-    rows = bbox_search(boxes.withColumn("p", F.struct(obs_id, "px", "py")), e, wide, "p", "edge").select(f"p.{obs_id}", "p.px", "p.py", "edge.*")
     gap = F.greatest(F.least("x", "x1") - F.col("px"), F.col("px") - F.greatest("x", "x1"), F.least("y", "y1") - F.col("py"), F.col("py") - F.greatest("y", "y1"))
     w = Window.partitionBy(obs_id)
-    rows = rows.withColumn("gap", gap)
-    n = [F.count(F.when(F.col("gap") <= k * tolerance, 1)).over(w) for k in (1, 2)]
-    limit = F.when(n[0] >= enough, tolerance).when(n[1] >= enough, 2 * tolerance).otherwise(wide)
-    rows = rows.withColumn("limit", limit).where("gap <= limit")
+
+    def within(points: DataFrame, reach: float, box: float) -> DataFrame:
+        sides = ((F.col("px") - box, "x0"), (F.col("py") - box, "y0"), (F.col("px") + box, "x1"), (F.col("py") + box, "y1"))
+        pairs = bbox_search(points.select(F.struct(obs_id, "px", "py").alias("p"), *[c.alias(n) for c, n in sides]), e, 2 * box, "p", "edge")
+        return pairs.select(f"p.{obs_id}", "p.px", "p.py", "edge.*").where(gap <= reach)
+
+    rows = None
+    for k in (1, 2, 4):
+        # a little more than reach, so that the gap decides; the widest box decides itself as well
+        found = within(points, k * tolerance, k * tolerance * (1.001 if k < 4 else 1))
+        if k < 4:
+            found = stored(found.withColumn("n", F.count("*").over(w)).where(F.col("n") >= enough).drop("n"))
+        rows = found if rows is None else rows.unionByName(found)
+        if k < 4:
+            full = shuffled(found.select(F.col(obs_id).alias("full")).distinct())
+            points = stored(points.join(full, F.col(obs_id).eqNullSafe(F.col("full")), "left_anti"))
+            if points.isEmpty():
+                break
     far = G.segment_distance((G.pt("x", "y"), G.pt("x1", "y1")), G.pt("px", "py"))
     near = F.exp(-far * far / (2 * sigma * sigma))
     rows = rows.withColumn("e", near).withColumn("whole", F.sum("e").over(w))

@@ -3,7 +3,7 @@
 A chain's cost adds up from fix to fix, and the best ways over two adjacent stretches are those of each, met at the edge between
 them. So stretches double every round: a trace of n fixes takes log n rounds of joins whose keys are (trace, stretch, edge), a long
 trace is spread over all tasks as many short ones are, and no trace is gathered anywhere. The way back halves the
-stretches again. Costs are whole billionths of negative log probabilities: their sums don't depend on the order of adding.
+stretches again. The moves between two fixes go half forwards, half backwards and meet in the middle. Costs are whole billionths of negative log probabilities: their sums don't depend on the order of adding.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.core import at_exit, numbered, release, scratch_path, stored
+from tarmac.core import at_exit, numbered, parted, release, scratch_path, shuffled, stored
 from tarmac.functions import geometry as G
 from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first
 from tarmac.operators.paths import road_graph
@@ -28,11 +28,17 @@ def _cost(p: Column) -> Column:
     return F.round(-F.log(p) * PARTS).cast("long")
 
 
-def _moves(transitions: DataFrame) -> DataFrame:
-    """(edge, to, move): the cost of each move from an edge to itself or to one that follows it."""
-    edge = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    to = F.when(F.col("to_dst").isNull(), edge("src", "dst")).otherwise(edge("dst", "to_dst"))
-    return transitions.where("p > 0").select(edge("src", "dst").alias("edge"), to.alias("to"), _cost(F.col("p")).alias("move"))
+def _numbers(roads: DataFrame) -> DataFrame:
+    """(id, src, dst): the edges numbered in their order, so that the least id is the least edge."""
+    return shuffled(numbered(roads.select("src", "dst").dropna().distinct(), "src", "dst").withColumnRenamed("place", "id"))
+
+
+def _moves(transitions: DataFrame, ids: DataFrame) -> DataFrame:
+    """(edge, to, move): the cost of each move from an edge to itself or to one that follows it, by the edges' numbers."""
+    stay = F.col("to_dst").isNull()
+    ends = transitions.where("p > 0").select("src", "dst", F.when(stay, F.col("src")).otherwise(F.col("dst")).alias("s"), F.coalesce("to_dst", "dst").alias("t"), _cost(F.col("p")).alias("move"))
+    to = ids.select(F.col("id").alias("to"), F.col("src").alias("s"), F.col("dst").alias("t"))
+    return stored(ends.join(ids.withColumnRenamed("id", "edge"), ["src", "dst"]).join(to, ["s", "t"]).select("edge", "to", "move"))
 
 
 def _fixes(obs: DataFrame, per: float | None, least: int) -> DataFrame:
@@ -50,23 +56,52 @@ def _fixes(obs: DataFrame, per: float | None, least: int) -> DataFrame:
     return stored(rows.join(ahead, "place", "left").select("trace_id", (F.col("place") - F.col("base")).alias("step"), "steps", "x", "y", hops.alias("hops")))
 
 
-def _moved(starts: DataFrame, moves: DataFrame) -> DataFrame:
-    """starts (edge, hops and other columns) with `to` and `cost`: the cheapest way of exactly `hops` moves to each edge.
+def _reached(begin: DataFrame, moves: DataFrame, ways: bool = False) -> DataFrame:
+    """(back, edge, hops, at, cost) for each of begin (back, edge, hops): the cheapest way of exactly `hops` moves from edge to
+    each edge `at` or, where back, from each edge `at` to it; with `ways` also its edges, of equally cheap ways the least.
 
-    All rows go on together, one move a round, until the longest has had its moves; what has arrived is kept apart.
+    An edge is searched from once, whatever fixes lie near it and however many moves they ask for, so there are rows that no one
+    asked for. All go on together, one move a round.
+    """
+    asked = {r.hops for r in begin.select("hops").distinct().collect()}
+    both = stored(moves.select(F.lit(False).alias("back"), F.col("edge").alias("at"), "to", "move").union(moves.select(F.lit(True), F.col("to"), F.col("edge"), "move")))
+    more, key = (["way"] if ways else []), ["back", "edge", "most", F.col("to").alias("at")]
+    now = begin.groupBy("back", "edge").agg(F.max("hops").alias("most")).select("back", "edge", "most", F.col("edge").alias("at"), F.lit(0).cast("long").alias("cost"), *([F.array("edge").alias("way")] if ways else []))
+    out, now = None, stored(now)
+    for hops in range(max(asked, default=-1) + 1):
+        if hops:
+            ahead, cost = now.where(F.col("most") >= hops).join(both, ["back", "at"]), F.col("cost") + F.col("move")
+            if ways:
+                way = F.when(F.col("back"), F.concat(F.array("to"), F.col("way"))).otherwise(F.concat(F.col("way"), F.array("to")))
+                after = stored(ahead.groupBy(*key).agg(F.min(F.struct(cost.alias("cost"), way.alias("way"))).alias("o")).select("back", "edge", "most", "at", "o.*"))
+            else:
+                after = stored(ahead.groupBy(*key).agg(F.min(cost).alias("cost")))
+            if hops - 1 not in asked:
+                release(now)
+            now = after
+        if hops in asked:
+            there = now.select("back", "edge", F.lit(hops).alias("hops"), "at", "cost", *more)
+            out = there if out is None else out.union(there)
+    return begin.select("back", "edge", "hops", F.col("edge").alias("at"), F.lit(0).cast("long").alias("cost"), *([F.array("edge").alias("way")] if ways else [])) if out is None else out
+
+
+def _met(starts: DataFrame, ends: DataFrame, moves: DataFrame, ways: bool = False) -> DataFrame:
+    """starts and ends, joined in pairs, with `cost`: the cheapest way of exactly `hops` moves is the least over a pair's rows.
+
+    starts (trace_id, step, hops, a and other columns) and ends (trace_id, step, hops, b, more) are the edges at both ends of a gap; `more` is
+    added to the cost. Half of the moves go forwards from a, the others backwards from b, and both meet in the middle: a search
+    over so many moves passes through far fewer edges than one over all of them, and edges that lead nowhere near the other end aren't
+    paired. Rows lie by (trace_id, step), for an aggregation by pairs to be written under `parted`.
     """
-    keys = [c for c in starts.columns if c != "hops"]
-    moves = stored(moves)
-    now, arrived = starts.select(*keys, "hops", F.col("edge").alias("at"), F.lit(0).cast("long").alias("cost")), None
-    while True:
-        step = moves.select(F.col("edge").alias("at"), "to", "move")
-        ahead = now.join(step, "at").groupBy(*keys, (F.col("hops") - 1).alias("hops"), F.col("to").alias("at")).agg(F.min(F.col("cost") + F.col("move")).alias("cost"))
-        now = stored(ahead)
-        there = now.where("hops = 0").select(*keys, F.col("at").alias("to"), "cost")
-        arrived = there if arrived is None else arrived.union(there)
-        now = now.where("hops > 0")
-        if now.isEmpty():
-            return arrived
+    half = F.ceil(F.col("hops") / 2).cast("int")
+    starts, ends = starts.withColumn("half", half), ends.withColumn("half", F.col("hops") - half)
+    begin = starts.select(F.lit(False).alias("back"), F.col("a").alias("edge"), F.col("half").alias("hops")).union(ends.select(F.lit(True), "b", "half"))
+    found, way = _reached(begin.distinct(), moves, ways), ["way"] if ways else []
+    side = lambda back, name: shuffled(found.where(F.col("back") == back).select(F.col("edge").alias(name), F.col("hops").alias("half"), "at", F.col("cost").alias(f"{name}_cost"), *[F.col(w).alias(f"{name}_way") for w in way]))
+    left = starts.join(side(False, "a"), ["a", "half"]).drop("half", "hops").repartition("trace_id", "step")
+    right = ends.join(side(True, "b"), ["b", "half"]).select("trace_id", "step", "at", "b", (F.col("b_cost") + F.col("more")).alias("b_cost"), *[f"b_{w}" for w in way])
+    rows = left.join(shuffled(right.repartition("trace_id", "step")), ["trace_id", "step", "at"]).withColumn("cost", F.col("a_cost") + F.col("b_cost")).drop("at", "a_cost", "b_cost")
+    return rows.withColumn("way", F.concat("a_way", F.slice("b_way", 2, F.size("b_way")))).drop("a_way", "b_way") if ways else rows
 
 
 def best_chains(ways: DataFrame) -> DataFrame:
@@ -76,16 +111,19 @@ def best_chains(ways: DataFrame) -> DataFrame:
     Of equally cheap chains the one with the least last edge stays, then the least first, then the least in the middle, and so on in
     both halves. A trace without a chain has no rows. Each round pairs even stretches with the odd ones behind them.
     """
-    half = F.floor(F.col("k") / 2)
-    levels = [stored(ways.groupBy("trace_id", "n", "k", "a", "b").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast(ways.schema["a"].dataType)))]
-    while not (open_ := levels[-1].where("n > 1")).isEmpty():
-        left, right = open_.where("k % 2 = 0"), open_.where("k % 2 = 1")
-        behind = right.select(F.col("trace_id").alias("t"), (F.col("k") - 1).alias("j"), F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more"))
-        met = left.join(behind, (F.col("trace_id") == F.col("t")) & (F.col("k") == F.col("j")) & (F.col("b") == F.col("m")))
-        n = F.ceil(F.col("n") / 2).alias("n")
-        both = met.groupBy("trace_id", n, half.alias("k"), "a", F.col("c").alias("b")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.col("m").alias("mid"))).alias("best"))
-        lone = left.where("k = n - 1").select("trace_id", n, half.alias("k"), "a", "b", "cost", F.lit(None).cast(ways.schema["a"].dataType).alias("mid"))
-        levels.append(stored(both.select("trace_id", "n", "k", "a", "b", "best.cost", "best.mid").unionByName(lone)))
+    half, spark = F.floor(F.col("k") / 2), ways.sparkSession
+    with parted(spark):
+        levels = [stored(ways.groupBy("trace_id", "n", "k", "a", "b").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast(ways.schema["a"].dataType)))]
+        while not (open_ := levels[-1].where("n > 1")).isEmpty():
+            # both halves of a stretch lie in one part, so a level is shuffled once; a stretch has the pairs of its ends' edges at most
+            open_ = open_.withColumn("half", half)
+            left, right = open_.where("k % 2 = 0"), open_.where("k % 2 = 1")
+            behind = right.select(F.col("trace_id").alias("t"), F.col("half").alias("h"), F.col("a").alias("m"), F.col("b").alias("c"), F.col("cost").alias("more")).repartition("t", "h")
+            met = left.select("trace_id", "n", "half", "a", "b", "cost").repartition("trace_id", "half").join(shuffled(behind), (F.col("trace_id") == F.col("t")) & (F.col("half") == F.col("h")) & (F.col("b") == F.col("m")))
+            n = F.ceil(F.col("n") / 2).alias("n")
+            both = met.groupBy("trace_id", n, "half", "a", F.col("c").alias("b")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.col("m").alias("mid"))).alias("best"))
+            lone = left.where("k = n - 1").select("trace_id", n, F.col("half").alias("k"), "a", "b", "cost", F.lit(None).cast(ways.schema["a"].dataType).alias("mid"))
+            levels.append(stored(both.select("trace_id", "n", F.col("half").alias("k"), "a", "b", "best.cost", "best.mid").unionByName(lone)))
     want = None
     for k in reversed(range(len(levels))):
         top = levels[k].where("n = 1").groupBy("trace_id").agg(F.min(F.struct("cost", "b", "a")).alias("o")).select("trace_id", F.lit(0).cast("long").alias("k"), "o.a", "o.b")
@@ -103,17 +141,20 @@ def best_chains(ways: DataFrame) -> DataFrame:
     return here
 
 
-def _matched(obs: DataFrame, roads: DataFrame, moves: DataFrame, sigma: float, tolerance: float, start: float, per: float | None, least: int) -> tuple[DataFrame, DataFrame]:
-    """The fixes, and (trace_id, k, hops, a, b): the matched edges at both ends of the moves from fix k to the next."""
+def _matched(obs: DataFrame, roads: DataFrame, moves: DataFrame, ids: DataFrame, sigma: float, tolerance: float, start: float, per: float | None, least: int) -> tuple[DataFrame, DataFrame]:
+    """The fixes, and (trace_id, k, hops, a, b): the numbers of the matched edges at both ends of the moves from fix k to the next."""
     fixes = _fixes(obs, per, least)
-    edge = F.struct("src", "dst").alias("edge")
-    later = edge_emissions(fixes.where("step > 0").withColumn("fix", F.struct("trace_id", "step", "steps", "hops")), roads, sigma, tolerance, "fix").where("p > 0")
-    later = stored(later.select("fix.*", edge, _cost(F.col("p")).alias("cost")))
-    moved = _moved(_starts(fixes, roads, start).unionByName(later.where("step < steps - 1").drop("cost")), moves)
-    seen = later.select("trace_id", (F.col("step") - 1).alias("step"), F.col("edge").alias("to"), F.col("cost").alias("more"))
-    ways = moved.join(seen, ["trace_id", "step", "to"]).select("trace_id", (F.col("steps") - 1).alias("n"), F.col("step").alias("k"), F.col("edge").alias("a"), F.col("to").alias("b"), (F.col("cost") + F.col("more")).alias("cost"))
+    gap = ["trace_id", "step", "steps", "hops"]
+    later = edge_emissions(fixes.where("step > 0").withColumn("fix", F.struct(*gap)), roads, sigma, tolerance, "fix").where("p > 0")
+    later = later.select("fix.*", "src", "dst", _cost(F.col("p")).alias("more"))
+    near = _starts(fixes, roads, start).select(*gap, "edge.*", F.lit(0).cast("long").alias("more")).unionByName(later)
+    near = stored(near.join(ids, ["src", "dst"]).select(*gap, F.col("id").alias("edge"), "more"))
+    starts = near.where("step < steps - 1").select(*gap, F.col("edge").alias("a")).distinct()
+    before = fixes.select("trace_id", (F.col("step") + 1).alias("step"), F.col("hops").alias("gap"))
+    ends = near.where("step > 0").join(before, ["trace_id", "step"]).select("trace_id", (F.col("step") - 1).alias("step"), F.col("gap").alias("hops"), F.col("edge").alias("b"), "more")
+    ways = _met(starts, ends, moves).select("trace_id", (F.col("steps") - 1).alias("n"), F.col("step").alias("k"), "a", "b", "cost")
     chains = best_chains(ways)
-    return fixes, chains.join(fixes.select("trace_id", F.col("step").alias("k"), "hops"), ["trace_id", "k"])
+    return fixes, stored(chains.join(fixes.select("trace_id", F.col("step").alias("k"), "hops"), ["trace_id", "k"]))
 
 
 def _starts(fixes: DataFrame, roads: DataFrame, start: float) -> DataFrame:
@@ -123,12 +164,12 @@ def _starts(fixes: DataFrame, roads: DataFrame, start: float) -> DataFrame:
     return bbox_search(first, boxes, 2 * start, "fix", "edge").select("fix.*", "edge")
 
 
-def _annotated(fixes: DataFrame, chains: DataFrame, roads: DataFrame, start: float) -> DataFrame:
+def _annotated(fixes: DataFrame, chains: DataFrame, roads: DataFrame, ids: DataFrame, start: float) -> DataFrame:
     """(trace_id, step, src, dst, along): the matched edge of each fix and the fix's place on it."""
-    a = chains.select("trace_id", F.col("k").alias("step"), F.col("a").alias("edge"))
-    last = chains.join(fixes.where("steps > 1 and step = steps - 1").select("trace_id", "step"), "trace_id").where("k = step - 1").select("trace_id", "step", F.col("b").alias("edge"))
-    single = _starts(fixes.where("steps = 1"), roads, start).groupBy("trace_id", "step").agg(F.min("edge").alias("edge"))
-    at = a.unionByName(last).unionByName(single).select("trace_id", "step", "edge.src", "edge.dst")
+    a = chains.select("trace_id", F.col("k").alias("step"), F.col("a").alias("id"))
+    last = chains.join(fixes.where("steps > 1 and step = steps - 1").select("trace_id", "step"), "trace_id").where("k = step - 1").select("trace_id", "step", F.col("b").alias("id"))
+    single = _starts(fixes.where("steps = 1"), roads, start).groupBy("trace_id", "step").agg(F.min("edge").alias("edge")).select("trace_id", "step", "edge.*")
+    at = a.unionByName(last).join(ids, "id").select("trace_id", "step", "src", "dst").unionByName(single)
     rows = at.join(fixes.select("trace_id", "step", F.col("x").alias("px"), F.col("y").alias("py")), ["trace_id", "step"]).join(roads.dropDuplicates(["src", "dst"]), ["src", "dst"])
     s = (G.pt("x", "y"), G.pt("x1", "y1"))
     return rows.select("trace_id", F.col("step").cast("int").alias("step"), "src", "dst", (G.project_fraction(s, G.pt("px", "py")) * G.length(s)).alias("along"))
@@ -142,8 +183,9 @@ def map_match(obs: DataFrame, roads: DataFrame, sigma: float = 25.0, tolerance:
     close to a later fix. A trace without a chain through all its fixes has no rows; one with a single fix takes the least edge. Ties
     as in best_chains. roads are directed, with the coordinates of both ends. Rows with a null are left out.
     """
-    fixes, chains = _matched(obs, roads, _moves(edge_transitions_first(roads)), sigma, tolerance, tolerance, None, 1)
-    return _annotated(fixes, chains, roads, tolerance)
+    ids = _numbers(roads)
+    fixes, chains = _matched(obs, roads, _moves(edge_transitions_first(roads), ids), ids, sigma, tolerance, tolerance, None, 1)
+    return _annotated(fixes, chains, roads, ids, tolerance)
 
 
 #: Distance that each further move between two fixes covers; the normal curve's width, the distance of candidate edges, and fixes that a trace needs.
@@ -155,28 +197,26 @@ def map_match_sparse(obs: DataFrame, roads: DataFrame, weights: DataFrame | None
 
     weights (src, dst, weight) are the roads' shares at crossings; without them straight ways have larger ones than turns.
     """
-    fixes, chains = _matched(obs, roads, _moves(edge_transitions(roads, weights)), SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
-    return _annotated(fixes, chains, roads, TOLERANCE)
+    ids = _numbers(roads)
+    fixes, chains = _matched(obs, roads, _moves(edge_transitions(roads, weights), ids), ids, SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
+    return _annotated(fixes, chains, roads, ids, TOLERANCE)
 
 
 def matched_ways(obs: DataFrame, roads: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(trace_id, step, way): all edges that map_match_sparse goes along from each fix to the next, with both fixes' edges.
 
-    The moves between two fixes are found again from the one edge that was matched, so a gap has one start; of equally
-    cheap ways the least stays.
+    The moves between two fixes are found again from the two edges that were matched; of equally cheap ways the least stays.
     """
-    moves = stored(_moves(edge_transitions(roads, weights)))
-    _, chains = _matched(obs, roads, moves, SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
-    now, done = chains.select("trace_id", "k", "b", F.col("hops"), F.col("a").alias("at"), F.lit(0).cast("long").alias("cost"), F.array("a").alias("way")), None
-    while True:
-        ahead = now.join(moves.select(F.col("edge").alias("at"), "to", "move"), "at")
-        best = ahead.groupBy("trace_id", "k", "b", (F.col("hops") - 1).alias("hops"), "to").agg(F.min(F.struct((F.col("cost") + F.col("move")).alias("cost"), F.concat("way", F.array("to")).alias("way"))).alias("o"))
-        now = stored(best.select("trace_id", "k", "b", "hops", F.col("to").alias("at"), "o.cost", "o.way"))
-        there = now.where((F.col("hops") == 0) & (F.col("at") == F.col("b"))).select("trace_id", F.col("k").cast("int").alias("step"), "way")
-        done = there if done is None else done.union(there)
-        now = now.where("hops > 0")
-        if now.isEmpty():
-            return done
+    ids = _numbers(roads)
+    moves = _moves(edge_transitions(roads, weights), ids)
+    _, chains = _matched(obs, roads, moves, ids, SIGMA, TOLERANCE, TOLERANCE, PER, FIXES)
+    gap = ["trace_id", F.col("k").alias("step"), "hops"]
+    met = _met(chains.select(*gap, "a"), chains.select(*gap, "b", F.lit(0).cast("long").alias("more")), moves, ways=True)
+    with parted(roads.sparkSession):
+        best = stored(met.groupBy("trace_id", "step").agg(F.min(F.struct("cost", "way")).alias("o")))
+    edges = best.select("trace_id", "step", F.posexplode("o.way").alias("i", "id")).join(ids, "id")
+    way = F.transform(F.array_sort(F.collect_list(F.struct("i", "src", "dst"))), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst")))
+    return edges.groupBy("trace_id", F.col("step").cast("int").alias("step")).agg(way.alias("way"))
 
 
 def way_hits(ways: DataFrame) -> DataFrame:

@@ -246,3 +246,29 @@ def test_traces_go_on_together():
     ends = pd.DataFrame({"trace_id": [1, 2], "step": [3, 2], "road": ["a", "a"]})
     back = matching._backward(ends, both)
     assert sorted(map(tuple, back.values.tolist())) == [(t, k, "a") for t, n in ((1, 3), (2, 2)) for k in range(n + 1)]
+
+
+def test_an_edge_is_searched_from_once_and_halves_meet(spark):
+    """Moves in a ring with a shortcut: exact numbers of moves, none to six, against plain steps; a search's rows don't grow with the fixes that ask."""
+    moves = [(k, (k + d) % 7, c + k) for k in range(7) for d, c in ((0, 5), (1, 2), (3, 4))]
+    table = spark.createDataFrame(moves, "edge long, to long, move long")
+    gaps = [(t, s, (t + 2 * s) % 7, (s + a) % 7, b) for t in range(6) for s in range(3) for a in (0, 2) for b in (1, 4, 6)]
+    starts = spark.createDataFrame(sorted({(t, s, h, a) for t, s, h, a, _ in gaps}), "trace_id long, step long, hops int, a long")
+    ends = spark.createDataFrame(sorted({(t, s, h, b, 10) for t, s, h, _, b in gaps}), "trace_id long, step long, hops int, b long, more long")
+    best = {}
+    for a in range(7):
+        state = {a: (0, (a,))}
+        for h in range(7):
+            best |= {(h, a, b): v for b, v in state.items()}
+            new = {}
+            for e, (c, way) in state.items():
+                for _, to, m in (x for x in moves if x[0] == e):
+                    new[to] = min(new.get(to, (math.inf, ())), (c + m, (*way, to)))
+            state = new
+    got = {}
+    for r in matching._met(starts, ends, table, ways=True).collect():
+        key = (r.trace_id, r.step, r.a, r.b)
+        got[key] = min(got.get(key, (math.inf, ())), (r.cost - 10, tuple(r.way)))
+    assert got == {(t, s, a, b): best[h, a, b] for t, s, h, a, b in gaps if (h, a, b) in best}
+    begin = starts.selectExpr("false AS back", "a AS edge", "5 AS hops")
+    assert matching._reached(begin, table).count() == matching._reached(begin.distinct(), table).count() == 7 * begin.distinct().count()
