@@ -127,16 +127,22 @@ def search(edges: DataFrame, starts: DataFrame, most: float, stops: DataFrame |
     nodes at exactly `most` aren't reached. Rounds relax the edges out of what improved in the round before; of equal
     distances the least predecessor stays.
     """
+    edges = stored(edges.select("src", "dst", "size"))
     first = starts.groupBy("source", "node").agg(F.min("dist").cast("double").alias("dist"))
     near = (F.col("dist") <= most) if beyond else (F.col("dist") < most)
     start = first.where(near).select("source", "node", "dist", F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
+    # a place from which even the shortest edge leads too far isn't looked at again; by a part in a billion it may be, for rounding
+    least = edges.agg(F.min("size")).first()[0] or 0.0
+    goes_on = F.col("dist") + least <= most + 1e-9 * abs(most)
 
     def step(state: DataFrame) -> DataFrame:
-        ahead = state.where("fresh").select("source", F.col("node").alias("src"), "dist").join(shuffled(edges).select("src", "dst", "size"), "src")
+        ahead = state.where("fresh").select("source", F.col("node").alias("src"), "dist", F.col("pred").alias("back")).join(edges, "src")
+        # straight back is never shorter
+        ahead = ahead.where(F.col("back").isNull() | (F.col("dst") != F.col("back")))
         if barred is not None:
             ahead = ahead.join(barred.select("source", "src", "dst"), ["source", "src", "dst"], "left_anti")
         new = ahead.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("size")).alias("dist"), F.col("src").alias("pred")).where(near)
-        new = _stopped(new, stops).select("source", "node", "dist", "pred", (~F.col("stop")).alias("fresh"))
+        new = _stopped(new, stops).select("source", "node", "dist", "pred", (~F.col("stop") & goes_on).alias("fresh"))
         best = state.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("source", "node").agg(F.min(F.struct("dist", "pred", "fresh")).alias("b"))
         return best.select("source", "node", "b.dist", "b.pred", "b.fresh")
 
@@ -153,19 +159,19 @@ def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
 
     found comes from search or shortest_paths. Jumps double every round: a way of n nodes takes log n rounds.
     """
-    begun = found.where("pred is null").select("source", F.col("node").alias("pred"))
-    jump = stored(found.where("pred is not null").join(begun, ["source", "pred"], "left_anti").select("source", "node", F.col("pred").alias("to")))
-    ways = stored(targets.join(found.where("pred is not null").select("source", F.col("node").alias("target")), ["source", "target"]).select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
-    reach = 1
+    begun = shuffled(found.where("pred is null").select("source", "node"))
+    found = found.where("pred is not null").select("source", "node", F.col("pred").alias("to"))
+    ways = stored(targets.join(shuffled(found), (targets["source"] == found["source"]) & (F.col("target") == F.col("node"))).select(targets["source"], "target", F.lit(0).alias("step"), F.col("target").alias("node")))
+    jump, reach, none = shuffled(found), 1, F.lit(None)
     while True:
-        more = stored(ways.join(jump, ["source", "node"]).select("source", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node")))
+        # ways (with a target) and jumps (without) go on over the same jumps, in one join
+        open_ = ways.select("source", "target", "step", F.col("node").alias("from"), F.col("node").alias("at"))
+        open_ = open_.union(jump.select("source", none.cast(ways.schema["target"].dataType), none.cast("int"), F.col("node"), F.col("to")))
+        on = stored(open_.join(jump.select("source", F.col("node").alias("at"), "to"), ["source", "at"]).select("source", "target", "step", "from", "to"))
+        more = on.where("target is not null").select("source", "target", (F.col("step") + reach).alias("step"), F.col("to").alias("node"))
         if more.isEmpty():
-            return ways
-        both = stored(ways.unionByName(more))
-        further = stored(jump.join(jump.select("source", F.col("node").alias("to"), F.col("to").alias("beyond")), ["source", "to"]).select("source", "node", F.col("beyond").alias("to")))
-        for old in (ways, more, jump):
-            release(old)
-        ways, jump, reach = both, further, 2 * reach
+            return ways.join(begun, ["source", "node"], "left_anti").select("source", "target", "step", "node")
+        ways, jump, reach = shuffled(ways.unionByName(more)), on.where("target is null").select("source", F.col("from").alias("node"), "to"), 2 * reach
 
 
 def _passed(found: DataFrame, stops: DataFrame | Column | None) -> DataFrame:

@@ -126,3 +126,12 @@ def test_stops_are_reached_but_not_passed(spark):
     one = spark.createDataFrame([(0,), (2,)], "source long")
     stops = spark.createDataFrame([(0, 2), (2, 2), (0, 2)], "source long, node long")
     assert {(r.source, r.node, r.dist) for r in paths.shortest_paths(edges, one, 3.0, stops).collect()} == {(0, 0, 0.0), (0, 1, 1.0), (0, 2, 2.0), (2, 2, 0.0), (2, 3, 1.0), (2, 4, 2.0), (2, 5, 3.0)}
+
+
+def test_no_way_straight_back_over_edges_without_length(spark):
+    """Of equal distances the least predecessor stays, but none that was reached over the node itself: ways end where the search began."""
+    edges = spark.createDataFrame([(5, 7, 1.0), (7, 3, 0.0), (3, 7, 0.0), (7, 5, 1.0), (3, 9, 2.0), (9, 3, 2.0)], "src long, dst long, size double")
+    found = paths.shortest_paths(edges, spark.createDataFrame([(5,)], "source long"), 3.0)
+    assert {(r.node, r.dist, r.pred) for r in found.collect()} == {(5, 0.0, None), (7, 1.0, 5), (3, 1.0, 7), (9, 3.0, 3)}
+    far = spark.createDataFrame([(5, 9), (5, 7), (5, 5), (5, 8)], "source long, target long")
+    assert {(r.target, r.step, r.node) for r in paths.path_to(found, far).collect()} == {(9, 0, 9), (9, 1, 3), (9, 2, 7), (7, 0, 7)}
