@@ -58,12 +58,13 @@ def at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
-def materialise(df: DataFrame, *by: str) -> DataFrame:
+def materialise(df: DataFrame, *by: str, plain: tuple[str, ...] = ()) -> DataFrame:
     """Write df to a scratch table in the shared folder, partitioned by the last columns `by`, and read it back.
 
     Lineage ends there: a lost executor costs a re-read of files instead of the whole history, and the columnar files
     are far smaller than checkpointed rows. The write's shuffle files go as soon as it has ended, so that long chains of
-    steps don't pile them up. The folder goes when the driver ends; `release` drops it earlier.
+    steps don't pile them up. The folder goes when the driver ends; `release` drops it earlier. plain: columns such as hashes, whose
+    values hardly repeat; they are written as they are, without the time that a try at a dictionary takes.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
@@ -72,7 +73,7 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     if before[_PART] is None:
         spark.conf.set(_PART, _PART_SIZE)
     try:
-        df.write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

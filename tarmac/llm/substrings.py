@@ -138,8 +138,8 @@ def _shared(anchors: DataFrame) -> DataFrame:
     """A scratch table of the stretches whose chosen 16 bytes occur in two documents, and `mixed`: whether these bytes lie in
     different stretches."""
     grams = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("t").alias("x"), F.max("t").alias("y"))
-    twice = materialise(grams.where("a < b").select("h", (F.col("x") != F.col("y")).alias("mixed")))
-    out = materialise(anchors.join(twice.hint("shuffle_hash"), "h").drop("slice"))
+    twice = materialise(grams.where("a < b").select("h", (F.col("x") != F.col("y")).alias("mixed")), plain=("h",))
+    out = materialise(anchors.join(twice.hint("shuffle_hash"), "h").drop("slice"), plain=("h", "t", "start"))
     release(twice)
     return out
 
@@ -231,12 +231,12 @@ def _doubled(blocks: DataFrame, width: int) -> DataFrame:
     now, levels = blocks, _places(width)
     for places in levels[1:] or levels:
         couples = [(f"r{2 * k}", f"r{2 * k + 1}") if len(levels) > 1 else ("r0", "r0") for k in range(len(places))]
-        ranks = materialise(_ranks(reduce(DataFrame.union, [now.select("doc_id", F.col(a).alias("a"), F.col(b).alias("b")) for a, b in couples])).select("a", "b", "rank"))
+        ranks = materialise(_ranks(reduce(DataFrame.union, [now.select("doc_id", F.col(a).alias("a"), F.col(b).alias("b")) for a, b in couples])).select("a", "b", "rank"), plain=("a", "b", "rank"))
         after = now
         for k, (a, b) in enumerate(couples):
             new = ranks.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("rank").alias(f"n{k}"))
             after = after.join(new.hint("shuffle_hash"), (F.col(a) == F.col("x")) & (F.col(b) == F.col("y"))).drop(a, b, "x", "y")
-        after = materialise(after.withColumnsRenamed({f"n{k}": f"r{k}" if len(couples) > 1 else "rank" for k in range(len(couples))}))
+        after = materialise(after.withColumnsRenamed({f"n{k}": f"r{k}" if len(couples) > 1 else "rank" for k in range(len(couples))}), plain=("at", "left", "right", "rank", *(f"r{k}" for k in range(len(couples)))))
         release(ranks)
         release(now)
         now = after
@@ -252,20 +252,20 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     texts = docs.where(F.octet_length("text") >= length)
-    anchors = materialise(_anchors(texts, length).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "slice")
+    anchors = materialise(_anchors(texts, length).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "slice", plain=("h", "t", "start"))
     slices = []
     for s in range(SLICES):
         slices.append(_shared(anchors.where(F.col("slice") == s)))
         release(anchors, f"slice={s}")
     release(anchors)
     shared = reduce(DataFrame.union, slices)
-    first = materialise(shared.groupBy("h", "t").agg(F.min("doc_id").alias("first")))
+    first = materialise(shared.groupBy("h", "t").agg(F.min("doc_id").alias("first")), plain=("h", "t"))
     marked = shared.join(first.hint("shuffle_hash"), ["h", "t"]).where((F.col("doc_id") > F.col("first")) | F.col("mixed"))
     marked = materialise(marked.select("doc_id", "print", "start", "run", "back", (F.col("doc_id") > F.col("first")).alias("settled")))
     for s in (*slices, first):
         release(s)
     part = F.pmod("r0", F.lit(CORE_SLICES)).cast("int")
-    blocks = materialise(_blocks(texts, marked.where("not settled"), length).withColumn("slice", part), "slice")
+    blocks = materialise(_blocks(texts, marked.where("not settled"), length).withColumn("slice", part), "slice", plain=("at", "left", "right", *(f"r{k}" for k in range(len(_places(length - min(EXTRA, length - GRAM))[0])))))
     extra = min(EXTRA, length - GRAM)
     parts = []
     for s in range(CORE_SLICES):
@@ -276,7 +276,7 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     bits = F.col("j") * 8
     head = F.when(F.col("j") == 0, F.lit(0)).otherwise(F.expr(f"shiftleft(`left` & (shiftrightunsigned(-1L, 64 - j * 8)), {8 * extra} - j * 8)"))
     tail = F.when(F.col("j") == extra, F.lit(0)).otherwise(F.expr("shiftrightunsigned(`right`, j * 8)"))
-    windows = materialise(cores.withColumn("j", F.explode(F.sequence("low", "high"))).select("doc_id", "print", (F.col("at") - F.col("j")).alias("start"), (F.col("rank") * 16 + F.col("j")).alias("a"), head.bitwiseOR(tail).alias("b")))
+    windows = materialise(cores.withColumn("j", F.explode(F.sequence("low", "high"))).select("doc_id", "print", (F.col("at") - F.col("j")).alias("start"), (F.col("rank") * 16 + F.col("j")).alias("a"), head.bitwiseOR(tail).alias("b")), plain=("start", "a", "b"))
     for c in parts:
         release(c)
     repeated = windows.join(_ranks(windows).hint("shuffle_hash"), ["a", "b"]).where(F.col("doc_id") > F.col("first"))

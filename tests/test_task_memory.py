@@ -63,3 +63,17 @@ def test_simplified_lines_write_what_stays_once(spark, monkeypatch):
     found = paths.simplify_lines(spark.createDataFrame(rows, "line_id int, pos int, x double, y double"), "line_id", 1e-6)
     assert found.count() == 2 * n
     assert all(after < before for before, after in zip(wrote[2::2], wrote[4::2])) and sum(wrote) < 2 * n * 9
+
+
+def test_hashes_in_scratch_tables_have_no_dictionary(spark):
+    """Columns named as plain are written as they are, the others as before."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    out = materialise(spark.range(0, 20_000, 1, 1).select(F.xxhash64("id").alias("h"), (F.col("id") % 7).alias("k")), plain=("h",))
+    group = pq.ParquetFile(glob.glob(out._scratch_path.replace("file:", "") + "/*.parquet")[0]).metadata.row_group(0)
+    encodings = {group.column(i).path_in_schema: group.column(i).encodings for i in range(2)}
+    assert not any("DICTIONARY" in e for e in encodings["h"]) and any("DICTIONARY" in e for e in encodings["k"])
+    assert out.agg(F.count_distinct("h")).first()[0] == 20_000
