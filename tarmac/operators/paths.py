@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.core import numbered, offsets, release, rounds, shuffled, stored
 from tarmac.functions import geometry as G
 from tarmac.operators.components import components
+from tarmac.operators.crossings import meet_in_cell
 from tarmac.operators.graphs import degrees, with_ends
 
 
@@ -403,58 +405,45 @@ def _meeting(pairs: DataFrame) -> DataFrame:
     return rows.select("node", "src", "dst", "at_x", "at_y", "far")
 
 
-def _on_line(rows: DataFrame, line: list[str], reach: float, off: float) -> DataFrame:
-    """Rows with the numbers (turn, aside) of the line through the segment's ends, and its cells; `off` also takes numbers that near."""
-    x, y, x1, y1 = map(F.col, line)
-    way, parts = F.atan2(y1 - y, x1 - x), 1 << 24
-    near = lambda v: F.explode(F.array_distinct(F.array(F.floor(v - off), F.floor(v + off))))
-    rows = rows.withColumn("turn", near(way / F.pi() * parts)).withColumn("turn", F.pmod(F.col("turn"), F.lit(parts)))
-    rows = rows.withColumn("aside", near(F.abs(x * F.sin(way) - y * F.cos(way)) / (reach * 1e-5)))
-    return _walked(rows, line, 2 * reach)
+#: Rays or edges of a cell that one task compares; a cell with more is cut into parts, each part of its rays meeting each part of its edges.
+CELL = 1 << 17
 
 
 def _crossed(rays: DataFrame, ends: DataFrame, reach: float) -> DataFrame:
-    """(node, src, dst, at_x, at_y, far): the nearest crossing of each ray (node, rx, ry, ex, ey) with an edge, of equal ones the lower edge.
+    """(node, src, dst, at_x, at_y, far): crossings of each ray (node, rx, ry, ex, ey) with edges, the nearest among them, of equal ones all.
 
-    Rays go on a stretch at a time, and only those that have met nothing go further, so few crossings behind the nearest one are
-    made. Cells are as wide as rays lie apart, and both rays and edges are in the cells that they run through. What lies on
-    a ray's line counts as met at its start, wherever it lies: it is found by the line's direction and its distance from the origin.
+    Rays and edges are dealt out once, to the cells that they run through, four rays long or longer; within a cell
+    crossings.nearest finds the pairs. What lies on a ray's line counts as met at its start, wherever it lies.
     """
     from tarmac.operators.graphs import bbox_search
 
     ray, edge = ["rx", "ry", "ex", "ey"], ["sx", "sy", "tx", "ty"]
-    segs = ends.select("src", "dst", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
-    key = ["gx", "gy"]
-    same = _on_line(rays, ray, reach, 0.01).join(_on_line(segs, edge, reach, 0.0), [*key, "turn", "aside"])
-    rows = [_meeting(same)]
+    segs = ends.select("src", "dst", *[F.col(a).cast("double").alias(b) for a, b in zip(("x", "y", "x1", "y1"), edge, strict=True)])
+    span = lambda c: F.max(c) - F.min(c)
+    all_ = rays.agg((span("rx") * span("ry")).alias("area"), F.count("*").alias("n")).first()
+    size = max(4 * reach, 8 * math.sqrt((all_.area or 0.0) / max(all_.n, 1)))
+    cell = ["gx", "gy"]
+    left, right = _walked(rays.select("node", *ray), ray, size), _walked(segs, edge, size)
+    count = lambda df, name: df.groupBy(*cell).agg(F.count("*").alias(name))
+    full = shuffled(count(left, "rays")).join(count(right, "edges"), cell).where((F.col("rays") > CELL) | (F.col("edges") > CELL))
+    full = stored(full.select(*cell, *[F.ceil(F.col(c) / CELL).cast("int").alias(c) for c in ("rays", "edges")]))
+    if not full.isEmpty():
+        # few cells are that full: one for each CELL rows at most
+        few = F.broadcast(full.select(*cell, "rays", "edges"))
+        parts = lambda mine, other, key: [F.coalesce(F.pmod(F.xxhash64(*key), F.col(mine)), F.lit(0)).cast("int").alias(f"of_{mine}"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other) - 1, F.lit(0)))).alias(f"of_{other}")]
+        left = left.join(few, cell, "left").select(*left.columns, *parts("rays", "edges", ["node"]))
+        right = right.join(few, cell, "left").select(*right.columns, *parts("edges", "rays", ["src", "dst"]))
+        cell = [*cell, "of_rays", "of_edges"]
+    kinds = T.StructType([*rays.select("node", *ray).schema, *segs.schema])
+    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(lambda a, b: meet_in_cell(a, b, size, reach), kinds)
+    rows = [_meeting(pairs)]
     # without length there is no direction: whatever box holds the point meets it
     dots = rays.where("rx = ex and ry = ey"), segs.where("sx = tx and sy = ty")
-    for left, right in ((dots[0], segs), (rays, dots[1])):
-        if not left.isEmpty() and not right.isEmpty():
+    for some, others in ((dots[0], segs), (rays, dots[1])):
+        if not some.isEmpty() and not others.isEmpty():
             box = lambda df, c, name: df.select(F.struct(*df.columns).alias(name), F.least(c[0], c[2]).alias("x0"), F.least(c[1], c[3]).alias("y0"), F.greatest(c[0], c[2]).alias("x1"), F.greatest(c[1], c[3]).alias("y1"))
-            rows.append(_meeting(bbox_search(box(left, ray, "ray"), box(right, edge, "edge"), 2 * reach, "ray", "edge").select("ray.*", "edge.*")))
-    least = lambda df: df.groupBy("node").agg(F.min(F.struct("far", "src", "dst", "at_x", "at_y")).alias("b")).select("node", "b.*")
-    found = [stored(least(reduce(DataFrame.unionByName, rows)))]
-    span = lambda c: F.max(c) - F.min(c)
-    wide = rays.agg((span("rx") * span("ry")).alias("area")).first().area or 0.0
-    left, gone = rays, 0.0
-    while (n := left.count()) and gone < reach:
-        size = min(max(math.sqrt(wide / n), reach / 64), 2 * reach)
-        to = min(reach, max(gone + size / 8, 2 * gone))
-        part = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * (t / reach)
-        ends_at = [part(a, b, t).alias(n) for a, b, t, n in (("rx", "ex", gone - reach * 1e-6, "fx"), ("ry", "ey", gone - reach * 1e-6, "fy"), ("rx", "ex", to + reach * 1e-6, "lx"), ("ry", "ey", to + reach * 1e-6, "ly"))]
-        pairs = _walked(left.select("*", *ends_at), ["fx", "fy", "lx", "ly"], size).join(_walked(segs, edge, size), key)
-        # a short test of sides takes most pairs away inside the join; the array keeps the long one for what is left out of it
-        c = F.col
-        side = lambda a, b, p: (c(b[0]) - c(a[0])) * (c(p[1]) - c(a[1])) - (c(b[1]) - c(a[1])) * (c(p[0]) - c(a[0]))
-        split = lambda a, b, p, q: side(a, b, p) * side(a, b, q) <= reach**4 * 1e-8
-        first, last, start, end = ("fx", "fy"), ("lx", "ly"), ("sx", "sy"), ("tx", "ty")
-        near = pairs.where(split(start, end, first, last) & split(first, last, start, end))
-        near = near.select(F.explode(F.array(F.struct("node", *ray, "src", "dst", *edge))).alias("o")).select("o.*")
-        met = least(_meeting(near))
-        found.append(stored(met if to >= reach else met.where(F.col("far") <= to)))
-        left, gone = stored(left.join(found[-1].select("node"), "node", "left_anti")), to
-    return least(reduce(DataFrame.unionByName, found)).select("node", "src", "dst", "at_x", "at_y", "far")
+            rows.append(_meeting(bbox_search(box(some, ray, "ray"), box(others, edge, "edge"), 2 * reach, "ray", "edge").select("ray.*", "edge.*")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def connect_up(nodes: DataFrame, edges: DataFrame, reach: float = 40.0, confidence: DataFrame | None = None, least: float = 55.0) -> DataFrame:

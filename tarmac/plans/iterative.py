@@ -185,9 +185,9 @@ def _up_lines(s, d):
     """connect_up over the network of all polylines, tiles side by side; a node's number is its place."""
     at = lambda x, y: (F.col("tile_id") * 2000 + F.col(x)) * 2000 + F.col(y)
     ends = X.segs(s, d).select(at("x", "y").alias("a"), at("x1", "y1").alias("b")).where("a <> b")
-    edges = ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    edges = stored(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
-    nodes = nodes.select("node_id", F.floor(F.col("node_id") / 2000).cast("double").alias("x"), (F.col("node_id") % 2000).cast("double").alias("y"))
+    nodes = stored(nodes.select("node_id", F.floor(F.col("node_id") / 2000).cast("double").alias("x"), (F.col("node_id") % 2000).cast("double").alias("y")))
     return nodes, edges, P.connect_up(nodes, edges, reach=120.0).select("node", "src", "dst", *[r6(F.col(c)).alias(c) for c in ("at_x", "at_y", "far")])
 
 
