@@ -470,7 +470,7 @@ def split_edges(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> tuple[Da
     each cut's node is linked to its place. A place at an end of the edge is that end, and cuts nothing. All places are put in order by
     one sort by range, so an edge with very many of them is spread as well.
     """
-    ends = with_ends(nodes, edges).select("src", "dst", "x", "y", "x1", "y1").distinct()
+    ends = stored(with_ends(nodes, edges).select("src", "dst", "x", "y", "x1", "y1").distinct())
     asked = stored(cuts.select("node", "src", "dst", "at_x", "at_y").join(ends, ["src", "dst"]))
     at = lambda x, y: (F.col("at_x") == F.col(x)) & (F.col("at_y") == F.col(y))
     t = G.distance(G.pt("x", "y"), G.pt("at_x", "at_y"))
@@ -490,8 +490,8 @@ def split_edges(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> tuple[Da
     own = nodes.select(F.col("node_id").alias("node"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     links = vertex.select("node", to.alias("to"), "at_x", "at_y").distinct().join(own, "node").select(F.col("node").alias("a"), F.col("to").alias("b"), size("ox", "oy", "at_x", "at_y").alias("size"))
     made = on.union(first).union(links).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "size").where("src <> dst")
-    whole = edges.join(places.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    kept = with_ends(nodes, whole).select("src", "dst", G.distance(G.pt("x", "y"), G.pt("x1", "y1")).alias("size"))
+    whole = ends.join(places.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    kept = whole.select("src", "dst", G.distance(G.pt("x", "y"), G.pt("x1", "y1")).alias("size"))
     more = nodes.select("node_id", "x", "y").unionByName(places.select(F.col("id").alias("node_id"), F.col("at_x").alias("x"), F.col("at_y").alias("y")))
     return more, kept.union(made).distinct()
 

@@ -58,3 +58,13 @@ def test_nearest_edges_as_all_pairs(monkeypatch, pairs):
     want = {(i, j) for i, j in zip(*np.nonzero((t == far[:, None]) & np.isfinite(t)))}
     got = set(zip(*(x.tolist() for x in crossings.nearest(rays, edges, lambda i, j: np.ones(len(i), bool), (0.0, 0.0, 100.0, 100.0), 30.0))))
     assert want <= got and all(t[i, j] <= far[i] + 1e-9 for i, j in got) and len(want) > 100 and (5, 5) in got and (5, 9) not in got
+
+
+def test_edges_get_their_ends_once(spark, monkeypatch):
+    """split_edges joins the nodes to the edges once, for those that are cut and for the others."""
+    calls, real = [], paths.with_ends
+    nodes, edges = network(spark, 60, 100, 8)
+    cuts = paths.connect_up(nodes, edges, 40.0).select("node", "src", "dst", "at_x", "at_y")
+    monkeypatch.setattr(paths, "with_ends", lambda *a: (calls.append(a), real(*a))[1])
+    more, after = paths.split_edges(nodes, edges, cuts)
+    assert len(calls) == 1 and after.count() > 60 and more.count() > 120
