@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tarmac.core import at_exit, numbered, parted, release, scratch_path, shuffled, stored
 from tarmac.functions import geometry as G
-from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first
+from tarmac.operators.graphs import bbox_search, edge_emissions, edge_transitions, edge_transitions_first, gridded
 from tarmac.operators.paths import road_graph
 from tarmac.operators.polylines import cumulative_length
 
@@ -229,6 +229,8 @@ def way_hits(ways: DataFrame) -> DataFrame:
 STRETCH = 256
 #: Traces that one task takes on together.
 TRACES = 64
+#: Pairs of a fix and a segment that are compared at once.
+PAIRS = 1 << 18
 
 
 def road_segments(graph: dict[str, DataFrame], roads: DataFrame) -> DataFrame:
@@ -249,34 +251,71 @@ def _near_roads(fixes: DataFrame, segs: DataFrame, reach: float, *names: str) ->
     return bbox_search(_boxes(fixes, reach, *names), right, 2 * reach, "fix", "seg").select("fix.*", "seg.*")
 
 
-def _road_moves(fixes: DataFrame, starts: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pace: float) -> DataFrame:
-    """(trace_id, step, origin, road, base, turn, ...): segments near a fix with the roads that a trace may have been on one fix before.
+def _around(fixes: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pace: float) -> DataFrame:
+    """The network near the fixes of each batch of traces and stretch, as rows of two kinds, in a scratch table by stretch.
 
-    base is what the progress along the origin is worth on the road: nothing is taken off on the same road, and the origin's
-    length on one that begins at its end. Opposite roads don't follow each other.
+    (stretch, batch, gx, gy, road, before, size, whole, sx, sy, tx, ty): the segments that fixes in the cell may be near; (stretch, batch, road, origin, base): the
+    roads among them that follow each other. base is what the progress along the origin is worth on the road: the origin's length is taken
+    off where the road begins at its end. Opposite roads don't follow each other. Traces of a batch start side by side, so they share most of their rows.
     """
-    back = fixes.select("trace_id", (F.col("step") + 1).alias("step"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    later = fixes.join(back, ["trace_id", "step"])
-    near = _near_roads(later.withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 4 * pace, "trace_id", "step", "px", "py", "qx", "qy")
-    s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
-    near = near.withColumn("turn", 12 * G.angle_to(G.vector(s), G.sub(p, G.pt("qx", "qy")))).where(G.segment_distance(s, p) + F.col("turn") <= 4 * pace)
-    near = stored(near.drop("qx", "qy"))
-    alive = near.select("trace_id", "step", "road").union(starts.select("trace_id", "step", "road")).distinct()
+    reach = 4 * pace * (1 + 1e-9)
+    part, k = ["stretch", "batch"], F.col("step")
+    # the fix before a stretch counts as well: the roads that are gone on from lie near it
+    cells = fixes.select(F.explode(F.array_distinct(F.array(*[F.floor(v / STRETCH).cast("int") for v in (k - 1, k)]))).alias("stretch"), "batch", *_cell(pace)).where("stretch >= 0").distinct()
+    sides = ((F.least("x", "x1") - reach, "__a"), (F.least("y", "y1") - reach, "__b"), (F.greatest("x", "x1") + reach, "__c"), (F.greatest("y", "y1") + reach, "__d"))
+    wide = gridded(segs.select("*", *(e.alias(n) for e, n in sides)), 8 * pace, ("__a", "__b", "__c", "__d"))
+    ends = [F.col(a).cast("double").alias(b) for a, b in zip(("x", "y", "x1", "y1"), ("sx", "sy", "tx", "ty"), strict=True)]
+    near = stored(wide.join(shuffled(cells), ["gx", "gy"]).select(*part, "gx", "gy", "road", "before", "size", "whole", *ends))
+    there = stored(near.select(*part, "road").distinct())
     ahead = graph["links"].where("way = 'out'").select("road", F.col("other").alias("to"))
     ahead = ahead.join(graph["opposites"].withColumnRenamed("opposite", "to"), ["road", "to"], "left_anti")
-    ahead = ahead.join(graph["roads"].select("road", "length"), "road").select("road", "to", (-F.col("length")).alias("base"))
-    moves = ahead.union(graph["roads"].select("road", "road", F.lit(0.0)))
-    moved = alive.join(moves, "road").select("trace_id", (F.col("step") + 1).alias("step"), F.col("road").alias("origin"), F.col("to").alias("road"), "base")
-    return near.join(moved, ["trace_id", "step", "road"]).withColumn("stretch", F.floor((F.col("step") - 1) / STRETCH).cast("int"))
-
-
-def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float) -> pd.DataFrame:
-    """The states of some traces after each fix of one stretch, from those before it; at most STRETCH fixes of TRACES traces or so, with the segments near them."""
+    ahead = shuffled(ahead.join(graph["roads"].select("road", "length"), "road").select(F.col("road").alias("origin"), F.col("to").alias("road"), (-F.col("length")).alias("base")))
+    links = there.join(ahead, "road").join(there.withColumnRenamed("road", "origin"), [*part, "origin"], "left_semi")
+    rows = near.unionByName(links, allowMissingColumns=True)
+    return stored(rows.repartitionByRange("stretch", "batch"), "stretch")
+
+
+def _cell(pace: float) -> list[Column]:
+    return [F.floor(F.col(c) / (8 * pace)).alias(g) for c, g in (("x", "gx"), ("y", "gy"))]
+
+
+def _near(fixes: pd.DataFrame, segs: pd.DataFrame, pace: float) -> pd.DataFrame:
+    """The fixes with each segment of their cell whose distance, with `turn`, twelve times its angle to the movement, is within four paces."""
+    low, high = segs[["gx", "gy"]].min(), segs[["gx", "gy"]].max()
+    number = lambda df: ((df["gx"] - low["gx"]) * (high["gy"] - low["gy"] + 1) + df["gy"] - low["gy"]).to_numpy("int64")
+    fixes = fixes[fixes["gx"].between(low["gx"], high["gx"]) & fixes["gy"].between(low["gy"], high["gy"])].sort_values("step")
+    segs = segs.iloc[np.argsort(number(segs), kind="stable")]
+    cell, mine = number(segs), number(fixes)
+    first, last = np.searchsorted(cell, mine, "left"), np.searchsorted(cell, mine, "right")
+    px, py, qx, qy = fixes[["px", "py", "qx", "qy"]].to_numpy().T
+    sx, sy, tx, ty = segs[["sx", "sy", "tx", "ty"]].to_numpy().T
+    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+    for part in np.array_split(np.arange(len(fixes)), (last - first).sum() // PAIRS + 1):
+        n = (last - first)[part]
+        i = np.repeat(part, n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+        dx, dy, ax, ay, mx, my = tx[j] - sx[j], ty[j] - sy[j], px[i] - sx[j], py[i] - sy[j], px[i] - qx[i], py[i] - qy[i]
+        size, both = dx * dx + dy * dy, np.sqrt(dx * dx + dy * dy) * np.sqrt(mx * mx + my * my)
+        at = ((ax * dx + ay * dy) / np.where(size == 0, 1.0, size)).clip(0, 1)
+        gone_x, gone_y = px[i] - (sx[j] + dx * at), py[i] - (sy[j] + dy * at)
+        turn = 12 * np.where(both == 0, 0.0, np.arccos(((dx * mx + dy * my) / np.where(both == 0, 1.0, both)).clip(-1, 1)))
+        fine = np.sqrt(gone_x * gone_x + gone_y * gone_y) + turn <= 4 * pace
+        found.append((i[fine], j[fine], turn[fine]))
+    i, j, turn = (np.concatenate(c) for c in zip(*found, strict=True))
+    columns = {c: df[c].to_numpy()[k] for df, k, names in ((fixes, i, ("trace_id", "step", "px", "py")), (segs, j, ("road", "before", "size", "whole", "sx", "sy", "tx", "ty"))) for c in names}
+    return pd.DataFrame(columns | {"turn": turn})
+
+
+def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float, ahead: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The states of some traces after each fix of one stretch, from those before it; at most STRETCH fixes of TRACES traces or so, with the segments near them.
+
+    ahead (origin, road, base) are the roads that follow each other; without it rows have origin and base themselves.
+    """
     now, out = state[["trace_id", "road", "cost", "along"]].rename(columns={"road": "origin"}), []
     for want, (step, part) in enumerate(rows.groupby("step"), int(state["step"].min()) + 1 if len(state) else -1):
         if step != want:
             break
-        m = part.merge(now, on=["trace_id", "origin"])
+        m = part.merge(now, on=["trace_id", "origin"]) if ahead is None else part.merge(now.merge(ahead, on="origin"), on=["trace_id", "road"])
         low, high, end = m["along"] + m["base"] + pace / 2, m["along"] + m["base"] + 2 * pace, m["before"] + m["size"]
         m = m[(high >= 0) & (low <= m["whole"]) & (end >= low) & ((m["before"] < high) | (m["before"] == 0))]
         low, high = low[m.index], high[m.index]
@@ -293,6 +332,22 @@ def _onward(state: pd.DataFrame, rows: pd.DataFrame, pace: float) -> pd.DataFram
     return pd.concat(out) if out else pd.DataFrame(columns=["trace_id", "step", "road", "origin", "cost", "along"])
 
 
+def _stretch(left: pd.DataFrame, around: pd.DataFrame, pace: float) -> pd.DataFrame:
+    """_onward for the fixes and states of one batch, over the segments and links around it; roads go by their place in order."""
+    fresh = left["road"].isna()
+    state, fixes, segs, links = left[~fresh], left[fresh], around[around["origin"].isna()], around[around["origin"].notna()]
+    roads = np.unique(np.concatenate([segs["road"], state["road"]])) if len(state) else np.zeros(0, object)
+    number = lambda df, *cols: df.assign(**{c: np.searchsorted(roads, df[c]) for c in cols})
+    if not (len(state) and len(fixes) and len(segs)):
+        new = _onward(state[:0], fixes[:0], pace)
+    else:
+        ahead = pd.concat([number(links, "origin", "road")[["origin", "road", "base"]], pd.DataFrame({"origin": np.arange(len(roads)), "road": np.arange(len(roads)), "base": 0.0})])
+        new = _onward(number(state, "road"), _near(fixes, number(segs, "road"), pace), pace, ahead)
+    new = new.assign(**{c: roads[new[c].to_numpy("int64")] for c in ("road", "origin")})
+    steps = state.drop_duplicates("trace_id").set_index("trace_id")["steps"]
+    return new.assign(batch=around["batch"].iloc[0] if len(around) else 0, steps=new["trace_id"].map(steps))
+
+
 def _batch(traces: int) -> Column:
     """The group of a trace's id, with some TRACES of so many traces in each: pandas' own cost is paid once for all of them."""
     return F.pmod(F.xxhash64("trace_id"), F.lit(traces // TRACES + 1)).alias("batch")
@@ -310,28 +365,32 @@ def road_states(obs: DataFrame, segs: DataFrame, graph: dict[str, DataFrame], pa
     All traces advance together, STRETCH fixes a job; a task holds one stretch of some TRACES traces, and each stretch's states are
     written, so the longest trace sets the number of jobs, not the size of a task.
     """
-    fixes = stored(_fixes(obs, None, 1).drop("hops"))
-    start = _near_roads(fixes.where("step = 0").withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 2.5 * pace, "trace_id", "step", "px", "py")
+    fixes = _fixes(obs, None, 1).drop("hops").withColumns({c: F.col(c).cast("double") for c in ("x", "y")}).withColumn("steps", F.col("steps").cast("long"))
+    batches = numbered(fixes.where("step = 0").select("trace_id", *_cell(pace)), "gx", "gy", "trace_id")
+    fixes = stored(fixes.join(shuffled(batches.select("trace_id", F.floor(F.col("place") / TRACES).cast("long").alias("batch"))), "trace_id"))
+    own = ["batch", "trace_id", "step", "steps"]
+    start = _near_roads(fixes.where("step = 0").withColumn("px", F.col("x")).withColumn("py", F.col("y")), segs, 2.5 * pace, *own, "px", "py")
     s, p = (G.pt("sx", "sy"), G.pt("tx", "ty")), G.pt("px", "py")
     least = F.min(F.struct((0.5 * F.pow(G.segment_distance(s, p) / pace, 2)).alias("cost"), (F.col("before") + G.project_fraction(s, p) * G.length(s)).alias("along"))).alias("o")
     kind = obs.schema["trace_id"].dataType.simpleString()
     road = segs.schema["road"].dataType.simpleString()
-    start = start.groupBy("trace_id", "step", "road").agg(least).select("trace_id", F.col("step").cast("long").alias("step"), "road", F.lit(None).cast(road).alias("origin"), "o.cost", "o.along")
+    start = start.groupBy(*own, "road").agg(least).select(*own, "road", F.lit(None).cast(road).alias("origin"), "o.cost", "o.along").withColumn("step", F.col("step").cast("long"))
     spark, path = obs.sparkSession, scratch_path(obs.sparkSession)
     at_exit(spark, path)
     start.write.parquet(f"{path}/stretch=-1")
-    read = lambda k: spark.read.schema(start.schema).parquet(f"{path}/stretch={k}")
-    moves = _road_moves(fixes, read(-1), segs, graph, pace)
-    moves = stored(moves.repartitionByRange("stretch", "trace_id"), "stretch")
-    kinds = f"trace_id {kind}, step long, road {road}, origin {road}, cost double, along double"
-    batch = _batch(fixes.where("step = 0").count())
-    for k in range(int(moves.agg(F.coalesce(F.max("stretch"), F.lit(-1))).first()[0]) + 1):
-        state = read(k - 1).where(F.col("step") == k * STRETCH).groupBy(batch)
-        rows = moves.where(F.col("stretch") == k).drop("stretch").withColumn("step", F.col("step").cast("long")).groupBy(batch)
-        state.cogroup(rows).applyInPandas(lambda a, b: _onward(a, b, pace), kinds).write.parquet(f"{path}/stretch={k}")
-    release(moves)
-    found = spark.read.schema(f"{kinds}, stretch int").parquet(path)
-    return found.join(fixes.where("step = 0").select("trace_id", F.col("steps").cast("long").alias("steps")), "trace_id")
+    kinds = f"batch long, trace_id {kind}, step long, steps long, road {road}, origin {road}, cost double, along double"
+    read = lambda k: spark.read.schema(kinds).parquet(f"{path}/stretch={k}")
+    around = _around(fixes, segs, graph, pace)
+    back = fixes.select("trace_id", (F.col("step") + 1).alias("step"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    later = fixes.join(back, ["trace_id", "step"]).select(*own, *_cell(pace), F.col("x").alias("px"), F.col("y").alias("py"), "qx", "qy")
+    later = stored(later.withColumn("stretch", F.floor((F.col("step") - 1) / STRETCH).cast("int")))
+    for k in range(int(later.agg(F.coalesce(F.max("stretch"), F.lit(-1))).first()[0]) + 1):
+        state = read(k - 1).where(F.col("step") == k * STRETCH).select(*own, "road", "cost", "along")
+        left = state.unionByName(later.where(F.col("stretch") == k).drop("stretch"), allowMissingColumns=True)
+        rows = around.where(F.col("stretch") == k).drop("stretch")
+        left.groupBy("batch").cogroup(rows.groupBy("batch")).applyInPandas(lambda a, b: _stretch(a, b, pace), kinds).write.parquet(f"{path}/stretch={k}")
+    release(around)
+    return spark.read.schema(f"{kinds}, stretch int").parquet(path).drop("batch")
 
 
 def best_roads(states: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
@@ -387,6 +446,7 @@ def map_match_roads(obs: DataFrame, roads: DataFrame, pace: float) -> DataFrame:
     roads are directed edges (src, dst, x, y, x1, y1); they are joined to the chains of road_graph. See road_states for what
     a way costs, best_roads for the choice, and for a second one without roads that are shut out.
     """
+    roads = stored(roads.select("src", "dst", "x", "y", "x1", "y1"))
     graph = road_graph(roads.select("src", "dst", G.length((G.pt("x", "y"), G.pt("x1", "y1"))).alias("size")))
     states = road_states(obs, stored(road_segments(graph, roads)), graph, pace)
     best = best_roads(states)

@@ -269,9 +269,9 @@ query("map_match_roads_again")(lambda s, d: _second_roads(s, d))
 
 def _second_roads(s, d):
     """The road on which each trace ends most cheaply, and the one where that road is shut out."""
-    roads = X.roads(s, d)
+    roads = stored(X.roads(s, d))
     graph = P.road_graph(roads.withColumn("size", G.length((G.pt("x", "y"), G.pt("x1", "y1")))))
-    states = M.road_states(_walks(s, d), M.road_segments(graph, roads), graph, 25.0)
-    best = M.best_roads(states)
+    states = M.road_states(_walks(s, d), stored(M.road_segments(graph, roads)), graph, 25.0)
+    best = stored(M.best_roads(states))
     other = M.best_roads(states, best).select("trace_id", F.col("road").alias("other"), r6(F.col("cost")).alias("other_cost"))
     return best.withColumn("cost", r6(F.col("cost"))).join(other, "trace_id", "left")

@@ -272,3 +272,33 @@ def test_an_edge_is_searched_from_once_and_halves_meet(spark):
     assert got == {(t, s, a, b): best[h, a, b] for t, s, h, a, b in gaps if (h, a, b) in best}
     begin = starts.selectExpr("false AS back", "a AS edge", "5 AS hops")
     assert matching._reached(begin, table).count() == matching._reached(begin.distinct(), table).count() == 7 * begin.distinct().count()
+
+
+def test_traces_side_by_side_share_the_network(spark, monkeypatch):
+    """What a batch of traces gets of the network is written once, not for each fix or trace; each gets its own states."""
+    wrote, real = [], matching.stored
+
+    def counted(df, *by):
+        out = real(df, *by)
+        if by:
+            wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "stored", counted)
+    rows = [(a, b, 20.0 * a, 0.0, 20.0 * b, 0.0) for k in range(15) for a, b in ((k, k + 1), (k + 1, k))]
+    roads = spark.createDataFrame(rows, "src long, dst long, x double, y double, x1 double, y1 double")
+    graph = road_graph(roads.withColumn("size", expr("abs(x1 - x)")))
+    segs, found = real(matching.road_segments(graph, roads)), []
+    for copies in (1, 30):
+        obs = spark.createDataFrame([(t, k, 20.0 * k, 3.0) for t in range(copies) for k in range(14)], "trace_id long, ts long, x double, y double")
+        found.append(matching.road_states(obs, segs, graph, 20.0).drop("trace_id"))
+    assert wrote[0] == wrote[1] > 0
+    one, many = ([tuple(r) for r in df.collect()] for df in found)
+    assert len(one) > 14 and sorted(30 * one, key=repr) == sorted(many, key=repr)
+
+
+def test_second_roads_make_their_segments_once(spark, data, monkeypatch):
+    seen, real = [], matching.road_states
+    monkeypatch.setattr(matching, "road_states", lambda obs, segs, *a: (seen.append(segs), real(obs, segs, *a))[1])
+    assert iterative._second_roads(spark, data).count() > 0
+    assert hasattr(seen[0], "_scratch_path")
